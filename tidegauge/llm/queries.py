@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, sharding, url_filter
+from . import bpe, decontam, exact_dedup, langid, line_dedup, sharding, simhash, suffix_dedup, token_counts, url_filter
 from .common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -31,6 +31,15 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    host, _ = url_filter.split_url("url")
+    return line_dedup.drop_boilerplate(table(spark, sf_dir, "pages"), host, line_dedup.html_text("html"))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.section_tokens(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.assign_shards(table(spark, sf_dir, "documents"), 8)
     return placed.select(
@@ -38,11 +47,34 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("items")
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents")).drop("distance")
+
+
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_kept=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_url_filters": op3_url_filters,
+    "op4_line_dedup": op4_line_dedup,
+    "op5_token_counts": op5_token_counts,
     "op6_sharding": op6_sharding,
+    "op7_simhash": op7_simhash,
+    "op8_decontamination": op8_decontamination,
+    "op9_language_id": op9_language_id,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 _LABELS = " or ".join(f"contains('.' || host || '.', '.{w}.') or contains('.' || host, '.{w}:')" for w in url_filter.BLOCKED_LABELS)
