@@ -1,14 +1,556 @@
-"""The query catalogue of the panel engine."""
+"""The query catalogue of the panel engine: each operator on the star-schema tables.
+
+Dates leave as ISO text and doubles rounded, so a result can be compared with another engine's.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import dates as D
+from ..functions import frequency as Q
+from ..functions.transforms import CODES
+from ..operators import evaluation as E
+from ..operators import missing as X
+from ..operators import models as G
+from ..operators import moments as M
+from ..operators import panel as P
+from ..operators import scalar as S
+from ..operators import vintage as V
+from ..sources.config import ModelConfig, issues
+from . import fixtures as T
+from .kernel import Layout
+from .oracle import ORACLE_SQL as ORACLE_SQL
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+DIGITS = 6
+
+
+def out(df: DataFrame, *columns: str | Column, digits: int = DIGITS) -> DataFrame:
+    """The chosen columns, ready to compare."""
+    df = df.select(*columns) if columns else df
+    kinds = dict(df.dtypes)
+
+    def shown(name: str) -> Column:
+        c = F.col(f"`{name}`")
+        if kinds[name] == "date":
+            c = c.cast("string")
+        elif kinds[name] in ("double", "float"):
+            c = F.round(c, digits) + F.lit(0.0)
+        elif kinds[name] in ("int", "smallint", "tinyint"):
+            c = c.cast("bigint")
+        return c.alias(name)
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+    return df.select(*[shown(c) for c in df.columns])
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").limit(1)
+    """Smoothed factor of a one-factor model of the monthly shipment panel."""
+    return out(G.factors(_line_fit(spark, sf_dir)).join(_calendar(T.line_full(spark, sf_dir)), "t"), "period", "block", "k", "value")
+
+
+def _calendar(panel: DataFrame) -> DataFrame:
+    return panel.select("t", "period").distinct()
+
+
+# panels
+
+
+@query
+def panel_build(spark, sf_dir):
+    return out(T.prio(spark, sf_dir))
+
+
+@query
+def panel_pivot_wide(spark, sf_dir):
+    names = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+    return out(P.pivot(T.prio(spark, sf_dir), names).withColumnsRenamed({n: "p" + n[0] for n in names}))
+
+
+@query
+def panel_unpivot(spark, sf_dir):
+    return out(P.unpivot(panel_pivot_wide(spark, sf_dir)))
+
+
+@query
+def panel_calendar_complete(spark, sf_dir):
+    return out(T.nation_full(spark, sf_dir))
+
+
+@query
+def panel_date_filter(spark, sf_dir):
+    return out(P.between(T.line(spark, sf_dir), "1996-01-01", "1997-12-01"))
+
+
+@query
+def align_to_spec(spark, sf_dir):
+    spec = T.nation_spec(spark, sf_dir).where("ord % 2 = 0")
+    return out(P.align(T.nation(spark, sf_dir), spec), "period", "series_id", "value", "frequency", "ord")
+
+
+@query
+def align_missing(spark, sf_dir):
+    panel = T.nation(spark, sf_dir).where(F.col("series_id") < "NATION_2")
+    return out(P.unmatched(panel, T.nation_spec(spark, sf_dir)), "series_id", "ord")
+
+
+def _one_code(code: str) -> Query:
+    def f(spark, sf_dir):
+        spec = T.prio_full(spark, sf_dir).withColumns({"transformation": F.lit(code), "frequency": F.lit("m")})
+        return out(P.transform(spec), "period", "series_id", "value")
+
+    return f
+
+
+QUERIES |= {f"tf_{code}": _one_code(code) for code in CODES}
+
+
+@query
+def tf_mixed_spec(spark, sf_dir):
+    return out(P.transform(T.nation_panel(spark, sf_dir)), "period", "series_id", "transformation", "frequency", "value")
+
+
+@query
+def drop_leading_null_rows(spark, sf_dir):
+    changed = P.transform(T.nation_panel(spark, sf_dir)).withColumn("value", F.when(F.col("transformation") == "chg", F.col("value")))
+    return out(P.drop_leading_empty(changed), "period", "series_id", "value")
+
+
+@query
+def quality_obs_ratio(spark, sf_dir):
+    return out(P.quality(T.nation_panel(spark, sf_dir)))
+
+
+# missing data and moments
+
+
+@query
+def trim_sparse_rows(spark, sf_dir):
+    return out(X.trim(T.nation_full(spark, sf_dir)), "period", "series_id", "value")
+
+
+@query
+def fill_median(spark, sf_dir):
+    return out(X.fill_median(T.nation_panel(spark, sf_dir)), "period", "series_id", "value")
+
+
+@query
+def fill_spline(spark, sf_dir):
+    return out(X.fill_spline(T.nation_panel(spark, sf_dir)), "period", "series_id", "value")
+
+
+@query
+def missing_treated(spark, sf_dir):
+    modes = [(1, "smooth"), (2, "median"), (3, "spline"), (4, "spline"), (5, "spline")]
+    return T.union([out(X.treat(T.prio_gap(spark, sf_dir), n, mode=m), "period", "series_id", "value").withColumn("method", F.lit(n)) for n, m in modes])
+
+
+@query
+def standardize(spark, sf_dir):
+    return out(M.standardise(T.prio_full(spark, sf_dir)), "period", "series_id", "z")
+
+
+@query
+def standardize_clipped(spark, sf_dir):
+    return out(M.standardise(T.prio_full(spark, sf_dir), 2e6), "period", "series_id", "z")
+
+
+@query
+def unstandardize(spark, sf_dir):
+    return out(M.unstandardise(M.standardise(T.prio_full(spark, sf_dir))), "period", "series_id", "value", digits=3)
+
+
+def _nation_z(spark, sf_dir):
+    z = M.standardise(T.nation_full(spark, sf_dir))
+    return z.select("period", "t", "series_id", F.col("z").alias("value"))
+
+
+@query
+def cov_listwise(spark, sf_dir):
+    return out(M.covariance_listwise(_nation_z(spark, sf_dir)))
+
+
+@query
+def cov_pairwise(spark, sf_dir):
+    return out(M.covariance_pairwise(_nation_z(spark, sf_dir)))
+
+
+@query
+def var_safe(spark, sf_dir):
+    panel = _nation_z(spark, sf_dir).withColumn("value", F.when(F.col("series_id") < "C", F.lit(1.0)).otherwise(F.col("value")))
+    return out(M.safe_variance(panel))
+
+
+@query
+def var_clean(spark, sf_dir):
+    v = _nation_z(spark, sf_dir).where("t < 24").groupBy("series_id").agg(F.var_pop("value").alias("variance"))
+    bad = F.when(F.col("series_id") < "C", F.lit(-1.0)).when(F.col("series_id") < "F", F.lit(None)).otherwise(F.col("variance"))
+    return out(M.clean_variance(v.withColumn("variance", bad)), "series_id", "cleaned")
+
+
+# calendar and vintages
+
+
+@query
+def release_date_pos(spark, sf_dir):
+    rows = V.released(T.nation_panel(spark, sf_dir).where("release_day > 0"))
+    return out(rows, "series_id", "period", "release_date")
+
+
+@query
+def release_date_neg(spark, sf_dir):
+    rows = V.released(T.nation_panel(spark, sf_dir).where("release_day < 0 or release_day is null"))
+    return out(rows, "series_id", "period", "release_date")
+
+
+@query
+def vintage_view(spark, sf_dir):
+    return out(V.view(T.nation_panel(spark, sf_dir), "2001-06-10"), "series_id", "period", "value")
+
+
+@query
+def vintage_multi(spark, sf_dir):
+    return out(V.views(T.nation_panel(spark, sf_dir), T.VIEWS), "view_date", "series_id", "period", "value")
+
+
+@query
+def vintage_availability(spark, sf_dir):
+    return out(V.availability(V.views(T.nation_panel(spark, sf_dir), T.VIEWS)))
+
+
+@query
+def vintage_new_cells(spark, sf_dir):
+    return out(V.new_cells(T.nation_panel(spark, sf_dir), "2001-05-10", "2001-06-10"), "series_id", "period", "value")
+
+
+@query
+def period_parse(spark, sf_dir):
+    month = T.prio(spark, sf_dir).select("period").distinct()
+    y, m = F.year("period").cast("string"), F.month("period")
+    q, s = F.ceil(m / 3).cast("string"), F.ceil(m / 6).cast("string")
+    return out(
+        month,
+        "period",
+        D.parse_period(F.concat(y, F.lit("m"), m.cast("string")), "m").alias("month"),
+        D.parse_period(F.concat(y, F.lit("Q"), q), "q").alias("quarter"),
+        D.parse_period(F.concat(y, F.lit("s"), s), "sa").alias("half"),
+        D.parse_period(y, "a").alias("year"),
+        D.parse_period(F.date_format("period", "yyyy-MM-dd"), "d").alias("day"),
+        D.parse_period(F.concat(y, F.lit("q9")), "q").alias("wrong"),
+    )
+
+
+@query
+def period_end(spark, sf_dir):
+    month = T.prio(spark, sf_dir).select("period").distinct()
+    ends = [D.period_end("period", f).alias(f"end_{f}") for f in ("w", "m", "q", "sa", "a")]
+    return out(month, "period", *ends, *[D.next_period_end("period", f).alias(f"next_{f}") for f in ("d", "w", "m", "q", "sa", "a")])
+
+
+@query
+def date_range(spark, sf_dir):
+    bounds = T.prio(spark, sf_dir).agg(F.min("period").alias("low"), F.max("period").alias("high"))
+    frames = [D.date_range(bounds, F.col("low"), F.col("high"), f).select(F.lit(f).alias("frequency"), "period") for f in ("w", "m", "q", "a")]
+    return out(T.union(frames))
+
+
+@query
+def backward_dates(spark, sf_dir):
+    last = T.prio(spark, sf_dir).agg(F.last_day(F.max("period")).alias("last"))
+    steps = last.select("last", F.explode(F.sequence(F.lit(1), F.lit(14))).alias("step"))
+    return out(steps, "step", *[D.step_back("last", F.col("step"), f).alias(f"back_{f}") for f in Q.FREQUENCIES])
+
+
+# mixed frequency
+
+
+@query
+def freq_group(spark, sf_dir):
+    groups = T.nation_spec(spark, sf_dir).groupBy("frequency").agg(F.count(F.lit(1)).alias("n_series"), F.min("ord").alias("first_ord"))
+    return out(groups, "frequency", "n_series", "first_ord", Q.rank_column("frequency").alias("freq_rank"))
+
+
+@query
+def idio_chain_lengths(spark, sf_dir):
+    chains = Q.case_of("frequency", {f: Q.chain_length(f, "m") for f in ("m", "q", "sa", "a")})
+    return out(T.nation_spec(spark, sf_dir), "series_id", chains.alias("chain"))
+
+
+@query
+def annual_factor(spark, sf_dir):
+    factor = Q.periods_column("frequency") / Q.step_column("frequency")
+    return out(T.nation_spec(spark, sf_dir), "series_id", Q.periods_column("frequency").alias("periods"), factor.alias("factor"))
+
+
+@query
+def quarter_downsample(spark, sf_dir):
+    return out(T.nation_panel(spark, sf_dir), "period", "series_id", "frequency", "value")
+
+
+@query
+def tent_aggregate(spark, sf_dir):
+    w = Window.partitionBy("series_id").orderBy("t")
+    weights = Q.tent_for("q", "m")
+    terms = [F.lag("z", k).over(w) * F.lit(float(x)) for k, x in enumerate(weights)]
+    total = sum(terms[1:], terms[0]) / F.lit(float(sum(weights)))
+    return out(M.standardise(T.nation_full(spark, sf_dir)).withColumn("aggregate", total), "period", "series_id", "aggregate")
+
+
+@query
+def tent_constraint_matrix(spark, sf_dir):
+    rows = [(s, c, i, j, float(x)) for s, c in Q.TENTS for i, row in enumerate(Q.constraint_matrix(Q.TENTS[s, c])[0]) for j, x in enumerate(row)]
+    return out(spark.createDataFrame(rows, "slow string, clock string, i int, j int, value double"))
+
+
+@query
+def block_membership(spark, sf_dir):
+    return out(T.nation_spec(spark, sf_dir).select("series_id", F.explode("blocks").alias("block")))
+
+
+@query
+def config_validate(spark, sf_dir):
+    spec = T.nation_spec(spark, sf_dir)
+    wrong = F.when(F.col("ord") % 6 == 0, "w").when(F.col("ord") % 6 == 1, "x").otherwise(F.col("frequency"))
+    blocks = spec.select(F.explode("blocks").alias("block")).distinct().where("block <> 'Block_ASIA'")
+    blocks = blocks.select("block", F.when(F.col("block") == "Block_EUROPE", 0).otherwise(1).alias("factors"), F.lit("m").alias("clock"))
+    return out(issues(spec.withColumn("frequency", wrong), blocks))
+
+
+# estimation
+
+
+@query
+def ar1_ols(spark, sf_dir):
+    return out(M.ar1(T.prio_gap(spark, sf_dir)), "series_id", "phi", "n")
+
+
+@query
+def innovation_var(spark, sf_dir):
+    return out(M.ar1(T.prio_gap(spark, sf_dir)), "series_id", "q")
+
+
+@query
+def stationary_var(spark, sf_dir):
+    return out(M.ar1(T.prio_gap(spark, sf_dir)), "series_id", "stationary")
+
+
+@query
+def suff_stats(spark, sf_dir):
+    return out(M.sufficient_sums(T.prio_full(spark, sf_dir)))
+
+
+@query
+def loading_ls(spark, sf_dir):
+    return out(M.loadings_ls(T.prio_full(spark, sf_dir)))
+
+
+@query
+def obs_var(spark, sf_dir):
+    return out(M.observation_variance(T.prio_full(spark, sf_dir)))
+
+
+@query
+def pca_loadings(spark, sf_dir):
+    return out(G.principal_components(T.line_full(spark, sf_dir), 2)[0])
+
+
+@query
+def pca_factor(spark, sf_dir):
+    return out(G.principal_components(T.line_full(spark, sf_dir), 2)[1])
+
+
+def _arrays(spark, sf_dir):
+    return S.as_arrays(M.standardise(T.prio_gap(spark, sf_dir)))
+
+
+@query
+def kalman_scalar(spark, sf_dir):
+    return out(S.kalman(_arrays(spark, sf_dir)), "series_id", "z", "v")
+
+
+@query
+def kalman_loglik(spark, sf_dir):
+    return out(S.kalman(_arrays(spark, sf_dir)), "series_id", "loglik")
+
+
+@query
+def smoother_scalar(spark, sf_dir):
+    return out(S.smoothed(_arrays(spark, sf_dir)))
+
+
+@query
+def forecast_scalar(spark, sf_dir):
+    panel = M.standardise(T.prio_full(spark, sf_dir))
+    last = panel.where("z is not null").groupBy("series_id", "mean", "std").agg(F.max_by("z", "t").alias("z"))
+    return out(S.forecast(last, 12), "series_id", "h", "z_forecast", "forecast", digits=3)
+
+
+@query
+def em_convergence(spark, sf_dir):
+    rows = [("a", 0, 100.01), ("a", 1, 100.0), ("b", 0, 100.00001), ("b", 1, 100.0), ("c", 0, 50.0), ("c", 1, 100.0), ("d", 0, 100.0), ("d", 1, 50.0)]
+    return out(E.convergence(spark.createDataFrame(rows, "run string, iteration int, loglik double")), "run", "iteration", "change", "converged", "decreased")
+
+
+# factor models
+
+
+def _line_spec() -> G.ModelSpec:
+    series = ("AF", "NF", "NO", "RF")
+    return G.ModelSpec(series, Layout(("m",) * 4, ((1,),) * 4), max_iter=30, threshold=1e-4)
+
+
+def _line_panel(spark, sf_dir):
+    """The shipment series that are long enough to fit."""
+    return T.line_full(spark, sf_dir).where(F.col("series_id").isin(*_line_spec().series))
+
+
+def _line_fit(spark, sf_dir):
+    return G.fit(_line_panel(spark, sf_dir), _line_spec())
+
+
+@query
+def dfm_fit_factors(spark, sf_dir):
+    return out(G.factors(_line_fit(spark, sf_dir)), digits=4)
+
+
+@query
+def dfm_fit_loadings(spark, sf_dir):
+    return out(G.loadings(_line_fit(spark, sf_dir)), digits=4)
+
+
+def _nation_spec(spark, sf_dir, blocks: bool, mixed: bool) -> G.ModelSpec:
+    names, layout, block_names = T.nation_layout(spark, sf_dir)
+    frequencies = layout.frequencies if mixed else ("m",) * len(names)
+    members = layout.blocks if blocks else ((1,),) * len(names)
+    n = len(block_names) if blocks else 1
+    return G.ModelSpec(tuple(names), Layout(frequencies, members, (1,) * n), tuple(block_names[:n]), max_iter=10, threshold=1e-4)
+
+
+@query
+def dfm_fit_blocks(spark, sf_dir):
+    return out(G.loadings(G.fit(T.nation_full(spark, sf_dir), _nation_spec(spark, sf_dir, True, False))), digits=4)
+
+
+@query
+def dfm_fit_mixed(spark, sf_dir):
+    return out(G.factors(G.fit(T.nation_panel(spark, sf_dir), _nation_spec(spark, sf_dir, False, True))), digits=4)
+
+
+@query
+def dfm_fit_many(spark, sf_dir):
+    """One model for each half of the sample and for all of it, in one job."""
+    panel = _line_panel(spark, sf_dir)
+    cut = panel.select("*", F.explode(F.array(F.lit("all"), F.when(F.col("t") < 40, "early").otherwise("late"))).alias("model"))
+    return out(G.logliks(G.fit(cut, _line_spec())).groupBy("run").agg(F.count(F.lit(1)).alias("iterations"), F.max_by("loglik", "iteration").alias("loglik")), digits=3)
+
+
+def _nation_model(spark, sf_dir) -> G.Model:
+    spec = _nation_spec(spark, sf_dir, False, True)
+    return G.Model.from_table(G.fit(T.nation_panel(spark, sf_dir), spec), spec)
+
+
+@query
+def dfm_forecast(spark, sf_dir):
+    return out(G.forecast(spark, _nation_model(spark, sf_dir), T.nation_panel(spark, sf_dir), 6), digits=2)
+
+
+@query
+def dfm_nowcast(spark, sf_dir):
+    name, t = T.target(spark, sf_dir)
+    return out(G.nowcasts(_nation_model(spark, sf_dir), T.nation_panel(spark, sf_dir), T.VIEWS, name, t), digits=2)
+
+
+@query
+def dfm_news(spark, sf_dir):
+    name, t = T.target(spark, sf_dir)
+    return out(G.news(_nation_model(spark, sf_dir), T.nation_panel(spark, sf_dir), T.VIEWS, name, t), digits=2)
+
+
+@query
+def dfm_backtest(spark, sf_dir):
+    name, t = T.target(spark, sf_dir)
+    dates = G.view_dates(spark, T.TARGET_PERIOD, 4, "m")
+    return out(G.backtest(_nation_model(spark, sf_dir), T.nation_panel(spark, sf_dir), dates, name, t), digits=2)
+
+
+@query
+def dfm_dataset(spark, sf_dir):
+    name, t = T.target(spark, sf_dir)
+    rows = G.dataset(_nation_model(spark, sf_dir), T.nation_panel(spark, sf_dir), name, [t - k for k in (1, 2, 3, 4)])
+    return out(rows, "t", "series_id", "baseline", "actual", "target", digits=2)
+
+
+# evaluation
+
+
+@query
+def backtest_metrics(spark, sf_dir):
+    viewed = V.views(T.nation_panel(spark, sf_dir), T.VIEWS)
+    w = Window.partitionBy("view_date", "series_id").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
+    guess = viewed.withColumn("prediction", F.last("value", ignorenulls=True).over(w)).where(F.col("period") == F.lit(T.TARGET_PERIOD).cast("date"))
+    actual = T.nation_panel(spark, sf_dir).select("period", "series_id", "value")
+    return out(E.step_metrics(guess.drop("value").join(actual, P.KEYS), ["view_date"]), digits=3)
+
+
+@query
+def rmse_series_overall(spark, sf_dir):
+    return out(E.rmse(E.naive(T.prio_full(spark, sf_dir))), digits=3)
+
+
+@query
+def news_topk(spark, sf_dir):
+    panel = T.nation_full(spark, sf_dir)
+    return out(E.top_changes(panel.where(F.col("period") <= F.lit(T.TARGET_PERIOD).cast("date")), 5), digits=3)
+
+
+@query
+def explained_variance(spark, sf_dir):
+    return out(M.explained(T.prio_full(spark, sf_dir)), "series_id", "explained")
+
+
+@query
+def reconstruction_corr(spark, sf_dir):
+    return out(M.explained(T.prio_full(spark, sf_dir)), "series_id", "correlation", "rmse", "mae")
+
+
+@query
+def factor_stats(spark, sf_dir):
+    f = M.common_factor(T.prio_full(spark, sf_dir)).withColumn("factor", F.lit("F1"))
+    return out(E.summary(f, "factor", "f"))
+
+
+@query
+def state_lookback(spark, sf_dir):
+    rows = P.lookback(T.prio_gap(spark, sf_dir), 4)
+    return out(rows, "period", "series_id", *[F.element_at("history", k + 1).alias(f"h{k}") for k in range(4)])
+
+
+@query
+def latest_period(spark, sf_dir):
+    panel = T.nation_full(spark, sf_dir).where("value is not null")
+    return out(panel.groupBy("series_id").agg(F.max("period").alias("latest"), F.min_by("t", "t").alias("first_t")))
+
+
+@query
+def events_daily_panel(spark, sf_dir):
+    return out(P.complete(T.events(spark, sf_dir), "d"), "period", "series_id", "value")
+
+
+@query
+def events_weekly_clock(spark, sf_dir):
+    return out(P.with_t(T.events(spark, sf_dir, "w"), "w"))
+
+
+def default_config(spark: SparkSession, sf_dir: str) -> ModelConfig:
+    """The nation specification as a configuration."""
+    rows = T.nation_spec(spark, sf_dir).orderBy("ord").collect()
+    return ModelConfig.from_mapping({"series": [r.asDict() for r in rows], "max_iter": 10, "threshold": 1e-4})
