@@ -82,7 +82,42 @@ _RULES = ", ".join(
     f"('{spec}', '{verdict}', '{spec.partition('/')[0]}', '/{spec.partition('/')[2]}', {len(spec)})" for verdict, spec in url_filter.SITE_RULES
 )
 
+_HOST = r"""translate(regexp_extract(case when contains(url, '://') then substr(url, instr(url, '://') + 3) else '' end, '^[^/?#]*'),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"""
+_WORDS = r"""[x for x in regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') if x <> '']"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op4_line_dedup": rf"""
+        with p as (
+            select row_number() over () as r, page_id, coalesce({_HOST}, '') as host,
+                   [y for y in [regexp_replace(x, '^\s+|\s+$', '', 'g') for x in string_split(
+                       regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '{line_dedup.HIDDEN}', chr(10), 'g'),
+                       '{line_dedup.BLOCK}', chr(10), 'g'), '{line_dedup.TAG}', '', 'g'), chr(10))] if y <> ''] as lines from pages),
+        seen as (select distinct r, host, unnest(lines) as line from p),
+        common as (
+            select host, line from seen join (select host, count(*) as pages from p group by 1) using (host)
+            where host <> '' group by host, line, pages having count(*) >= {line_dedup.MIN_PAGES} and count(*) > {line_dedup.RATIO} * pages),
+        gone as (select host, list(line) as gone from common group by host)
+        select page_id, host, len(lines) as n_lines, len(lines) - len(kept) as n_dropped, array_to_string(kept, chr(10)) as text
+        from (select *, [x for x in lines if not coalesce(list_contains(gone, x), false)] as kept from p left join gone using (host))
+    """,
+    "op8_decontamination": rf"""
+        with d as (select row_number() over () as r, doc_id, {_WORDS} as w from documents),
+        i as (select distinct coalesce(item_id::varchar, '') as item, {_WORDS} as w from benchmark),
+        iw as (
+            select distinct item, l, array_to_string(w[a:a + l - 1], ' ') as gram
+            from (select item, w, least({decontam.WINDOW}, len(w)) as l, unnest(range(1, len(w) - least({decontam.WINDOW}, len(w)) + 2)) as a from i where len(w) > 0)),
+        dw as (
+            select r, l, a, array_to_string(w[a:a + l - 1], ' ') as gram
+            from (select r, w, l, unnest(range(1, len(w) - l + 2)) as a from d cross join (select distinct l from iw) where len(w) >= l)),
+        m as (select r, a, l, item from dw join iw using (l, gram)),
+        h as (select r, count(*) as n_hit from (select distinct r, unnest(range(a, a + l)) as p from m) group by r),
+        f as (select r, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct r, item from m) group by r)
+        select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256,
+               coalesce(n_hit, 0) > 0 as contaminated
+        from d left join h using (r) left join f using (r)
+    """,
     "op2_exact_dedup": r"""
         with d as (
             select doc_id, length(coalesce(text, '')) as points,
