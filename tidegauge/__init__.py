@@ -1,0 +1,19 @@
+"""Mixed-frequency factor analytics on Spark."""
+
+from __future__ import annotations
+
+from typing import Any
+
+__all__ = ["FactorSession", "ModelConfig", "default"]
+
+
+def __getattr__(name: str) -> Any:
+    if name in ("FactorSession", "default"):
+        from . import session
+
+        return getattr(session, name)
+    if name == "ModelConfig":
+        from .sources.config import ModelConfig
+
+        return ModelConfig
+    raise AttributeError(name)
