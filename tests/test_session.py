@@ -37,7 +37,7 @@ def test_data(trained):
     assert trained.data().count() == 4 * 72 and trained.original_data().where("series_id = 'q' and value is not null").count() == 24
     assert {r["series_id"]: r["n_obs"] for r in trained.quality().collect()}["q"] == 24
     assert trained.factors().count() == 72 and trained.loadings().count() == 4 and trained.smoothed().count() == 4 * 72
-    assert trained.diagnose(2).count() == 2 and trained.state("a").count() == 72
+    assert trained.diagnose(2).count() == 2 and trained.history("a").count() == 72
 
 
 def test_predict_and_plot(trained):
@@ -45,6 +45,12 @@ def test_predict_and_plot(trained):
     assert trained.plot_data(2).groupBy("kind").count().count() == 2
 
 
+def test_states_and_report(trained):
+    s = trained.state("a", ["2015-02-01", "2020-12-01"], 3).orderBy("t").collect()
+    assert len(s[0]["history"]) == 3 and s[0]["history"][0] is None and len(s[1]["features"]) == 1 + 3 + 3 + 1
+    assert trained.report().where("largest > 0 and std > 0").count() == 4
+
+
 def test_nowcast_news_update(trained):
     rows = trained.nowcast("q", ["2020-11-20", "2020-12-20"], "2020-12-01").orderBy("view_date").collect()
     assert [r["observed"] for r in rows] == [False, False] and rows[0]["n_available"] < rows[1]["n_available"]

@@ -51,6 +51,16 @@ def annual_factor(frequency: str, step: int | None = None) -> float:
     return periods_per_year(frequency) / step if step > 0 else 1.0
 
 
+#: The dates that a clock's periods are written at: fixed values.
+CLOCK_ALIAS = {"d": "D", "w": "W", "m": "ME", "q": "QE", "sa": "ME", "a": "YE"}
+
+
+def horizon(clock: str, periods: int | None = None) -> tuple[int, str]:
+    """Steps of a forecast (one period by default) and the alias they are counted in: half-years count months."""
+    n = 1 if periods is None else periods
+    return n * 6 if clock == "sa" and n > 0 else n, CLOCK_ALIAS[clock]
+
+
 def tent(n: int, shape: str = "symmetric") -> list[int]:
     """Integer weights of length ``n``: a symmetric tent, all ones, or decay from the centre.
 

@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import step_back
-from ..functions.frequency import higher
-from ..plans import kernel
+from ..functions.frequency import higher, periods_per_year
+from ..plans import kernel, linalg
 from .missing import to_matrix
 from .vintage import views
 
@@ -132,6 +132,39 @@ def logliks(fits: DataFrame) -> DataFrame:
     return fits.where("kind = 'loglik'").select(F.col("model").alias("run"), F.col("j").alias("iteration"), F.col("value").alias("loglik"))
 
 
+def wide_factors(fits: DataFrame, blocks: list[str], per_block: int = 1) -> DataFrame:
+    """One column F1, F2, .. a factor, in the order of blocks, one row a period."""
+    names = [f"{b}_{k}" for b in blocks for k in range(per_block)]
+    rows = factors(fits).withColumn("name", F.concat_ws("_", "block", "k"))
+    return rows.groupBy("model", "t").pivot("name", names).agg(F.first("value")).withColumnsRenamed({n: f"F{j + 1}" for j, n in enumerate(names)})
+
+
+def wide_smoothed(fits: DataFrame, series: list[str]) -> DataFrame:
+    """One column a series, one row a period."""
+    return smoothed(fits).groupBy("model", "t").pivot("series_id", series).agg(F.first("value"))
+
+
+def transition_radius(fits: DataFrame) -> DataFrame:
+    """Spectral radius of each model's transition matrix."""
+
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        a = np.zeros((pdf["i"].max() + 1,) * 2)
+        a[pdf["i"], pdf["j"]] = pdf["value"]
+        return pd.DataFrame([(key[0], linalg.spectral_radius(a))])
+
+    return fits.where("kind = 'matrix' and name = 'a'").groupBy("model").applyInPandas(one, "model string, radius double")
+
+
+def series_report(fits: DataFrame, panel: DataFrame) -> DataFrame:
+    """Of each series: mean and deviation, largest loading, sum of squares, and error of the smoothed values in percent of the deviation."""
+    loads = loadings(fits).groupBy("model", "series_id").agg(F.max(F.abs("value")).alias("largest"), F.sum(F.col("value") * F.col("value")).alias("squares"))
+    base = [fits.where(F.col("kind") == k).select("model", F.col("name").alias("series_id"), F.col("value").alias(k)) for k in ("mean", "std")]
+    both = smoothed(fits).join(panel.select("series_id", "t", F.col("value").alias("actual")), ["series_id", "t"]).where("actual is not null")
+    error = both.groupBy("model", "series_id").agg(F.sqrt(F.avg(F.pow(F.col("value") - F.col("actual"), 2))).alias("rmse"))
+    keys = ["model", "series_id"]
+    return loads.join(base[0], keys).join(base[1], keys).join(error, keys, "left").withColumn("rmse_percent", 100 * F.col("rmse") / F.col("std"))
+
+
 def diagnose(fits: DataFrame, top: int = 5) -> DataFrame:
     """The loadings of largest size of each block's factors."""
     w = Window.partitionBy("model", "block", "k").orderBy(F.abs("value").desc(), "series_id")
@@ -140,8 +173,6 @@ def diagnose(fits: DataFrame, top: int = 5) -> DataFrame:
 
 def forecast(spark: SparkSession, model: Model, panel: DataFrame, horizon: int | None = None) -> DataFrame:
     """Each series ``horizon`` periods after the panel's end (a year by default)."""
-    from ..functions.frequency import periods_per_year
-
     h, names = horizon or periods_per_year(model.spec.layout.clock), list(model.spec.series)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -257,6 +288,36 @@ def dataset(model: Model, panel: DataFrame, series: str, periods: list[int], lea
     return rows.groupBy("period_t").applyInPandas(one, "t int, series_id string, baseline double, actual double, target double, features array<double>")
 
 
+STATE_SCHEMA = "t int, series_id string, nowcast double, history array<double>, residuals array<double>, factors array<double>, features array<double>"
+
+
+def states(model: Model, panel: DataFrame, series: str, periods: list[int], lookback: int | None = None) -> DataFrame:
+    """What a downstream model sees at each period, knowing nothing later.
+
+    The nowcast of the period without its own value, the history before and at it (a year by
+    default, padded with nulls on the left), the history less the nowcast, the factors, and all of
+    it as one vector in which missing numbers are 0.
+    """
+    i, names, layout = model.index(series), list(model.spec.series), model.spec.layout
+    rows_back = lookback or periods_per_year(layout.clock)
+
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        x, t = to_matrix(pdf, names), int(key[0])
+        x = x[: t + 1]
+        past = np.concatenate([np.full(max(0, rows_back - len(x)), np.nan), x[-rows_back:, i]])
+        blind = x.copy()
+        blind[-1, i] = np.nan
+        now = kernel.nowcast(model.fitted, blind, t, i)
+        _, s = kernel.smoothed_panel(model.fitted, blind)
+        state = [float(s.z[-1, o]) for o in layout.offsets[:-1]]
+        residuals = past - now
+        nulls = [[None if np.isnan(v) else float(v) for v in part] for part in (past, residuals)]
+        return pd.DataFrame([(t, series, now, *nulls, state, [now, *np.nan_to_num(past).tolist(), *np.nan_to_num(residuals).tolist(), *state])])
+
+    rows = panel.select("t", "series_id", "value", F.explode(F.array(*[F.lit(int(p)) for p in periods])).alias("period_t"))
+    return rows.groupBy("period_t").applyInPandas(one, STATE_SCHEMA)
+
+
 def principal_components(panel: DataFrame, k: int = 1) -> tuple[DataFrame, DataFrame]:
     """Loadings (series_id, k, value) and factors (t, k, value) of the standardised panel.
 

@@ -139,6 +139,28 @@ def quality(panel: DataFrame, max_missing: float = 0.9) -> DataFrame:
     )
 
 
+def extend(panel: DataFrame, periods: int, clock: str = "m") -> DataFrame:
+    """Append ``periods`` empty periods to a complete panel."""
+    last = panel.agg(F.max("t")).scalar()
+    ends = panel.where(F.col("t") == last).select("series_id", F.col("period").alias("end"), F.col("t").alias("end_t"))
+    step = F.expr(f"interval {INTERVALS[clock]}")
+    steps = ends.select("series_id", "end", "end_t", F.posexplode(F.sequence("end", F.col("end") + step * F.lit(periods), step)).alias("k", "period"))
+    new = steps.where("k > 0").select(F.col("period").cast("date").alias("period"), "series_id", (F.col("end_t") + F.col("k")).alias("t"))
+    return panel.unionByName(new, allowMissingColumns=True)
+
+
+def find_period(panel: DataFrame, target: str, clock: str = "m") -> DataFrame:
+    """The first position of the target's month, or of the very date on a day or week clock."""
+    day = F.lit(target).cast("date")
+    match = F.col("period") == day if clock in ("d", "w") else F.trunc("period", "MM") == F.trunc(day, "MM")
+    return panel.where(match).agg(F.min("t").alias("t"))
+
+
+def block_patterns(spec: DataFrame) -> DataFrame:
+    """Series that load on the same blocks, as one group each."""
+    return spec.groupBy(F.array_join(F.array_sort("blocks"), ",").alias("pattern")).agg(F.count(F.lit(1)).alias("n_series"), F.array_join(F.array_sort(F.collect_list("series_id")), ",").alias("series"))
+
+
 def lookback(panel: DataFrame, rows: int) -> DataFrame:
     """Each cell's last ``rows`` values, oldest first, padded with nulls on the left."""
     lags = [F.lag("value", k).over(in_order()) for k in range(rows - 1, 0, -1)]

@@ -489,6 +489,45 @@ def dfm_dataset(spark, sf_dir):
     return out(rows, "t", "series_id", "baseline", "actual", "target", digits=2)
 
 
+@query
+def dfm_states(spark, sf_dir):
+    name, t = T.target(spark, sf_dir)
+    rows = G.states(_nation_model(spark, sf_dir), T.nation_panel(spark, sf_dir), name, [t - 12, t], 4)
+    return out(rows.select("t", "series_id", "nowcast", F.element_at("history", -1).alias("last"), F.element_at("factors", 1).alias("factor")), digits=2)
+
+
+@query
+def dfm_news_summary(spark, sf_dir):
+    name, t = T.target(spark, sf_dir)
+    rows = G.news_summary(G.news(_nation_model(spark, sf_dir), T.nation_panel(spark, sf_dir), T.VIEWS, name, t), 3)
+    return out(rows, "view_date", "rank", "news_series", "news", "total", digits=2)
+
+
+@query
+def dfm_factors_wide(spark, sf_dir):
+    return out(G.wide_factors(_line_fit(spark, sf_dir), ["Block_Global"]), digits=4)
+
+
+@query
+def dfm_smoothed_wide(spark, sf_dir):
+    return out(G.wide_smoothed(_line_fit(spark, sf_dir), list(_line_spec().series)), digits=2)
+
+
+@query
+def dfm_diagnose(spark, sf_dir):
+    return out(G.diagnose(_line_fit(spark, sf_dir), 3), digits=4)
+
+
+@query
+def dfm_series_report(spark, sf_dir):
+    return out(G.series_report(_line_fit(spark, sf_dir), _line_panel(spark, sf_dir)), digits=3)
+
+
+@query
+def dfm_spectral_radius(spark, sf_dir):
+    return out(G.transition_radius(_line_fit(spark, sf_dir)), digits=4)
+
+
 # evaluation
 
 
@@ -540,6 +579,41 @@ def latest_period(spark, sf_dir):
     return out(panel.groupBy("series_id").agg(F.max("period").alias("latest"), F.min_by("t", "t").alias("first_t")))
 
 
+@query
+def horizon_extend(spark, sf_dir):
+    return out(P.extend(T.prio_full(spark, sf_dir), 3), "period", "series_id", "t", "value")
+
+
+@query
+def period_lookup(spark, sf_dir):
+    return out(P.find_period(T.prio_full(spark, sf_dir), "2000-07-19"))
+
+
+@query
+def block_pattern_groups(spark, sf_dir):
+    return out(P.block_patterns(T.nation_spec(spark, sf_dir)))
+
+
+@query
+def slower_series_count(spark, sf_dir):
+    return out(P.slower_count(T.nation_spec(spark, sf_dir)))
+
+
+@query
+def factor_recovery(spark, sf_dir):
+    """How near the common factor without the first series comes to that of all."""
+    full, part = T.prio_full(spark, sf_dir), T.prio_full(spark, sf_dir).where(F.col("series_id") > "1-V")
+    rows = M.common_factor(full).withColumnRenamed("f", "true").join(M.common_factor(part).withColumnRenamed("f", "estimate"), "t")
+    return out(E.recovery(rows.withColumn("factor", F.lit("F1")), "factor"))
+
+
+@query
+def covariance_top(spark, sf_dir):
+    """The five pairs of nations that covary most."""
+    pairs = M.covariance_pairwise(_nation_z(spark, sf_dir)).where("a < b")
+    return out(pairs.orderBy(F.abs("covariance").desc(), "a", "b").limit(5))
+
+
 @query
 def events_daily_panel(spark, sf_dir):
     return out(P.complete(T.events(spark, sf_dir), "d"), "period", "series_id", "value")

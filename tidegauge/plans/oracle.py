@@ -339,6 +339,27 @@ add(
     "select period::varchar as period, series_id, " + ", ".join(f"{r(f'lag(value, {3 - k}) over (partition by series_id order by t)')} as h{k}" for k in range(4)) + " from gap",
 )
 add("latest_period", NATION, "select series_id, max(period)::varchar as latest, min(t) as first_t from nat_full where value is not null group by 1")
+add(
+    "horizon_extend",
+    PRIO,
+    f"""select {CELL}, t from prio_full
+        union all select (max(period) + to_months(k::int))::date::varchar, series_id, null, max(t) + k from prio_full cross join (values (1), (2), (3)) h(k) group by series_id, k""",
+)
+add("period_lookup", PRIO, "select min(t) as t from prio_full where date_trunc('month', period) = date '2000-07-01'")
+add("block_pattern_groups", NATION, "select array_to_string(list_sort(blocks), ',') as pattern, count(*) as n_series, string_agg(series_id, ',' order by series_id) as series from spec group by 1")
+add("slower_series_count", NATION, "select sum(case frequency when 'q' then 1 else 0 end)::bigint as n_slower from spec")
+add(
+    "factor_recovery",
+    PRIO
+    + _z("zs", "prio_full")
+    + ", x as (select t, avg(z) as a, avg(case when series_id > '1-V' then z end) as b from zs group by t), y as (select 'F1' as factor, * from x where a is not null and b is not null)",
+    f"select factor, {r('corr(a, b)')} as correlation, {r('sqrt(avg((a - b) * (a - b)))')} as rmse from y group by rollup (factor)",
+)
+add(
+    "covariance_top",
+    NZ + PAIRS + ", c as (select a, b, covar_pop(x, y) as v from pairs where a < b group by a, b)",
+    f"select a, b, {r('v')} as covariance from c order by abs(v) desc, a, b limit 5",
+)
 add(
     "events_daily_panel",
     """e as (select ts::date as period, event_type as series_id, sum(value) as value from events group by 1, 2)""",

@@ -181,10 +181,20 @@ class FactorSession:
     def dataset(self, series: str, periods: list[str]) -> DataFrame:
         return G.dataset(self._trained(), self._data(), series, [self._target(p) for p in periods])
 
-    def state(self, series: str, rows: int = 4) -> DataFrame:
-        """Each period's recent history of a series."""
+    def state(self, series: str, periods: str | list[str], lookback: int | None = None) -> DataFrame:
+        """Nowcast, history, residuals, factors and feature vector of a series at each period."""
+        named = [periods] if isinstance(periods, str) else periods
+        return G.states(self._trained(), self._data(), series, [self._target(p) for p in named], lookback)
+
+    def history(self, series: str, rows: int = 4) -> DataFrame:
+        """Each period's recent values of a series."""
         return P.lookback(self._data().where(F.col("series_id") == series), rows).select("period", "t", "history")
 
+    def report(self) -> DataFrame:
+        """Loadings and fit of each series."""
+        self._trained()
+        return G.series_report(self.fits, self._data())
+
 
 _default: FactorSession | None = None
 
