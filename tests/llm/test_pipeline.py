@@ -48,3 +48,23 @@ def test_empty_tables(spark, tmp_path):
     docs(spark, []).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_awkward_rows(spark, tmp_path):
+    prose = {"en": "the cat and the dog went to the house by the river with them ", "fr": "le chat et le chien sont dans la maison avec les autres pour une heure "}
+    rows = [(k, f"{prose[x] * 4}{x}{k} {k * 7 % 11}", x) for k, x in enumerate(["en", "fr"] * 15, 1000)]
+    rows += [(i, t, None) for i, t in AWKWARD] + [(2000, "a b c d e f g h i j k and more the end of it", "en"), (2000, None, None)]
+    table = docs(spark, rows).select("doc_id", "text", "lang", "source", "n_chars")
+    table.write.parquet(str(tmp_path / "documents.parquet"))
+    items = [(1, "A b, c d e f g h i j k"), (2, None), (None, "null id")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    now, counts = table, {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, str(tmp_path)).cache()
+        counts[name] = collect(now, "doc_id", "text")
+    assert not any(t is None or not any(c.isalpha() for c in t) for _, t in counts["language_id"])
+    assert [t for _, t in counts["exact_dedup"] if "Same" in t] == ["Same  text here "]
+    assert sum(t == "a" * 5000 for _, t in counts["near_dedup"]) == 1
+    assert not any(t in ("null id", rows[-2][1]) for _, t in counts["decontamination"])
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() == len(counts["decontamination"]) > 4 and out.where("not round_trip").count() == 0
