@@ -25,6 +25,12 @@ def trim(panel: DataFrame, threshold: float = SPARSE) -> DataFrame:
     return panel.where(F.col("t").between(full.agg(F.min("t")).scalar(), full.agg(F.max("t")).scalar()))
 
 
+def eligible(panel: DataFrame, share: float = 0.5, least: int = 2) -> DataFrame:
+    """Periods with enough observed series to start an estimation from: a share of them, and at least ``least``."""
+    rows = row_gaps(panel).withColumn("n_observed", F.col("n_series") - F.col("n_missing"))
+    return rows.where(F.col("n_observed") >= F.greatest(F.lit(float(least)), F.lit(share) * F.col("n_series"))).select("t", "n_observed")
+
+
 def fill_median(panel: DataFrame) -> DataFrame:
     """Missing cells get the median of the series' observed values."""
     return panel.withColumn("value", F.coalesce("value", F.median("value").over(Window.partitionBy("series_id"))))

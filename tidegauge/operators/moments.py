@@ -102,6 +102,13 @@ def sufficient_sums(panel: DataFrame) -> DataFrame:
     return lagged.agg(F.sum(F.col("f") * F.col("f")).alias("s11"), F.sum(F.col("g") * F.col("g")).alias("s00"), F.sum(F.col("f") * F.col("g")).alias("s10"))
 
 
+def transition_update(panel: DataFrame) -> DataFrame:
+    """The factor's AR coefficient and innovation variance from its sums: A = S10 / S00, Q = (S11 - A S10) / n."""
+    sums = sufficient_sums(panel).withColumn("a", F.try_divide("s10", "s00"))
+    n = common_factor(panel).agg(F.count(F.lit(1))).scalar() - 1
+    return sums.select("a", (F.try_divide(F.col("s11") - F.col("a") * F.col("s10"), n)).alias("q"))
+
+
 def ar1(panel: DataFrame, value: str = "z") -> DataFrame:
     """AR(1) coefficient, innovation variance and stationary variance of each standardised series.
 

@@ -305,6 +305,18 @@ def tent_aggregate(spark, sf_dir):
     return out(M.standardise(T.nation_full(spark, sf_dir)).withColumn("aggregate", total), "period", "series_id", "aggregate")
 
 
+@query
+def clock_table(spark, sf_dir):
+    rows = [(f, Q.rank(f), Q.periods_per_year(f), Q.higher(f), *Q.horizon(f)) for f in Q.FREQUENCIES]
+    return out(spark.createDataFrame(rows, "clock string, freq_rank int, periods int, higher string, horizon int, alias string"))
+
+
+@query
+def tent_weights(spark, sf_dir):
+    n = spark.range(1, 13).select(F.col("id").alias("n"))
+    return out(n.select("n", F.posexplode(F.transform(F.sequence(F.lit(1), "n"), lambda k: F.least(k, F.col("n") + 1 - k))).alias("k", "weight")))
+
+
 @query
 def tent_constraint_matrix(spark, sf_dir):
     rows = [(s, c, i, j, float(x)) for s, c in Q.TENTS for i, row in enumerate(Q.constraint_matrix(Q.TENTS[s, c])[0]) for j, x in enumerate(row)]
@@ -343,6 +355,16 @@ def stationary_var(spark, sf_dir):
     return out(M.ar1(T.prio_gap(spark, sf_dir)), "series_id", "stationary")
 
 
+@query
+def eligible_rows(spark, sf_dir):
+    return out(X.eligible(T.prio_gap(spark, sf_dir), 0.9))
+
+
+@query
+def transition_from_sums(spark, sf_dir):
+    return out(M.transition_update(T.prio_full(spark, sf_dir)))
+
+
 @query
 def suff_stats(spark, sf_dir):
     return out(M.sufficient_sums(T.prio_full(spark, sf_dir)))

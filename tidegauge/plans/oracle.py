@@ -241,6 +241,17 @@ add(
     + " + ".join(f"{w}.0 * lag(z, {k}) over (partition by series_id order by t)" for k, w in enumerate((1, 2, 3, 2, 1)))
     + ") / 9.0, 6) + 0.0 as aggregate from zs",
 )
+add(
+    "clock_table",
+    "",
+    """select * from (values ('d', 1::bigint, 365::bigint, null, 1::bigint, 'D'), ('w', 2, 52, 'd', 1, 'W'), ('m', 3, 12, 'w', 1, 'ME'), ('q', 4, 4, 'm', 1, 'QE'), ('sa', 5, 2, 'q', 6, 'ME'), ('a', 6, 1, 'sa', 1, 'YE'))
+        t(clock, freq_rank, periods, higher, horizon, alias)""",
+)
+add(
+    "tent_weights",
+    "",
+    "select n, k - 1 as k, least(k, n + 1 - k) as weight from (select unnest(range(1, 13)) as n) cross join lateral (select unnest(range(1, n + 1)) as k)",
+)
 add(
     "tent_constraint_matrix",
     "tents(slow, clock, w) as (values " + ", ".join(f"('{s}', '{c}', {list(w)})" for (s, c), w in TENTS.items()) + ")",
@@ -268,6 +279,12 @@ FACTOR = PRIO + _z("zs", "prio_full") + """,
         rows_ as (select zs.series_id, zs.t, zs.z, f.f from zs join f using (t) where z is not null),
         loads as (select series_id, sum(z * f) / sum(f * f) as loading from rows_ group by 1),
         fits as (select rows_.*, loading, loading * f as fit from rows_ join loads using (series_id))"""
+add("eligible_rows", GAP, "select t, count(value) as n_observed from gap group by t having count(value) >= greatest(2.0, 0.9 * count(*))")
+add(
+    "transition_from_sums",
+    FACTOR + ", s as (select sum(a.f * a.f) as s11, sum(b.f * b.f) as s00, sum(a.f * b.f) as s10 from f a join f b on a.t = b.t + 1)",
+    f"select {r('s10 / s00')} as a, {r('(s11 - s10 / s00 * s10) / ((select count(*) from f) - 1)')} as q from s",
+)
 add("suff_stats", FACTOR, f"select {r('sum(a.f * a.f)')} as s11, {r('sum(b.f * b.f)')} as s00, {r('sum(a.f * b.f)')} as s10 from f a join f b on a.t = b.t + 1")
 add("loading_ls", FACTOR, f"select series_id, {r('loading')} as loading from loads")
 add("obs_var", FACTOR, f"select series_id, {r('avg((z - fit) * (z - fit))')} as variance from fits group by 1")
