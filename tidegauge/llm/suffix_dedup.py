@@ -54,8 +54,8 @@ HOT = 4096
 #: Windows of a cell of a hot bucket.
 CELL = 21
 #: Bytes of content that one refinement sorts together; windows that one pass of hashing covers.
-_TOGETHER = 1 << 21
-_PIECE = 1 << 20
+_TOGETHER = 1 << 19
+_PIECE = 1 << 19
 _BASE = 0x9E3779B97F4A7C15
 _M64 = (1 << 64) - 1
 _digest = xxhash.xxh3_64_intdigest
@@ -361,26 +361,30 @@ def _spans_of(texts: DataFrame, length: int, gram: int, hot: int, cell: int) ->
     return settled.unionByName(refined).unionByName(_hot_spans(data.where("hot").select(*one), length, gram, cell)), active
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(with_kept: bool):
     """(key, text, spans) -> what is left of each text."""
-    for batch in batches:
-        out: list[list] = [[], [], [], []]
-        for text, spans in zip(batch.column(1), batch.column(2), strict=True):
-            data = text.as_py().encode("utf-8", "replace")
-            cuts = np.array([(s["a"], s["b"]) for s in spans.as_py()], np.int64)
-            cuts = cuts[np.argsort(cuts[:, 0], kind="stable")]
-            reach = np.maximum.accumulate(cuts[:, 1])
-            head = np.flatnonzero(np.concatenate([[True], cuts[1:, 0] > reach[:-1]]))
-            a, b = cuts[head, 0], reach[np.append(head[1:], len(cuts)) - 1]
-            kept = b"".join(data[x:y] for x, y in zip([0, *b.tolist()], [*a.tolist(), len(data)], strict=True))
-            out[0].append(int((b - a).sum()))
-            out[1].append(len(a))
-            out[2].append(hashlib.sha256(kept).hexdigest())
-            out[3].append(kept)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(out[3], pa.binary())],
-            ["key", "n_removed", "n_spans", "kept_sha256", "kept"],
-        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[], [], [], []]
+            for text, spans in zip(batch.column(1), batch.column(2), strict=True):
+                data = text.as_py().encode("utf-8", "replace")
+                cuts = np.array([(s["a"], s["b"]) for s in spans.as_py()], np.int64)
+                cuts = cuts[np.argsort(cuts[:, 0], kind="stable")]
+                reach = np.maximum.accumulate(cuts[:, 1])
+                head = np.flatnonzero(np.concatenate([[True], cuts[1:, 0] > reach[:-1]]))
+                a, b = cuts[head, 0], reach[np.append(head[1:], len(cuts)) - 1]
+                kept = b"".join(data[x:y] for x, y in zip([0, *b.tolist()], [*a.tolist(), len(data)], strict=True))
+                out[0].append(int((b - a).sum()))
+                out[1].append(len(a))
+                out[2].append(hashlib.sha256(kept).hexdigest())
+                out[3].append(kept if with_kept else None)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(out[3], pa.binary())],
+                ["key", "n_removed", "n_spans", "kept_sha256", "kept"],
+            )
+
+    return run
 
 
 def remove_repeats(
@@ -402,7 +406,7 @@ def remove_repeats(
     spans = durable(spans.groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
     extra = [] if not with_kept else ["kept"]
     answers = active.join(spans, "key").select("key", "text", "spans")
-    answers = answers.mapInArrow(_cut, "key binary, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    answers = answers.mapInArrow(_cut(with_kept), "key binary, n_removed long, n_spans long, kept_sha256 string, kept binary")
     answers = durable(answers.select("key", "n_removed", "n_spans", F.col("kept_sha256").alias("cut_sha256"), *extra))
     whole = text_or_empty(text_col).cast("binary")
     slim = docs.select(
