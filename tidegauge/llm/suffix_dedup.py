@@ -50,7 +50,7 @@ from .common import drop_durable, durable, text_or_empty
 
 LENGTH = 400
 GRAM = 64
-HOT = 4096
+HOT = 512
 #: Windows of a cell of a hot bucket.
 CELL = 21
 #: Bytes of content that one refinement sorts together; windows that one pass of hashing covers.
