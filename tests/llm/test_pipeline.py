@@ -68,3 +68,10 @@ def test_awkward_rows(spark, tmp_path):
     assert not any(t in ("null id", rows[-2][1]) for _, t in counts["decontamination"])
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.count() == len(counts["decontamination"]) > 4 and out.where("not round_trip").count() == 0
+
+
+def test_near_duplicates_beyond_a_broadcast_filter(spark, monkeypatch):
+    rows = [(k, f"text {k % 4} " + "same words follow here and there " * 20) for k in range(12)] + AWKWARD
+    want = collect(simhash.drop_near_duplicates(docs(spark, rows)), "doc_id", "text")
+    monkeypatch.setattr(simhash, "MAX_FILTER_BITS", 1)
+    assert collect(simhash.drop_near_duplicates(docs(spark, rows)), "doc_id", "text") == want

@@ -105,7 +105,7 @@ def test_large_bucket(spark, monkeypatch):
     monkeypatch.setattr(s, "SMALL_BUCKET", 4)
     fps = sorted(set(planted(800, 9, clusters=1)))
     words = np.array([fps], np.uint64)
-    a, b = s._forest(*s._search(words, 4, 0))
+    a, b = s._forest(*s._search(words, np.ones(len(fps), bool), 4, 0))
     comps = brute_components(fps, 4, range(len(fps)))
     assert len(a) == len(fps) - len(set(comps))
     zeros = np.zeros(len(fps), np.int64)
@@ -120,12 +120,21 @@ def test_plan_uses_unequal_thresholds_on_large_corpora():
         assert sum(chosen.thresholds) == 4 - len(chosen.groups) + 1
         assert sorted(b for g in chosen.groups for b in g) == list(range(64))
     assert max(chosen.thresholds) > 0
+    bounded = s.plan(10**9, both * 10**9, 14, 1e17, 48, 2)
+    assert 2 * sum(s._rows(len(g), t) for g, t in zip(bounded.groups, bounded.thresholds, strict=True)) <= 48
     skewed = both * 10**6
     skewed[:16, :16] = 0.999e6
     chosen = s.plan(10**6, skewed)
     assert len(set(chosen.thresholds)) > 1
 
 
+def test_bands_hold_similar_sizes_together():
+    rng = np.random.default_rng(0)
+    for n in (1, 2, 5, 40, 999, 12345):
+        other = rng.integers(int(np.ceil(0.8 * n)), int(n / 0.8) + 1)
+        assert abs(s.size_band(np.arange(n, dtype=np.uint64)) - s.size_band(np.arange(other, dtype=np.uint64))) <= 1
+
+
 def test_wide_search_finds_similar_sets(spark):
     rnd = random.Random(4)
     words = [f"w{k}" for k in range(3000)]

@@ -50,7 +50,16 @@ def repeat_filter(digests: DataFrame, bits: int) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n"))
         .where("n > 1")
     )
-    return crowded.groupBy(F.expr(f"slot div {BITMAP_BITS}").alias("bitmap")).agg(
+    return _bitmaps(crowded)
+
+
+def member_filter(keys: DataFrame, column: str, bits: int) -> DataFrame:
+    """Bitmaps ``(bitmap, bits)`` of all slots of the keys: a plain Bloom filter."""
+    return _bitmaps(keys.select(F.explode(F.array(*_slots(column, bits))).alias("slot")))
+
+
+def _bitmaps(slots: DataFrame) -> DataFrame:
+    return slots.groupBy(F.expr(f"slot div {BITMAP_BITS}").alias("bitmap")).agg(
         F.bitmap_construct_agg(F.col("slot") % BITMAP_BITS).alias("bits")
     )
 

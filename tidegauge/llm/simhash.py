@@ -15,8 +15,11 @@ fingerprints link at ``max_bits`` or fewer differing bits. To find all links:
 
 A wide search, for shingle sets that share less (``wide_bits``), verifies candidates on
 ``WIDE`` further words of fingerprint as well, drawn from the same shingle hashes: 64 bits
-alone can't tell such pairs from chance. Its candidates grow faster than the input; the
-narrow search of the query is the one meant for the largest corpora.
+alone can't tell such pairs from chance. Sets of that similarity also have nearly the same
+size, so fingerprints are filed under bands of their number of different shingles, each ``BAND``
+times as wide as the one before, and probe their own band and the next. Rows a fingerprint are
+bounded (``MAX_WIDE_ROWS``), so the disk grows with the input; its candidates grow faster, and
+the narrow search of the query is the one meant for the largest corpora.
 
 Equal fingerprints are one row before any of this, so copies cost nothing. A bucket holds
 distinct fingerprints only, 8 bytes each (32 in a wide search); it is compared in blocks of a
@@ -33,7 +36,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
-from math import comb
+from math import comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +46,7 @@ from pyspark.sql import functions as F
 
 from .common import durable, text_or_empty
 from .components import connected_components
+from .exact_dedup import MAX_FILTER_BITS, filter_bits, member_filter, possibly_repeated
 
 BITS = 64
 SHINGLE = 4
@@ -55,6 +59,10 @@ SIMILAR_WIDE_BITS = 51
 #: Cost of verifying a candidate pair, against shuffling a row as 1.
 PAIR_COST = 0.005
 MAX_THRESHOLD = 3
+#: Rows a fingerprint that a plan may ask for; the wide ones are 50 bytes each.
+MAX_ROWS, MAX_WIDE_ROWS = 1024, 32
+#: Ratio of set sizes at the similarity of 0.8.
+BAND = 1.25
 SMALL_BUCKET = 64
 #: Further 64-bit words of a wide fingerprint.
 WIDE = 3
@@ -86,9 +94,9 @@ def _mixed(hashes: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def wide_fingerprint(text: str | None, shingle: int = SHINGLE, words: int = 1) -> list[int]:
+def _words(hashes: np.ndarray, words: int = 1) -> list[int]:
     """``words`` fingerprints of 64 bits; the first is that of the hashes themselves."""
-    hashes, out = shingle_hashes(text, shingle), []
+    out = []
     for _ in range(words):
         ones = np.zeros(BITS, np.int64)
         for a in range(0, len(hashes), PIECE):
@@ -99,18 +107,27 @@ def wide_fingerprint(text: str | None, shingle: int = SHINGLE, words: int = 1) -
     return out
 
 
+def size_band(hashes: np.ndarray) -> int:
+    """Sets whose sizes differ by a factor up to ``BAND`` are in one band or in neighbours."""
+    return int(log(max(1, len(np.unique(hashes)))) / log(BAND))
+
+
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    return wide_fingerprint(text, shingle)[0]
+    return _words(shingle_hashes(text, shingle))[0]
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, wide: int = 0) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long), and w1, w2, .. of a wide one."""
-    names = ["fp", *[f"w{k + 1}" for k in range(wide)]]
+    """doc_id, fp (the fingerprint as a signed long); of a wide one also w1, w2, .. and the band of its size."""
+    names = ["fp", *[f"w{k + 1}" for k in range(wide)]] + (["band"] if wide else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([wide_fingerprint(t.as_py(), shingle, 1 + wide) for t in batch.column(1)], np.uint64).reshape(-1, 1 + wide)
+            hashes = (shingle_hashes(t.as_py(), shingle) for t in batch.column(1))
+            found = [(_words(h, 1 + wide), size_band(h) if wide else 0) for h in hashes]
+            fps = np.array([x for x, _ in found], np.uint64).reshape(-1, 1 + wide)
             columns = [pa.array(np.ascontiguousarray(c).view(np.int64)) for c in fps.T]
+            if wide:
+                columns.append(pa.array([x for _, x in found], pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *names])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -184,27 +201,45 @@ def _within(groups: list[list[int]], p: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def allocate(groups: list[list[int]], p: np.ndarray, n: int, max_bits: int) -> Plan:
-    """The thresholds of least estimated cost for these partitions."""
-    target = max_bits - len(groups) + 1
-    best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
+def _rows(bits: int, threshold: int) -> int:
+    return sum(comb(bits, d) for d in range(threshold + 1))
+
+
+def allocate(groups: list[list[int]], p: np.ndarray, n: int, max_bits: int, pairs: float | None = None, max_rows: int = MAX_ROWS, bands: int = 1) -> Plan:
+    """The thresholds of least estimated cost for these partitions.
+
+    ``pairs`` is the number of pairs that could meet at all, ``bands`` how many bands a row
+    probes. States are (threshold used, rows used), so the bound on rows holds exactly.
+    """
+    pairs, target = n * n / 2 if pairs is None else pairs, max_bits - len(groups) + 1
+    best: dict[tuple[int, int], tuple[float, list[int]]] = {(0, 0): (0.0, [])}
     for group, within in zip(groups, _within(groups, p), strict=True):
-        new: dict[int, tuple[float, list[int]]] = {}
+        new: dict[tuple[int, int], tuple[float, list[int]]] = {}
         for t in range(-1, min(MAX_THRESHOLD, len(group)) + 1):
-            rows = 0 if t < 0 else n * sum(comb(len(group), d) for d in range(t + 1))
-            pairs = 0 if t < 0 else n * n / 2 * within[t]
-            for used, (cost, ts) in best.items():
-                option = (cost + rows + PAIR_COST * pairs, [*ts, t])
-                if used + t not in new or option < new[used + t]:
-                    new[used + t] = option
+            rows = _rows(len(group), t) * bands
+            cost = rows * n + PAIR_COST * pairs * (0 if t < 0 else within[t])
+            for (used, held), (so_far, ts) in best.items():
+                state, option = (used + t, held + rows), (so_far + cost, [*ts, t])
+                if held + rows <= max_rows and (state not in new or option < new[state]):
+                    new[state] = option
         best = new
-    cost, ts = best.get(target, (float("inf"), []))
+    cost, ts = min((v for (used, _), v in best.items() if used == target), default=(float("inf"), []))
     return Plan(groups, ts, cost)
 
 
-def plan(total: int, both: np.ndarray, max_bits: int = MAX_BITS) -> Plan:
+def plan(total: int, both: np.ndarray, max_bits: int = MAX_BITS, pairs: float | None = None, max_rows: int = MAX_ROWS, bands: int = 1) -> Plan:
     p = np.diag(both) / max(total, 1)
-    return min((allocate(group_bits(both, total, m), p, total, max_bits) for m in range(1, max_bits + 3)), key=lambda x: x.cost)
+    options = (allocate(group_bits(both, total, m), p, total, max_bits, pairs, max_rows, bands) for m in range(1, max_bits + 3))
+    best = min(options, key=lambda x: x.cost)
+    if not best.thresholds:
+        raise ValueError(f"no plan for {max_bits} bits within {max_rows} rows a fingerprint")
+    return best
+
+
+def band_pairs(fps: DataFrame) -> float:
+    """How many pairs of fingerprints lie in one band or in neighbouring ones; bands are few by construction."""
+    n = {r["band"]: r["count"] for r in fps.groupBy("band").count().collect()}
+    return sum(c * c / 2 + c * n.get(b + 1, 0) for b, c in n.items())
 
 
 def _signatures(chosen: Plan):
@@ -216,16 +251,19 @@ def _signatures(chosen: Plan):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [c.to_numpy() for c in batch.columns]
+            band, *words = (c.to_numpy() for c in batch.columns)
             for part, group, masks in parts:
-                step = max(1, (1 << 18) // len(masks))
-                for a in range(0, len(columns[0]), step):
-                    fps = columns[0][a : a + step]
+                step = max(1, (1 << 17) // len(masks))
+                for a in range(0, len(band), step):
+                    fps = words[0][a : a + step]
                     keys = _bits_of(fps)[:, group].astype(np.int64) @ (1 << np.arange(len(group), dtype=np.int64))
                     probes = (keys[:, None] ^ masks).ravel()
+                    own = np.repeat(band[a : a + step], len(masks))
                     filed = np.tile(np.arange(len(masks)) == 0, len(fps))
-                    arrays = [np.full(len(probes), part, np.int32), probes, filed, *[np.repeat(c[a : a + step], len(masks)) for c in columns]]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["part", "key", "filed", *batch.schema.names])
+                    for up in (0, 1) if len(words) > 1 else (0,):
+                        place = (part + BITS * (own + up)).astype(np.int32)
+                        arrays = [place, probes, filed & (up == 0), *[np.repeat(c[a : a + step], len(masks)) for c in words]]
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["part", "key", "filed", *batch.schema.names[1:]])
 
     return run
 
@@ -237,14 +275,13 @@ def _near(x: np.ndarray, y: np.ndarray, max_bits: int, wide_bits: int) -> np.nda
     return sum(np.bitwise_count(a ^ b).astype(np.int64) for a, b in zip(x, y, strict=True)) <= wide_bits
 
 
-def _search(words: np.ndarray, max_bits: int, wide_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning edges of one large bucket, all pairs compared in blocks."""
-    _, first = np.unique(words[0], return_index=True)
-    words = words[:, first]
-    fps, a, b, waiting = words[0], [], [], 0
-    n, i = len(fps), 0
-    while i < n:
-        rows = max(1, _CELLS // (n - i))
+def _search(words: np.ndarray, filed: np.ndarray, max_bits: int, wide_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning edges of one large bucket: its filed rows against all, compared in blocks."""
+    words = words[:, np.argsort(~filed, kind="stable")]
+    fps, a, b, waiting = words[0], [words[0][:0]], [words[0][:0]], 0
+    n, stop, i = len(fps), int(filed.sum()), 0
+    while i < stop:
+        rows = min(max(1, _CELLS // (n - i)), stop - i)
         x, y = np.nonzero(np.bitwise_count(fps[i : i + rows, None] ^ fps[None, i:]) <= max_bits)
         x, y = (x + i)[x < y], (y + i)[x < y]
         if len(words) > 1:
@@ -287,7 +324,8 @@ def _bucket_edges(
     size = np.diff(np.append(cut, n))
     a, b = [], []
     for k in np.flatnonzero(size > SMALL_BUCKET):
-        found = _search(words[:, cut[k] : cut[k] + size[k]], max_bits, wide_bits)
+        whole = slice(cut[k], cut[k] + size[k])
+        found = _search(words[:, whole], filed[whole], max_bits, wide_bits)
         a.append(found[0])
         b.append(found[1])
     small = size <= SMALL_BUCKET
@@ -336,17 +374,20 @@ def _edges(max_bits: int, wide_bits: int):
 
 def links(fps: DataFrame, max_bits: int = MAX_BITS, wide_bits: int = 0, chosen: Plan | None = None) -> DataFrame:
     """Spanning links (a, b) of distinct fingerprints (column fp): they join what all links join."""
-    chosen = chosen or plan(*bit_counts(fps), max_bits)
     names = [c for c in fps.columns if c == "fp" or c[0] == "w"]
+    if chosen is None:
+        wide = {"pairs": band_pairs(fps), "max_rows": MAX_WIDE_ROWS, "bands": 2} if len(names) > 1 else {}
+        chosen = plan(*bit_counts(fps), max_bits, **wide)
     words = ", ".join(f"{c} long" for c in names)
-    rows = fps.select(*names).mapInArrow(_signatures(chosen), f"part int, key long, filed boolean, {words}")
+    band = F.col("band") if len(names) > 1 else F.lit(0).cast("long").alias("band")
+    rows = fps.select(band, *names).mapInArrow(_signatures(chosen), f"part int, key long, filed boolean, {words}")
     met = rows.repartition("part", "key").sortWithinPartitions("part", "key")
     return met.mapInArrow(_edges(max_bits, wide_bits), "a long, b long").distinct()
 
 
 def components(rows: DataFrame, max_bits: int = MAX_BITS, wide_bits: int = 0) -> DataFrame:
     """doc_id, fp, component_id for rows (doc_id, fp, w1, ..) of a written table."""
-    wide = [c for c in rows.columns if c[0] == "w"]
+    wide = [c for c in rows.columns if c[0] == "w" or c == "band"]
     every = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"), *[F.min(c).alias(c) for c in wide]))
     found = connected_components(durable(links(every, max_bits, wide_bits)))
     found = durable(found.join(every, F.col("node") == F.col("fp")).select("fp", "component", "first_id"))
@@ -376,8 +417,9 @@ def drop_near_duplicates(
     """The whole rows of ``docs`` without near duplicates: of each group the row of the least id stays.
 
     The defaults stand for a similarity of 0.8 or more over sets of five-word shingles. Null ids
-    come last; of rows with one id the text's digest decides, and of equal rows one stays. Rows
-    with nothing near are not compared or grouped again after the join.
+    come last; of rows with one id the text's digest decides, and of equal rows one stays. A Bloom
+    filter of the texts of which some row goes is broadcast, up to the bound of exact dedup: rows
+    that it does not know pass straight through, and only the others shuffle their text.
     """
     key = F.unhex(F.md5(text_or_empty(text_col).cast("binary")))
     place = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), key.alias("key"))
@@ -389,8 +431,15 @@ def drop_near_duplicates(
         .agg(F.first("component_id").alias("_stays"), F.max("n").alias("_n"), F.min("doc_id").alias("_least"), F.count(F.lit(1)).alias("_k"))
         .where("_k > 1 or _n > 1 or _least <> _stays")
     )
+    groups = durable(groups)
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), place.alias("_place"), key.alias("_text"))
-    met = whole.join(durable(groups), F.col("_text") == F.col("_key"), "left").where("_key is null or _stays = _place")
+    bits = filter_bits(groups.count())
+    through, affected = None, whole
+    if bits <= MAX_FILTER_BITS:
+        probed = possibly_repeated(whole, durable(member_filter(groups, "_key", bits)), bits, "_text")
+        through, affected = probed.where(~F.col("candidate")).select("_row.*"), probed.where("candidate")
+    met = affected.join(groups, F.col("_text") == F.col("_key"), "left").where("_key is null or _stays = _place")
     single = met.where("_key is null or _n = 1").select("_row.*")
     repeated = met.where("_n > 1").groupBy("_text").agg(F.first("_row").alias("_row")).select("_row.*")
-    return single.unionByName(repeated)
+    out = single.unionByName(repeated)
+    return out if through is None else through.unionByName(out)
