@@ -39,11 +39,11 @@ from pyspark.sql import functions as F
 #: Split pattern of the byte-level vocabularies, a fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SHORT_WORD = 256
-CACHED_WORDS = 1 << 17
+CACHED_WORDS = 1 << 16
 MAX_VOCABULARY_BYTES = 64 << 20
 #: Cells of a matrix of words; characters of the texts that are encoded together.
 _CELLS = 1 << 16
-CHUNK_CHARS = 1 << 22
+CHUNK_CHARS = 1 << 20
 
 
 def _printable_bytes() -> dict[str, int]:
@@ -290,10 +290,14 @@ def encode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(shared.value)
         for batch in batches:
-            ids = [x for texts in chunks(batch.column(1)) for x in c.encode_all(texts)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(map(len, ids), pa.int64())], ["doc_id", "ids", "n_tokens"]
-            )
+            at = 0
+            for texts in chunks(batch.column(1)):
+                ids = c.encode_all(texts)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(at, len(texts)), pa.array(ids, pa.list_(pa.int32())), pa.array(map(len, ids), pa.int64())],
+                    ["doc_id", "ids", "n_tokens"],
+                )
+                at += len(texts)
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, f"doc_id {rows.schema[0].dataType.simpleString()}, ids array<int>, n_tokens long")
@@ -325,22 +329,24 @@ def round_trip(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", te
         c = codec(shared.value)
         decimal = c.decimal.__getitem__
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for texts in chunks(batch.column(1)):
-                for text, ids in zip(texts, c.encode_all(texts), strict=True):
+            at = 0
+            for texts in chunks(batch.column(1)):  # a batch for each chunk, so few ids are held at once
+                out: list[list] = [[], [], [], []]
+                every = c.encode_all(texts)
+                for text, ids in zip(texts, every, strict=True):
                     decoded = c.decode_bytes(ids).decode("utf-8", "replace")
                     out[0].append(len(ids))
                     out[1].append(hashlib.sha256(",".join(map(decimal, ids)).encode()).hexdigest())
                     out[2].append(hashlib.sha256(decoded.encode()).hexdigest())
                     out[3].append(decoded == text)
-                    if with_ids:
-                        out[4].append(ids)
-            arrays = [batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string()), pa.array(out[3], pa.bool_())]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"]
-            if with_ids:
-                arrays.append(pa.array(out[4], pa.list_(pa.int32())))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(arrays, names)
+                kinds = (pa.int64(), pa.string(), pa.string(), pa.bool_())
+                arrays = [batch.column(0).slice(at, len(texts)), *[pa.array(x, k) for x, k in zip(out, kinds, strict=True)]]
+                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"]
+                if with_ids:
+                    arrays.append(pa.array(every, pa.list_(pa.int32())))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(arrays, names)
+                at += len(texts)
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     schema = f"doc_id {rows.schema[0].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean"
