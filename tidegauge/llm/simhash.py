@@ -13,16 +13,23 @@ fingerprints link at ``max_bits`` or fewer differing bits. To find all links:
 4. Candidates are verified on all 64 bits. A bucket gives the edges of a spanning forest and
    never its pairs, so its output is no larger than its input.
 
-A wide search, for shingle sets that share less (``wide_bits``), verifies candidates on
-``WIDE`` further words of fingerprint as well, drawn from the same shingle hashes: 64 bits
-alone can't tell such pairs from chance. Sets of that similarity also have nearly the same
-size, so fingerprints are filed under bands of their number of different shingles, each ``BAND``
-times as wide as the one before, and probe their own band and the next. Rows a fingerprint are
-bounded (``MAX_WIDE_ROWS``), so the disk grows with the input; its candidates grow faster, and
-the narrow search of the query is the one meant for the largest corpora.
+A search for similar shingle sets (``wide_bits``) decides by the sets, not by the bits:
+
+1. A text stands for its set, known by a digest; equal sets are one row.
+2. Candidates differ in ``max_bits`` of 64 bits and ``wide_bits`` of 256 at most (``WIDE`` further
+   words, drawn from the same hashes). Sets of the similarity have nearly the same size, so a set
+   meets the band of its size and the next, each ``BAND`` times as wide as the one before. At so
+   many bits any partitions would compare each pair more than once, so there are none: all pairs
+   of a band and its next are compared, in blocks of ``BLOCK_ROWS`` dealt to the tasks.
+3. The candidates' components, by spanning forests again, bring together the sets that may link.
+   They are hashed again from their texts, which a Bloom filter picks.
+4. Within a component every candidate pair that is not joined yet is decided by the exact Jaccard
+   similarity of its sets, in blocks of ``BLOCK_HASHES`` dealt to the tasks.
+
+Rows a set grow with the blocks of its band; pairs compared grow with the square of the sets.
 
 Equal fingerprints are one row before any of this, so copies cost nothing. A bucket holds
-distinct fingerprints only, 8 bytes each (32 in a wide search); it is compared in blocks of a
+distinct fingerprints only, 8 bytes each (40 with a set's digest); it is compared in blocks of a
 fixed number of cells, so memory grows with its distinct fingerprints and not with its pairs.
 
 Defined cases: a null text has no words; without words the fingerprint is 0, linked like any
@@ -41,7 +48,7 @@ from math import comb, log
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable, text_or_empty
@@ -59,13 +66,19 @@ SIMILAR_WIDE_BITS = 51
 #: Cost of verifying a candidate pair, against shuffling a row as 1.
 PAIR_COST = 0.005
 MAX_THRESHOLD = 3
-#: Rows a fingerprint that a plan may ask for; the wide ones are 50 bytes each.
-MAX_ROWS, MAX_WIDE_ROWS = 1024, 32
-#: Ratio of set sizes at the similarity of 0.8.
+#: Rows a fingerprint that a plan may ask for.
+MAX_ROWS = 1024
+#: The Jaccard similarity from which sets link, as a fraction, and the ratio of set sizes at it.
+SIMILAR = (4, 5)
 BAND = 1.25
+#: Fingerprints of a block of a band, and shingle hashes of a block of candidates to decide.
+BLOCK_ROWS, BLOCK_HASHES = 1 << 17, 1 << 20
+#: Pairs of fingerprints that a task is meant to compare.
+TASK_PAIRS = 1 << 30
 SMALL_BUCKET = 64
 #: Further 64-bit words of a wide fingerprint.
 WIDE = 3
+_WORD_NAMES = ["fp", *[f"w{k + 1}" for k in range(WIDE)]]
 _CELLS = 1 << 19
 PIECE = 1 << 16
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -116,22 +129,42 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return _words(shingle_hashes(text, shingle))[0]
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, wide: int = 0) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long); of a wide one also w1, w2, .. and the band of its size."""
-    names = ["fp", *[f"w{k + 1}" for k in range(wide)]] + (["band"] if wide else [])
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed long)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes = (shingle_hashes(t.as_py(), shingle) for t in batch.column(1))
-            found = [(_words(h, 1 + wide), size_band(h) if wide else 0) for h in hashes]
-            fps = np.array([x for x, _ in found], np.uint64).reshape(-1, 1 + wide)
-            columns = [pa.array(np.ascontiguousarray(c).view(np.int64)) for c in fps.T]
-            if wide:
-                columns.append(pa.array([x for _, x in found], pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *names])
+            fps = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema[0].dataType.simpleString()}, " + ", ".join(f"{n} long" for n in names))
+    return rows.mapInArrow(run, f"doc_id {rows.schema[0].dataType.simpleString()}, fp long")
+
+
+def set_digest(hashes: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(np.unique(hashes).tobytes(), SEED)
+
+
+def set_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, text_key (a hash of the text), node (the set's digest), its band and size, and the words fp, w1, w2, ..."""
+    names = ["node", "band", "size", *_WORD_NAMES]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for t in batch.column(2):
+                h = shingle_hashes(t.as_py(), shingle)
+                found.append((set_digest(h), size_band(h), len(np.unique(h)), *_words(h, 1 + WIDE)))
+            columns = np.array(found, np.uint64).reshape(-1, len(names)).T
+            columns = [pa.array(np.ascontiguousarray(c).view(np.int64)) for c in columns]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "text_key", *names])
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), _text_key(text_col).alias("text_key"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, f"doc_id {rows.schema[0].dataType.simpleString()}, text_key long, " + ", ".join(f"{n} long" for n in names))
+
+
+def _text_key(text_col: str) -> Column:
+    return F.xxhash64(text_or_empty(text_col))
 
 
 def _bits_of(fps: np.ndarray) -> np.ndarray:
@@ -236,12 +269,6 @@ def plan(total: int, both: np.ndarray, max_bits: int = MAX_BITS, pairs: float |
     return best
 
 
-def band_pairs(fps: DataFrame) -> float:
-    """How many pairs of fingerprints lie in one band or in neighbouring ones; bands are few by construction."""
-    n = {r["band"]: r["count"] for r in fps.groupBy("band").count().collect()}
-    return sum(c * c / 2 + c * n.get(b + 1, 0) for b, c in n.items())
-
-
 def _signatures(chosen: Plan):
     parts = []
     for part, (group, t) in enumerate(zip(chosen.groups, chosen.thresholds, strict=True)):
@@ -251,19 +278,16 @@ def _signatures(chosen: Plan):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            band, *words = (c.to_numpy() for c in batch.columns)
+            every = batch.column(0).to_numpy()
             for part, group, masks in parts:
                 step = max(1, (1 << 17) // len(masks))
-                for a in range(0, len(band), step):
-                    fps = words[0][a : a + step]
+                for a in range(0, len(every), step):
+                    fps = every[a : a + step]
                     keys = _bits_of(fps)[:, group].astype(np.int64) @ (1 << np.arange(len(group), dtype=np.int64))
                     probes = (keys[:, None] ^ masks).ravel()
-                    own = np.repeat(band[a : a + step], len(masks))
                     filed = np.tile(np.arange(len(masks)) == 0, len(fps))
-                    for up in (0, 1) if len(words) > 1 else (0,):
-                        place = (part + BITS * (own + up)).astype(np.int32)
-                        arrays = [place, probes, filed & (up == 0), *[np.repeat(c[a : a + step], len(masks)) for c in words]]
-                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["part", "key", "filed", *batch.schema.names[1:]])
+                    arrays = [np.full(len(probes), part, np.int32), probes, filed, np.repeat(fps, len(masks))]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["part", "key", "filed", "fp"])
 
     return run
 
@@ -275,25 +299,36 @@ def _near(x: np.ndarray, y: np.ndarray, max_bits: int, wide_bits: int) -> np.nda
     return sum(np.bitwise_count(a ^ b).astype(np.int64) for a, b in zip(x, y, strict=True)) <= wide_bits
 
 
-def _search(words: np.ndarray, filed: np.ndarray, max_bits: int, wide_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning edges of one large bucket: its filed rows against all, compared in blocks."""
-    words = words[:, np.argsort(~filed, kind="stable")]
-    fps, a, b, waiting = words[0], [words[0][:0]], [words[0][:0]], 0
-    n, stop, i = len(fps), int(filed.sum()), 0
+def _near_pairs(words: np.ndarray, stop: int, among: bool, max_bits: int, wide_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidates x < y in blocks: the first ``stop`` rows against those after them and, if ``among``, each other."""
+    fps, n, i = words[0], words.shape[1], 0
     while i < stop:
-        rows = min(max(1, _CELLS // (n - i)), stop - i)
-        x, y = np.nonzero(np.bitwise_count(fps[i : i + rows, None] ^ fps[None, i:]) <= max_bits)
-        x, y = (x + i)[x < y], (y + i)[x < y]
+        first = i if among else stop
+        rows = min(max(1, _CELLS // max(1, n - first)), stop - i)
+        x, y = np.nonzero(np.bitwise_count(fps[i : i + rows, None] ^ fps[None, first:]) <= max_bits)
+        x, y = x + i, y + first
+        x, y = x[x < y], y[x < y]
         if len(words) > 1:
             ok = _near(words[:, x], words[:, y], max_bits, wide_bits)
             x, y = x[ok], y[ok]
-        a.append(fps[x])
-        b.append(fps[y])
+        yield x, y
+        i += rows
+
+
+def _search(
+    words: np.ndarray, filed: np.ndarray, max_bits: int, wide_bits: int, ids: np.ndarray | None = None, among: bool = True
+) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning edges of one large bucket: its filed rows against all, compared in blocks."""
+    order = np.argsort(~filed, kind="stable")
+    words, ids = words[:, order], (words[0] if ids is None else ids)[order]
+    a, b, waiting = [ids[:0]], [ids[:0]], 0
+    for x, y in _near_pairs(words, int(filed.sum()), among, max_bits, wide_bits):
+        a.append(ids[x])
+        b.append(ids[y])
         waiting += len(x)
-        if waiting > 4 * n + _CELLS:
+        if waiting > 4 * len(ids) + _CELLS:
             a, b = ([z] for z in _forest(np.concatenate(a), np.concatenate(b)))
             waiting = len(a[0])
-        i += rows
     return np.concatenate(a), np.concatenate(b)
 
 
@@ -372,38 +407,183 @@ def _edges(max_bits: int, wide_bits: int):
     return run
 
 
-def links(fps: DataFrame, max_bits: int = MAX_BITS, wide_bits: int = 0, chosen: Plan | None = None) -> DataFrame:
+def links(fps: DataFrame, max_bits: int = MAX_BITS, chosen: Plan | None = None) -> DataFrame:
     """Spanning links (a, b) of distinct fingerprints (column fp): they join what all links join."""
-    names = [c for c in fps.columns if c == "fp" or c[0] == "w"]
     if chosen is None:
-        wide = {"pairs": band_pairs(fps), "max_rows": MAX_WIDE_ROWS, "bands": 2} if len(names) > 1 else {}
-        chosen = plan(*bit_counts(fps), max_bits, **wide)
-    words = ", ".join(f"{c} long" for c in names)
-    band = F.col("band") if len(names) > 1 else F.lit(0).cast("long").alias("band")
-    rows = fps.select(band, *names).mapInArrow(_signatures(chosen), f"part int, key long, filed boolean, {words}")
+        chosen = plan(*bit_counts(fps), max_bits)
+    rows = fps.select("fp").mapInArrow(_signatures(chosen), "part int, key long, filed boolean, fp long")
     met = rows.repartition("part", "key").sortWithinPartitions("part", "key")
-    return met.mapInArrow(_edges(max_bits, wide_bits), "a long, b long").distinct()
+    return met.mapInArrow(_edges(max_bits, 0), "a long, b long").distinct()
 
 
-def components(rows: DataFrame, max_bits: int = MAX_BITS, wide_bits: int = 0) -> DataFrame:
-    """doc_id, fp, component_id for rows (doc_id, fp, w1, ..) of a written table."""
-    wide = [c for c in rows.columns if c[0] == "w" or c == "band"]
-    every = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"), *[F.min(c).alias(c) for c in wide]))
-    found = connected_components(durable(links(every, max_bits, wide_bits)))
-    found = durable(found.join(every, F.col("node") == F.col("fp")).select("fp", "component", "first_id"))
+def _whole_buckets(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray | pa.Array]]:
+    """The columns of each run of rows with the same first ``keys`` columns, given sorted by them."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        heads = np.stack([batch.column(k).to_numpy() for k in range(keys)])
+        cut = [0, *(np.flatnonzero((heads[:, 1:] != heads[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+        if held and (heads[:, 0] != last).any():
+            yield _columns(held)
+            held = []
+        for a, b in zip(cut, cut[1:], strict=False):
+            if a:
+                yield _columns(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+        last = heads[:, -1]
+    if held:
+        yield _columns(held)
+
+
+def _columns(held: list[pa.RecordBatch]) -> list[np.ndarray | pa.Array]:
+    whole = pa.Table.from_batches(held).combine_chunks()
+    columns = [c.chunk(0) for c in whole.columns]
+    return [c if pa.types.is_binary(c.type) or pa.types.is_large_binary(c.type) else c.to_numpy(zero_copy_only=False) for c in columns]
+
+
+def _deal(blocks: dict[int, int]):
+    """Rows (node, band, words) to the pairs of blocks (low, high, i, j) of their own band, the next and the one before."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, band, *words = (c.to_numpy() for c in batch.columns)
+            for b in np.unique(band).tolist():
+                at = np.flatnonzero(band == b)
+                own = (node[at].view(np.uint64) % np.uint64(blocks[b])).astype(np.int64)
+                for other in (b - 1, b, b + 1):
+                    for k in range(blocks.get(other, 0)):
+                        first = np.minimum(own, k) if other == b else own if other > b else np.full(len(at), k)
+                        second = np.maximum(own, k) if other == b else own if other < b else np.full(len(at), k)
+                        side = own > k if other == b else np.full(len(at), other < b)
+                        place = [np.full(len(at), min(b, other)), np.full(len(at), max(b, other)), first, second, side, node[at]]
+                        arrays = [pa.array(x) for x in [*place, *[w[at] for w in words]]]
+                        yield pa.RecordBatch.from_arrays(arrays, ["low", "high", "i", "j", "side", "node", *_WORD_NAMES])
+
+    return run
+
+
+def candidates(sets: DataFrame, max_bits: int, wide_bits: int) -> DataFrame:
+    """Spanning links (a, b) of the nodes of ``sets`` that the bits take for similar."""
+    n = {r["band"]: r["count"] for r in sets.groupBy("band").count().collect()}  # bands are few by construction
+    blocks = {b: -(-c // BLOCK_ROWS) for b, c in n.items()}
+    pairs = sum(c * c / 2 + c * n.get(b + 1, 0) for b, c in n.items())
+    tasks = max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(pairs / TASK_PAIRS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for low, high, i, j, side, node, *words in _whole_buckets(batches, 4):
+            among = low[0] == high[0] and i[0] == j[0]
+            a, b = _forest(*_search(np.stack(words).view(np.uint64), ~side, max_bits, wide_bits, node, among))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    words = ", ".join(f"{c} long" for c in _WORD_NAMES)
+    dealt = sets.select("node", "band", *_WORD_NAMES).mapInArrow(_deal(blocks), f"low long, high long, i long, j long, side boolean, node long, {words}")
+    place = ["low", "high", "i", "j"]
+    return dealt.repartition(tasks, *place).sortWithinPartitions(*place).mapInArrow(run, "a long, b long").distinct()
+
+
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted arrays without repeats have the Jaccard similarity ``SIMILAR``."""
+    part, whole = SIMILAR
+    if whole * min(len(x), len(y)) < part * max(len(x), len(y)):
+        return False
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return whole * common >= part * (len(both) - common)
+
+
+def _decide(max_bits: int, wide_bits: int):
+    """Spanning links of the sets of each pair of blocks by exact similarity; pairs already joined are skipped."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, i, j, side, node, hashes, *words in _whole_buckets(batches, 3):
+            order = np.argsort(side, kind="stable")
+            sets = [np.frombuffer(hashes[k].as_buffer(), np.uint64) for k in order.tolist()]
+            node, label = node[order], list(range(len(order)))
+
+            def find(x: int) -> int:
+                while label[x] != x:
+                    label[x] = label[label[x]]
+                    x = label[x]
+                return x
+
+            a, b = [], []
+            for x, y in _near_pairs(np.stack(words).view(np.uint64)[:, order], int((~side).sum()), i[0] == j[0], max_bits, wide_bits):
+                for p, q in zip(x.tolist(), y.tolist(), strict=True):
+                    r, t = find(p), find(q)
+                    if r != t and similar(sets[p], sets[q]):
+                        label[t] = r
+                        a.append(p)
+                        b.append(q)
+            yield pa.RecordBatch.from_arrays([pa.array(node[np.array(z, np.int64)]) for z in (a, b)], ["a", "b"])
+
+    return run
+
+
+def _sets_of(texts: DataFrame, shingle: int) -> DataFrame:
+    """node, hashes (the sorted set) of a column of texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), shingle)) for t in batch.column(0)]
+            node = np.array([set_digest(x) for x in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "hashes"])
+
+    return texts.mapInArrow(run, "node long, hashes binary")
+
+
+def similar_links(sets: DataFrame, docs: DataFrame, text_col: str, shingle: int, max_bits: int, wide_bits: int) -> DataFrame:
+    """Links (a, b) of the nodes of ``sets`` (a written table): they join what all links by exact similarity join."""
+    found = connected_components(durable(candidates(sets, max_bits, wide_bits)))
+    met = durable(found.join(sets, "node").select("component", "node", "text_key", "size", *_WORD_NAMES))
+    blocks = met.groupBy("component").agg(F.ceil(F.sum("size") / BLOCK_HASHES).alias("blocks"))
+    own = F.pmod("node", "blocks")
+    dealt = (
+        met.join(blocks, "component")
+        .select("component", "node", *_WORD_NAMES, own.alias("own"), F.explode(F.expr("sequence(0L, greatest(blocks, 1L) - 1)")).alias("k"))
+        .select("component", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"), (F.col("own") > F.col("k")).alias("side"), "node", *_WORD_NAMES)
+    )
+    texts = docs.select(F.col(text_col).alias("text"), _text_key(text_col).alias("text_key"))
+    bits = filter_bits(met.count())
+    if bits <= MAX_FILTER_BITS:
+        texts = possibly_repeated(texts, durable(member_filter(met, "text_key", bits)), bits, "text_key").where("candidate")
+    hashes = _sets_of(texts.select("text"), shingle).join(met.select("node"), "node", "left_semi").groupBy("node").agg(F.first("hashes").alias("hashes"))
+    place = ["component", "i", "j"]
+    rows = dealt.join(durable(hashes), "node").select(*place, "side", "node", "hashes", *_WORD_NAMES)
+    return rows.repartition(*place).sortWithinPartitions(*place).mapInArrow(_decide(max_bits, wide_bits), "a long, b long")
+
+
+def _grouped(rows: DataFrame, every: DataFrame, edges: DataFrame, node: str) -> DataFrame:
+    """``rows`` with their component_id, the least doc_id of those that the links of ``node`` join."""
+    found = connected_components(durable(edges)).withColumnRenamed("node", "_node")
+    found = durable(found.join(every, F.col("_node") == F.col(node)).select(node, "component", "first_id"))
     of = durable(found.groupBy("component").agg(F.min("first_id").alias("component_id")))
-    linked = found.join(of, "component").select("fp", "component_id")
-    copies = every.where("n > 1").join(linked, "fp", "left_anti").select("fp", F.col("first_id").alias("component_id"))
+    linked = found.join(of, "component").select(node, "component_id")
+    copies = every.where("n > 1").join(linked, node, "left_anti").select(node, F.col("first_id").alias("component_id"))
     classes = durable(linked.unionByName(copies))
-    return rows.join(classes, "fp", "left").select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return rows.join(classes, node, "left").select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def components(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS, wide_bits: int = 0
+) -> DataFrame:
+    """doc_id, fp, component_id, one row per row of ``docs``."""
+    node = "node" if wide_bits else "fp"
+    rows = durable((set_fingerprints if wide_bits else fingerprints)(docs, id_col, text_col, shingle))
+    others = [c for c in rows.columns if c not in ("doc_id", node)]
+    every = durable(rows.groupBy(node).agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"), *[F.min(c).alias(c) for c in others]))
+    edges = similar_links(every, docs, text_col, shingle, max_bits, wide_bits) if wide_bits else links(every, max_bits)
+    return _grouped(rows, every, edges, node)
 
 
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS, wide_bits: int = 0
 ) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits), component_id, one row per row of ``docs``."""
-    rows = durable(fingerprints(docs, id_col, text_col, shingle, WIDE if wide_bits else 0))
-    return components(rows, max_bits, wide_bits).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    found = components(docs, id_col, text_col, shingle, max_bits, wide_bits)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(
@@ -416,15 +596,16 @@ def drop_near_duplicates(
 ) -> DataFrame:
     """The whole rows of ``docs`` without near duplicates: of each group the row of the least id stays.
 
-    The defaults stand for a similarity of 0.8 or more over sets of five-word shingles. Null ids
+    The defaults find sets of five-word shingles with a Jaccard similarity of ``SIMILAR`` or more,
+    and only those link. Null ids
     come last; of rows with one id the text's digest decides, and of equal rows one stays. A Bloom
     filter of the texts of which some row goes is broadcast, up to the bound of exact dedup: rows
     that it does not know pass straight through, and only the others shuffle their text.
     """
     key = F.unhex(F.md5(text_or_empty(text_col).cast("binary")))
     place = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), key.alias("key"))
-    rows = durable(fingerprints(docs.select(place.alias("place"), F.col(text_col).alias("text")), "place", "text", shingle, WIDE if wide_bits else 0))
-    each = components(rows, max_bits, wide_bits).groupBy("doc_id", "component_id").agg(F.count(F.lit(1)).alias("n"))
+    placed = docs.select(place.alias("place"), F.col(text_col).alias("text"))
+    each = components(placed, "place", "text", shingle, max_bits, wide_bits).groupBy("doc_id", "component_id").agg(F.count(F.lit(1)).alias("n"))
     # texts of which some row goes; all others pass through the join untouched
     groups = (
         each.groupBy(F.col("doc_id.key").alias("_key"))
