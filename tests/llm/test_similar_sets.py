@@ -69,3 +69,18 @@ def test_groups_of_every_similarity(spark, monkeypatch, sizes):
     # all is decided by exact similarity if the bits let everything through
     got = sorted(r["doc_id"] for r in s.drop_near_duplicates(docs(spark, rows), max_bits=64, wide_bits=256).collect())
     assert got == brute_kept(rows) and 4 < len(got) < len(rows)
+
+
+def test_repeated_passages_count_once(spark):
+    rnd = random.Random(3)
+    rows = []
+    for k in range(0, 40, 2):
+        own, line = pair(rnd, 204, 0)[0].split(), pair(rnd, 24, 0)[0].split()
+        # the shingles that repeats of the line add are there without them
+        text = own + line * 2
+        rows += [(k, " ".join(text)), (k + 1, " ".join(own + line * 12))]
+    assert all(shingles(rows[k][1]) == shingles(rows[k + 1][1]) for k in range(0, 40, 2))
+    assert kept(spark, rows) == list(range(0, 40, 2))
+    line = pair(rnd, 14, 0)[0]
+    unrelated = [(k, pair(rnd, 204, 0)[0] + f" {line}" * 20) for k in range(20)]
+    assert kept(spark, unrelated) == brute_kept(unrelated) == list(range(20))

@@ -15,7 +15,7 @@ fingerprints link at ``max_bits`` or fewer differing bits. To find all links:
 
 A search for similar shingle sets (``wide_bits``) decides by the sets, not by the bits:
 
-1. A text stands for its set, known by a digest; equal sets are one row.
+1. A text stands for its set, known by a digest; equal sets are one row. Repeats count once.
 2. Candidates differ in ``max_bits`` of 64 bits and ``wide_bits`` of 256 at most (``WIDE`` further
    words, drawn from the same hashes). Sets of the similarity have nearly the same size, so a set
    meets the band of its size and the next, each ``BAND`` times as wide as the one before. At so
@@ -142,7 +142,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def set_digest(hashes: np.ndarray) -> int:
-    return xxhash.xxh64_intdigest(np.unique(hashes).tobytes(), SEED)
+    """Of sorted hashes without repeats."""
+    return xxhash.xxh64_intdigest(hashes.tobytes(), SEED)
 
 
 def set_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -153,8 +154,8 @@ def set_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         for batch in batches:
             found = []
             for t in batch.column(2):
-                h = shingle_hashes(t.as_py(), shingle)
-                found.append((set_digest(h), size_band(h), len(np.unique(h)), *_words(h, 1 + WIDE)))
+                h = np.unique(shingle_hashes(t.as_py(), shingle))  # a repeated shingle counts once
+                found.append((set_digest(h), size_band(h), len(h), *_words(h, 1 + WIDE)))
             columns = np.array(found, np.uint64).reshape(-1, len(names)).T
             columns = [pa.array(np.ascontiguousarray(c).view(np.int64)) for c in columns]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "text_key", *names])
