@@ -84,3 +84,22 @@ def test_repeated_passages_count_once(spark):
     line = pair(rnd, 14, 0)[0]
     unrelated = [(k, pair(rnd, 204, 0)[0] + f" {line}" * 20) for k in range(20)]
     assert kept(spark, unrelated) == brute_kept(unrelated) == list(range(20))
+
+
+def test_pairs_around_the_limit_match_brute_force(spark):
+    rnd = random.Random(4)
+    # 25 words of their own each: exactly 0.8; 26: just less
+    rows = rows_of([pair(rnd, 204, n) for n in (23, 24, 25) * 60 + (26, 27) * 30])
+    want = brute_kept(rows)
+    assert len(want) == len(rows) - 180
+    assert kept(spark, rows) == want
+
+
+def test_small_sets(spark):
+    rnd = random.Random(5)
+    texts = []
+    for k in range(120):
+        words = pair(rnd, 9 + k % 4, 0)[0].split()
+        texts += [" ".join(words), " ".join(words[:-1])]
+    rows = list(enumerate(texts))
+    assert kept(spark, rows) == brute_kept(rows)

@@ -59,10 +59,10 @@ BITS = 64
 SHINGLE = 4
 MAX_BITS = 4
 SEED = 42
-#: A similarity of 0.8 of shingle sets turns about 10 of 64 bits (deviation 3) and 39 of 256 (6);
-#: unrelated texts differ in 128 of 256 (8), so 51 is beyond chance at any corpus size.
-SIMILAR_BITS = 14
-SIMILAR_WIDE_BITS = 51
+#: Limits for candidates of a similarity of 0.8, which turns about 10 of 64 bits (deviation 3) and 39
+#: of 256 (6), and for sets of 4 and 5 shingles 12 and 48; unrelated texts differ in 128 of 256 (8).
+SIMILAR_BITS = 22
+SIMILAR_WIDE_BITS = 72
 #: Cost of verifying a candidate pair, against shuffling a row as 1.
 PAIR_COST = 0.005
 MAX_THRESHOLD = 3
