@@ -68,3 +68,12 @@ def test_whole_rows_stay(spark):
     profiles = langid.train(docs(spark, [(k, t, x) for k, (x, t) in enumerate(PROSE.items())]))
     kept = langid.keep_languages(df, profiles, 0.99)
     assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 4]
+
+
+def test_copies_do_not_shrink_the_sample(spark):
+    few = [(k, f"{PROSE['en']} lang{x} text{k % 3}", f"l{x:02}") for x in range(10) for k in range(300)]
+    many = [(k, f"{PROSE['de']} one copied text", "de") for k in range(1500)] + [(k, f"{PROSE['de']} other {k}", "de") for k in range(200)]
+    table = docs(spark, few + many)
+    assert langid.train(table, sample=20).languages == ["de", *[f"l{x:02}" for x in range(10)]]
+    drawn = {r["lang"]: r["count"] for r in langid.sample_texts(table.select("lang", "text"), 20).groupBy("lang").count().collect()}
+    assert all(drawn[f"l{x:02}"] == 3 for x in range(10)) and 5 <= drawn["de"] <= 45

@@ -6,8 +6,9 @@ profile by out-of-place distance: the differences of the ranks, summed, with ``T
 n-gram that the profile lacks. The nearest language wins; ties go to the first in
 alphabetical order.
 
-Profiles are learned from about ``SAMPLE`` whole texts a language, drawn by a hash of the text
-among the labelled training rows (copies of a text count once); the bound is a parameter.
+Profiles are learned from about ``SAMPLE`` different whole texts a language, drawn by a hash of
+the text among those of the labelled training rows, and from all if there are no more; the bound
+is a parameter. Copies of a text count once, in the share that is drawn as well.
 Prediction reads every whole text and nothing else, long ones in pieces whose counts add up,
 and needs no shuffle. The profiles are broadcast: ``TOP`` n-grams for each of at most
 ``MAX_LANGUAGES`` languages.
@@ -125,22 +126,27 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys), pa.array(n)], ["lang", "gram", "n"])
 
 
-def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, top: int = TOP) -> Profiles:
-    """Profiles of the labelled rows; rows without text or label teach nothing."""
-    labelled = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
+def sample_texts(labelled: DataFrame, sample: int = SAMPLE) -> DataFrame | None:
+    """About ``sample`` different texts of each language of (lang, text), all if it has no more; None without rows."""
+    place = F.xxhash64("text", "lang")
+    # copies count once, or a language of copies would leave too few texts or none
+    sizes = {r["lang"]: r["count"] for r in labelled.select("lang", place.alias("place")).distinct().groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"over {MAX_LANGUAGES} languages")
     if not sizes:
-        return Profiles({}, top)
-    share = rows.sparkSession.createDataFrame([(x, min(1.0, sample / n)) for x, n in sizes.items()], "lang string, share double")
+        return None
+    share = labelled.sparkSession.createDataFrame([(x, min(1.0, sample / n)) for x, n in sizes.items()], "lang string, share double")
     fine = 10**12
-    drawn = (
-        labelled.join(F.broadcast(share), "lang")
-        .where(F.pmod(F.xxhash64("text", "lang"), F.lit(fine)) < F.col("share") * fine)
-        .dropDuplicates(["lang", "text"])
-        .select("lang", "text")
-    )
+    drawn = labelled.join(F.broadcast(share), "lang").where(F.pmod(place, F.lit(fine)) < F.col("share") * fine)
+    return drawn.dropDuplicates(["lang", "text"]).select("lang", "text")
+
+
+def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, top: int = TOP) -> Profiles:
+    """Profiles of the labelled rows; rows without text or label teach nothing."""
+    labelled = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
+    drawn = sample_texts(labelled, sample)
+    if drawn is None:
+        return Profiles({}, top)
     counts = drawn.mapInArrow(_count_batches, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     ranked: dict[str, list[int]] = {}
