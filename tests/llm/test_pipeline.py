@@ -75,3 +75,29 @@ def test_near_duplicates_beyond_a_broadcast_filter(spark, monkeypatch):
     want = collect(simhash.drop_near_duplicates(docs(spark, rows)), "doc_id", "text")
     monkeypatch.setattr(simhash, "MAX_FILTER_BITS", 1)
     assert collect(simhash.drop_near_duplicates(docs(spark, rows)), "doc_id", "text") == want
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_language_stage_drops_what_is_no_learned_language(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rnd = random.Random(8)
+
+    def letters(words, alphabet):
+        return " ".join("".join(rnd.choices(alphabet, k=rnd.randrange(2, 10))) for _ in range(words))
+
+    bad = [letters(n, a) for n in (20, 50, 200, 1000) for a in ("abcdefghijklmnopqrstuvwxyz", "asdfghjkl", "qwertyuiop") for _ in range(5)]
+    bad += [
+        "wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw są oni obdarzeni rozumem i sumieniem",
+        "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto",
+        "bütün insanlar hür haysiyet ve haklar bakımından eşit doğarlar akıl ve vicdana sahiptirler ve birbirlerine karşı",
+    ]
+    clean = [r["text"] for r in table.where("lang is not null and length(text) > 200").orderBy("doc_id").limit(100).collect()]
+    good = [" ".join(t.split()[:n]) for t in clean for n in (5, 10, 40)]
+    rows = [(10**9 + k, t) for k, t in enumerate(bad + good)]
+    more = docs(spark, rows).select(*table.columns)
+    out = corpus_pipeline.language_id(spark, table.unionByName(more), "")
+    stayed = {r["doc_id"] for r in out.where("doc_id >= 1000000000").select("doc_id").collect()}
+    assert not stayed & {10**9 + k for k in range(len(bad))}
+    assert len(stayed) == len(good)
+    worded = table.where("text rlike '[a-zA-Z]'").select("doc_id")
+    assert worded.join(out, "doc_id", "left_anti").count() == 0
