@@ -1,10 +1,14 @@
 import os
 
-import pytest
-from pyspark.sql import SparkSession
-
+# A pool of BLAS threads that was made before the session's JVM is launched can wait for ever in a
+# large factorisation; workers get one thread from Spark anyway. Set before NumPy is imported.
+for _name in ("OPENBLAS_NUM_THREADS", "OMP_NUM_THREADS"):
+    os.environ[_name] = "1"
 os.environ.setdefault("TZ", "UTC")
 
+import pytest  # noqa: E402
+from pyspark.sql import SparkSession  # noqa: E402
+
 
 @pytest.fixture(scope="session")
 def spark():
