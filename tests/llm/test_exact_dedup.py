@@ -2,7 +2,10 @@ import hashlib
 import random
 import re
 
+import pytest
+
 from tidegauge.llm import exact_dedup
+from tidegauge.llm.common import durable
 
 from .helpers import AWKWARD, collect, docs
 
@@ -42,19 +45,41 @@ def test_hot_group(spark):
 
 def test_unique_rows_pass_without_shuffle(spark):
     df = docs(spark, [(i, f"text number {i}") for i in range(2000)])
-    rows, groups, filter_, bits = exact_dedup._prepare(df, "doc_id", "text")
-    probed = exact_dedup.possibly_repeated(rows, filter_, bits)
+    probed, groups = exact_dedup._prepare(df, "doc_id", "text")
     assert probed.where("candidate").count() < 100
     assert groups.count() == 0
     plan = probed.where("not candidate")._jdf.queryExecution().toString()
     assert "Exchange hashpartitioning" not in plan
 
 
-def test_beyond_a_broadcast_filter(spark, monkeypatch):
-    monkeypatch.setattr(exact_dedup, "MAX_FILTER_BITS", 1)
-    check(spark, AWKWARD)
-    kept = exact_dedup.drop_duplicates(docs(spark, AWKWARD))
-    assert kept.count() == len({h for *_, h in brute(AWKWARD)})
+@pytest.mark.parametrize("blocks", [1, 8])
+def test_blocks_of_the_filter(spark, monkeypatch, blocks):
+    rows = [*AWKWARD, *[(100 + i, f"text {i % 40}") for i in range(60)], *[(300 + i, f"alone {i}") for i in range(28)]]
+    if blocks > 1:
+        monkeypatch.setattr(exact_dedup, "MAX_FILTER_BITS", exact_dedup.BITMAP_BITS)
+        monkeypatch.setattr(exact_dedup, "BITS_PER_ROW", exact_dedup.BITMAP_BITS * 8 // 128)
+    assert exact_dedup.filter_size(100).blocks == blocks
+    check(spark, rows)
+    kept = collect(exact_dedup.drop_duplicates(docs(spark, rows)), "doc_id", "text")
+    assert len(kept) == len({h for *_, h in brute(rows)}) and (6, "Same  text here ") in kept
+
+
+@pytest.mark.parametrize("blocks", [1, 4])
+def test_texts_never_shuffle(spark, monkeypatch, blocks):
+    rows = spark.createDataFrame([(f"k{i}", f"text {i}") for i in range(200)], "sha string, text string")
+    keys = spark.createDataFrame([(f"k{i}",) for i in range(0, 200, 9)], "key string")
+    if blocks > 1:
+        monkeypatch.setattr(exact_dedup, "MAX_FILTER_BITS", exact_dedup.BITMAP_BITS)
+        monkeypatch.setattr(exact_dedup, "BITS_PER_ROW", exact_dedup.BITMAP_BITS * 4 // 32)
+    assert exact_dedup.filter_size(23).blocks == blocks
+    written = []
+    monkeypatch.setattr(exact_dedup, "durable", lambda df, *a: (written.append(df), durable(df, *a))[1])
+    through, known = exact_dedup.split_known(rows, "sha", keys, "key")
+    assert {r["sha"] for r in known.collect()} >= {f"k{i}" for i in range(0, 200, 9)}
+    assert through.count() + known.count() == 200 and through.count() > 170
+    for df in [through, known, *written]:
+        if "text" in df.columns:
+            assert "Exchange hashpartitioning" not in df._jdf.queryExecution().executedPlan().toString()
 
 
 def test_whole_rows_stay(spark):

@@ -4,7 +4,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from tidegauge.llm import simhash
+from tidegauge.llm import exact_dedup, simhash
 
 from .helpers import AWKWARD, collect, docs
 
@@ -70,10 +70,11 @@ def test_awkward_rows(spark, tmp_path):
     assert out.count() == len(counts["decontamination"]) > 4 and out.where("not round_trip").count() == 0
 
 
-def test_near_duplicates_beyond_a_broadcast_filter(spark, monkeypatch):
+def test_near_duplicates_with_blocks_of_the_filter(spark, monkeypatch):
     rows = [(k, f"text {k % 4} " + "same words follow here and there " * 20) for k in range(12)] + AWKWARD
     want = collect(simhash.drop_near_duplicates(docs(spark, rows)), "doc_id", "text")
-    monkeypatch.setattr(simhash, "MAX_FILTER_BITS", 1)
+    monkeypatch.setattr(exact_dedup, "MAX_FILTER_BITS", exact_dedup.BITMAP_BITS)
+    monkeypatch.setattr(exact_dedup, "BITS_PER_ROW", exact_dedup.BITMAP_BITS // 4)
     assert collect(simhash.drop_near_duplicates(docs(spark, rows)), "doc_id", "text") == want
 
 

@@ -22,7 +22,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        if not (spark.sparkContext.master + "[").startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = _own_dirs.setdefault("local", tempfile.mkdtemp(prefix="tidegauge-"))
     return f"{base.rstrip('/')}/{_RUN}"

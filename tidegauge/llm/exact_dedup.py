@@ -6,9 +6,13 @@ whose two bits are set is possibly repeated and shuffles by the digest of its te
 other row is certainly unique and passes straight through.
 
 The filter has 16 bits a row, so about 1.4 % of the unique rows shuffle needlessly; they
-change no result. Its packed bitmaps are broadcast up to ``MAX_FILTER_BITS`` (128 MB, a bound
-that holds by construction); a larger filter is joined by bitmap number instead, with the
-slim digests as the other side.
+change no result. Its packed bitmaps are broadcast. A filter of more than ``MAX_FILTER_BITS``
+(128 MB, a bound that holds by construction) is split by hash range into blocks of that size,
+and each block's rows are probed by its block alone, one block after the other; the slim digests
+are dealt by block first, the texts never are.
+
+Whole rows are probed by a filter of their own, of the texts that really repeat: a row that it
+does not know passes straight through with its text.
 
 Defined cases: a null text is the empty text; a null id comes after every other id when the
 row that stays is chosen; rows alike in id, length and normalised text tie, and exactly one
@@ -17,6 +21,9 @@ of them stays; an empty table gives an empty result. Other columns are never rea
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,19 +40,34 @@ def normalised(text: str | Column) -> Column:
     return F.regexp_replace(text_or_empty(text), WHITE_SPACE, "")
 
 
-def filter_bits(n_rows: int) -> int:
-    """A power of two of at least ``BITS_PER_ROW`` bits a row and one bitmap."""
-    return max(BITMAP_BITS, 1 << (max(1, n_rows * BITS_PER_ROW) - 1).bit_length())
+@dataclass(frozen=True)
+class Size:
+    """``blocks`` filters of ``bits`` bits each, both powers of two."""
+
+    bits: int
+    blocks: int = 1
+
 
+def filter_size(n_rows: int) -> Size:
+    """At least ``BITS_PER_ROW`` bits a row and one bitmap, in blocks of at most ``MAX_FILTER_BITS``."""
+    whole = max(BITMAP_BITS, 1 << (max(1, n_rows * BITS_PER_ROW) - 1).bit_length())
+    bits = min(whole, max(BITMAP_BITS, MAX_FILTER_BITS))
+    return Size(bits, whole // bits)
 
-def _slots(sha: str, bits: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(sha, F.lit(seed)), F.lit(bits)) for seed in (1, 2)]
 
+def _block(sha: str, size: Size) -> Column:
+    return F.pmod(F.xxhash64(sha, F.lit(0)), F.lit(size.blocks))
 
-def repeat_filter(digests: DataFrame, bits: int) -> DataFrame:
+
+def _slots(sha: str, size: Size) -> list[Column]:
+    """The bits of a key, numbered through all blocks; both lie in the key's block."""
+    return [_block(sha, size) * size.bits + F.pmod(F.xxhash64(sha, F.lit(seed)), F.lit(size.bits)) for seed in (1, 2)]
+
+
+def repeat_filter(digests: DataFrame, size: Size) -> DataFrame:
     """Bitmaps ``(bitmap, bits)`` of the slots that two rows or more fall into."""
     crowded = (
-        digests.select(F.explode(F.array(*_slots("text_sha256", bits))).alias("slot"))
+        digests.select(F.explode(F.array(*_slots("text_sha256", size))).alias("slot"))
         .groupBy("slot")
         .agg(F.count(F.lit(1)).alias("n"))
         .where("n > 1")
@@ -53,9 +75,9 @@ def repeat_filter(digests: DataFrame, bits: int) -> DataFrame:
     return _bitmaps(crowded)
 
 
-def member_filter(keys: DataFrame, column: str, bits: int) -> DataFrame:
+def member_filter(keys: DataFrame, column: str, size: Size) -> DataFrame:
     """Bitmaps ``(bitmap, bits)`` of all slots of the keys: a plain Bloom filter."""
-    return _bitmaps(keys.select(F.explode(F.array(*_slots(column, bits))).alias("slot")))
+    return _bitmaps(keys.select(F.explode(F.array(*_slots(column, size))).alias("slot")))
 
 
 def _bitmaps(slots: DataFrame) -> DataFrame:
@@ -71,21 +93,42 @@ def _bit(bits: str, position: Column) -> Column:
     return F.coalesce(value.bitwiseAND(mask) != 0, F.lit(False))
 
 
-def possibly_repeated(rows: DataFrame, filter_: DataFrame, bits: int, sha: str = "text_sha256") -> DataFrame:
-    """``rows`` with a boolean ``candidate``: both bits of the row are set in the filter."""
+def _probed(rows: DataFrame, filter_: DataFrame, size: Size, sha: str) -> DataFrame:
+    """``rows`` with ``candidate``, by the bitmaps of one block, whose size is bounded."""
     out = rows
-    small = bits <= MAX_FILTER_BITS
-    for k, slot in enumerate(_slots(sha, bits)):
+    for k, slot in enumerate(_slots(sha, size)):
         side = filter_.select(F.col("bitmap").alias(f"_bitmap{k}"), F.col("bits").alias(f"_bits{k}"))
-        out = out.withColumn(f"_slot{k}", slot).join(
-            F.broadcast(side) if small else side, F.expr(f"_slot{k} div {BITMAP_BITS} = _bitmap{k}"), "left"
-        )
+        out = out.withColumn(f"_slot{k}", slot).join(F.broadcast(side), F.expr(f"_slot{k} div {BITMAP_BITS} = _bitmap{k}"), "left")
     found = [_bit(f"_bits{k}", F.col(f"_slot{k}") % BITMAP_BITS) for k in (0, 1)]
     return out.withColumn("candidate", found[0] & found[1]).drop(
         *[f"{x}{k}" for k in (0, 1) for x in ("_slot", "_bitmap", "_bits")]
     )
 
 
+def possibly_repeated(rows: DataFrame, filter_: DataFrame, size: Size, sha: str = "text_sha256") -> DataFrame:
+    """``rows`` with a boolean ``candidate``: both bits of the row are set in the filter.
+
+    Of several blocks each is broadcast alone; its rows are written before the next one's turn.
+    """
+    if size.blocks == 1:
+        return _probed(rows, filter_, size, sha)
+    per_block, parts = size.bits // BITMAP_BITS, []
+    dealt = "_block" in rows.columns
+    for b in range(size.blocks):
+        own = rows.where(F.col("_block") == b).drop("_block") if dealt else rows.where(_block(sha, size) == b)
+        parts.append(durable(_probed(own, filter_.where(F.col("bitmap").between(b * per_block, (b + 1) * per_block - 1)), size, sha)))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def dealt_by_block(rows: DataFrame, size: Size, sha: str = "text_sha256") -> DataFrame:
+    """Slim rows in one folder a block, so that a block's turn reads its own rows only."""
+    if size.blocks == 1:
+        return rows
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8 * size.blocks)
+    dealt = rows.withColumn("_block", _block(sha, size).cast("int"))
+    return durable(dealt.repartition(tasks, "_block", F.pmod(F.xxhash64(sha, F.lit(3)), F.lit(8))), ["_block"])
+
+
 def _digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(
         F.col(id_col).alias("doc_id"),
@@ -121,8 +164,7 @@ def _repeat_groups(candidates: DataFrame) -> DataFrame:
 
 def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
-    rows, groups, filter_, bits = _prepare(docs, id_col, text_col)
-    probed = possibly_repeated(rows, filter_, bits)
+    probed, groups = _prepare(docs, id_col, text_col)
     through = probed.where(~F.col("candidate")).select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256"
     )
@@ -138,20 +180,28 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return through.unionByName(shuffled)
 
 
-def _prepare(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+def _prepare(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The slim digests with ``candidate``, and the groups of those that really repeat."""
     rows = durable(_digests(docs, id_col, text_col).withColumn("uid", F.monotonically_increasing_id()))
-    bits = filter_bits(rows.count())
-    filter_ = durable(repeat_filter(rows, bits))
-    candidates = possibly_repeated(rows, filter_, bits).where("candidate")
-    return rows, durable(_repeat_groups(candidates)), filter_, bits
+    size = filter_size(rows.count())
+    filter_ = durable(repeat_filter(rows, size))
+    probed = possibly_repeated(dealt_by_block(rows, size), filter_, size)
+    return probed, durable(_repeat_groups(probed.where("candidate")))
+
+
+def split_known(rows: DataFrame, sha: str, keys: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` whose ``sha`` is certainly not in ``keys``, and all others; no row shuffles."""
+    size = filter_size(keys.count())
+    probed = possibly_repeated(rows, durable(member_filter(keys, column, size)), size, sha)
+    return probed.where(~F.col("candidate")).drop("candidate"), probed.where("candidate").drop("candidate")
 
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 
-    Whole rows are probed too: those that cannot be repeated never shuffle their text.
+    Rows whose text does not repeat never shuffle it.
     """
-    _, groups, filter_, bits = _prepare(docs, id_col, text_col)
+    _, groups = _prepare(docs, id_col, text_col)
     groups = groups.select(F.col("text_sha256").alias("_group"), "keep_id", "keep_points", "ties")
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
@@ -159,15 +209,10 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.length(text_or_empty(text_col)).cast("long").alias("_points"),
         F.col(id_col).alias("_id"),
     )
-    if bits > MAX_FILTER_BITS:  # beyond a broadcast filter the whole rows meet the repeated texts
-        through, repeated = None, rows
-    else:
-        probed = possibly_repeated(rows, filter_, bits, "_sha")
-        through, repeated = probed.where(~F.col("candidate")).select("_row.*"), probed.where("candidate")
+    through, repeated = split_known(rows, "_sha", groups, "_group")
     met = repeated.join(groups, F.col("_sha") == F.col("_group"), "left")
     stays = F.col("_group").isNull() | ((F.col("_points") == F.col("keep_points")) & F.col("_id").eqNullSafe(F.col("keep_id")))
     met = met.where(stays)
     single = met.where(F.coalesce("ties", F.lit(1)) == 1).select("_row.*")
     tied = met.where("ties > 1").groupBy("_sha").agg(F.first("_row").alias("_row")).select("_row.*")
-    out = single.unionByName(tied)
-    return out if through is None else through.unionByName(out)
+    return through.select("_row.*").unionByName(single).unionByName(tied)

@@ -53,7 +53,7 @@ from pyspark.sql import functions as F
 
 from .common import durable, text_or_empty
 from .components import connected_components
-from .exact_dedup import MAX_FILTER_BITS, filter_bits, member_filter, possibly_repeated
+from .exact_dedup import split_known
 
 BITS = 64
 SHINGLE = 4
@@ -547,9 +547,7 @@ def similar_links(sets: DataFrame, docs: DataFrame, text_col: str, shingle: int,
         .select("component", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"), (F.col("own") > F.col("k")).alias("side"), "node", *_WORD_NAMES)
     )
     texts = docs.select(F.col(text_col).alias("text"), _text_key(text_col).alias("text_key"))
-    bits = filter_bits(met.count())
-    if bits <= MAX_FILTER_BITS:
-        texts = possibly_repeated(texts, durable(member_filter(met, "text_key", bits)), bits, "text_key").where("candidate")
+    _, texts = split_known(texts, "text_key", met, "text_key")
     hashes = _sets_of(texts.select("text"), shingle).join(met.select("node"), "node", "left_semi").groupBy("node").agg(F.first("hashes").alias("hashes"))
     place = ["component", "i", "j"]
     rows = dealt.join(durable(hashes), "node").select(*place, "side", "node", "hashes", *_WORD_NAMES)
@@ -599,9 +597,9 @@ def drop_near_duplicates(
 
     The defaults find sets of five-word shingles with a Jaccard similarity of ``SIMILAR`` or more,
     and only those link. Null ids
-    come last; of rows with one id the text's digest decides, and of equal rows one stays. A Bloom
-    filter of the texts of which some row goes is broadcast, up to the bound of exact dedup: rows
-    that it does not know pass straight through, and only the others shuffle their text.
+    come last; of rows with one id the text's digest decides, and of equal rows one stays. Rows that
+    a Bloom filter of the texts of which some row goes does not know pass straight through, and only
+    the others shuffle their text.
     """
     key = F.unhex(F.md5(text_or_empty(text_col).cast("binary")))
     place = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), key.alias("key"))
@@ -615,13 +613,8 @@ def drop_near_duplicates(
     )
     groups = durable(groups)
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), place.alias("_place"), key.alias("_text"))
-    bits = filter_bits(groups.count())
-    through, affected = None, whole
-    if bits <= MAX_FILTER_BITS:
-        probed = possibly_repeated(whole, durable(member_filter(groups, "_key", bits)), bits, "_text")
-        through, affected = probed.where(~F.col("candidate")).select("_row.*"), probed.where("candidate")
+    through, affected = split_known(whole, "_text", groups, "_key")
     met = affected.join(groups, F.col("_text") == F.col("_key"), "left").where("_key is null or _stays = _place")
     single = met.where("_key is null or _n = 1").select("_row.*")
     repeated = met.where("_n > 1").groupBy("_text").agg(F.first("_row").alias("_row")).select("_row.*")
-    out = single.unionByName(repeated)
-    return out if through is None else through.unionByName(out)
+    return through.select("_row.*").unionByName(single).unionByName(repeated)
