@@ -58,10 +58,33 @@ def test_against_brute_force(spark):
         assert got == brute(rows, items)
 
 
-def test_blocks_of_items(spark):
+def test_blocks_of_items_one_at_a_time(spark, monkeypatch):
     rows, items = corpus(3)
+    alive, most = set(), [0]
+    context = spark.sparkContext
+    blocks = list(decontam.item_blocks(bench(spark, items), max_bytes=60))
+    assert len(blocks) > 3 and [last for _, last in blocks] == [False] * (len(blocks) - 1) + [True]
+    assert sum(len(x) for x, _ in blocks) == len(items)
+    monkeypatch.setattr(type(context), "broadcast", lambda self, x, f=type(context).broadcast: Live(f(self, x)) if isinstance(x, decontam.Index) else f(self, x))
+
+    class Live:
+        def __init__(self, shared):
+            self.shared = shared
+            alive.add(id(self))
+            most[0] = max(most[0], len(alive))
+
+        def destroy(self):
+            alive.discard(id(self))
+            self.shared.destroy()
+
+        def __reduce__(self):
+            return (lambda x: x, (self.shared,))
+
     got = decontam.find_contamination(docs(spark, rows), bench(spark, items), max_block_bytes=60)
     assert collect(got, *COLUMNS) == brute(rows, items)
+    kept = decontam.drop_contaminated(docs(spark, rows), bench(spark, items), max_block_bytes=60)
+    assert collect(kept, "doc_id") == [(r[0],) for r in brute(rows, items) if not r[5]]
+    assert most[0] <= 2  # of either call's last block at most one stays
 
 
 def test_awkward(spark):

@@ -9,8 +9,9 @@ Words are compared by their number in the items' vocabulary, never by hash. Item
 words are one window each; their k-gram is the whole item.
 
 Documents never shuffle: the items' index is broadcast, in blocks of at most
-``MAX_BLOCK_BYTES`` of item text; a larger benchmark goes through block after block in one
-pass over the documents.
+``MAX_BLOCK_BYTES`` of item text. A larger benchmark takes one pass over the documents a block:
+each pass is written before the next index is built, and its own index is destroyed, so driver and
+workers hold one index at a time.
 
 Defined cases: a null text has no words; an item without words never matches; a null item id
 is the empty string; items with equal ids count once; repeated documents are judged one by
@@ -27,10 +28,12 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import chunks
+from .common import durable
 
 WINDOW = 10
 K = 5
@@ -185,19 +188,29 @@ def judge(texts: list[str], index: Index) -> list[tuple[int, np.ndarray, set[str
     return [(int(sizes[d]), hit[cuts[d] : cuts[d + 1]] - starts[d], items[d]) for d in range(len(texts))]
 
 
-def index_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", max_bytes: int = MAX_BLOCK_BYTES) -> list:
-    """Broadcast indexes over at most ``max_bytes`` of item text each; at least one."""
-    spark, out, some, size = benchmark.sparkSession, [], [], 0
+def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", max_bytes: int = MAX_BLOCK_BYTES) -> Iterator[tuple[list, bool]]:
+    """Items (id, text) of at least ``max_bytes`` of text together, or the rest, and whether they are the last; at least one block."""
+    some, size = [], 0
     rows = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t"))
     for row in rows.toLocalIterator():
-        some.append((row["i"], row["t"]))
-        size += len((row["t"] or "").encode())
         if size >= max_bytes:
-            out.append(spark.sparkContext.broadcast(build_index(some)))
+            yield some, False
             some, size = [], 0
-    if some or not out:
-        out.append(spark.sparkContext.broadcast(build_index(some)))
-    return out
+        some.append((row["i"], row["t"]))
+        size += len((row["t"] or "").encode())
+    yield some, True
+
+
+def _each_block(rows: DataFrame, blocks: Iterator[tuple[list, bool]], step: Callable[[DataFrame, Broadcast, bool], DataFrame]) -> DataFrame:
+    """``step`` of each block's index in turn; all but the last are written, and their index goes."""
+    context = rows.sparkSession.sparkContext
+    for items, last in blocks:
+        shared = context.broadcast(build_index(items))
+        rows = step(rows, shared, last)
+        if not last:
+            rows = durable(rows)
+            shared.destroy()
+    return rows
 
 
 def _digest(items: set[str]) -> str:
@@ -258,16 +271,13 @@ def find_contamination(
         F.lit(None).cast("array<string>").alias("items"),
     )
     key = rows.schema[0].dataType.simpleString()
-    blocks = index_blocks(benchmark, max_bytes=max_block_bytes)
-    for block in blocks[:-1]:
-        rows = rows.mapInArrow(_first(block, False), f"doc_id {key}, text string, hit binary, items array<string>")
-    return rows.mapInArrow(
-        _first(blocks[-1], True),
-        f"doc_id {key}, n_words long, n_hit long, n_items long, items_sha256 string, items array<string>, contaminated boolean",
-    )
+    between = f"doc_id {key}, text string, hit binary, items array<string>"
+    result = f"doc_id {key}, n_words long, n_hit long, n_items long, items_sha256 string, items array<string>, contaminated boolean"
+    blocks = item_blocks(benchmark, max_bytes=max_block_bytes)
+    return _each_block(rows, blocks, lambda df, shared, last: df.mapInArrow(_first(shared, last), result if last else between))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", max_block_bytes: int = MAX_BLOCK_BYTES) -> DataFrame:
     """The whole rows of ``docs`` without a hit word."""
     at = docs.columns.index(text_col)
 
@@ -279,6 +289,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
 
         return run
 
-    for block in index_blocks(benchmark):
-        docs = docs.mapInArrow(keep(block), docs.schema)
-    return docs
+    return _each_block(docs, item_blocks(benchmark, max_bytes=max_block_bytes), lambda df, shared, last: df.mapInArrow(keep(shared), docs.schema))
