@@ -1,6 +1,8 @@
 import random
 import re
 
+import pytest
+
 from tidegauge.llm import url_filter as u
 
 URLS = [
@@ -11,19 +13,19 @@ URLS = [
 ]
 
 
-def brute(url):
+def brute(url, rules=u.SITE_RULES, words=u.BLOCKED_LABELS):
     rest = url.split("://", 1)[1] if url and "://" in url else ""
     host = re.match(r"[^/?#]*", rest).group()
     path = re.match(r"[^?#]*", rest[len(host) :]).group()
     host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
     fits = []
-    for verdict, spec in u.SITE_RULES:
+    for verdict, spec in rules:
         rhost, _, rpath = spec.partition("/")
         if (host == rhost or host.endswith("." + rhost)) and path.startswith("/" + rpath):
             fits.append((len(spec), spec, verdict))
     if fits:
         return host, path, max(fits)[1], max(fits)[2]
-    label = any(f".{w}." in f".{host}." or f".{w}:" in f".{host}" for w in u.BLOCKED_LABELS)
+    label = any(f".{w}." in f".{host}." or f".{w}:" in f".{host}" for w in words)
     return host, path, None, "block" if label else "allow"
 
 
@@ -50,3 +52,22 @@ def test_rules_without_tokens_and_no_rules(spark):
     loose = u.Rule("percent", "block", "%%%", ())
     assert {r["page_id"]: r["verdict"] for r in u.filter_urls(df, [loose]).collect()} == {1: "block", 2: "allow"}
     assert {r["verdict"] for r in u.filter_urls(df, []).collect()} == {"allow"}
+
+
+def test_thousands_of_rules_as_brute_force(spark):
+    rnd = random.Random(9)
+    sites = [f"site{k}.{rnd.choice(['com', 'net', 'org'])}" for k in range(4000)]
+    rules = [(rnd.choice(["allow", "block"]), f"{s}/{rnd.choice(['', 'en/', 'es/a/', 'fr'])}") for s in sites] + list(u.SITE_RULES)
+    words = [f"word{k}" for k in range(500)] + ["it's", "a\\b", 'say"so']
+    every = [u.site_rule(*x) for x in rules] + [u.host_word_rule(w) for w in words]
+    urls = [f"http://{rnd.choice(['', 'www.', 'word7.', 'x'])}{rnd.choice(sites)}/{rnd.choice(['', 'en/', 'es/a/b', 'fr/x', 'en'])}" for _ in range(400)] + URLS
+    urls += ["http://it's.org/", "http://a\\b.org/", 'http://say"so.org/']
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in u.filter_urls(df, every).collect()}
+    assert got == {i: brute(x, rules, words) for i, x in enumerate(urls)}
+
+
+def test_too_many_rules(spark, monkeypatch):
+    monkeypatch.setattr(u, "MAX_RULES", 3)
+    with pytest.raises(ValueError, match="rules"):
+        u.filter_urls(spark.createDataFrame([(1, "http://a.net/")], "page_id long, url string"))

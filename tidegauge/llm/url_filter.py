@@ -7,8 +7,9 @@ table contain. A URL's own tokens fetch the candidate rules, and only those run
 expressions. Rules without a whole token are candidates for every URL.
 
 The index is a literal hash table inside the projection (an array of buckets, reached by
-``xxhash64(token)``), so URLs are judged where they lie: no join, no shuffle. It is meant for
-rule lists of up to ``MAX_RULES``; the list is a parameter, not data, and its size is checked.
+``xxhash64(token)``), so URLs are judged where they lie: no join, no shuffle. It enters the plan
+as one constant, read from JSON when the plan is made, so its size costs no analysis. It is meant
+for rule lists of up to ``MAX_RULES``; the list is a parameter, not data, and its size is checked.
 
 Defined cases: a null URL, or one without ``://``, has empty host and path, no rule and the
 default verdict; rules that tie in length are ordered by host length and then by name;
@@ -17,6 +18,7 @@ repeated rows are judged one by one; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass
 
@@ -113,18 +115,15 @@ def token_frequencies(urls: DataFrame, tokens: list[str]) -> dict[str, int]:
     return dict.fromkeys(tokens, 0) | {r["token"]: r["count"] for r in counts}
 
 
-def _sql_text(text: str) -> str:
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+_RULE = "struct<token:string,listed:boolean,rank:bigint,name:string,verdict:string,pattern:string>"
 
 
-def _literal(rules: list[tuple[str, Rule]]) -> str:
-    one = "named_struct('token', {}, 'listed', {}, 'rank', {}, 'name', {}, 'verdict', {}, 'pattern', {})"
-    rows = [
-        one.format(_sql_text(t), str(r.listed).lower(), r.rank, _sql_text(r.name), _sql_text(r.verdict), _sql_text(r.pattern))
-        for t, r in rules
-    ]
-    empty = "filter(array(" + one.format("''", "false", 0, "''", "''", "''") + "), x -> false)"
-    return f"array({', '.join(rows)})" if rows else empty
+def _fields(token: str, rule: Rule) -> dict:
+    return {"token": token, "listed": rule.listed, "rank": rule.rank, "name": rule.name, "verdict": rule.verdict, "pattern": rule.pattern}
+
+
+def _constant(value: list, kind: str) -> Column:
+    return F.from_json(F.lit(json.dumps(value)), kind)
 
 
 def judge(urls: DataFrame, rules: list[Rule], default: str = ALLOW) -> DataFrame:
@@ -143,15 +142,22 @@ def judge(urls: DataFrame, rules: list[Rule], default: str = ALLOW) -> DataFrame
     if filed:
         keys = spark.createDataFrame([(t,) for t in sorted({t for t, _ in filed})], "token string")
         place = {r["token"]: r["b"] for r in keys.select("token", F.pmod(F.xxhash64("token"), F.lit(n)).alias("b")).collect()}
-    buckets = f"array({', '.join(_literal([x for x in filed if place[x[0]] == k]) for k in range(n))})"
-    fetched = f"flatten(transform(tokens_, t -> filter(element_at({buckets}, cast(pmod(xxhash64(t), {n}) as int) + 1), r -> r.token = t)))"
-    everywhere = f", {_literal(loose)}" if loose else ""
-    candidates = f"concat({fetched}{everywhere})"
-    fits = f"filter({candidates}, r -> regexp_like(concat(host, path), r.pattern))"
-    best = f"array_max(transform({fits}, r -> named_struct('listed', r.listed, 'rank', r.rank, 'name', r.name, 'verdict', r.verdict)))"
+    buckets: list[list[dict]] = [[] for _ in range(n)]
+    for token, rule in filed:
+        buckets[place[token]].append(_fields(token, rule))
+    index = _constant(buckets, f"array<array<{_RULE}>>")
+    everywhere = _constant([_fields("", r) for _, r in loose], f"array<{_RULE}>")
+
+    def fetched(token: Column) -> Column:
+        return F.filter(F.element_at(index, (F.pmod(F.xxhash64(token), F.lit(n)) + 1).cast("int")), lambda r: r["token"] == token)
+
+    text = F.concat("host", "path")
+    candidates = F.concat(F.flatten(F.transform("tokens_", fetched)), everywhere)
+    fits = F.filter(candidates, lambda r: F.regexp_like(text, r["pattern"]))
+    best = F.array_max(F.transform(fits, lambda r: F.struct(*[r[c].alias(c) for c in ("listed", "rank", "name", "verdict")])))
     return (
         urls.withColumn("tokens_", url_tokens(F.col("host"), F.col("path")))
-        .withColumn("best_", F.expr(best))
+        .withColumn("best_", best)
         .withColumn("rule", F.expr("if(best_.listed, best_.name, null)"))
         .withColumn("verdict", F.coalesce("best_.verdict", F.lit(default)))
         .drop("tokens_", "best_")
