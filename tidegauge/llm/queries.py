@@ -87,7 +87,25 @@ _HOST = r"""translate(regexp_extract(case when contains(url, '://') then substr(
 _WORDS = r"""[x for x in regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                 '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') if x <> '']"""
 
+#: The CRC-32 of a text's bytes by the usual table of 256 remainders, built from its polynomial.
+_CRC_TABLE = """(select [list_reduce(list_prepend(k::bigint, [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]),
+                lambda c, x: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) for k in range(256)] as remainders)"""
+_CRC = """xor(list_reduce(list_prepend(4294967295::bigint, [('0x' || x)::bigint for x in bytes if x <> '']),
+                lambda c, b: xor(c >> 8, remainders[(xor(c, b) & 255) + 1])), 4294967295)"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op6_sharding": rf"""
+        with d as (
+            select doc_id, strlen(coalesce(text, ''))::bigint + 1 as size,
+                   string_split(regexp_replace(hex(encode(coalesce(text, ''))), '(..)', '\1,', 'g'), ',') as bytes from documents),
+        c as (select doc_id, size, {_CRC} as text_crc32 from d, {_CRC_TABLE}),
+        p as (
+            select *, row_number() over o as n, 2 * (sum(size) over o - size) + size as middle, 2 * sum(size) over () as twice
+            from c window o as (order by doc_id nulls first, text_crc32, size rows between unbounded preceding and current row)),
+        s as (select *, (middle * 8 // twice)::int as shard from p)
+        select doc_id, size, text_crc32, 'bytes' as law, shard, row_number() over (partition by shard order by n) - 1 as slot, null::int as grown_shard
+        from s
+    """,
     "op4_line_dedup": rf"""
         with p as (
             select row_number() over () as r, page_id, coalesce({_HOST}, '') as host,
