@@ -1,4 +1,5 @@
 import os
+import random
 import zlib
 
 import numpy as np
@@ -38,6 +39,63 @@ def test_out_of_place_distance():
     assert profiles.ranks[np.searchsorted(profiles.grams, own)].tolist() == [[0, 9], [1, 1], [2, 0]]
 
 
+def grams_of(text):
+    """n-grams as text with blanks for word ends, each with its count."""
+    counts = {}
+    for word in "".join(c if c.isalpha() else " " for c in text.lower()).split():
+        for n in (1, 2, 3):
+            framed = word if n == 1 else f" {word} "
+            for i in range(len(framed) - n + 1):
+                if n < 3 or framed[i + 1] != " ":
+                    counts[framed[i : i + n]] = counts.get(framed[i : i + n], 0) + 1
+    return counts
+
+
+def ranked(counts, top):
+    return sorted(counts, key=lambda g: (-counts[g], len(g), [0 if c == " " else ord(c) for c in g]))[:top]
+
+
+def brute(rows, top=300):
+    """(held_out, lang_pred, score) of each row: every rank and distance written out."""
+    held = [zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 0 for i, *_ in rows]
+    learned = {}
+    for (_, text, lang), out in zip(rows, held, strict=True):
+        if not out and lang is not None and text is not None:
+            learned.setdefault(lang, set()).add(text)
+    profiles = {}
+    for lang, texts in learned.items():
+        total = {}
+        for t in texts:
+            for g, n in grams_of(t).items():
+                total[g] = total.get(g, 0) + n
+        profiles[lang] = {g: k for k, g in enumerate(ranked(total, top))}
+    found = []
+    for (_, text, _), out in zip(rows, held, strict=True):
+        own = ranked(grams_of(text or ""), top)
+        if not own or not profiles:
+            found.append((out, "und", 0.0))
+            continue
+        away = {x: sum(min(abs(p[g] - k), top) if g in p else top for k, g in enumerate(own)) / (len(own) * top) for x, p in profiles.items()}
+        best = min(sorted(away), key=away.get)
+        second = min((d for x, d in away.items() if x != best), default=1.0)
+        found.append((out, best, round(min(max(1 - away[best] / second if second > 0 else 0.0, 0.0), 1.0), 9)))
+    return found
+
+
+def test_distance_winner_and_ties_as_brute_force(spark):
+    rnd = random.Random(4)
+    words = {x: t.split() for x, t in PROSE.items()}
+    rows = [(k, " ".join(rnd.choices(words[x], k=rnd.randrange(1, 30))), x) for k, x in enumerate(["en", "de", "fr"] * 30)]
+    # two labels with the same texts tie everywhere: the first in the alphabet wins
+    rows += [(200 + k, t, x) for k in range(10) for t, x in (("zwei namen", "aa"), ("zwei namen", "zz"))]
+    rows += [(300 + k, " ".join(rnd.choices(words["en"] + words["fr"], k=12)), None) for k in range(20)]
+    rows += [(i, t, None) for i, t in AWKWARD] + [(400, "ab ba", "x"), (401, "ba ab", None), (402, "İstanbul ǅ ß", "x")]
+    want = sorted((i is None, i or 0, *w) for (i, *_), w in zip(rows, brute(rows), strict=True))
+    got = langid.identify(docs(spark, rows)).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["held_out"], r["lang_pred"], round(r["score"], 9)) for r in got) == want
+    assert {r["lang_pred"] for r in got if r["doc_id"] is not None and 200 <= r["doc_id"] < 210} == {"aa"}
+
+
 def test_predictions(spark):
     rows = [(k, PROSE[x] * (1 + k % 3), x) for k, x in enumerate(["en", "de", "fr"] * 12)] + [(i, t, None) for i, t in AWKWARD] + [(500, "12 34 !!", "en")]
     got = {}
