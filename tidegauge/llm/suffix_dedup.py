@@ -279,7 +279,8 @@ def _hot_spans(hot: DataFrame, length: int, gram: int, cell: int) -> DataFrame:
     cells = durable(hot.mapInArrow(_cells(length, gram, cell), CELL_DDL))
     contents = durable(cells.groupBy("bucket", "content").agg(F.count(F.lit(1)).alias("n")))
     again = contents.where("n > 1").select("bucket", "content")
-    spans = cells.where("not settled").join(again, ["bucket", "content"])
+    ends = [F.col("key"), F.col("first").alias("a"), (F.col("last") + length).alias("b")]
+    spans = durable(cells.where("not settled").join(again, ["bucket", "content"]).select(*ends))
     several = durable(contents.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("bucket"))
     # one run of each cell content stands for all in the windows of open cells
     reps = cells.join(several, "bucket").groupBy("bucket", "content").agg(
@@ -296,9 +297,7 @@ def _hot_spans(hot: DataFrame, length: int, gram: int, cell: int) -> DataFrame:
         .mapInArrow(_windows(length), CELL_DDL)
     )
     often = durable(windows.groupBy("anchor", "bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor", "bucket"))
-    single = windows.where("not settled").join(often, ["anchor", "bucket"])
-    ends = [F.col("key"), F.col("first").alias("a"), (F.col("last") + length).alias("b")]
-    return spans.select(*ends).unionByName(single.select(*ends))
+    return spans.unionByName(durable(windows.where("not settled").join(often, ["anchor", "bucket"]).select(*ends)))
 
 
 def _windows(length: int):
@@ -345,8 +344,11 @@ def _spans_of(texts: DataFrame, length: int, gram: int, hot: int, cell: int) ->
     active = durable(
         texts.groupBy("key").agg(F.first("text").alias("text")).join(places.select("key").distinct(), "key", "left_semi")
     )
-    settled = places.join(contents.where("n > 1").select("anchor", "content"), ["anchor", "content"]).select(
-        "key", F.col("first").alias("a"), (F.col("last") + length).alias("b")
+    # written on its own, the join has nothing after it, so that Spark may split a content that many texts share
+    settled = durable(
+        places.join(contents.where("n > 1").select("anchor", "content"), ["anchor", "content"]).select(
+            "key", F.col("first").alias("a"), (F.col("last") + length).alias("b")
+        )
     )
     several = durable(contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where("k > 1"))
     run = F.struct(
@@ -357,7 +359,7 @@ def _spans_of(texts: DataFrame, length: int, gram: int, hot: int, cell: int) ->
     data = durable(active.join(wanted, "key").select("key", "text", "runs").mapInArrow(_contents(length), CONTENT_SCHEMA.ddl))
     one = [c for c in CONTENT_SCHEMA.names if c != "hot"]
     cold = data.where("not hot").select(*one).repartition("anchor").sortWithinPartitions("anchor")
-    refined = cold.mapInArrow(_refined(length), "key binary, a int, b int")
+    refined = durable(cold.mapInArrow(_refined(length), "key binary, a int, b int"))
     return settled.unionByName(refined).unionByName(_hot_spans(data.where("hot").select(*one), length, gram, cell)), active
 
 
