@@ -26,7 +26,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -38,6 +38,18 @@ from pyspark.sql import functions as F
 
 #: Split pattern of the byte-level vocabularies, a fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Code points that count as letters or numbers in newer Unicode tables than the tokenizers library
+#: has: it takes them for neither. Fixed values.
+NEWER = (
+    r"\u0558\u058b-\u058c\u088f\u0c5c\u0cdc\u208f\u209d-\u209f\ua7ce-\ua7cf\ua7d2\ua7d4\ua7dd\ua7e2\ua7f1\uab6c-\uab6d"
+    r"\U000107bb-\U000107bf\U00010940-\U00010959\U00010ec5-\U00010ec7\U00010ed9-\U00010eee\U00011b0a\U00011db0-\U00011ddb"
+    r"\U00011de0-\U00011de9\U00011df1\U0001246f\U00012475-\U0001247f\U00012550-\U00012686\U00016ea0-\U00016eb8"
+    r"\U00016ebb-\U00016ed3\U00016ff2-\U00016ff6\U000187f8-\U000187ff\U00018cd6-\U00018cda\U00018d09-\U00018d20"
+    r"\U00018d80-\U00018df2\U00018e00-\U00019191\U000191a0-\U000191d2\U0001b123-\U0001b128\U0001b168\U0001d6a6"
+    r"\U0001df1f-\U0001df24\U0001df2b-\U0001df81\U0001df90-\U0001df96\U0001dfcd-\U0001dfff\U0001e6c0-\U0001e6de"
+    r"\U0001e6e0-\U0001e6e2\U0001e6e4-\U0001e6e5\U0001e6e7-\U0001e6ed\U0001e6f0-\U0001e6f4\U0001e6fe-\U0001e6ff"
+    r"\U0002b73a-\U0002b73f\U0002b81e\U0002cea2-\U0002cead\U000323b0-\U00033479\U0003d000-\U0003fc3f"
+)
 SHORT_WORD = 256
 CACHED_WORDS = 1 << 16
 MAX_VOCABULARY_BYTES = 64 << 20
@@ -56,6 +68,28 @@ def _printable_bytes() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + k): b for k, b in enumerate(others)}
 
 
+def _splitter() -> Callable[[str], list[str]]:
+    """Cuts a text into words by the split pattern; texts that hold a newer code point take a slower form of it."""
+    old = {r"\p{L}": rf"(?:(?![{NEWER}])\p{{L}})", r"\p{N}": rf"(?:(?![{NEWER}])\p{{N}})"}
+    other = r"[^\s\p{L}\p{N}]"
+    slow = PATTERN.replace(other, "OTHER")
+    for kind, known in old.items():
+        slow = slow.replace(kind, known)
+    slow = slow.replace("OTHER", rf"(?:{other}|[{NEWER}])")
+    fast, slow, newer = regex.compile(PATTERN).findall, regex.compile(slow).findall, regex.compile(f"[{NEWER}]").search
+
+    def words(text: str) -> list[str]:
+        if not text.isascii():
+            try:
+                text.encode("latin-1")  # none of them is so low
+            except UnicodeEncodeError:
+                if newer(text):
+                    return slow(text)
+        return fast(text)
+
+    return words
+
+
 class _Ranks:
     """Merge ranks by pair of parts: an open hash table in arrays, looked up for many pairs at once."""
 
@@ -129,7 +163,7 @@ class Codec:
         for s, i in self.special.items():
             self.bytes_of[i] = s.encode()
         self.decimal = [str(i) for i in range(size)]
-        self.words = regex.compile(PATTERN).findall
+        self.words = _splitter()
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
         both = np.array(list(self.rank), np.int64)
         self.table = _Ranks(both >> 32, both & 0xFFFFFFFF)
