@@ -85,3 +85,32 @@ def test_tables(spark):
     spec = c.model(max_iter=4)
     assert spec.series == ("a", "b") and spec.layout.depth == 5
     assert type(spec).from_json(spec.json()) == spec
+
+
+def test_settings_reach_the_estimation():
+    raw = LISTED | {
+        "nan_method": 3, "nan_k": 5, "ar_clip_min": -0.5, "ar_clip_max": 0.6, "regularization_scale": 0.1, "min_eigenvalue": 1e-3,
+        "max_eigenvalue": 10, "damping_factor": 0.5, "idio_rho0": 0.2, "idio_min_var": 1e-4, "data_clip_threshold": 7,
+    }
+    o = C.load(raw).model().options
+    assert (o.nan_method, o.nan_k, o.ar_clip, o.ridge, o.least_eigenvalue, o.most_eigenvalue) == (3, 5, (-0.5, 0.6), 0.1, 1e-3, 10)
+    assert (o.damping, o.rho0, o.least_idio, C.load(raw).model().clip) == (0.5, 0.2, 1e-4, 7)
+    off = C.load(raw | {"clip_ar_coefficients": False, "use_regularization": False, "use_damped_updates": False, "clip_data_values": False})
+    assert (off.model().options.ar_clip, off.model().options.ridge, off.model().options.damping, off.model().clip) == (None, None, None, None)
+    spec = C.load(raw).model(max_iter=2, idio_rho0=0.3, augment_idio=False)
+    assert spec.max_iter == 2 and spec.options.rho0 == 0.3 and not spec.layout.idio and type(spec).from_json(spec.json()) == spec
+    with pytest.raises(TypeError, match="unknown"):
+        C.load(raw).model(no_such=1)
+    lags = C.load({"series": {"a": {}, "b": {"blocks": ["X"]}}, "blocks": {"Block_Global": {}, "X": {"ar_lag": 2}}}).model()
+    assert [lags.layout.lags_of(b) for b in (0, 1)] == [1, 2]
+
+
+def test_warnings_drift_and_lookups():
+    c = C.load(LISTED | {"warn_on_ar_clip": False})
+    assert c.warnings({"ar_clip": 3, "data_clip": 2, "damped_update": 1}) == ["data clip: 2 times", "damped update: 1 times"]
+    assert c.series_index("series_1") == 1 and c.units() == [None, None] and c.series_names()[0] == "a"
+    with pytest.raises(KeyError, match="known: a"):
+        c.series_index("zz")
+    assert c.drift_from(c.model()) == []
+    other = C.load({"series": {"series_1": {"frequency": "m"}, "c": {}}})
+    assert other.drift_from(c.model()) == ["series a is gone", "series c is new", "series series_1: frequency q", "blocks Block_Global, Block_X"]

@@ -7,11 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.linalg import spline_fill
-
-SPARSE = 0.8
-#: Methods by number: trim rows over SPARSE missing, trim empty rows only, fill, smooth the edges.
-METHODS = {1: ("none", "smooth"), 2: ("sparse", "fill"), 3: ("sparse", "none"), 4: ("empty", "fill"), 5: ("none", "fill")}
+from ..plans.linalg import METHODS, SPARSE, spline_fill
 
 
 def row_gaps(panel: DataFrame) -> DataFrame:

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
+#: Methods of treating missing cells by number: rows cut off at either end, and what is filled. Fixed values.
+METHODS = {1: ("none", "smooth"), 2: ("sparse", "fill"), 3: ("sparse", "none"), 4: ("empty", "fill"), 5: ("none", "fill")}
+SPARSE = 0.8
+
 
 def symmetric(a: np.ndarray) -> np.ndarray:
     return (a + a.T) / 2
@@ -44,21 +50,26 @@ def stabilise(a: np.ndarray, most: float = 0.99) -> np.ndarray:
     return a * (most / radius) if radius >= most else a
 
 
-def clip_ar(rho: np.ndarray | float, most: float = 0.99) -> np.ndarray:
-    return np.clip(np.nan_to_num(rho), -most, most)
+def clip_ar(rho: np.ndarray | float, low: float = -0.99, high: float = 0.99) -> np.ndarray:
+    return np.clip(np.nan_to_num(rho), low, high)
 
 
 def regularisation(a: np.ndarray, scale: float = 1e-5, least: float = 1e-8) -> float:
     return max(float(np.trace(a)) * scale, least)
 
 
-def solve(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """``a x = b`` for a symmetric ``a``: a ridge if it is ill-conditioned, the pseudo-inverse if it is singular."""
+def solve(a: np.ndarray, b: np.ndarray, scale: float | None = 1e-5, least: float = 1e-8, acted: Callable[[], None] | None = None) -> np.ndarray:
+    """``a x = b`` for a symmetric ``a``: a ridge if it is ill-conditioned, the pseudo-inverse if it is singular.
+
+    Without ``scale`` there is no ridge. ``acted`` is called when either guard is needed.
+    """
     cond = np.linalg.cond(a) if np.isfinite(a).all() else np.inf
+    if cond > 1e8 and acted is not None:
+        acted()
     if cond > 1e12:
         return np.linalg.pinv(clean(a)) @ clean(b)
-    if cond > 1e8:
-        a = a + regularisation(a) * np.eye(len(a))
+    if cond > 1e8 and scale is not None:
+        a = a + regularisation(a, scale, least) * np.eye(len(a))
     return np.linalg.solve(a, b)
 
 
@@ -127,6 +138,12 @@ def constrained_ls(x: np.ndarray, y: np.ndarray, r: np.ndarray, q: np.ndarray, l
     return b * (longest / size) if size > longest else b
 
 
+def rotation(cross: np.ndarray) -> np.ndarray:
+    """The orthogonal matrix nearest to the cross products estimate' true."""
+    u, _, vt = np.linalg.svd(cross, full_matrices=False)
+    return u @ vt
+
+
 def cubic_spline(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Not-a-knot cubic spline; a parabola through three points, a line through two."""
     n = len(x)
@@ -178,3 +195,19 @@ def spline_fill(x: np.ndarray, mode: str = "spline", smooth: int = 3) -> np.ndar
     filled = np.where(edges, np.nanmedian(out), out)
     out[edges] = moving_average(filled, smooth)[edges]
     return out
+
+
+def treated(x: np.ndarray, method: int = 2, smooth: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """A T x N panel with its gaps filled as the method says, and which rows lie inside its cut.
+
+    Cells that stay missing are 0, the mean of a standardised panel.
+    """
+    cut, fill = METHODS[method]
+    missing = ~np.isfinite(x)
+    full = np.flatnonzero(missing.sum(1) <= {"none": 1.0, "sparse": SPARSE, "empty": 1 - 1e-9}[cut] * x.shape[1])
+    inside = np.zeros(len(x), bool)
+    if len(full):
+        inside[full[0] : full[-1] + 1] = True
+    if fill != "none" and len(x):
+        x = np.column_stack([spline_fill(c, "smooth" if fill == "smooth" else "spline", smooth) for c in x.T])
+    return np.nan_to_num(x, posinf=0.0, neginf=0.0), inside

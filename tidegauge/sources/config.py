@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Mapping
-from dataclasses import asdict, dataclass, field, fields
+from dataclasses import asdict, dataclass, field, fields, replace
 from typing import Any, Protocol
 
 import yaml
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.frequency import FREQUENCIES, rank
 from ..functions.transforms import CODES
 from ..operators.models import ModelSpec
-from ..plans.kernel import Layout
+from ..plans.kernel import Layout, Options
 
 GLOBAL = "Block_Global"
 
@@ -38,7 +38,8 @@ class SeriesSpec:
 @dataclass(frozen=True)
 class BlockSpec:
     factors: int = 1
-    ar_lag: int = 1
+    #: Null: the lags of the settings.
+    ar_lag: int | None = None
     clock: str = "m"
     notes: str | None = None
 
@@ -191,22 +192,81 @@ class ModelConfig:
         rows = [(n, b.factors, b.ar_lag, b.clock, k) for k, (n, b) in enumerate(self.blocks.items())]
         return spark.createDataFrame(rows, "block string, factors int, ar_lag int, clock string, ord int")
 
-    def model(self, series: list[str] | None = None, max_iter: int | None = None, threshold: float | None = None) -> ModelSpec:
-        """The worker's view of the configuration, for the given series in order."""
-        chosen = [s for s in self.series if series is None or s.series_id in series]
+    def options(self, settings: Settings | None = None) -> Options:
+        """The guards of the estimation that the settings ask for."""
+        s = settings or self.settings
+        return Options(
+            s.nan_method,
+            s.nan_k,
+            (s.ar_clip_min, s.ar_clip_max) if s.clip_ar_coefficients else None,
+            s.regularization_scale if s.use_regularization else None,
+            s.min_eigenvalue,
+            s.max_eigenvalue,
+            s.damping_factor if s.use_damped_updates else None,
+            s.idio_rho0,
+            s.idio_min_var,
+        )
+
+    def model(self, series: list[str] | None = None, max_iter: int | None = None, threshold: float | None = None, **overrides: Any) -> ModelSpec:
+        """The worker's view of the configuration, for the given series in order.
+
+        An override goes before the configuration, and that before the defaults.
+        """
+        named = {"max_iter": max_iter, "threshold": threshold, **overrides}
+        if unknown := set(named) - {f.name for f in fields(Settings)}:
+            raise TypeError(f"unknown settings: {', '.join(sorted(unknown))}")
+        s = replace(self.settings, **{k: v for k, v in named.items() if v is not None})
+        chosen = [x for x in self.series if series is None or x.series_id in series]
         names = list(self.blocks)
+        lags = tuple(s.ar_lag if b.ar_lag is None else b.ar_lag for b in self.blocks.values())
         layout = Layout(
-            tuple(s.frequency for s in chosen),
-            tuple(tuple(int(n in s.blocks) for n in names) for s in chosen),
+            tuple(x.frequency for x in chosen),
+            tuple(tuple(int(n in x.blocks) for n in names) for x in chosen),
             tuple(b.factors for b in self.blocks.values()),
-            self.settings.ar_lag,
-            self.settings.clock,
-            self.settings.augment_idio,
-            self.settings.augment_idio_slow,
+            s.ar_lag,
+            s.clock,
+            s.augment_idio,
+            s.augment_idio_slow,
+            lags if any(n != s.ar_lag for n in lags) else (),
         )
-        s = self.settings
         clip = s.data_clip_threshold if s.clip_data_values else None
-        return ModelSpec(tuple(x.series_id for x in chosen), layout, tuple(names), max_iter or s.max_iter, threshold or s.threshold, clip)
+        return ModelSpec(tuple(x.series_id for x in chosen), layout, tuple(names), s.max_iter, s.threshold, clip, self.options(s))
+
+    def warnings(self, guards: Mapping[str, int]) -> list[str]:
+        """What the settings want to be told of the guards that acted in a fit."""
+        s = self.settings
+        asked = {"ar_clip": s.warn_on_ar_clip, "data_clip": s.warn_on_data_clip, "regularization": s.warn_on_regularization, "damped_update": s.warn_on_damped_update}
+        return [f"{name.replace('_', ' ')}: {n} times" for name, n in guards.items() if asked.get(name)]
+
+    def series_index(self, series_id: str) -> int:
+        ids = self.series_ids()
+        if series_id not in ids:
+            raise KeyError(f"unknown series {series_id!r}; known: {', '.join(ids[:10])}")
+        return ids.index(series_id)
+
+    def series_ids(self) -> list[str]:
+        return [s.series_id for s in self.series]
+
+    def series_names(self) -> list[str]:
+        return [s.series_name for s in self.series]
+
+    def units(self) -> list[str | None]:
+        return [s.units for s in self.series]
+
+    def drift_from(self, spec: ModelSpec) -> list[str]:
+        """How the configuration differs from the specification of a fitted result."""
+        mine, now = list(spec.series), self.series_ids()
+        found = [f"series {x} is gone" for x in mine if x not in now] + [f"series {x} is new" for x in now if x not in mine]
+        if not found and mine != now:
+            found.append("the series are in another order")
+        for x, frequency in zip(mine, spec.layout.frequencies, strict=True):
+            if x in now and self.series[now.index(x)].frequency != frequency:
+                found.append(f"series {x}: frequency {frequency}")
+        if spec.block_names != tuple(self.blocks):
+            found.append(f"blocks {', '.join(spec.block_names)}")
+        if spec.layout.clock != self.settings.clock:
+            found.append(f"clock {spec.layout.clock}")
+        return found
 
 
 class ConfigSource(Protocol):
