@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions import dates as D
 from tidegauge.functions import frequency as Q
+from tidegauge.operators import evaluation as E
 from tidegauge.operators import missing as X
 from tidegauge.operators import moments as M
 from tidegauge.operators import panel as P
+from tidegauge.operators import scalar as S
 from tidegauge.operators import vintage as V
+from tidegauge.plans import kernel as K
 
 RELEASES = [
     (25, "2024-03-01", "2024-03-25"),
@@ -104,3 +107,31 @@ def test_unpivot_and_pivot_round_trip(spark):
     panel = small(spark, [1.0, 2.0]).unionByName(small(spark, [3.0, None], "b"))
     back = P.unpivot(P.pivot(panel, ["a", "b"]))
     assert sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, panel.collect()), key=str)
+
+
+def test_rotation_of_several_factors(spark):
+    rng = np.random.default_rng(5)
+    true = rng.normal(size=(30, 3))
+    turn = np.linalg.qr(rng.normal(size=(3, 3)))[0]
+    seen = true @ turn
+    rows = spark.createDataFrame([(t, k, float(true[t, k]), float(seen[t, k])) for t in range(30) for k in range(3)], "t int, k int, true double, estimate double")
+    got = E.recovery(E.rotated(rows, "t"), "k").collect()
+    assert len(got) == 4 and all(abs(r["correlation"] - 1) < 1e-9 and r["rmse"] < 1e-9 for r in got)
+
+
+def test_long_series_of_one_state(spark):
+    y = np.random.default_rng(3).normal(size=1000)
+    rows = spark.createDataFrame([("a", t, float(y[t]) if t % 7 else None) for t in range(1000)] + [("b", 0, 1.0), ("c", 0, None), ("c", 1, 2.0)], "series_id string, t int, z double")
+    arrays = S.as_arrays(rows)
+    z, v = {}, {}
+    for name, ys in (("a", [None if t % 7 == 0 else y[t] for t in range(1000)]), ("b", [1.0]), ("c", [None, 2.0])):
+        p = K.Params(np.array([[S.A]]), np.ones((1, 1)), np.array([[S.Q]]), np.array([[S.R]]), np.array([S.Z0]), np.array([[S.V0]]))
+        f = K.kalman_filter(np.array([[np.nan if x is None else x] for x in ys]), p)
+        s = K.smooth(f, p.a)
+        z |= {(name, t): (f.zu[t + 1, 0], s.z[t + 1, 0]) for t in range(len(ys))}
+        v |= {(name, t): s.v[t + 1, 0, 0] for t in range(len(ys))}
+    filtered = {(r["series_id"], r["t"]): r["z"] for r in S.filtered(arrays).collect()}
+    smoothed = {(r["series_id"], r["t"]): (r["z"], r["v"]) for r in S.smoothed(arrays).collect()}
+    assert filtered.keys() == smoothed.keys() == z.keys()
+    for k in z:
+        assert abs(filtered[k] - z[k][0]) < 1e-9 and abs(smoothed[k][0] - z[k][1]) < 1e-6 and abs(smoothed[k][1] - v[k]) < 1e-6

@@ -38,6 +38,16 @@ def test_late_rows_are_marked(spark, tmp_path):
     assert len(rows) == 2 and sum(r["late"] for r in rows) in (0, 1)
 
 
+def test_epochs_and_missing_positions(spark, tmp_path):
+    assert filters._advance((-1, 1.0, 1.0, 0.0), 2, None, 0.8, 0.1, 0.5)[1:3] == (0.8**3, (0.64 * (0.64 * 0.74 + 0.1) + 0.1))
+    rows = [("a", 1_700_000_000, 1.0), ("a", None, 2.0), ("a", 1_700_000_001, None)]
+    spark.createDataFrame(rows, "series_id string, t long, value double").coalesce(1).write.parquet(str(tmp_path / "epoch"))
+    stream = spark.readStream.schema("series_id string, t long, value double").parquet(str(tmp_path / "epoch"))
+    run(filters.kalman_stream(stream), "epochs")
+    got = spark.table("epochs").collect()
+    assert sorted((r["t"] is None, r["t"], r["late"]) for r in got) == [(False, 1_700_000_000, False), (False, 1_700_000_001, False), (True, None, True)]
+
+
 def test_growing_panel(spark, tmp_path):
     rows = [(f"2024-01-{d:02d} 10:00:00", "x" if d % 2 else "y", float(d)) for d in range(1, 11)] * 2
     df = spark.createDataFrame(rows, "ts string, kind string, v double").withColumn("ts", F.col("ts").cast("timestamp"))

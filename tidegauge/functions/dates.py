@@ -99,3 +99,28 @@ def date_range(df: DataFrame, start: Column, end: Column, frequency: str, name:
 
 def same_month(a: str | Column, b: str | Column) -> Column:
     return F.trunc(_c(a), "MM") == F.trunc(_c(b), "MM")
+
+
+def date_range_of(df: DataFrame, start: Column, periods: int | Column, frequency: str, name: str = "period") -> DataFrame:
+    """``df`` with a row for each of ``periods`` dates, stepping from the start itself; none for fewer than one."""
+    n = periods if isinstance(periods, Column) else F.lit(periods)
+    steps = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    return df.withColumn(name, F.explode(F.transform(steps, lambda k: step_back(start, -k, frequency))))
+
+
+def at_position(t: str | Column, start: Column, frequency: str) -> Column:
+    """The date of a calendar position that counts from ``start``."""
+    return step_back(start, -_c(t), frequency)
+
+
+def days_in_month(date: str | Column) -> Column:
+    return F.dayofmonth(F.last_day(_c(date)))
+
+
+def make_date(year: Column, month: Column, day: Column) -> Column:
+    """Null for a day that the month lacks."""
+    return F.try_make_timestamp(year, month, day, F.lit(0), F.lit(0), F.lit(0)).cast("date")
+
+
+def written(date: str | Column, pattern: str = "yyyy-MM-dd") -> Column:
+    return F.date_format(_c(date), pattern)

@@ -14,7 +14,7 @@ PERIODS_PER_YEAR = {"d": 365, "w": 52, "m": 12, "q": 4, "sa": 2, "a": 1}
 DEFAULT_PERIODS = 12
 #: Calendar rows between two observations of a series on a monthly clock.
 ROW_STEP = {"m": 1, "q": 3, "sa": 6, "a": 12}
-#: Longest tent that a pair without an entry may fall back to.
+#: Longest tent that a pair without an entry may fall back to, and the tents of pairs. Fixed values.
 MAX_TENT = 12
 TENTS = {
     ("q", "m"): (1, 2, 3, 2, 1),

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.transforms import in_order
+from ..plans.linalg import rotation
 
 
 def naive(panel: DataFrame) -> DataFrame:
@@ -42,6 +44,26 @@ def summary(rows: DataFrame, by: str, value: str) -> DataFrame:
     return rows.groupBy(by).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("low"), F.max(value).alias("high"))
 
 
+def rotated(rows: DataFrame, key: str) -> DataFrame:
+    """(key, k, true, estimate) with the estimates turned by the orthogonal matrix nearest to the true values.
+
+    The k x k cross products are one aggregate, their SVD one worker call, and the turn a join and a sum.
+    """
+    pairs = rows.select(key, F.col("k").alias("i"), "estimate").join(rows.select(key, F.col("k").alias("j"), "true"), key)
+    cross = pairs.groupBy("i", "j").agg(F.sum(F.col("estimate") * F.col("true")).alias("value"))
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        names = sorted(set(pdf["i"]))
+        m = pdf.pivot(index="i", columns="j", values="value").reindex(index=names, columns=names).fillna(0.0).to_numpy()
+        turn = rotation(m)
+        return pd.DataFrame([(a, b, float(turn[x, y])) for x, a in enumerate(names) for y, b in enumerate(names)])
+
+    kind = rows.schema["k"].dataType.simpleString()
+    turn = cross.withColumn("model", F.lit(0)).groupBy("model").applyInPandas(one, f"i {kind}, j {kind}, w double")
+    turned = rows.select(key, F.col("k").alias("i"), "estimate").join(turn, "i").groupBy(key, F.col("j").alias("k")).agg(F.sum(F.col("estimate") * F.col("w")).alias("estimate"))
+    return rows.select(key, "k", "true").join(turned, [key, "k"])
+
+
 def recovery(rows: DataFrame, by: str, true: str = "true", estimate: str = "estimate") -> DataFrame:
     """Correlation and error of estimated factors or loadings; signs are taken as they are."""
     return rows.rollup(by).agg(F.corr(true, estimate).alias("correlation"), F.sqrt(F.avg(F.pow(F.col(true) - F.col(estimate), 2))).alias("rmse"))

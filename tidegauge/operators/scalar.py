@@ -6,6 +6,8 @@ recursion is an ``aggregate`` over it. Missing cells skip the update.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,14 +44,28 @@ def kalman(arrays: DataFrame, a: float = A, q: float = Q, r: float = R, z0: floa
     return arrays.select("series_id", end.alias("s")).select("series_id", "s.z", "s.v", "s.loglik")
 
 
+def _path(items: Column, start: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """Every state of the fold but the first, in order.
+
+    An array grows by copying, so the fold goes by chunks of about the root of the length: once
+    from chunk to chunk, which gives each chunk its start, and once inside each.
+    """
+    n = F.size(items)
+    width = F.greatest(F.lit(1), F.ceil(F.sqrt(n.cast("double"))).cast("int"))
+    chunks = F.transform(F.sequence(F.lit(0), F.ceil(n / width).cast("int") - 1), lambda k: F.slice(items, k * width + 1, width))
+    starts = F.aggregate(chunks, F.array(start), lambda path, chunk: F.concat(path, F.array(F.aggregate(chunk, F.element_at(path, -1), step))))
+
+    def inside(first: Column, chunk: Column) -> Column:
+        path = F.aggregate(chunk, F.array(first), lambda path, y: F.concat(path, F.array(step(F.element_at(path, -1), y))))
+        return F.slice(path, 2, F.size(chunk))
+
+    return F.flatten(F.zip_with(F.slice(starts, 1, F.size(chunks)), chunks, inside))
+
+
 def _kept(arrays: DataFrame, a: float, q: float, r: float, z0: float, v0: float) -> DataFrame:
-    """Every filtered state, in order."""
-    path = F.aggregate(
-        "ys",
-        F.array(_start(z0, v0)),
-        lambda path, y: F.concat(path, F.array(_step(F.element_at(path, -1), y, a, q, r))),
-    )
-    return arrays.select("series_id", F.slice(path, 2, F.size("ys")).alias("path"))
+    """Every filtered state, in order; series without periods have none."""
+    rows = arrays.where(F.size("ys") > 0)
+    return rows.select("series_id", _path(F.col("ys"), _start(z0, v0), lambda s, y: _step(s, y, a, q, r)).alias("path"))
 
 
 def filtered(arrays: DataFrame, a: float = A, q: float = Q, r: float = R, z0: float = Z0, v0: float = V0) -> DataFrame:
@@ -60,20 +76,21 @@ def filtered(arrays: DataFrame, a: float = A, q: float = Q, r: float = R, z0: fl
 
 def smoothed(arrays: DataFrame, a: float = A, q: float = Q, r: float = R, z0: float = Z0, v0: float = V0) -> DataFrame:
     """series_id, t, z, v given all observations: the backward fold over the filtered states."""
+    names = ("z", "v", "zp", "vp")
 
-    def back(path: Column, s: Column) -> Column:
-        after = F.element_at(path, 1)
+    def back(after: Column, s: Column) -> Column:
         gain = s["v"] * F.lit(a) / after["vp"]
-        here = F.struct(
-            (s["z"] + gain * (after["z"] - after["zp"])).alias("z"), (s["v"] + gain * gain * (after["v"] - after["vp"])).alias("v"), s["zp"].alias("zp"), s["vp"].alias("vp")
-        )
-        return F.concat(F.array(here), path)
-
-    rows = _kept(arrays, a, q, r, z0, v0)
-    last = F.element_at("path", -1)
-    first = F.array(F.struct(last["z"].alias("z"), last["v"].alias("v"), last["zp"].alias("zp"), last["vp"].alias("vp")))
-    path = F.aggregate(F.reverse(F.slice("path", 1, F.size("path") - 1)), first, back)
-    return rows.where(F.size("path") > 0).select("series_id", F.posexplode(path).alias("t", "s")).select("series_id", "t", "s.z", "s.v")
+        z, v = s["z"] + gain * (after["z"] - after["zp"]), s["v"] + gain * gain * (after["v"] - after["vp"])
+        return F.struct(*[c.alias(n) for n, c in zip(names, (z, v, s["zp"], s["vp"]), strict=True)])
+
+    rows = _kept(arrays, a, q, r, z0, v0).select("series_id", F.reverse("path").alias("path"))
+    last = F.element_at("path", 1)
+    first = F.struct(*[last[n].alias(n) for n in names])
+    # the first state stands for itself; a series of one period has no other
+    earlier = F.slice("path", 2, F.size("path"))
+    others = F.when(F.size("path") > 1, _path(earlier, first, back)).otherwise(F.slice(F.array(first), 1, 0))
+    path = F.reverse(F.concat(F.array(first), others))
+    return rows.select("series_id", F.posexplode(path).alias("t", "s")).select("series_id", "t", "s.z", "s.v")
 
 
 def forecast(states: DataFrame, horizon: int, a: float = A) -> DataFrame:

@@ -29,8 +29,9 @@ def growing_panel(events: DataFrame, time: str, series: str, value: str, every:
 def _advance(state: tuple, t: int, y: float | None, a: float, q: float, r: float) -> tuple:
     """Predict to ``t``, however many periods on, and update if there is a value."""
     last, z, v, loglik = state
-    for _ in range(t - last):
-        z, v = a * z, a * a * v + q
+    steps = t - last
+    grown = a**steps  # as many periods as there are, in one step
+    z, v = grown * z, grown * grown * v + q * (steps if a * a == 1 else (1 - grown * grown) / (1 - a * a))
     if y is not None and not math.isnan(y):
         f = v + r
         miss = y - z
@@ -42,21 +43,22 @@ def _advance(state: tuple, t: int, y: float | None, a: float, q: float, r: float
 def kalman_stream(observations: DataFrame, a: float = A, q: float = Q, r: float = R, z0: float = Z0, v0: float = V0) -> DataFrame:
     """Filter a stream (series_id, t, value), one state of four numbers a series.
 
-    Rows of a batch are taken in order of ``t``; periods without a row are predicted over. A row
-    at or before the filter's position comes too late to count: it passes marked, and changes
-    nothing.
+    Rows of a batch are taken in order of ``t``; periods without a row are predicted over, however
+    many there are, in one step. A row at or before the filter's position comes too late to count,
+    and one without ``t`` has no place: both pass marked, and change nothing.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         now = state.get if state.exists else (-1, z0, v0, 0.0)
         rows = []
-        for t, y in sorted((int(t), float(y)) for pdf in frames for t, y in zip(pdf["t"], pdf["value"], strict=True)):
-            late = t <= now[0]
+        cells = [(None if pd.isna(t) else int(t), float(y)) for pdf in frames for t, y in zip(pdf["t"], pdf["value"], strict=True)]
+        for t, y in sorted(cells, key=lambda x: (x[0] is None, x[0] or 0, math.isnan(x[1]), x[1])):
+            late = t is None or t <= now[0]
             if not late:
                 now = _advance(now, t, y, a, q, r)
             rows.append((key[0], t, y, now[1], now[2], now[3], late))
         state.update(tuple(now))
-        yield pd.DataFrame(rows, columns=["series_id", "t", "value", "z", "v", "loglik", "late"])
+        yield pd.DataFrame(rows, columns=["series_id", "t", "value", "z", "v", "loglik", "late"]).astype({"t": "Int64"})
 
     rows = observations.select("series_id", F.col("t").cast("long").alias("t"), F.col("value").cast("double").alias("value"))
     return rows.groupBy("series_id").applyInPandasWithState(step, FILTERED, STATE, "append", GroupStateTimeout.NoTimeout)
