@@ -75,6 +75,54 @@ def test_backtest_and_dataset(trained):
         trained.nowcast("zz", "2020-12-01", "2020-12-01")
 
 
+def test_dataset_by_weeks(trained):
+    rows = trained.dataset("q", ["2020-12-01"], 3).collect()
+    assert len(rows[0]["path"]) == 4 and rows[0]["path"][-1] == rows[0]["baseline"] and rows[0]["path"][0] != rows[0]["path"][-1]
+
+
+def test_targets_views_and_summary(trained):
+    from datetime import date
+
+    assert trained._target("2020q4") == trained._target("2020-12-01") == trained._target(date(2020, 12, 1)) == trained._target(71) == 71
+    assert trained._target("2016") == trained._target("2016s1") == 12 and trained._target("2015m3") == 2
+    assert trained.view("2020-11-20") is trained.view("2020-11-20") and trained.time().count() == 72
+    told = trained.summary().first()
+    assert told["iterations"] == len(trained.model.fitted.logliks) and told["loglik"] == pytest.approx(trained.model.fitted.logliks[-1])
+    lines = trained.backtest_lines(trained.backtest("q", "2020-12-01", 2))
+    assert lines.count() == 6 and {r["kind"] for r in lines.collect()} == {"nowcast", "actual", "error"}
+
+
+def test_functions_of_the_package(spark, csv, caplog):
+    import tidegauge
+
+    tidegauge.reset()
+    assert tidegauge.config() is None and tidegauge.result() is None
+    tidegauge.from_dict(CONFIG)
+    tidegauge.load_data(csv, "2015-01-01", "2020-12-01")
+    tidegauge.train(max_iter=2, idio_rho0=0.3, ar_clip_max=0.05, ar_clip_min=-0.05)
+    assert tidegauge.default().model.spec.options.rho0 == 0.3 and tidegauge.predict(2).count() == 8 and tidegauge.config().series_ids() == NAMES
+    assert "not converged" in caplog.text and "ar clip" in caplog.text
+    assert tidegauge.result().count() > 0 and tidegauge.kalman_filter is not None and tidegauge.rmse is not None
+    tidegauge.reset()
+    with pytest.raises(AttributeError):
+        tidegauge.no_such_thing
+
+
+def test_store_tells_of_other_configurations(trained, spark, tmp_path, csv, caplog):
+    store = tables.ParquetStore(spark, str(tmp_path))
+    saved = store.save(trained.fits, trained.model.spec)
+    FactorSession(spark).from_dict({"series": {"a": {}, "zz": {}}}).load_result(store, saved)
+    assert "series zz is new" in caplog.text
+
+
+def test_database(spark):
+    panel = tables.in_memory(spark, [[1.0, None], [2.0, 3.0]], ["a", "b"])
+    db = tables.JdbcDatabase(spark, "jdbc:derby:memory:panels;create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"})
+    db.write(panel, "cells")
+    key = lambda r: (r["period"], r["series_id"])
+    assert sorted(db.read("cells").collect(), key=key) == sorted(panel.collect(), key=key)
+
+
 def test_store(trained, spark, tmp_path, csv):
     store = tables.ParquetStore(spark, str(tmp_path))
     assert store.list() == []

@@ -19,7 +19,7 @@ from ..functions.dates import step_back
 from ..functions.frequency import higher, periods_per_year
 from ..plans import kernel, linalg
 from .missing import to_matrix
-from .vintage import views
+from .vintage import released, views
 
 FIT_SCHEMA = "model string, kind string, name string, i int, j int, value double"
 _MATRICES = ("a", "c", "q", "r", "z0", "v0")
@@ -35,6 +35,7 @@ class ModelSpec:
     max_iter: int = 50
     threshold: float = 1e-5
     clip: float | None = None
+    options: kernel.Options = kernel.Options()
 
     def json(self) -> str:
         return json.dumps(asdict(self))
@@ -42,9 +43,10 @@ class ModelSpec:
     @classmethod
     def from_json(cls, text: str) -> ModelSpec:
         raw = json.loads(text)
+        options = {k: tuple(v) if isinstance(v, list) else v for k, v in raw.pop("options", {}).items()}
         tuples = {k: tuple(tuple(x) if isinstance(x, list) else x for x in v) if isinstance(v, list) else v for k, v in raw.pop("layout").items()}
         raw = {k: tuple(v) if isinstance(v, list) else v for k, v in raw.items()}
-        return cls(layout=kernel.Layout(**tuples), **raw)
+        return cls(layout=kernel.Layout(**tuples), options=kernel.Options(**options), **raw)
 
 
 def _cells(kind: str, name: list[str] | str, values: np.ndarray) -> pd.DataFrame:
@@ -67,6 +69,8 @@ def _result(spec: ModelSpec, fitted: kernel.Fit, x: np.ndarray) -> pd.DataFrame:
         parts.append(_cells(f"loading:{name}", list(spec.series), lags.sum(1)))
     parts.append(_cells("loglik", "em", np.array(fitted.logliks)[None, :]))
     parts.append(_cells("converged", "em", np.array([[float(fitted.converged)]])))
+    if fitted.guards:
+        parts.append(_cells("guard", list(fitted.guards), np.array([[float(n)] for n in fitted.guards.values()])))
     return pd.concat(parts, ignore_index=True)
 
 
@@ -75,7 +79,7 @@ def fit(panel: DataFrame, spec: ModelSpec, model: str = "model") -> DataFrame:
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         x = to_matrix(pdf, list(spec.series))
-        out = _result(spec, kernel.fit(x, spec.layout, spec.max_iter, spec.threshold, spec.clip), x)
+        out = _result(spec, kernel.fit(x, spec.layout, spec.max_iter, spec.threshold, spec.clip, spec.options), x)
         out.insert(0, "model", key[0])
         return out
 
@@ -93,7 +97,7 @@ class Model:
     @classmethod
     def from_table(cls, fits: DataFrame, spec: ModelSpec, model: str | None = None) -> Model:
         """Collects the parameters of one model: matrices of its state size, whatever the data's size."""
-        rows = fits.where(F.col("kind").isin("matrix", "mean", "std", "loglik", "converged"))
+        rows = fits.where(F.col("kind").isin("matrix", "mean", "std", "loglik", "converged", "guard"))
         pdf = (rows if model is None else rows.where(F.col("model") == model)).toPandas()
 
         def matrix(kind: str, name: str | None = None) -> np.ndarray:
@@ -105,7 +109,13 @@ class Model:
         m = {k: matrix("matrix", k) for k in _MATRICES}
         params = kernel.Params(**{k: v[0] if k == "z0" else v for k, v in m.items()})
         fitted = kernel.Fit(
-            spec.layout, params, matrix("mean")[:, 0], matrix("std")[:, 0], matrix("loglik").ravel().tolist(), bool(matrix("converged").any())
+            spec.layout,
+            params,
+            matrix("mean")[:, 0],
+            matrix("std")[:, 0],
+            matrix("loglik").ravel().tolist(),
+            bool(matrix("converged").any()),
+            {r["name"]: int(r["value"]) for _, r in pdf[pdf["kind"] == "guard"].iterrows()},
         )
         return cls(spec, fitted)
 
@@ -171,6 +181,50 @@ def diagnose(fits: DataFrame, top: int = 5) -> DataFrame:
     return loadings(fits).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
 
 
+def fit_summary(fits: DataFrame) -> DataFrame:
+    """Of each model: iterations, last log-likelihood, whether it converged, and how often guards acted."""
+    n = lambda kind: F.col("kind") == kind
+    return fits.groupBy("model").agg(
+        F.count_if(n("loglik")).alias("iterations"),
+        F.max_by("value", F.when(n("loglik"), F.col("j"))).alias("loglik"),
+        F.max(F.when(n("converged"), F.col("value") > 0)).alias("converged"),
+        F.coalesce(F.sum(F.when(n("guard"), F.col("value"))), F.lit(0.0)).alias("guarded"),
+    )
+
+
+STATES_SCHEMA = "t int, k int, n_observed int, z_filtered double, v_filtered double, z double, v double, loglik double"
+
+
+def fixed_states(model: Model, panel: DataFrame) -> DataFrame:
+    """Filtered and smoothed states of a panel under the model's parameters; position -1 is the start."""
+    names = list(model.spec.series)
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = to_matrix(pdf, names)
+        y, first = model.fitted.standardise(x), int(pdf["t"].min())
+        f = kernel.kalman_filter(y, model.fitted.params)
+        s = kernel.smooth(f, model.fitted.params.a)
+        n_seen = [0, *np.isfinite(y).sum(1).tolist()]
+        return pd.DataFrame(
+            [(first + t - 1, k, n_seen[t], f.zu[t, k], f.vu[t, k, k], s.z[t, k], s.v[t, k, k], f.loglik) for t in range(len(s.z)) for k in range(s.z.shape[1])]
+        )
+
+    return panel.select(F.lit(0).alias("model"), "t", "series_id", "value").groupBy("model").applyInPandas(one, STATES_SCHEMA)
+
+
+def em_update(model: Model, panel: DataFrame) -> DataFrame:
+    """The parameters after one EM step from the model's own, by matrix and place, and the log-likelihood before it."""
+    names = list(model.spec.series)
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        y = model.fitted.standardise(to_matrix(pdf, names))
+        new, loglik = kernel.em_step(y, model.fitted.params, model.spec.layout, model.spec.options)
+        parts = [_cells("matrix", k, getattr(new, k)) for k in _MATRICES] + [_cells("loglik", "loglik", np.array([[loglik]]))]
+        return pd.concat(parts, ignore_index=True)[["name", "i", "j", "value"]]
+
+    return panel.select(F.lit(0).alias("model"), "t", "series_id", "value").groupBy("model").applyInPandas(one, "name string, i int, j int, value double")
+
+
 def forecast(spark: SparkSession, model: Model, panel: DataFrame, horizon: int | None = None) -> DataFrame:
     """Each series ``horizon`` periods after the panel's end (a year by default)."""
     h, names = horizon or periods_per_year(model.spec.layout.clock), list(model.spec.series)
@@ -267,25 +321,44 @@ def backtest_summary(steps: DataFrame) -> DataFrame:
     )
 
 
-def dataset(model: Model, panel: DataFrame, series: str, periods: list[int], lead_days: int = 0) -> DataFrame:
-    """For each period: the nowcast just before its release, the actual, their difference, and features.
+def dataset(model: Model, panel: DataFrame, series: str, periods: list[int], backward: int = 0) -> DataFrame:
+    """For each period: its nowcast without its own value, the actual, their difference, and features.
 
+    With ``backward`` the nowcast is made on each of so many weeks before the period and in it, as the
+    cells were released by then; ``path`` holds them, oldest first, and the last is the baseline.
     Features are the factors at the last known period and the mean of the panel's last row.
     """
     i, names, layout = model.index(series), list(model.spec.series), model.spec.layout
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x, t = to_matrix(pdf, names), int(key[0])
+        t = int(key[0])
+        x = to_matrix(pdf, names)
         actual, x[t, i] = x[t, i], np.nan
         x[t + 1 :] = np.nan
-        baseline = kernel.nowcast(model.fitted, x, t, i)
+        path = []
+        if backward:
+            date = pd.to_datetime(pdf.loc[pdf["t"] == t, "period"]).iloc[0]
+            for weeks in range(backward, -1, -1):
+                view = date - pd.Timedelta(weeks=weeks)
+                known = (pd.to_datetime(pdf["period"]) <= view) & ~(pd.to_datetime(pdf["release_date"]) > view)
+                past = to_matrix(pdf.assign(value=pdf["value"].where(known)), names)
+                past[t, i] = np.nan
+                path.append(kernel.nowcast(model.fitted, past, t, i))
+        else:
+            path.append(kernel.nowcast(model.fitted, x, t, i))
+        baseline = path[-1]
         _, s = kernel.smoothed_panel(model.fitted, x[: t + 1])
         last = x[t][np.isfinite(x[t])]
         state = [float(s.z[-1, o]) for b, o in enumerate(layout.offsets[:-1])]
-        return pd.DataFrame([(t, series, baseline, actual, actual - baseline, [*state, float(last.mean()) if len(last) else 0.0])])
-
-    rows = panel.select("t", "series_id", "value", F.explode(F.array(*[F.lit(int(p)) for p in periods])).alias("period_t"))
-    return rows.groupBy("period_t").applyInPandas(one, "t int, series_id string, baseline double, actual double, target double, features array<double>")
+        return pd.DataFrame([(t, series, baseline, actual, actual - baseline, [*state, float(last.mean()) if len(last) else 0.0], path)])
+
+    columns = ["t", "series_id", "value"]
+    if backward:
+        panel, columns = released(panel), ["t", "period", "release_date", "series_id", "value"]
+    rows = panel.select(*columns, F.explode(F.array(*[F.lit(int(p)) for p in periods])).alias("period_t"))
+    return rows.groupBy("period_t").applyInPandas(
+        one, "t int, series_id string, baseline double, actual double, target double, features array<double>, path array<double>"
+    )
 
 
 STATE_SCHEMA = "t int, series_id string, nowcast double, history array<double>, residuals array<double>, factors array<double>, features array<double>"
@@ -318,6 +391,23 @@ def states(model: Model, panel: DataFrame, series: str, periods: list[int], look
     return rows.groupBy("period_t").applyInPandas(one, STATE_SCHEMA)
 
 
+def equal_loadings(rows: DataFrame, y: str, xs: list[str]) -> DataFrame:
+    """Least-squares loadings of ``y`` on ``xs`` (few columns) held equal, from one row of sums."""
+    columns, n = [*xs, y], len(xs)
+    places = [(i, j) for i in range(n + 1) for j in range(i, n + 1)]
+    sums = [F.sum(F.col(columns[i]) * F.col(columns[j])).alias(f"s{i}_{j}") for i, j in places]
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        cross = np.zeros((n + 1, n + 1))
+        for i, j in places:
+            cross[i, j] = cross[j, i] = pdf[f"s{i}_{j}"].iloc[0]
+        root = np.linalg.cholesky(cross[:n, :n] + 1e-12 * np.eye(n)).T  # n rows with the same normal equations
+        held = np.hstack([np.ones((n - 1, 1)), -np.eye(n - 1)])
+        return pd.DataFrame({"x": xs, "loading": linalg.constrained_ls(root, np.linalg.solve(root.T, cross[:n, n]), held, np.zeros(n - 1))})
+
+    return rows.agg(*sums).withColumn("model", F.lit(0)).groupBy("model").applyInPandas(one, "x string, loading double")
+
+
 def principal_components(panel: DataFrame, k: int = 1) -> tuple[DataFrame, DataFrame]:
     """Loadings (series_id, k, value) and factors (t, k, value) of the standardised panel.
 

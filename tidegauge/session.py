@@ -3,18 +3,28 @@
 from __future__ import annotations
 
 import logging
+import re
 from collections.abc import Callable, Mapping
+from datetime import date
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.dates import parse_period
 from .operators import models as G
 from .operators import panel as P
 from .sources import config as C
 from .sources import tables
 
 log = logging.getLogger(__name__)
+#: Periods by name: ``2024m3``, ``2024q1``, ``2024s2``, ``2024``.
+PERIOD_NAME = re.compile(r"\d{4}(?:([mqs])\d{1,2})?$")
+#: What the package offers as functions on the default session.
+ON_DEFAULT = tuple(
+    """load_config load_data load_result train predict plot_data nowcast decompose update backtest dataset state reset
+    from_yaml from_spec from_spec_df from_dict factors loadings smoothed diagnose report summary data original_data time quality""".split()
+)
 
 
 class FactorSession:
@@ -29,6 +39,7 @@ class FactorSession:
         self.panel: DataFrame | None = None
         self.fits: DataFrame | None = None
         self.model: G.Model | None = None
+        self._views: tables.ViewManager | None = None
 
     # configuration
 
@@ -77,7 +88,7 @@ class FactorSession:
         clock = self._configured().settings.clock
         if not transform:
             spec = spec.withColumn("transformation", F.lit("lin"))
-        self.panel = P.load(rows, spec, start, end, clock)
+        self.panel, self._views = P.load(rows, spec, start, end, clock), None
         return self
 
     def _data(self) -> DataFrame:
@@ -91,27 +102,43 @@ class FactorSession:
     def original_data(self) -> DataFrame:
         return self._data().select("period", "t", "series_id", F.col("raw_value").alias("value"))
 
+    def time(self) -> DataFrame:
+        """The calendar: position and period."""
+        return self._data().select("t", "period").distinct()
+
+    def view(self, view_date: str) -> DataFrame:
+        """The panel as known on a date; asked for again, the same one."""
+        if self._views is None:
+            self._views = tables.ViewCatalogue(self._data())
+        return self._views.get(view_date)
+
     def quality(self) -> DataFrame:
         return P.quality(self._data())
 
     # training
 
-    def train(self, max_iter: int | None = None, threshold: float | None = None, store: tables.ResultStore | None = None) -> FactorSession:
-        """Fit the model; with a store also save the result."""
+    def train(self, max_iter: int | None = None, threshold: float | None = None, store: tables.ResultStore | None = None, **overrides: Any) -> FactorSession:
+        """Fit the model; with a store also save the result. Settings given here go before the configuration's."""
         here = {r["series_id"] for r in self._data().select("series_id").distinct().collect()}
         names = [s.series_id for s in self._configured().series if s.series_id in here]
-        spec = self._configured().model(names, max_iter, threshold)
+        spec = self._configured().model(names, max_iter, threshold, **overrides)
         self.fits = G.fit(self._data(), spec).cache()
         self.model = G.Model.from_table(self.fits, spec)
         if not self.model.fitted.converged:
             log.warning("not converged in %d iterations", spec.max_iter)
+        for line in self._configured().warnings(self.model.fitted.guards):
+            log.warning("%s", line)
         if store is not None:
             store.save(self.fits, spec)
         return self
 
     def load_result(self, store: tables.ResultStore, result_id: str) -> FactorSession:
+        """A stored result; what the configuration says otherwise than the result's own is logged."""
         self.fits, spec = store.load(result_id)
         self.model = G.Model.from_table(self.fits, spec)
+        if self.config is not None:
+            for line in self.config.drift_from(spec):
+                log.warning("the result was fitted otherwise: %s", line)
         return self
 
     def _trained(self) -> G.Model:
@@ -145,7 +172,26 @@ class FactorSession:
         f = self.factors().select(F.lit("factor").alias("kind"), F.concat_ws("_", "block", "k").alias("name"), "t", "value")
         return f.unionByName(self.predict(horizon).select(F.lit("forecast").alias("kind"), F.col("series_id").alias("name"), "t", "value"))
 
-    def _target(self, period: str) -> int:
+    def backtest_lines(self, steps: DataFrame) -> DataFrame:
+        """What a backtest chart shows: view_date, kind (nowcast, actual, error), value."""
+        return steps.unpivot("view_date", ["nowcast", "actual", "error"], "kind", "value")
+
+    def summary(self) -> DataFrame:
+        """Iterations, last log-likelihood, convergence and guards of the fit."""
+        self._trained()
+        return G.fit_summary(self.fits)
+
+    def _target(self, period: str | int | date) -> int:
+        """The position of a period: its date, ISO text, name such as ``2024q1``, or the position itself."""
+        if isinstance(period, int):
+            if period < 0:
+                raise ValueError(f"{period} lies before the data")
+            return period
+        if isinstance(period, date):
+            period = period.isoformat()[:10]
+        if named := PERIOD_NAME.match(period.strip().lower()):
+            f = {"m": "m", "q": "q", "s": "sa", "": "a"}[named[1] or ""]
+            period = str(self.spark.range(1).select(parse_period(F.lit(period), f).alias("p")).first()["p"])
         start = self._data().agg(F.min("period").alias("p"), F.min("t").alias("t")).first()
         clock = self._configured().settings.clock
         row = self.spark.range(1).select(F.lit(start["p"]).alias("a"), F.lit(period).cast("date").alias("b"))
@@ -178,8 +224,8 @@ class FactorSession:
         dates = G.view_dates(self.spark, period, steps, spec.clock, higher_frequency)
         return G.backtest(self._trained(), self._data(), dates, series, self._target(period))
 
-    def dataset(self, series: str, periods: list[str]) -> DataFrame:
-        return G.dataset(self._trained(), self._data(), series, [self._target(p) for p in periods])
+    def dataset(self, series: str, periods: list[str], backward: int = 0) -> DataFrame:
+        return G.dataset(self._trained(), self._data(), series, [self._target(p) for p in periods], backward)
 
     def state(self, series: str, periods: str | list[str], lookback: int | None = None) -> DataFrame:
         """Nowcast, history, residuals, factors and feature vector of a series at each period."""

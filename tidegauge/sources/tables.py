@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import json
+import shutil
+import tempfile
 import uuid
 from datetime import datetime, timezone
 from typing import Protocol
@@ -23,14 +26,15 @@ def read_csv(spark: SparkSession, path: str, date_column: str | None = None) ->
     its own; the file is scanned once, without schema inference.
     """
     raw = spark.read.csv(path, header=True, inferSchema=False)
-    first, *rest = raw.columns
-    key = date_column or first
+    key = date_column or raw.columns[0]
+    rest = [c for c in raw.columns if c != key]
+    # a name that no series and no date has
+    raw, key = raw.withColumnRenamed(key, "__key"), "__key"
     is_date = spark.createDataFrame([(c,) for c in rest], "name string").select(F.count_if(parse_timestamp("name").isNotNull()).alias("n")).first()["n"]
     if rest and is_date == len(rest):
         long = unpivot(raw, key, rest).select(parse_timestamp("series_id").cast("date").alias("period"), F.col(key).alias("series_id"), "value")
     else:
-        names = [c for c in raw.columns if c != key]
-        long = unpivot(raw, key, names).select(parse_timestamp(key).cast("date").alias("period"), "series_id", "value")
+        long = unpivot(raw, key, rest).select(parse_timestamp(key).cast("date").alias("period"), "series_id", "value")
     return long.where(F.col("period").isNotNull()).select(*KEYS, finite(F.col("value").try_cast("double")).alias("value"))
 
 
@@ -51,9 +55,53 @@ def in_memory(spark: SparkSession, rows: list[list[float | None]], series: list[
     return df.select(F.add_months(F.lit(start).cast("date"), F.col("k")).alias("period"), "series_id", "value")
 
 
-def write(panel: DataFrame, path: str) -> None:
+def write(panel: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """One folder a year: later readers of a range of dates read only its years."""
-    panel.withColumn("year", F.year("period")).write.partitionBy("year").parquet(path)
+    panel.withColumn("year", F.year("period")).write.mode(mode).partitionBy("year").parquet(path)
+
+
+_own: dict[str, str] = {}
+
+
+def scratch(spark: SparkSession) -> str:
+    """A folder that driver and executors share, below ``spark.checkpoint.dir``; in local mode a temporary one will do."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not (spark.sparkContext.master + "[").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if "local" not in _own:
+            _own["local"] = tempfile.mkdtemp(prefix="tidegauge-panel-")
+            atexit.register(shutil.rmtree, _own["local"], ignore_errors=True)
+        base = _own["local"]
+    return f"{base.rstrip('/')}/panel-{spark.sparkContext.applicationId}"
+
+
+class Database(Protocol):
+    """Reads and writes panels by table name."""
+
+    def read(self, table: str) -> DataFrame: ...
+    def write(self, panel: DataFrame, table: str) -> None: ...
+
+
+class JdbcDatabase:
+    """A database by its JDBC address; Spark opens and closes the connections."""
+
+    def __init__(self, spark: SparkSession, url: str, properties: dict[str, str] | None = None) -> None:
+        self.spark, self.url, self.properties = spark, url, properties or {}
+
+    def read(self, table: str) -> DataFrame:
+        return read_jdbc(self.spark, self.url, table, self.properties)
+
+    def write(self, panel: DataFrame, table: str) -> None:
+        panel.select(*KEYS, "value").write.jdbc(self.url, table, mode="overwrite", properties=self.properties)
+
+
+class ViewManager(Protocol):
+    """Hands out views of a panel by date."""
+
+    def get(self, view_date: str) -> DataFrame: ...
+    def list(self) -> list[str]: ...
+    def latest(self) -> DataFrame | None: ...
 
 
 class ResultStore(Protocol):
