@@ -5,8 +5,11 @@ Dates leave as ISO text and doubles rounded, so a result can be compared with an
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,8 +23,11 @@ from ..operators import moments as M
 from ..operators import panel as P
 from ..operators import scalar as S
 from ..operators import vintage as V
-from ..sources.config import ModelConfig, issues
+from ..sources import tables
+from ..sources.config import MappingSource, MergedSource, ModelConfig, issues, spec_mapping, write_yaml
+from ..sources.config import load as load_config
 from . import fixtures as T
+from . import linalg
 from .kernel import Layout
 from .oracle import ORACLE_SQL as ORACLE_SQL
 
@@ -313,8 +319,8 @@ def clock_table(spark, sf_dir):
 
 @query
 def tent_weights(spark, sf_dir):
-    n = spark.range(1, 13).select(F.col("id").alias("n"))
-    return out(n.select("n", F.posexplode(F.transform(F.sequence(F.lit(1), "n"), lambda k: F.least(k, F.col("n") + 1 - k))).alias("k", "weight")))
+    rows = [(n, k, w) for n in range(1, 13) for k, w in enumerate(Q.tent(n))]
+    return out(spark.createDataFrame(rows, "n int, k int, weight int"))
 
 
 @query
@@ -476,8 +482,16 @@ def dfm_fit_many(spark, sf_dir):
 
 
 def _nation_model(spark, sf_dir) -> G.Model:
-    spec = _nation_spec(spark, sf_dir, False, True)
-    return G.Model.from_table(G.fit(T.nation_panel(spark, sf_dir), spec), spec)
+    """Fitted once a session and folder; what uses a model then loads it."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _MODELS:
+        spec = _nation_spec(spark, sf_dir, False, True)
+        _MODELS.clear()
+        _MODELS[at] = G.Model.from_table(G.fit(T.nation_panel(spark, sf_dir), spec), spec)
+    return _MODELS[at]
+
+
+_MODELS: dict[tuple[str, str], G.Model] = {}
 
 
 @query
@@ -650,3 +664,303 @@ def default_config(spark: SparkSession, sf_dir: str) -> ModelConfig:
     """The nation specification as a configuration."""
     rows = T.nation_spec(spark, sf_dir).orderBy("ord").collect()
     return ModelConfig.from_mapping({"series": [r.asDict() for r in rows], "max_iter": 10, "threshold": 1e-4})
+
+
+# a model whose parameters are given: filter, smoother, EM step, forecast, nowcast, news, backtest
+
+
+def _fixed(spark, sf_dir):
+    return T.fixed_model(spark, sf_dir), T.prio_released(spark, sf_dir)
+
+
+def _fixed_target(spark, sf_dir) -> int:
+    return P.find_period(T.prio_full(spark, sf_dir), T.TARGET_PERIOD).first()["t"]
+
+
+@query
+def fixed_filter(spark, sf_dir):
+    return out(G.fixed_states(*_fixed(spark, sf_dir)), "t", "n_observed", "z_filtered", "v_filtered")
+
+
+@query
+def fixed_smoother(spark, sf_dir):
+    return out(G.fixed_states(*_fixed(spark, sf_dir)), "t", "z", "v")
+
+
+@query
+def fixed_loglik(spark, sf_dir):
+    return out(G.fixed_states(*_fixed(spark, sf_dir)).agg(F.max("loglik").alias("loglik")))
+
+
+@query
+def fixed_em_step(spark, sf_dir):
+    rows = G.em_update(*_fixed(spark, sf_dir)).where("name <> 'r' or i = j")
+    return out(rows, "name", F.when(F.col("name") == "z0", 0).otherwise(F.col("i")).alias("i"), "value", digits=5)
+
+
+@query
+def fixed_forecast(spark, sf_dir):
+    return out(G.forecast(spark, *_fixed(spark, sf_dir), 6), "series_id", "h", "t", "value", digits=2)
+
+
+@query
+def fixed_nowcast(spark, sf_dir):
+    return out(G.nowcasts(*_fixed(spark, sf_dir), T.VIEWS, "5-LOW", _fixed_target(spark, sf_dir)), digits=2)
+
+
+@query
+def fixed_news(spark, sf_dir):
+    rows = G.news(*_fixed(spark, sf_dir), T.VIEWS, "5-LOW", _fixed_target(spark, sf_dir))
+    return out(rows.groupBy("view_date", "y_old", "y_new").agg(F.sum("news").alias("change"), F.sum("n_cells").alias("n_cells")), digits=2)
+
+
+@query
+def fixed_backtest(spark, sf_dir):
+    return out(G.backtest(*_fixed(spark, sf_dir), T.VIEWS, "5-LOW", _fixed_target(spark, sf_dir)), "view_date", "nowcast", "actual", "error", "abs_error", digits=2)
+
+
+@query
+def fixed_backtest_summary(spark, sf_dir):
+    steps = G.backtest(*_fixed(spark, sf_dir), T.VIEWS, "5-LOW", _fixed_target(spark, sf_dir))
+    return out(G.backtest_summary(steps), "mae", "rmse", "n", "n_failed", digits=2)
+
+
+@query
+def fixed_dataset(spark, sf_dir):
+    t = _fixed_target(spark, sf_dir)
+    return out(G.dataset(*_fixed(spark, sf_dir), "5-LOW", [t - k for k in range(4)]), "t", "series_id", "baseline", "actual", "target", F.element_at("features", 1).alias("factor"), digits=2)
+
+
+@query
+def fixed_dataset_weeks(spark, sf_dir):
+    t = _fixed_target(spark, sf_dir)
+    rows = G.dataset(*_fixed(spark, sf_dir), "5-LOW", [t - 1, t], 6)
+    return out(rows.select("t", F.posexplode("path").alias("step", "nowcast")), digits=2)
+
+
+@query
+def fixed_state(spark, sf_dir):
+    t = _fixed_target(spark, sf_dir)
+    rows = G.states(*_fixed(spark, sf_dir), "5-LOW", [t - 12, t], 3)
+    return out(rows, "t", "series_id", "nowcast", *[F.element_at("history", k).alias(f"h{k}") for k in (1, 2, 3)], F.element_at("residuals", 3).alias("residual"), digits=2)
+
+
+# result tables of a factor that needs no iteration
+
+
+@query
+def wide_factors(spark, sf_dir):
+    return out(G.wide_factors(T.common_fits(spark, sf_dir), ["Block_Global"]), "t", "F1")
+
+
+@query
+def wide_smoothed(spark, sf_dir):
+    wide = G.wide_smoothed(T.common_fits(spark, sf_dir), list(T.FIXED_SERIES)).withColumnsRenamed({n: "p" + n[0] for n in T.FIXED_SERIES})
+    return out(wide, "t", *["p" + n[0] for n in T.FIXED_SERIES], digits=3)
+
+
+@query
+def series_report(spark, sf_dir):
+    return out(G.series_report(T.common_fits(spark, sf_dir), T.prio_full(spark, sf_dir)), "series_id", "largest", "squares", "rmse_percent", digits=5)
+
+
+@query
+def diagnose_top(spark, sf_dir):
+    return out(G.diagnose(T.common_fits(spark, sf_dir), 3), "rank", "series_id", "block", "value")
+
+
+@query
+def factor_recovery_rotated(spark, sf_dir):
+    """The common factor against its negative: the rotation turns it round."""
+    f = M.common_factor(T.prio_full(spark, sf_dir)).select("t", F.lit(0).alias("k"), F.col("f").alias("true"), (F.lit(0.5) - F.col("f")).alias("estimate"))
+    return out(E.recovery(E.rotated(f, "t"), "k"), "k", "correlation", "rmse")
+
+
+@query
+def loading_recovery(spark, sf_dir):
+    part = M.loadings_ls(T.prio_full(spark, sf_dir).where("t < 40")).withColumnRenamed("loading", "estimate")
+    rows = M.loadings_ls(T.prio_full(spark, sf_dir)).withColumnRenamed("loading", "true").join(part, "series_id").withColumn("k", F.lit(0))
+    return out(E.recovery(E.rotated(rows, "series_id"), "k"), "k", "correlation", "rmse")
+
+
+@query
+def pca_pair(spark, sf_dir):
+    """First principal component of two series, whose eigenvector has a closed form."""
+    two = T.prio_full(spark, sf_dir).where(F.col("series_id") < "3")
+    loads, scores = G.principal_components(two, 1)
+    return out(T.union([loads.select(F.lit("loading").alias("kind"), "series_id", F.lit(None).cast("int").alias("t"), "value"), scores.select(F.lit("factor").alias("kind"), F.lit(None).cast("string").alias("series_id"), "t", "value")]))
+
+
+@query
+def constrained_pair(spark, sf_dir):
+    """Least squares of the third series on the first two, held to equal loadings."""
+    z = M.standardise(T.prio_full(spark, sf_dir))
+    wide = z.groupBy("t").pivot("series_id", list(T.FIXED_SERIES[:3])).agg(F.first("z")).toDF("t", "a", "b", "y").where("a is not null and b is not null and y is not null")
+    return out(G.equal_loadings(wide, "y", ["a", "b"]))
+
+
+@query
+def stationary_pair(spark, sf_dir):
+    """V with V = A V A' + Q for a chain of two states."""
+    v = linalg.stationary_covariance(np.array([[0.5, 0.1], [0.0, 0.3]]), np.eye(2))
+    return out(spark.createDataFrame([(i, j, float(v[i, j])) for i in range(2) for j in range(2)], "i int, j int, value double"))
+
+
+# sources and small relational operators
+
+
+def _scratch(spark, sf_dir, name: str) -> str:
+    return f"{tables.scratch(spark)}/{name}"
+
+
+@query
+def csv_dates_down(spark, sf_dir):
+    """The wide panel through a CSV file whose first column holds dates."""
+    path = _scratch(spark, sf_dir, "dates_down")
+    wide = panel_pivot_wide(spark, sf_dir)
+    wide.coalesce(1).write.mode("overwrite").csv(path, header=True)
+    return out(tables.read_csv(spark, path))
+
+
+@query
+def csv_dates_across(spark, sf_dir):
+    """The panel through a CSV file with a row a series and a column a date."""
+    path, line = _scratch(spark, sf_dir, "dates_across"), T.line(spark, sf_dir).where("period between date '1996-01-01' and date '1996-12-01'")
+    dates = [f"1996-{m:02d}-01" for m in range(1, 13)]
+    wide = line.withColumn("period", F.col("period").cast("string")).groupBy("series_id").pivot("period", dates).agg(F.first("value"))
+    wide.coalesce(1).write.mode("overwrite").csv(path, header=True)
+    return out(tables.read_csv(spark, path))
+
+
+@query
+def parquet_years(spark, sf_dir):
+    """The panel through a folder a year, read back for two of them."""
+    path = _scratch(spark, sf_dir, "years")
+    tables.write(T.line(spark, sf_dir), path, "overwrite")
+    return out(P.between(tables.read_parquet(spark, path), "1996-01-01", "1997-12-01"))
+
+
+@query
+def load_pipeline(spark, sf_dir):
+    spec = T.nation_spec(spark, sf_dir)
+    return out(P.load(T.nation(spark, sf_dir), spec, "1996-01-01", "2000-12-01"), "period", "series_id", "t", "value", "raw_value")
+
+
+@query
+def in_memory_panel(spark, sf_dir):
+    return out(tables.in_memory(spark, [[1.0, None], [2.5, float("nan")], [None, -3.0]], ["a", "b"]))
+
+
+@query
+def result_store(spark, sf_dir):
+    store = tables.ParquetStore(spark, f"{_scratch(spark, sf_dir, 'store')}/{uuid.uuid4().hex}")
+    fits, spec = T.common_fits(spark, sf_dir), G.ModelSpec(T.FIXED_SERIES, Layout(("m",) * 5, ((1,),) * 5))
+    store.save(fits.where("kind = 'mean'"), spec)
+    newest = store.save(fits.where("kind like 'loading%'"), spec, "second")
+    listed = store.list()
+    assert [m["result_id"] for m in listed][0] == newest and store.load(newest)[1] == spec
+    return out(store.load(newest)[0], "kind", "name", "value", F.lit(len(listed)).alias("stored"))
+
+
+@query
+def views_newest_first(spark, sf_dir):
+    catalogue = tables.ViewCatalogue(T.nation_panel(spark, sf_dir))
+    for d in (T.VIEWS[1], T.VIEWS[4], T.VIEWS[2]):
+        catalogue.get(d)
+    rows = [catalogue.get(d).agg(F.lit(k).alias("place"), F.lit(d).alias("view_date"), F.count("value").alias("n_available")) for k, d in enumerate(catalogue.list())]
+    return out(T.union(rows))
+
+
+@query
+def view_latest(spark, sf_dir):
+    catalogue = tables.ViewCatalogue(T.nation_panel(spark, sf_dir))
+    catalogue.get(T.VIEWS[0])
+    catalogue.get(T.VIEWS[3])
+    return out(catalogue.latest().drop("transformation", "blocks", "release_day", "release_date", "ord", "frequency"), "series_id", "period", "value")
+
+
+@query
+def appended_columns(spark, sf_dir):
+    lags = T.prio_gap(spark, sf_dir).withColumns({f"lag{k}": F.lag("value", k).over(Window.partitionBy("series_id").orderBy("t")) for k in (1, 12)})
+    return out(lags, "period", "series_id", "lag1", "lag12")
+
+
+@query
+def distinct_codes(spark, sf_dir):
+    return out(T.nation_spec(spark, sf_dir).select("frequency", "transformation").distinct())
+
+
+@query
+def spec_from_flags(spark, sf_dir):
+    """The configuration of a spec table with a 0/1 column a block, as a table again."""
+    spec = T.nation_spec(spark, sf_dir).orderBy("ord")
+    blocks = ["Block_Global", "Block_ASIA", "Block_EUROPE"]
+    flags = spec.select("series_id", "frequency", "transformation", F.col("release_day").alias("Release"), *[F.array_contains("blocks", b).cast("int").alias(b) for b in blocks])
+    config = ModelConfig.from_mapping(spec_mapping(flags))
+    rows = config.series_table(spark).withColumn("blocks", F.array_join(F.array_sort("blocks"), ","))
+    return out(rows, "series_id", "frequency", "transformation", "blocks", "release_day")
+
+
+@query
+def config_merged(spark, sf_dir):
+    """A base with an override: its series win, blocks of both stay, settings of both count."""
+    base = {"series": {"x": {}}, "blocks": {"Block_Global": {"factors": 2}}, "max_iter": 9, "threshold": 0.5}
+    over = {"series": [r.asDict() for r in T.nation_spec(spark, sf_dir).where("ord < 3").orderBy("ord").collect()], "blocks": {b: {} for b in ("Block_AFRICA", "Block_AMERICA", "Block_ASIA", "Block_EUROPE", "Block_MIDDLE EAST")}, "threshold": 0.25}
+    config = ModelConfig.from_mapping(MergedSource(MappingSource(base), MappingSource(over)).mapping())
+    rows = config.series_table(spark).crossJoin(spark.createDataFrame([(config.settings.max_iter, config.settings.threshold, len(config.blocks), config.blocks["Block_Global"].factors)], "max_iter int, threshold double, n_blocks int, global_factors int"))
+    return out(rows, "series_id", "ord", "max_iter", "threshold", "n_blocks", "global_factors")
+
+
+@query
+def config_yaml(spark, sf_dir):
+    """A configuration written as YAML and read back."""
+    rows = [r.asDict() for r in T.nation_spec(spark, sf_dir).where("ord % 3 = 0").orderBy("ord").collect()]
+    mapping = ModelConfig.from_mapping({"series": rows}).to_mapping()
+    with tempfile.TemporaryDirectory() as folder:
+        write_yaml(mapping, folder, "nation")
+        with open(f"{folder}/model.yaml", "w") as f:
+            f.write("defaults:\n- series: nation\n- blocks: nation\nmax_iter: 3\n")
+        config = load_config(f"{folder}/model.yaml")
+    return out(config.series_table(spark), "series_id", "frequency", "transformation", "release_day", F.array_join("blocks", ",").alias("blocks"), F.lit(config.settings.max_iter).alias("max_iter"))
+
+
+# calendar and frequencies once more
+
+
+@query
+def timestamp_forms(spark, sf_dir):
+    """One date written in every form that is read."""
+    days = T.prio(spark, sf_dir).select(F.date_add("period", 9).alias("day")).distinct()
+    forms = {"iso": "yyyy-MM-dd", "time": "yyyy-MM-dd HH:mm:ss", "letter": "yyyy-MM-dd'T'HH:mm:ss", "slashes": "yyyy/MM/dd", "american": "MM/dd/yyyy", "european": "dd-MM-yyyy"}
+    read = [D.parse_timestamp(D.written("day", p)).cast("date").alias(n) for n, p in forms.items()]
+    seconds = D.parse_timestamp(F.unix_timestamp(F.col("day").cast("timestamp")).cast("string")).cast("date").alias("seconds")
+    return out(days, "day", *read, seconds, D.parse_timestamp(F.lit("no date")).cast("date").alias("wrong"))
+
+
+@query
+def calendar_parts(spark, sf_dir):
+    month = T.prio(spark, sf_dir).select("period").distinct()
+    made = D.make_date(F.year("period"), F.month("period"), F.lit(31)).alias("day31")
+    start = F.lit("1995-01-01").cast("date")
+    at = F.months_between("period", start).cast("int")
+    return out(month, "period", D.days_in_month("period").alias("days"), made, D.written("period", "MM/yyyy").alias("label"), D.at_position(at, start, "m").alias("same"))
+
+
+@query
+def date_range_periods(spark, sf_dir):
+    start = T.prio(spark, sf_dir).agg(F.last_day(F.min("period")).alias("low"))
+    frames = [D.date_range_of(start, F.col("low"), 7, f).select(F.lit(f).alias("frequency"), "period") for f in Q.FREQUENCIES]
+    return out(T.union(frames))
+
+
+@query
+def tent_shapes(spark, sf_dir):
+    rows = [(shape, n, k, w) for shape in ("symmetric", "linear", "exponential") for n in range(1, 13) for k, w in enumerate(Q.tent(n, shape))]
+    return out(spark.createDataFrame(rows, "shape string, n int, k int, weight int"))
+
+
+@query
+def aggregation_structure(spark, sf_dir):
+    """Tents of the frequencies that a clock has below it."""
+    rows = [(clock, f, len(w), ",".join(map(str, w))) for clock in ("m", "q") for f, w in Q.aggregation([x for x in ("m", "q", "sa", "a") if Q.rank(x) >= Q.rank(clock)], clock).items()]
+    return out(spark.createDataFrame(rows, "clock string, frequency string, n int, weights string"))

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import panel as P
-from .kernel import Layout
+from ..operators.models import Model, ModelSpec
+from ..operators.moments import common_factor, loadings_ls, standardise
+from .kernel import Fit, Layout, Params
 
 CODES = ("lin", "chg", "ch1", "pch", "pc1", "pca", "cch", "cca", "log")
 VIEWS = [f"2001-{m:02d}-10" for m in range(3, 9)]
@@ -96,3 +99,35 @@ def union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
+FIXED_SERIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+#: One factor, five series, parameters that are given and not estimated.
+FIXED_LOADINGS = (1.0, 0.9, 0.8, 0.7, 0.6)
+FIXED_A, FIXED_Q, FIXED_R = 0.8, 0.1, 0.5
+
+
+def prio_released(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gap panel with a release day a series; the fourth has none."""
+    days = F.element_at(F.array(*[F.lit(d) for d in (5, 12, -3, None, 25)]), F.substring("series_id", 1, 1).cast("int"))
+    return prio_gap(spark, sf_dir).withColumn("release_day", days)
+
+
+def fixed_model(spark: SparkSession, sf_dir: str) -> Model:
+    """Means and deviations of the gap panel; one small row a series comes to the driver."""
+    found = standardise(prio_gap(spark, sf_dir)).groupBy("series_id").agg(F.first("mean").alias("m"), F.first("std").alias("s")).collect()
+    by = {r["series_id"]: r for r in found}
+    layout = Layout(("m",) * 5, ((1,),) * 5, idio=False)
+    params = Params(np.array([[FIXED_A]]), np.array(FIXED_LOADINGS)[:, None], np.array([[FIXED_Q]]), FIXED_R * np.eye(5), np.zeros(1), np.eye(1))
+    fitted = Fit(layout, params, np.array([by[x]["m"] for x in FIXED_SERIES]), np.array([by[x]["s"] for x in FIXED_SERIES]), [0.0], True)
+    return Model(ModelSpec(FIXED_SERIES, layout), fitted)
+
+
+def common_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A result table with the common factor of the priorities, its loadings and their fit, in place of an estimated one."""
+    panel = prio_full(spark, sf_dir)
+    f = common_factor(panel).select(F.lit("factor").alias("kind"), F.lit("Block_Global").alias("name"), F.col("t").alias("i"), F.lit(0).alias("j"), F.col("f").alias("value"))
+    c = loadings_ls(panel).select(F.lit("loading:Block_Global").alias("kind"), F.col("series_id").alias("name"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.col("loading").alias("value"))
+    z = standardise(panel).select("t", "series_id", "mean", "std")
+    x = z.join(f.select(F.col("i").alias("t"), F.col("value").alias("f")), "t").join(c.select(F.col("name").alias("series_id"), F.col("value").alias("c")), "series_id")
+    smooth = x.select(F.lit("smoothed").alias("kind"), F.col("series_id").alias("name"), F.lit(0).alias("i"), F.col("t").alias("j"), (F.col("f") * F.col("c") * F.col("std") + F.col("mean")).alias("value"))
+    base = [z.groupBy("series_id").agg(F.first(k).alias("value")).select(F.lit(k).alias("kind"), F.col("series_id").alias("name"), F.lit(0).alias("i"), F.lit(0).alias("j"), "value") for k in ("mean", "std")]
+    return union([f, c, smooth, *base]).select(F.lit("model").alias("model"), "kind", "name", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), "value")

@@ -389,3 +389,266 @@ add(
     "e as (select date_trunc('week', ts)::date as period, event_type as series_id, sum(value) as value from events group by 1, 2)",
     f"select {CELL}, datediff('day', (select min(period) from e), period) // 7 as t from e",
 )
+
+# a model whose parameters are given: one state, so a period's observations enter by two sums
+LOADINGS = "(case series_id[1] when '1' then 1.0 when '2' then 0.9 when '3' then 0.8 when '4' then 0.7 else 0.6 end)"
+FIXED = (
+    GAP
+    + _z("zs", "gap")
+    + f""",
+        known as (
+            select *, {LOADINGS} as c,
+                   case series_id[1] when '1' then (date_trunc('month', period) + to_days(4))::date when '2' then (date_trunc('month', period) + to_days(11))::date
+                        when '3' then (last_day(period - interval 1 month) - 2)::date when '5' then (date_trunc('month', period) + to_days(least(25, day(last_day(period))) - 1))::date end as release_date
+            from zs),
+        target as (select t, z, value, mean, std from known where period = date '2001-06-01' and series_id = '5-LOW')"""
+)
+
+
+def _fixed(cells: str) -> str:
+    """Filter and smoother of ``cells`` (v, t, c, z): states f (v, t, z, p, zp, pp, ll) and s (v, t, z, p, j)."""
+    return f"""{FIXED},
+        cells as ({cells}),
+        sums as (select v, t, count(z) as n, coalesce(sum(c * c / 0.5) filter (z is not null), 0.0) as w, coalesce(sum(c * z / 0.5), 0.0) as wy, coalesce(sum(z * z / 0.5), 0.0) as yy from cells group by v, t),
+        f as (
+            select v, -1::bigint as t, 0::bigint as n, 0.0::double as z, 1.0::double as p, 0.0::double as zp, 1.0::double as pp, 0.0::double as ll from (select distinct v from sums)
+            union all
+            select v, t, n, (zp / pp + wy) / (1 / pp + w), 1 / (1 / pp + w), zp, pp,
+                   ll - 0.5 * (n * ln(0.5) + ln(1 + pp * w) + (yy - 2 * zp * wy + zp * zp * w) - (wy - zp * w) * (wy - zp * w) / (1 / pp + w))
+            from (select sums.*, 0.8 * f.z as zp, 0.8 * 0.8 * f.p + 0.1 as pp, f.ll from f join sums on sums.v = f.v and sums.t = f.t + 1)),
+        ends as (select v, max(t) as last_t from sums group by v),
+        s as (
+            select f.v, f.t, f.z, f.p, null::double as j from f join ends on f.v = ends.v and f.t = last_t
+            union all
+            select k.v, k.t, k.z + k.p * 0.8 / m.pp * (s.z - m.zp), k.p + (k.p * 0.8 / m.pp) * (k.p * 0.8 / m.pp) * (s.p - m.pp), k.p * 0.8 / m.pp
+            from s join f m on m.v = s.v and m.t = s.t join f k on k.v = s.v and k.t = s.t - 1 where s.t >= 0)"""
+
+
+WHOLE = _fixed("select 0 as v, t, c, z from known")
+VIEWED = _fixed(
+    "select d as v, t, c, case when release_date is null or d >= release_date then z end as z from known cross join (values "
+    + ", ".join(f"(date '2001-{m:02d}-10')" for m in range(3, 9))
+    + ") d(d)"
+)
+NOWCASTS = """,
+        seen as (select v, n as n_available, total - n as n_missing from (select v, count(z) as n, count(*) as total from cells group by v)),
+        own as (select cells.v, cells.z from cells join target using (t) where c = 0.6),
+        now as (
+            select s.v, case when own.z is not null then target.value else 0.6 * s.z * std + mean end as y, own.z is not null as observed, n_available, n_missing, target.value as actual
+            from s join target using (t) join own using (v) join seen using (v))"""
+add("fixed_filter", WHOLE, f"select t, n as n_observed, {r('z')} as z_filtered, {r('p')} as v_filtered from f", True)
+add("fixed_smoother", WHOLE, f"select t, {r('z')} as z, {r('p')} as v from s", True)
+add("fixed_loglik", WHOLE, f"select {r('max_by(ll, t)')} as loglik from f", True)
+add(
+    "fixed_em_step",
+    WHOLE
+    + """,
+        pair as (select a.z, a.p, b.z as z0, b.p as p0, a.p * b.j as lag from s a join s b on a.t = b.t + 1),
+        e as (select sum(z * z + p) as s11, sum(z0 * z0 + p0) as s00, sum(z * z0 + lag) as s10, count(*) as n from pair),
+        x as (select series_id, c as c0, k.z as y, s.z, s.p from known k join s using (t) where k.z is not null),
+        loads as (select series_id, sum(y * z) / sum(z * z + p) as c from x group by 1)""",
+    f"""select name, i::bigint as i, {r('value', 5)} as value from (
+            select 'a' as name, 0 as i, s10 / s00 as value from e
+            union all select 'q', 0, (s11 - s10 * s10 / s00) / n from e
+            union all select 'c', series_id[1]::int - 1, c from loads
+            union all select 'r', series_id[1]::int - 1, avg((y - c * z) * (y - c * z) + c * c * p) from x join loads using (series_id) group by series_id
+            union all select 'z0', 0, z from s where t = -1 union all select 'v0', 0, p from s where t = -1
+            union all select 'loglik', 0, max_by(ll, t) from f)""",
+    True,
+)
+add(
+    "fixed_forecast",
+    WHOLE,
+    f"""select series_id, h, f.t + h as t, {r('c * f.z * pow(0.8, h) * std + mean', 2)} as value
+        from f join ends on f.t = last_t cross join (select distinct series_id, c, std, mean from known) cross join (select unnest(range(1, 7))::bigint as h)""",
+    True,
+)
+add("fixed_nowcast", VIEWED + NOWCASTS, f"select v::varchar as view_date, '5-LOW' as series_id, (select t from target) as t, {r('y', 2)} as nowcast, observed, n_available, n_missing from now", True)
+add(
+    "fixed_news",
+    VIEWED + NOWCASTS + ", steps as (select v, y, lag(y) over (order by v) as before, n_available - lag(n_available) over (order by v) as n_cells from now)",
+    f"select v::varchar as view_date, {r('before', 2)} as y_old, {r('y', 2)} as y_new, {r('y - before', 2)} as change, n_cells from steps where before is not null",
+    True,
+)
+ERRORS = NOWCASTS + ", errors as (select v, y, actual, y - actual as e from now)"
+add("fixed_backtest", VIEWED + ERRORS, f"select v::varchar as view_date, {r('y', 2)} as nowcast, {r('actual', 2)} as actual, {r('e', 2)} as error, {r('abs(e)', 2)} as abs_error from errors", True)
+add("fixed_backtest_summary", VIEWED + ERRORS, f"select {r('avg(abs(e))', 2)} as mae, {r('sqrt(avg(e * e))', 2)} as rmse, count(e) as n, count(*) - count(e) as n_failed from errors", True)
+
+
+def _blind(back: str) -> str:
+    """The panel up to each target period, without the target's own last cell."""
+    return _fixed(f"select target.t - k as v, known.t, c, case when known.t < target.t - k or series_id <> '5-LOW' then known.z end as z from known cross join target cross join ({back}) b(k) where known.t <= target.t - k")
+
+
+add(
+    "fixed_dataset",
+    _blind("values (0), (1), (2), (3)"),
+    f"""select f.t, '5-LOW' as series_id, {r('0.6 * f.z * std + mean', 2)} as baseline, {r('known.value', 2)} as actual, {r('known.value - (0.6 * f.z * std + mean)', 2)} as target, {r('f.z', 2)} as factor
+        from f join known on known.t = f.t and known.series_id = '5-LOW' where f.v = f.t""",
+    True,
+)
+add(
+    "fixed_dataset_weeks",
+    _fixed(
+        """select b.p * 100 + step as v, known.t, c, case when known.period <= d and (release_date is null or release_date <= d) and not (known.t = b.p and series_id = '5-LOW') then known.z end as z
+           from known cross join (select target.t - k as p, (date '2001-06-01' - to_months(k::int) - to_days((42 - 7 * step)::int))::date as d, step
+                                  from target cross join (values (0), (1)) x(k) cross join (select unnest(range(0, 7)) as step)) b"""
+    ),
+    f"select s.t, s.v % 100 as step, {r('0.6 * s.z * std + mean', 2)} as nowcast from s cross join target where s.t = s.v // 100",
+    True,
+)
+add(
+    "fixed_state",
+    _blind("values (0), (12)") + ", h as (select t, value as h3, lag(value) over (order by t) as h2, lag(value, 2) over (order by t) as h1, mean, std from known where series_id = '5-LOW')",
+    f"select f.t, '5-LOW' as series_id, {r('0.6 * f.z * std + mean', 2)} as nowcast, {r('h1', 2)} as h1, {r('h2', 2)} as h2, {r('h3', 2)} as h3, {r('h3 - (0.6 * f.z * std + mean)', 2)} as residual from f join h using (t) where f.v = f.t",
+    True,
+)
+
+# result tables, recovery, small linear algebra
+add("wide_factors", FACTOR, f"select t, {r('f')} as F1 from f")
+FITTED = FACTOR + ", whole as (select t, series_id, loading * f * std + mean as x, loading, std, value from zs z join f using (t) join loads using (series_id))"
+add("wide_smoothed", FITTED, "select t, " + ", ".join(f"{r(f'max(case when series_id[1] = {k!r} then x end)', 3)} as p{k}" for k in "12345") + " from whole group by t")
+add(
+    "series_report",
+    FITTED,
+    f"select series_id, {r('any_value(abs(loading))', 5)} as largest, {r('any_value(loading * loading)', 5)} as squares, {r('100 * sqrt(avg((x - value) * (x - value))) / any_value(std)', 5)} as rmse_percent from whole group by series_id",
+)
+add("diagnose_top", FACTOR, f"select * from (select row_number() over (order by abs(loading) desc, series_id) as rank, series_id, 'Block_Global' as block, {r('loading')} as value from loads) where rank <= 3")
+add(
+    "factor_recovery_rotated",
+    FACTOR + ", x as (select 0 as k, f as a, (0.5 - f) * (select case when sum(f * (0.5 - f)) < 0 then -1 else 1 end from f) as b from f)",
+    f"select k::bigint as k, {r('corr(a, b)')} as correlation, {r('sqrt(avg((a - b) * (a - b)))')} as rmse from x group by rollup (k)",
+)
+add(
+    "loading_recovery",
+    FACTOR
+    + _z("zp", "(select * from prio_full where t < 40)")
+    + """,
+        g as (select t, avg(z) as f from zp group by t having avg(z) is not null),
+        part as (select series_id, sum(z * f) / sum(f * f) as loading from zp join g using (t) where z is not null group by 1),
+        y as (select 0 as k, loads.loading as a, part.loading * (select case when sum(l.loading * p.loading) < 0 then -1 else 1 end from loads l join part p using (series_id)) as b from loads join part using (series_id))""",
+    f"select k::bigint as k, {r('corr(a, b)')} as correlation, {r('sqrt(avg((a - b) * (a - b)))')} as rmse from y group by rollup (k)",
+)
+add(
+    "pca_pair",
+    PRIO
+    + _z("zs", "(select * from prio_full where series_id < '3')")
+    + """,
+        w as (select t, max(case when series_id[1] = '1' then z end) as x, max(case when series_id[1] = '2' then z end) as y from zs group by t),
+        m as (select var_samp(x) as a, var_samp(y) as d, covar_samp(x, y) as b from w where x is not null and y is not null),
+        top as (select *, (a + d) / 2 + sqrt((a - d) * (a - d) / 4 + b * b) as e from m),
+        v as (select sign(b) * b / sqrt(b * b + (e - a) * (e - a)) as v1, sign(b) * (e - a) / sqrt(b * b + (e - a) * (e - a)) as v2 from top)""",
+    f"""select 'loading' as kind, '1-URGENT' as series_id, null::bigint as t, {r('v1')} as value from v union all select 'loading', '2-HIGH', null, {r('v2')} from v
+        union all select 'factor', null, t, {r('coalesce(x * v1, 0) + coalesce(y * v2, 0)')} from w cross join v where x is not null or y is not null""",
+)
+add(
+    "constrained_pair",
+    PRIO
+    + _z("zs", "prio_full")
+    + ", w as (select t, max(case when series_id[1] = '1' then z end) as a, max(case when series_id[1] = '2' then z end) as b, max(case when series_id[1] = '3' then z end) as y from zs group by t), l as (select sum((a + b) * y) / sum((a + b) * (a + b)) as l from w where a is not null and b is not null and y is not null)",
+    f"select x, {r('l')} as loading from l cross join (values ('a'), ('b')) n(x)",
+)
+add(
+    "stationary_pair",
+    """v as (select 0 as k, 1.0::double as a, 0.0::double as b, 1.0::double as d
+           union all select k + 1, 0.25 * a + 0.1 * b + 0.01 * d + 1, 0.15 * b + 0.03 * d, 0.09 * d + 1 from v where k < 200)""",
+    f"select i::bigint as i, j::bigint as j, {r('case when i + j = 0 then a when i + j = 1 then b else d end')} as value from v cross join (values (0, 0), (0, 1), (1, 0), (1, 1)) p(i, j) where k = 200",
+    True,
+)
+
+# sources and small relational operators
+ORACLE_SQL["csv_dates_down"] = ORACLE_SQL["panel_unpivot"]
+add("csv_dates_across", LINE, f"select {CELL} from line_full where period between date '1996-01-01' and date '1996-12-01' and series_id in (select series_id from line where period between date '1996-01-01' and date '1996-12-01')")
+ORACLE_SQL["parquet_years"] = ORACLE_SQL["panel_date_filter"]
+CUT = NATION.replace("on c_nationkey = n_nationkey group by 1, 2", "on c_nationkey = n_nationkey where o_orderdate >= date '1996-01-01' and o_orderdate < date '2001-01-01' group by 1, 2").replace(
+    "case when frequency = 'm' or month(f.period) % 3 = 0 then value end as value", "value"
+)
+add(
+    "load_pipeline",
+    CUT + f", mixed as (select period, series_id, t, value as raw_value, case {_CASES} end as value from panel)",
+    f"select {CELL}, t, {r('raw_value')} as raw_value from mixed where t >= (select min(t) from mixed where value is not null)",
+)
+add(
+    "in_memory_panel",
+    "",
+    "select * from (values ('2000-01-01', 'a', 1.0::double), ('2000-01-01', 'b', null), ('2000-02-01', 'a', 2.5), ('2000-02-01', 'b', null), ('2000-03-01', 'a', null), ('2000-03-01', 'b', -3.0)) t(period, series_id, value)",
+)
+add("result_store", FACTOR, f"select 'loading:Block_Global' as kind, series_id as name, {r('loading')} as value, 2::bigint as stored from loads")
+add("views_newest_first", NATION, "select row_number() over (order by view_date desc) - 1 as place, view_date::varchar as view_date, count(value) as n_available from views where month(view_date) in (4, 5, 7) group by view_date")
+add("view_latest", NATION, f"select {CELL} from views where view_date = date '2001-06-10'")
+add("appended_columns", GAP, f"select period::varchar as period, series_id, {r(LAG.format(1))} as lag1, {r(LAG.format(12))} as lag12 from gap")
+add("distinct_codes", NATION, "select distinct frequency, transformation from spec")
+add(
+    "spec_from_flags",
+    NATION,
+    "select series_id, frequency, transformation, array_to_string(list_sort([b for b in blocks if b in ('Block_Global', 'Block_ASIA', 'Block_EUROPE')]), ',') as blocks, release_day from spec",
+)
+add("config_merged", NATION, "select series_id, ord, 9::bigint as max_iter, 0.25::double as threshold, 6::bigint as n_blocks, 2::bigint as global_factors from spec where ord < 3")
+add("config_yaml", NATION, "select series_id, frequency, transformation, release_day, array_to_string(blocks, ',') as blocks, 3::bigint as max_iter from spec where ord % 3 = 0")
+
+# calendar and frequencies once more
+add(
+    "timestamp_forms",
+    PRIO,
+    "select distinct (period + 9)::date::varchar as day, " + ", ".join(f"(period + 9)::date::varchar as {n}" for n in ("iso", "time", "letter", "slashes", "american", "european", "seconds")) + ", null::varchar as wrong from prio",
+)
+add(
+    "calendar_parts",
+    PRIO,
+    """select distinct period::varchar as period, day(last_day(period)) as days, case when day(last_day(period)) = 31 then last_day(period)::varchar end as day31,
+        strftime(period, '%m/%Y') as label, period::varchar as same from prio""",
+)
+add(
+    "date_range_periods",
+    PRIO + ", b as (select last_day(min(period)) as low from prio)",
+    " union all ".join(
+        f"select '{f}' as frequency, (low + {u}((k * {n})::int))::date::varchar as period from b cross join (select unnest(range(0, 7)) as k)"
+        for f, u, n in (("d", "to_days", 1), ("w", "to_days", 7), ("m", "to_months", 1), ("q", "to_months", 3), ("sa", "to_months", 6), ("a", "to_months", 12))
+    ),
+)
+add(
+    "tent_shapes",
+    """p as (select n, unnest(range(0, n)) as k from (select unnest(range(1, 13)) as n)), e as (select n, k, exp(-4.0 * abs(k - n / 2.0) / n) as x from p)""",
+    """select 'symmetric' as shape, n, k, least(k, n - 1 - k) + 1 as weight from p union all select 'linear', n, k, 1 from p
+        union all select 'exponential', n, k, floor(x * n / sum(x) over (partition by n))::bigint from e""",
+)
+add(
+    "aggregation_structure",
+    "",
+    """select * from (values ('m', 'q', 5::bigint, '1,2,3,2,1'), ('m', 'sa', 7, '1,2,3,4,3,2,1'), ('m', 'a', 9, '1,2,3,4,5,4,3,2,1'), ('q', 'sa', 3, '1,2,1'), ('q', 'a', 5, '1,2,3,2,1'))
+        t(clock, frequency, n, weights)""",
+)
+
+
+def _power(name: str, matrix: str, steps: int = 600) -> str:
+    """The vector of the largest eigenvalue of a matrix held as a list of rows, by repeated multiplication."""
+    return f"""
+        {name}_steps as (
+            select 0 as k, m, list_transform(m, lambda x, i: 1.0 + i / 7.0) as v from {matrix}
+            union all
+            select k + 1, m, list_transform(w, lambda x: x / sqrt(list_dot_product(w, w)))
+            from (select k, m, list_transform(m, lambda x: list_dot_product(x, v)) as w from {name}_steps where k < {steps})),
+        {name} as (select m, list_transform(v, lambda x: x * sign(v[1])) as v, list_dot_product(v, list_transform(m, lambda x: list_dot_product(x, v))) as e from {name}_steps where k = {steps})"""
+
+
+PCA = (
+    LINE
+    + _z("zs0", "line_full")
+    + ", zs as (select t, series_id, z as value from zs0)"
+    + PAIRS
+    + """,
+        whole as (select t from zs group by t having count(value) = (select count(distinct series_id) from zs)),
+        c as (select a, b, covar_samp(x, y) as v from pairs where t in (select t from whole) group by a, b),
+        cells as (select a, b, v from c union all select b, a, v from c where a < b),
+        m1 as (select list(x order by a) as m from (select a, list(v order by b) as x from cells group by a)),
+        names as (select list(series_id order by series_id) as names from (select distinct series_id from zs)),"""
+    + _power("p1", "m1")
+    + ", m2 as (select list_transform(m, lambda x, i: list_transform(x, lambda y, j: y - e * v[i] * v[j])) as m from p1),"
+    + _power("p2", "m2")
+    + """,
+        loads as (
+            select unnest(names) as series_id, 0 as k, unnest(v) as w from p1, names
+            union all select unnest(names), 1, unnest(v) from p2, names)"""
+)
+add("pca_loadings", PCA, f"select series_id, k::bigint as k, {r('w')} as value from loads", True)
+add("pca_factor", PCA, f"select t, k::bigint as k, {r('sum(value * w)')} as value from zs join loads using (series_id) group by t, k", True)
