@@ -1,3 +1,4 @@
+import time
 import public_tokenizers as P
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -37,6 +38,24 @@ def test_html_text(spark):
     assert url_filter.split_url("html")
 
 
+def test_unclosed_tags_hide_the_rest_and_cost_no_more(spark):
+    cases = {
+        "a<p>b<script>c<p>d": ["a", "b"],
+        "a<!-- b<p>c": ["a"],
+        "x < y<p>z": ["x < y", "z"],
+        "<style>q</style>t<STYLE x=1>u": ["t"],
+        "<script" * 40_000: None,
+        "<script>x" * 40_000: None,
+        "<!-- " * 60_000: None,
+        "a<" * 100_000: None,
+    }
+    df = spark.createDataFrame([(h,) for h in cases], "html string").select("html", line_dedup.lines_of(line_dedup.html_text("html")).alias("x"))
+    began = time.monotonic()
+    got = {r["html"]: r["x"] for r in df.collect()}
+    assert time.monotonic() - began < 60
+    assert all(got[h] == want for h, want in cases.items() if want is not None)
+
+
 def brute_sections(text, rule):
     library = Tokenizer.from_file(PATH)
     spans = library.encode(text, add_special_tokens=False).offsets

@@ -25,13 +25,14 @@ from .common import durable, text_or_empty
 
 RATIO = 0.3
 MIN_PAGES = 3
-#: What browsers do not show, and tags that end a line.
-HIDDEN = r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->"
+#: What browsers do not show, and tags that end a line. What is not closed hides the rest, and a tag
+#: ends before the next one begins, so that no part of a text is searched again and again.
+HIDDEN = r"(?is)<script[^<>]*>.*?(?:</script>|\z)|<style[^<>]*>.*?(?:</style>|\z)|<!--.*?(?:-->|\z)"
 BLOCK = (
     r"(?i)</?(?:!doctype|html|head|title|meta|body|header|footer|nav|main|article|section|aside|div|p|ul|ol|li|table|tr|td|th"
-    r"|h[1-6]|br|hr|pre|blockquote|form)(?:[\s/][^>]*)?>"
+    r"|h[1-6]|br|hr|pre|blockquote|form)(?:[\s/][^<>]*)?>"
 )
-TAG = r"<[^>]*>"
+TAG = r"<[^<>]*>"
 
 
 def html_text(html: str | Column) -> Column:
