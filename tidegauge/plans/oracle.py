@@ -539,7 +539,7 @@ add(
         top as (select *, (a + d) / 2 + sqrt((a - d) * (a - d) / 4 + b * b) as e from m),
         v as (select sign(b) * b / sqrt(b * b + (e - a) * (e - a)) as v1, sign(b) * (e - a) / sqrt(b * b + (e - a) * (e - a)) as v2 from top)""",
     f"""select 'loading' as kind, '1-URGENT' as series_id, null::bigint as t, {r('v1')} as value from v union all select 'loading', '2-HIGH', null, {r('v2')} from v
-        union all select 'factor', null, t, {r('coalesce(x * v1, 0) + coalesce(y * v2, 0)')} from w cross join v where x is not null or y is not null""",
+        union all select 'factor', null, t, {r('case when x is not null or y is not null then coalesce(x * v1, 0) + coalesce(y * v2, 0) end')} from w cross join v""",
 )
 add(
     "constrained_pair",
