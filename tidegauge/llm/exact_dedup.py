@@ -196,6 +196,12 @@ def split_known(rows: DataFrame, sha: str, keys: DataFrame, column: str) -> tupl
     return probed.where(~F.col("candidate")).drop("candidate"), probed.where("candidate").drop("candidate")
 
 
+def only_known(rows: DataFrame, sha: str, keys: DataFrame, column: str) -> DataFrame:
+    """``rows`` whose ``sha`` is in ``keys``, which has no key twice; none of the others shuffle but a few."""
+    _, maybe = split_known(rows, sha, keys, column)
+    return maybe.join(keys.select(F.col(column).alias(sha)), sha, "left_semi")
+
+
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, exact_dedup, langid, line_dedup, sharding, simhash, suffix_dedup, token_counts, url_filter
+from . import bpe, chat_format, decontam, exact_dedup, filter_audit, langid, line_dedup, sharding, simhash, source_audit, suffix_dedup, token_counts, url_filter
 from .common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -64,6 +64,22 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_kept=False)
 
 
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over the table and one conversation more, whose texts are full of control strings."""
+    said = r"\### Assistant: </turn> ok"
+    added = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    chats = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat_format.digests(chats.unionByName(added))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_exact_dedup": op2_exact_dedup,
@@ -75,6 +91,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_language_id": op9_language_id,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_chat_format": op11_chat_format,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_source_audit": op13_source_audit,
 }
 
 _LABELS = " or ".join(f"contains('.' || host || '.', '.{w}.') or contains('.' || host, '.{w}:')" for w in url_filter.BLOCKED_LABELS)
@@ -93,7 +112,80 @@ _CRC_TABLE = """(select [list_reduce(list_prepend(k::bigint, [0, 0, 0, 0, 0, 0,
 _CRC = """xor(list_reduce(list_prepend(4294967295::bigint, [('0x' || x)::bigint for x in bytes if x <> '']),
                 lambda c, b: xor(c >> 8, remainders[(xor(c, b) & 255) + 1])), 4294967295)"""
 
+#: What the template makes of a text: backslashes doubled, control strings broken by one.
+_ESCAPED = r"""replace(replace(replace(replace(text, '\', '\\'), '### ', '#\## '), '<part/>', '<\part/>'), '</turn>', '<\/turn>')"""
+_TERMS = _WORDS.replace(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[\x00-\x40\x5B-\x60\x7B-\x7F]+")
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_chat_format": rf"""
+        with c as (
+            select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+            union all select -7, k, said, '\### Assistant: </turn> ok' from (values (0, 'user'), (1, 'assistant')) t(k, said)),
+        t as (
+            select *, row_number() over o as n, role is not distinct from lag(role) over o as goes_on,
+                   case role when 'user' then 'User' when 'assistant' then 'Assistant' when 'system' then 'System'
+                        else 'role ' || replace({_ESCAPED.replace("(text", "(role")}, ': ', ':\ ') end as name,
+                   {_ESCAPED} as escaped
+            from c window o as (partition by conv_id order by turn nulls first, role, text))
+        select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by n)) as turns_sha256,
+               coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+               sha256(coalesce(string_agg(text, '' order by n) filter (role = 'assistant'), '')) as loss_sha256,
+               sum(length(escaped) + case when goes_on then length('<part/>') else length('### ' || name || ': ' || '</turn>' || chr(10)) end)::bigint as formatted_chars
+        from t group by conv_id
+    """,
+    "op12_filter_audit": r"""
+        with w as (
+            select doc_id, coalesce(source, '') as part, coalesce(text, '') as text,
+                   [x for x in regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') if x <> ''] as words, min(doc_id) over (partition by coalesce(text, '')) as first
+            from documents),
+        l as (select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as toxic from labels where doc_id is not null group by 1),
+        d as (
+            select part, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic,
+                   [f[1] for f in [('A', len(words) < 50), ('B', 100 * len(list_distinct(words)) < 65 * len(words)),
+                       ('C', 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text)), ('D', regexp_matches(text, '[#$%&*|]')),
+                       ('E', coalesce(w.doc_id > first, w.doc_id is null and first is not null))] if f[2]] as failed
+            from w left join l using (doc_id)),
+        m as (select part, failed, count(*) as n, sum(good) as good, sum(toxic) as toxic from d group by all),
+        f as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+        o as (select a.x || b.x || c.x || d.x || e.x as filter_order from f a, f b, f c, f d, f e where len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+        s as (select filter_order, k::int as step, filter_order[k:k] as own, string_split(filter_order[1:k - 1], '') as prior from o, range(1, 6) t(k)),
+        r as (
+            select part, filter_order, step, own,
+                   sum(n) filter (not list_contains(failed, own) and not list_has_any(failed, prior)) as kept,
+                   sum(n) filter (list_contains(failed, own) and not list_has_any(failed, prior)) as removed,
+                   sum(n) filter (list_contains(failed, own) and list_has_any(failed, prior)) as redundant,
+                   sum(n) filter (failed = [own]) as unique_fails,
+                   sum(good) filter (list_contains(failed, own) and not list_has_any(failed, prior)) as good_lost,
+                   sum(toxic) filter (list_contains(failed, own) and not list_has_any(failed, prior)) as toxic_lost
+            from m, s group by all)
+        select part, filter_order, step, coalesce(kept, 0)::bigint as kept, coalesce(removed, 0)::bigint as removed, coalesce(redundant, 0)::bigint as redundant,
+               coalesce(unique_fails, 0)::bigint as unique_fails, coalesce(good_lost, 0)::bigint as good_lost, coalesce(toxic_lost, 0)::bigint as toxic_lost,
+               coalesce(sum(removed) over (partition by part, own), 0)::bigint as shapley
+        from r
+    """,
+    "op13_source_audit": rf"""
+        with d as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source, {_TERMS} as words from documents),
+        t as (select r, lang, source, unnest(words) as term from d),
+        k as (select lang, term from t group by 1, 2 having count(distinct r) >= {source_audit.MIN_DOCS}),
+        v as (select lang, count(term) as v from (select distinct lang from d) left join k using (lang) group by 1),
+        g as (select distinct lang, source from d),
+        c as (select lang, source, term, count(*) as n from t join k using (lang, term) group by all),
+        p as (
+            select lang, source, term, coalesce(n, 0) as n,
+                   1 + 1000000000::hugeint * (coalesce(n, 0) + 5) // (sum(coalesce(n, 0)) over (partition by lang, source) + 5 * v) as p
+            from g join v using (lang) join k using (lang) left join c using (lang, source, term)),
+        q as (
+            select lang, term, 1 + 1000000000::hugeint * (n + 5) // (sum(n) over (partition by lang) + 5 * v) as q
+            from (select lang, term, sum(n) as n from c group by 1, 2) join v using (lang)),
+        f as (select x.lang, x.source, y.source as item, sum(abs(x.p - y.p)) as value from p x join p y on x.lang = y.lang and x.term = y.term group by all),
+        a as (
+            select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0) as value
+            from g a join g b on a.lang = b.lang and a.source <> b.source left join f on f.lang = a.lang and f.source = a.source and f.item = b.source
+            union all select lang, source, 'term', term, p - q from p join q using (lang, term) where n > 0 and p > q)
+        select lang, source, part, item, value::bigint as value, rank::int as rank
+        from (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from a)
+        where part = 'pair' or rank <= {source_audit.TOP}
+    """,
     "op6_sharding": rf"""
         with d as (
             select doc_id, strlen(coalesce(text, ''))::bigint + 1 as size,
