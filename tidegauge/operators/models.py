@@ -19,7 +19,7 @@ from ..functions.dates import step_back
 from ..functions.frequency import higher, periods_per_year
 from ..plans import kernel, linalg
 from .missing import to_matrix
-from .vintage import released, views
+from .vintage import released, view, views
 
 FIT_SCHEMA = "model string, kind string, name string, i int, j int, value double"
 _MATRICES = ("a", "c", "q", "r", "z0", "v0")
@@ -238,59 +238,131 @@ def forecast(spark: SparkSession, model: Model, panel: DataFrame, horizon: int |
     return panel.select(F.lit(0).alias("model"), "t", "series_id", "value").groupBy("model").applyInPandas(one, "series_id string, h int, t int, value double")
 
 
-def nowcasts(model: Model, panel: DataFrame, view_dates: list[str], series: str, target_t: int) -> DataFrame:
+def filter_state(model: Model, panel: DataFrame, t: int) -> kernel.State:
+    """Where the model's filter stands before period ``t`` of a panel: one mean and variance, whatever the panel's length."""
+    if t <= 0:
+        return kernel.State(0, model.fitted.params.z0, model.fitted.params.v0)
+    names = list(model.spec.series)
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        y = model.fitted.standardise(to_matrix(pdf, names))
+        f = kernel.kalman_filter(y, model.fitted.params)
+        return pd.DataFrame([(f.zu[-1].tolist(), f.vu[-1].ravel().tolist(), f.loglik, int(np.isfinite(y).sum()), int((~np.isfinite(y)).sum()))])
+
+    before = panel.where(F.col("t") < t).select(F.lit(0).alias("model"), "t", "series_id", "value")
+    row = before.groupBy("model").applyInPandas(one, "z array<double>, v array<double>, loglik double, seen long, missing long").first()
+    if row is None:
+        return filter_state(model, panel, 0)
+    m = len(row["z"])
+    return kernel.State(t, np.array(row["z"]), np.array(row["v"]).reshape(m, m), row["loglik"], row["seen"], row["missing"])
+
+
+def views_part(panel: DataFrame, view_dates: list[str]) -> int | None:
+    """The first period at which the views differ: some of them know a cell that others do not."""
+    low, high = (F.lit(d).cast("date") for d in (min(view_dates), max(view_dates)))
+    late = F.col("release_day").isNotNull() & (F.col("release_date") > low) & (F.col("release_date") <= high)
+    return released(panel).where(late & F.col("value").isNotNull()).agg(F.min("t").alias("t")).first()["t"]
+
+
+def shared_state(model: Model, panel: DataFrame, view_dates: list[str], target_t: int) -> kernel.State:
+    """The filter's state where the views begin to differ, or at the target if that comes first.
+
+    All views agree on what lies before, so it is filtered once for all of them.
+    """
+    parts = views_part(panel, view_dates)
+    t = target_t if parts is None else min(parts, target_t)
+    return filter_state(model, view(panel, min(view_dates)), max(t, 0))
+
+
+def _seen_rows(model: Model, panel: DataFrame, view_dates: list[str], state: kernel.State) -> tuple[DataFrame, kernel.Fit]:
+    """The views' rows from the state's period on, and the model that goes on from there."""
+    return views(panel.where(F.col("t") >= state.t), view_dates).select("view_date", "t", "series_id", "value"), model.fitted.resumed(state)
+
+
+def nowcasts(model: Model, panel: DataFrame, view_dates: list[str], series: str, target_t: int, state: kernel.State | None = None) -> DataFrame:
     """The target as nowcast on each view date, with the view's availability; one worker call a view.
 
-    The panel carries release_day. A view beyond the panel's end extends it with missing rows.
+    The panel carries release_day. A view beyond the panel's end extends it with missing rows. Every
+    view goes on from the ``state`` that they share; one kept from before (``ParquetStore.save_state``)
+    spares reading what lies before it, as long as no cell there has changed.
     """
     i, names = model.index(series), list(model.spec.series)
+    state = state or shared_state(model, panel, view_dates, target_t)
+    rows, fitted = _seen_rows(model, panel, view_dates, state)
+    at = target_t - state.t
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         x = to_matrix(pdf, names)
-        value = kernel.nowcast(model.fitted, x, target_t, i)
-        seen = target_t < len(x) and bool(np.isfinite(x[target_t, i]))
-        return pd.DataFrame([(key[0], series, target_t, value, seen, int(np.isfinite(x).sum()), int((~np.isfinite(x)).sum()))])
+        value = kernel.nowcast(fitted, x, at, i)
+        observed = at < len(x) and bool(np.isfinite(x[at, i]))
+        return pd.DataFrame([(key[0], series, target_t, value, observed, state.seen + int(np.isfinite(x).sum()), state.missing + int((~np.isfinite(x)).sum()))])
 
-    rows = views(panel, view_dates).select("view_date", "t", "series_id", "value")
     return rows.groupBy("view_date").applyInPandas(
         one, "view_date date, series_id string, t int, nowcast double, observed boolean, n_available long, n_missing long"
     )
 
 
-NEWS_SCHEMA = (
-    "view_date date, before_date date, series_id string, t int, y_old double, y_new double, "
-    "news_series string, n_cells long, actual double, expected double, weight double, news double"
+_PART = "news_series string, n_cells long, actual double, expected double, weight double, news double"
+STEP_SCHEMA = (
+    "step int, view_date date, before_date date, series_id string, t int, y_old double, nowcast double, observed boolean, n_available long, n_missing long, "
+    f"failed string, parts array<struct<{_PART.replace(' ', ':').replace(',:', ',')}>>"
 )
 
 
-def _news_rows(model: Model, head: tuple, n: kernel.News) -> list[tuple]:
-    rows = []
+def _parts(names: list[str], n: kernel.News) -> list[dict]:
+    out = []
     for k in np.unique(n.cells[:, 1]) if len(n.cells) else []:
         mine = n.cells[:, 1] == k
-        rows.append(
-            (*head, n.old, n.new, model.spec.series[k], int(mine.sum()), float(n.actual[mine].mean()), float(n.expected[mine].mean()), float(n.weight[mine].mean()), float(n.parts[mine].sum()))
-        )
-    return rows or [(*head, n.old, n.new, None, 0, None, None, None, 0.0)]
+        means = {c: float(v[mine].mean()) for c, v in (("actual", n.actual), ("expected", n.expected), ("weight", n.weight))}
+        out.append({"news_series": names[k], "n_cells": int(mine.sum()), **means, "news": float(n.parts[mine].sum())})
+    return out
 
 
-def news(model: Model, panel: DataFrame, view_dates: list[str], series: str, target_t: int) -> DataFrame:
-    """What each series' new cells add between neighbouring views; the parts sum to the change.
+def steps(model: Model, panel: DataFrame, view_dates: list[str], series: str, target_t: int, state: kernel.State | None = None) -> DataFrame:
+    """Each view with its predecessor, oldest first: nowcast, and what each series' new cells add to the one before.
 
-    Each view meets its predecessor: every view is labelled with its own step and the next, so a
-    pair of views is one group.
+    A view's rows go to its own step and the next, so a step is one group and one worker call. A step
+    that raises is a row with its reason in ``failed`` and nulls; so is one of a view that knows nothing. Where only
+    the news fail, the nowcast stays.
     """
     i, names, dates = model.index(series), list(model.spec.series), sorted(view_dates)
-    pairs = [F.struct(F.lit(k).alias("step"), F.lit(side).alias("side"), F.lit(dates[k + side]).cast("date").alias("view_date")) for k in range(len(dates) - 1) for side in (0, 1)]
-    rows = views(panel, F.array(*[F.lit(d).cast("date") for d in dates]))
-    rows = rows.join(F.broadcast(panel.sparkSession.range(1).select(F.explode(F.array(*pairs)).alias("p")).select("p.*")), "view_date")
+    state = state or shared_state(model, panel, dates, target_t)
+    rows, fitted = _seen_rows(model, panel, dates, state)
+    at, days = target_t - state.t, [pd.Timestamp(d).date() for d in dates]
+    uses = [F.struct(F.lit(k + later).alias("step"), F.lit(1 - later).alias("side"), F.lit(d).cast("date").alias("view_date")) for k, d in enumerate(dates) for later in (0, 1) if k + later < len(dates)]
+    use = panel.sparkSession.range(1).select(F.explode(F.array(*uses)).alias("u")).select("u.*")
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        old, new = (to_matrix(pdf[pdf["side"] == side], names) for side in (0, 1))
-        found = kernel.news(model.fitted, old, new, target_t, i)
-        head = (pd.Timestamp(dates[key[0] + 1]).date(), pd.Timestamp(dates[key[0]]).date(), series, target_t)
-        return pd.DataFrame(_news_rows(model, head, found))
+        k = int(key[0])
+        row = dict.fromkeys(name.split()[0] for name in STEP_SCHEMA.split(", parts")[0].split(", ")) | {"parts": []}
+        row |= {"step": k, "view_date": days[k], "before_date": days[k - 1] if k else None, "series_id": series, "t": target_t}
+        doing = ""
+        try:
+            new = to_matrix(pdf[pdf["side"] == 1], names)
+            row |= {"n_available": state.seen + int(np.isfinite(new).sum()), "n_missing": state.missing + int((~np.isfinite(new)).sum())}
+            if not row["n_available"]:
+                raise ValueError(f"nothing is known on {dates[k]}")
+            row |= {"nowcast": kernel.nowcast(fitted, new, at, i), "observed": at < len(new) and bool(np.isfinite(new[at, i]))}
+            if k:
+                doing = "news: "
+                found = kernel.news(fitted, to_matrix(pdf[pdf["side"] == 0], names), new, at, i)
+                row |= {"y_old": found.old, "parts": _parts(names, found)}
+        except Exception as e:  # noqa: BLE001  the other steps go on
+            row["failed"] = f"{doing}{type(e).__name__}: {e}"
+        return pd.DataFrame([row])
+
+    return rows.join(use, "view_date").select("step", "side", "t", "series_id", "value").groupBy("step").applyInPandas(one, STEP_SCHEMA)
+
+
+def news(model: Model, panel: DataFrame, view_dates: list[str], series: str, target_t: int, state: kernel.State | None = None) -> DataFrame:
+    """What each series' new cells add between neighbouring views; the parts sum to the change.
 
-    return rows.select("step", "side", "t", "series_id", "value").groupBy("step").applyInPandas(one, NEWS_SCHEMA)
+    A step without new cells is a row without a series. A step that fails raises its reason.
+    """
+    found = steps(model, panel, view_dates, series, target_t, state).where("step > 0")
+    head = ["view_date", "before_date", "series_id", "t", "y_old", F.when(F.col("failed").isNotNull(), F.raise_error(F.col("failed")).cast("double")).otherwise(F.col("nowcast")).alias("y_new")]
+    rows = found.select(*head, F.explode_outer("parts").alias("p")).select("*", "p.*").drop("p")
+    return rows.withColumns({"n_cells": F.coalesce("n_cells", F.lit(0)), "news": F.coalesce("news", F.lit(0.0))})
 
 
 def news_summary(news_rows: DataFrame, top: int = 5) -> DataFrame:
@@ -307,10 +379,13 @@ def view_dates(spark: SparkSession, target: str, steps: int, frequency: str, hig
     return spark.range(1).select(dates.alias("d")).first()["d"]
 
 
-def backtest(model: Model, panel: DataFrame, dates: list[str], series: str, target_t: int) -> DataFrame:
-    """Nowcasts of one target over the views, the actual value, and each step's error."""
+def backtest(model: Model, panel: DataFrame, dates: list[str], series: str, target_t: int, state: kernel.State | None = None) -> DataFrame:
+    """Nowcasts of one target over the views in one pass: steps() with the actual value and each step's error.
+
+    A failed step has no error; the others keep theirs.
+    """
     actual = panel.where((F.col("series_id") == series) & (F.col("t") == target_t)).select(F.first("value")).scalar()
-    out = nowcasts(model, panel, dates, series, target_t).withColumn("actual", actual)
+    out = steps(model, panel, dates, series, target_t, state).withColumn("actual", actual)
     e = F.col("nowcast") - F.col("actual")
     return out.withColumn("error", e).withColumn("abs_error", F.abs(e)).withColumn("squared_error", e * e)
 

@@ -515,7 +515,8 @@ def dfm_news(spark, sf_dir):
 def dfm_backtest(spark, sf_dir):
     name, t = T.target(spark, sf_dir)
     dates = G.view_dates(spark, T.TARGET_PERIOD, 4, "m")
-    return out(G.backtest(_nation_model(spark, sf_dir), T.nation_panel(spark, sf_dir), dates, name, t), digits=2)
+    rows = G.backtest(_nation_model(spark, sf_dir), T.nation_panel(spark, sf_dir), dates, name, t)
+    return out(rows.withColumn("n_parts", F.size("parts")).drop("parts"), digits=2)
 
 
 @query
@@ -711,12 +712,14 @@ def fixed_nowcast(spark, sf_dir):
 @query
 def fixed_news(spark, sf_dir):
     rows = G.news(*_fixed(spark, sf_dir), T.VIEWS, "5-LOW", _fixed_target(spark, sf_dir))
-    return out(rows.groupBy("view_date", "y_old", "y_new").agg(F.sum("news").alias("change"), F.sum("n_cells").alias("n_cells")), digits=2)
+    return out(rows, "view_date", "before_date", "y_old", "y_new", "news_series", "n_cells", "actual", "expected", "weight", "news", digits=2)
 
 
 @query
 def fixed_backtest(spark, sf_dir):
-    return out(G.backtest(*_fixed(spark, sf_dir), T.VIEWS, "5-LOW", _fixed_target(spark, sf_dir)), "view_date", "nowcast", "actual", "error", "abs_error", digits=2)
+    """Every step with its error and, a row each, the series whose new cells moved it."""
+    rows = G.backtest(*_fixed(spark, sf_dir), T.VIEWS, "5-LOW", _fixed_target(spark, sf_dir))
+    return out(rows.select("step", "view_date", "nowcast", "actual", "error", "abs_error", "failed", F.explode_outer("parts").alias("p")).select("*", "p.news_series", "p.news").drop("p"), digits=2)
 
 
 @query

@@ -464,14 +464,46 @@ add(
     True,
 )
 add("fixed_nowcast", VIEWED + NOWCASTS, f"select v::varchar as view_date, '5-LOW' as series_id, (select t from target) as t, {r('y', 2)} as nowcast, observed, n_available, n_missing from now", True)
+#: What the target owes to each period of a view (owed forward along the gains, back through the filter), and the parts of new cells.
+PARTS = """,
+        pair as (select v, lag(v) over (order by v) as v0 from ends),
+        owed as (
+            select ends.v, target.t, 0.6::double as o from ends cross join target
+            union all select owed.v, owed.t + 1, o * s.j from owed join s on s.v = owed.v and s.t = owed.t join ends on ends.v = owed.v where owed.t < last_t),
+        back as (
+            select v, last_t + 1 as t, 0.0::double as d, 0.0::double as ahead from ends
+            union all
+            select x.v, x.t, f.p * u, u - sums.w * f.p * u - case when x.t > target.t then o else 0 end
+            from (select back.v, back.t - 1 as t, 0.8 * ahead + coalesce(o, 0) as u, coalesce(o, 0) as o
+                  from back left join owed on owed.v = back.v and owed.t = back.t - 1) x
+            join f on f.v = x.v and f.t = x.t join sums on sums.v = x.v and sums.t = x.t cross join target),
+        fresh as (
+            select pair.v, n.t, n.c, known.series_id, known.value as actual, n.c * s.z * known.std + known.mean as expected,
+                   case when own0.z is not null then 0 when own.z is not null then (n.t = target.t and n.c = 0.6)::int
+                        else n.c / 0.5 * d * target.std / known.std end as weight
+            from pair join cells n on n.v = pair.v and n.z is not null join cells o on o.v = v0 and o.t = n.t and o.c = n.c and o.z is null
+            join s on s.v = v0 and s.t = n.t join back on back.v = pair.v and back.t = n.t join known on known.t = n.t and known.c = n.c
+            join own on own.v = pair.v join own own0 on own0.v = v0 cross join target),
+        parts as (
+            select v, series_id as news_series, count(*) as n_cells, avg(actual) as actual, avg(expected) as expected, avg(weight) as weight, sum(weight * (actual - expected)) as news
+            from fresh group by v, series_id)"""
+ERRORS = NOWCASTS + ", errors as (select v, y, actual, y - actual as e from now)"
 add(
     "fixed_news",
-    VIEWED + NOWCASTS + ", steps as (select v, y, lag(y) over (order by v) as before, n_available - lag(n_available) over (order by v) as n_cells from now)",
-    f"select v::varchar as view_date, {r('before', 2)} as y_old, {r('y', 2)} as y_new, {r('y - before', 2)} as change, n_cells from steps where before is not null",
+    VIEWED + NOWCASTS + PARTS,
+    f"""select pair.v::varchar as view_date, v0::varchar as before_date, {r('b.y', 2)} as y_old, {r('now.y', 2)} as y_new, news_series, coalesce(n_cells, 0) as n_cells,
+               {r('parts.actual', 2)} as actual, {r('expected', 2)} as expected, {r('weight', 2)} as weight, {r('coalesce(news, 0)', 2)} as news
+        from pair join now on now.v = pair.v join now b on b.v = v0 left join parts on parts.v = pair.v where v0 is not null""",
+    True,
+)
+add(
+    "fixed_backtest",
+    VIEWED + ERRORS + PARTS,
+    f"""select dense_rank() over (order by v) - 1 as step, v::varchar as view_date, {r('y', 2)} as nowcast, {r('actual', 2)} as actual, {r('e', 2)} as error, {r('abs(e)', 2)} as abs_error,
+               null::varchar as failed, news_series, {r('news', 2)} as news
+        from errors left join (select v, news_series, news from parts) using (v)""",
     True,
 )
-ERRORS = NOWCASTS + ", errors as (select v, y, actual, y - actual as e from now)"
-add("fixed_backtest", VIEWED + ERRORS, f"select v::varchar as view_date, {r('y', 2)} as nowcast, {r('actual', 2)} as actual, {r('e', 2)} as error, {r('abs(e)', 2)} as abs_error from errors", True)
 add("fixed_backtest_summary", VIEWED + ERRORS, f"select {r('avg(abs(e))', 2)} as mae, {r('sqrt(avg(e * e))', 2)} as rmse, count(e) as n, count(*) - count(e) as n_failed from errors", True)
 
 

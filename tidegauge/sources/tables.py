@@ -10,12 +10,16 @@ import uuid
 from datetime import datetime, timezone
 from typing import Protocol
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dates import parse_timestamp
 from ..operators.models import Model, ModelSpec
 from ..operators.panel import KEYS, finite, unpivot
+from ..plans.kernel import State
+
+STATE = "t int, z array<double>, v array<double>, loglik double, seen long, missing long"
 
 
 def read_csv(spark: SparkSession, path: str, date_column: str | None = None) -> DataFrame:
@@ -141,6 +145,16 @@ class ParquetStore:
         meta = json.loads(self.spark.read.text(f"{self.folder}/meta/{result_id}").first()["value"])
         return self.spark.read.parquet(f"{self.folder}/fits/{result_id}"), ModelSpec.from_json(meta["spec"])
 
+    def save_state(self, result_id: str, state: State) -> None:
+        """Where the result's filter stands, for views that go on from there; a later state takes its place."""
+        row = (int(state.t), state.z.tolist(), state.v.ravel().tolist(), float(state.loglik), int(state.seen), int(state.missing))
+        self.spark.createDataFrame([row], STATE).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/states/{result_id}")
+
+    def load_state(self, result_id: str) -> State:
+        row = self.spark.read.schema(STATE).parquet(f"{self.folder}/states/{result_id}").first()
+        z = np.array(row["z"])
+        return State(row["t"], z, np.array(row["v"]).reshape(len(z), len(z)), row["loglik"], row["seen"], row["missing"])
+
     def model(self, result_id: str) -> Model:
         fits, spec = self.load(result_id)
         return Model.from_table(fits, spec)
