@@ -131,3 +131,24 @@ def common_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
     smooth = x.select(F.lit("smoothed").alias("kind"), F.col("series_id").alias("name"), F.lit(0).alias("i"), F.col("t").alias("j"), (F.col("f") * F.col("c") * F.col("std") + F.col("mean")).alias("value"))
     base = [z.groupBy("series_id").agg(F.first(k).alias("value")).select(F.lit(k).alias("kind"), F.col("series_id").alias("name"), F.lit(0).alias("i"), F.lit(0).alias("j"), "value") for k in ("mean", "std")]
     return union([f, c, smooth, *base]).select(F.lit("model").alias("model"), "kind", "name", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), "value")
+
+
+def nation_models(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A model a nation, its series the order priorities: standardised panel, loadings, transitions that differ by nation."""
+    orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    orders = orders.join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    both = P.complete(P.build(orders, "o_orderdate", F.concat_ws("|", "n_name", "o_orderpriority"), "o_totalprice"))
+    panel = standardise(both).select(
+        F.substring_index("series_id", "|", 1).alias("model"), F.substring_index("series_id", "|", -1).alias("series_id"), "t", "z"
+    )
+    load = F.element_at(F.array(*[F.lit(c) for c in FIXED_LOADINGS]), F.substring("series_id", 1, 1).cast("int"))
+    loadings = panel.select("model", "series_id").distinct().select("model", "series_id", F.array(load).alias("c"), F.lit(FIXED_R).alias("r"))
+    square = lambda x: F.array(F.array(x))
+    transitions = table(spark, sf_dir, "nation").select(
+        F.col("n_name").alias("model"),
+        square(0.5 + 0.01 * F.col("n_nationkey")).alias("a"),
+        square(F.lit(FIXED_Q)).alias("q"),
+        F.array(F.lit(0.0)).alias("z0"),
+        square(F.lit(1.0)).alias("v0"),
+    )
+    return panel, loadings, transitions.join(panel.select("model").distinct(), "model", "left_semi")

@@ -405,22 +405,22 @@ FIXED = (
 )
 
 
-def _fixed(cells: str) -> str:
-    """Filter and smoother of ``cells`` (v, t, c, z): states f (v, t, z, p, zp, pp, ll) and s (v, t, z, p, j)."""
-    return f"""{FIXED},
+def _fixed(cells: str, a: str = "0.8", before: str = "") -> str:
+    """Filter and smoother of ``cells`` (v, t, c, z; perhaps a): states f (v, t, z, p, zp, pp, ll) and s (v, t, z, p, j)."""
+    return f"""{before or FIXED},
         cells as ({cells}),
-        sums as (select v, t, count(z) as n, coalesce(sum(c * c / 0.5) filter (z is not null), 0.0) as w, coalesce(sum(c * z / 0.5), 0.0) as wy, coalesce(sum(z * z / 0.5), 0.0) as yy from cells group by v, t),
+        sums as (select v, t, {a}::double as a, count(z) as n, coalesce(sum(c * c / 0.5) filter (z is not null), 0.0) as w, coalesce(sum(c * z / 0.5), 0.0) as wy, coalesce(sum(z * z / 0.5), 0.0) as yy from cells group by v, t),
         f as (
-            select v, -1::bigint as t, 0::bigint as n, 0.0::double as z, 1.0::double as p, 0.0::double as zp, 1.0::double as pp, 0.0::double as ll from (select distinct v from sums)
+            select v, -1::bigint as t, 0::bigint as n, 0.0::double as z, 1.0::double as p, 0.0::double as zp, 1.0::double as pp, 0.0::double as ll, 0.0::double as a from (select distinct v from sums)
             union all
             select v, t, n, (zp / pp + wy) / (1 / pp + w), 1 / (1 / pp + w), zp, pp,
-                   ll - 0.5 * (n * ln(0.5) + ln(1 + pp * w) + (yy - 2 * zp * wy + zp * zp * w) - (wy - zp * w) * (wy - zp * w) / (1 / pp + w))
-            from (select sums.*, 0.8 * f.z as zp, 0.8 * 0.8 * f.p + 0.1 as pp, f.ll from f join sums on sums.v = f.v and sums.t = f.t + 1)),
+                   ll - 0.5 * (n * ln(0.5) + ln(1 + pp * w) + (yy - 2 * zp * wy + zp * zp * w) - (wy - zp * w) * (wy - zp * w) / (1 / pp + w)), a
+            from (select sums.*, sums.a * f.z as zp, sums.a * sums.a * f.p + 0.1 as pp, f.ll from f join sums on sums.v = f.v and sums.t = f.t + 1)),
         ends as (select v, max(t) as last_t from sums group by v),
         s as (
             select f.v, f.t, f.z, f.p, null::double as j from f join ends on f.v = ends.v and f.t = last_t
             union all
-            select k.v, k.t, k.z + k.p * 0.8 / m.pp * (s.z - m.zp), k.p + (k.p * 0.8 / m.pp) * (k.p * 0.8 / m.pp) * (s.p - m.pp), k.p * 0.8 / m.pp
+            select k.v, k.t, k.z + k.p * m.a / m.pp * (s.z - m.zp), k.p + (k.p * m.a / m.pp) * (k.p * m.a / m.pp) * (s.p - m.pp), k.p * m.a / m.pp
             from s join f m on m.v = s.v and m.t = s.t join f k on k.v = s.v and k.t = s.t - 1 where s.t >= 0)"""
 
 
@@ -536,6 +536,53 @@ add(
     True,
 )
 
+# a model a nation: the same recursion for 25 of them, each with its own coefficient
+MODELS = _fixed(
+    f"select v, t, {LOADINGS} as c, z, a from zs",
+    "max(a)",
+    _panel("np", """select date_trunc('month', o_orderdate)::date as period, n_name || '|' || o_orderpriority as series_id, sum(o_totalprice) as value
+        from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by 1, 2""")
+    + _z("zn", "np_full")
+    + """, zs as (
+            select split_part(series_id, '|', 1) as v, split_part(series_id, '|', 2) as series_id, t, z, 0.5 + 0.01 * n_nationkey as a
+            from zn join nation on n_name = split_part(series_id, '|', 1))""",
+)
+add("wide_states", MODELS, f"select f.v as model, t, n as n_observed, {r('f.z')} as z_filtered, {r('f.p')} as v_filtered, {r('s.z')} as z, {r('s.p')} as v from f join s using (v, t)", True)
+add(
+    "wide_em_step",
+    MODELS
+    + """,
+        pair as (select a.v, a.z, a.p, b.z as z0, b.p as p0, a.p * b.j as lag from s a join s b on a.v = b.v and a.t = b.t + 1),
+        e as (select v, sum(z * z + p) as s11, sum(z0 * z0 + p0) as s00, sum(z * z0 + lag) as s10, count(*) as n from pair group by v),
+        x as (select k.v, series_id, k.z as y, s.z, s.p from zs k join s using (v, t) where k.z is not null),
+        loads as (select v, series_id, sum(y * z) / sum(z * z + p) as c from x group by all)""",
+    f"""select v as model, name, series_id, {r('value', 5)} as value from (
+            select v, 'a' as name, '' as series_id, s10 / s00 as value from e
+            union all select v, 'q', '', (s11 - s10 * s10 / s00) / n from e
+            union all select v, 'c', series_id, c from loads
+            union all select v, 'r', series_id, avg((y - c * z) * (y - c * z) + c * c * p) from x join loads using (v, series_id) group by v, series_id
+            union all select v, 'z0', '', z from s where t = -1 union all select v, 'v0', '', p from s where t = -1
+            union all select v, 'loglik', '', max_by(ll, t) from f group by v)""",
+    True,
+)
+add(
+    "wide_weights",
+    MODELS
+    + """,
+        owed as (
+            select v, 40::bigint as t, 0.6::double as o from ends
+            union all select owed.v, owed.t + 1, o * s.j from owed join s on s.v = owed.v and s.t = owed.t join ends on ends.v = owed.v where owed.t < last_t),
+        back as (
+            select v, last_t + 1 as t, 0.0::double as d, 0.0::double as ahead, 0.0::double as a from ends
+            union all
+            select x.v, x.t, f.p * u, u - sums.w * f.p * u - case when x.t > 40 then o else 0 end, f.a
+            from (select back.v, back.t - 1 as t, back.a * ahead + coalesce(o, 0) as u, coalesce(o, 0) as o
+                  from back left join owed on owed.v = back.v and owed.t = back.t - 1) x
+            join f on f.v = x.v and f.t = x.t join sums on sums.v = x.v and sums.t = x.t)""",
+    f"select v as model, t, series_id, {r(f'{LOADINGS} / 0.5 * d')} as weight from zs join back using (v, t) where z is not null",
+    True,
+)
+
 # result tables, recovery, small linear algebra
 add("wide_factors", FACTOR, f"select t, {r('f')} as F1 from f")
 FITTED = FACTOR + ", whole as (select t, series_id, loading * f * std + mean as x, loading, std, value from zs z join f using (t) join loads using (series_id))"

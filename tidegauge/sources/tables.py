@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import json
-import shutil
-import tempfile
 import uuid
 from datetime import datetime, timezone
 from typing import Protocol
@@ -64,22 +61,6 @@ def write(panel: DataFrame, path: str, mode: str = "errorifexists") -> None:
     panel.withColumn("year", F.year("period")).write.mode(mode).partitionBy("year").parquet(path)
 
 
-_own: dict[str, str] = {}
-
-
-def scratch(spark: SparkSession) -> str:
-    """A folder that driver and executors share, below ``spark.checkpoint.dir``; in local mode a temporary one will do."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not (spark.sparkContext.master + "[").startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        if "local" not in _own:
-            _own["local"] = tempfile.mkdtemp(prefix="tidegauge-panel-")
-            atexit.register(shutil.rmtree, _own["local"], ignore_errors=True)
-        base = _own["local"]
-    return f"{base.rstrip('/')}/panel-{spark.sparkContext.applicationId}"
-
-
 class Database(Protocol):
     """Reads and writes panels by table name."""
 
