@@ -46,14 +46,13 @@ def term_counts(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     so that both are counted by one aggregation.
     """
     found = docs.select(text_or_empty("lang").alias("lang"), text_or_empty("source").alias("source"), terms(text_or_empty("text")).alias("terms"))
-    both = F.concat(
-        F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(False).alias("first"))),
-        F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(True).alias("first"))),
-    )
+    every = F.struct(F.lit(False).alias("first"), "terms")
+    distinct = F.struct(F.lit(True).alias("first"), F.array_distinct("terms").alias("terms"))
     counted = (
-        found.select("lang", "source", F.explode(both).alias("t"))
-        .groupBy("lang", "source", "t.term")
-        .agg(F.count_if(~F.col("t.first")).alias("n"), F.count_if(F.col("t.first")).alias("docs"))
+        found.select("lang", "source", F.explode(F.array(every, distinct)).alias("b"))
+        .select("lang", "source", "b.first", F.explode("b.terms").alias("term"))
+        .groupBy("lang", "source", "term")
+        .agg(F.count_if(~F.col("first")).alias("n"), F.count_if("first").alias("docs"))
     )
     everywhere = Window.partitionBy("lang", "term")
     return (
