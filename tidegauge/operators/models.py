@@ -18,7 +18,10 @@ from pyspark.sql import functions as F
 from ..functions.dates import step_back
 from ..functions.frequency import higher, periods_per_year
 from ..plans import kernel, linalg
+from ..sources.scratch import written
+from .gram import components
 from .missing import to_matrix
+from .moments import standardise
 from .vintage import released, view, views
 
 FIT_SCHEMA = "model string, kind string, name string, i int, j int, value double"
@@ -486,23 +489,11 @@ def equal_loadings(rows: DataFrame, y: str, xs: list[str]) -> DataFrame:
 def principal_components(panel: DataFrame, k: int = 1) -> tuple[DataFrame, DataFrame]:
     """Loadings (series_id, k, value) and factors (t, k, value) of the standardised panel.
 
-    The covariance is an aggregate; only its (number of series)^2 entries come to one worker. The
-    factors are a join and a sum.
+    The panel is standardised once and written; loadings are found without the covariance
+    (``gram.components``), and the factors are a join and a sum.
     """
-    from ..plans.linalg import principal_components as pca
-    from .moments import covariance_listwise, standardise
-
-    z = standardise(panel).select("t", "series_id", F.col("z").alias("value"))
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(set(pdf["a"]) | set(pdf["b"]))
-        at = {n: p for p, n in enumerate(names)}
-        cov = np.zeros((len(names), len(names)))
-        for a, b, c in zip(pdf["a"], pdf["b"], pdf["covariance"], strict=True):
-            cov[at[a], at[b]] = cov[at[b], at[a]] = c
-        _, v = pca(cov, k)
-        return pd.DataFrame([(n, j, float(v[p, j])) for p, n in enumerate(names) for j in range(k)])
-
-    loads = covariance_listwise(z).withColumn("model", F.lit(0)).groupBy("model").applyInPandas(one, "series_id string, k int, value double")
+    z = written(standardise(panel).select("t", "series_id", F.col("z").alias("value")))
+    loads, _ = components(z, k)
+    loads = written(loads)
     scores = z.join(loads.withColumnRenamed("value", "w"), "series_id").groupBy("t", "k").agg(F.sum(F.col("value") * F.col("w")).alias("value"))
     return loads, scores

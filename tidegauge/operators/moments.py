@@ -1,7 +1,6 @@
 """Standardising, covariances and the sums of the estimation steps, as aggregates.
 
-Pairs of series are the one quadratic thing here: (number of series)^2 rows a period. That
-number is a property of the model, not of the data's size; the sums combine before the shuffle.
+Covariances come from blocks of series (``gram``): a row a pair is their result, never their input.
 """
 
 from __future__ import annotations
@@ -9,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .gram import complete_periods, products
+
 LEAST_STD = 1e-8
 LEAST_VARIANCE = 1e-10
 
@@ -46,18 +47,11 @@ def clean_variance(variances: DataFrame, default: float = 1.0, floor: float = 1e
     return variances.withColumn("cleaned", F.greatest(F.coalesce(good, middle, F.lit(default)), F.lit(floor)))
 
 
-def pairs(panel: DataFrame) -> DataFrame:
-    """Cells of one period side by side, (a, b) with a <= b, both observed."""
-    x = panel.where("value is not null").select("t", F.col("series_id").alias("a"), F.col("value").alias("x"))
-    y = x.select("t", F.col("a").alias("b"), F.col("x").alias("y"))
-    return x.join(y, "t").where("a <= b")
-
-
 def covariance_listwise(panel: DataFrame) -> DataFrame:
     """Sample covariance over the periods at which every series is observed."""
-    n = panel.select("series_id").distinct().agg(F.count(F.lit(1))).scalar()
-    full = panel.groupBy("t").agg(F.count("value").alias("n")).where(F.col("n") == n).select("t")
-    return pairs(panel.join(full, "t", "left_semi")).groupBy("a", "b").agg(F.covar_samp("x", "y").alias("covariance"))
+    sums = products(complete_periods(panel))
+    value = F.try_divide(F.col("sxy") - F.try_divide(F.col("sx") * F.col("sy"), "n"), F.col("n") - 1)
+    return sums.select("a", "b", value.alias("covariance"))
 
 
 def covariance_pairwise(panel: DataFrame) -> DataFrame:
@@ -65,14 +59,10 @@ def covariance_pairwise(panel: DataFrame) -> DataFrame:
 
     Under two of them it is 0, or 1 on the diagonal; the diagonal has a floor.
     """
-    names = panel.agg(F.collect_set("series_id").alias("names"))
-    every = names.select(F.explode("names").alias("a"), "names").select("a", F.explode(F.filter("names", lambda b: b >= F.col("a"))).alias("b"))
-    found = pairs(panel).groupBy("a", "b").agg(F.covar_pop("x", "y").alias("c"), F.count(F.lit(1)).alias("n"))
-    same = F.col("a") == F.col("b")
-    value = F.when(F.coalesce("n", F.lit(0)) < 2, F.when(same, 1.0).otherwise(0.0)).otherwise(
-        F.when(same, F.greatest("c", F.lit(LEAST_VARIANCE))).otherwise(F.col("c"))
-    )
-    return every.join(found, ["a", "b"], "left").select("a", "b", value.alias("covariance"))
+    same, n = F.col("a") == F.col("b"), F.col("n")
+    c = F.try_divide(F.col("sxy"), n) - F.try_divide(F.col("sx"), n) * F.try_divide(F.col("sy"), n)
+    value = F.when(n < 2, F.when(same, 1.0).otherwise(0.0)).otherwise(F.when(same, F.greatest(c, F.lit(LEAST_VARIANCE))).otherwise(c))
+    return products(panel).select("a", "b", value.alias("covariance"))
 
 
 def common_factor(panel: DataFrame) -> DataFrame:
