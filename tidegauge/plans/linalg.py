@@ -44,12 +44,6 @@ def spectral_radius(a: np.ndarray) -> float:
     return float(np.abs(np.linalg.eigvals(a)).max(initial=0.0))
 
 
-def stabilise(a: np.ndarray, most: float = 0.99) -> np.ndarray:
-    """Scale a transition matrix whose spectral radius reaches ``most``."""
-    radius = spectral_radius(a)
-    return a * (most / radius) if radius >= most else a
-
-
 def clip_ar(rho: np.ndarray | float, low: float = -0.99, high: float = 0.99) -> np.ndarray:
     return np.clip(np.nan_to_num(rho), low, high)
 
@@ -78,14 +72,6 @@ def log_det(a: np.ndarray) -> float:
     return float(value) if sign > 0 else float("nan")
 
 
-def safe_det(a: np.ndarray) -> float:
-    """Determinant; 0 where it would overflow or is not finite."""
-    if not a.size or not np.isfinite(a).all():
-        return 0.0
-    sign, value = np.linalg.slogdet(a)
-    return float(sign * np.exp(value)) if np.isfinite(value) and value <= 700 else 0.0
-
-
 def stationary_covariance(a: np.ndarray, q: np.ndarray, fallback: float = 0.1) -> np.ndarray:
     """V with V = A V A' + Q, by the Kronecker system; ``fallback`` I if it has no good solution."""
     n = len(a)
