@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.linalg import METHODS, SPARSE, spline_fill
+from ..plans.linalg import METHODS, SPARSE
+from .scalar import fold_path
 
 
 def row_gaps(panel: DataFrame) -> DataFrame:
@@ -32,22 +33,111 @@ def fill_median(panel: DataFrame) -> DataFrame:
     return panel.withColumn("value", F.coalesce("value", F.median("value").over(Window.partitionBy("series_id"))))
 
 
+def _steps(seen: Column) -> Column:
+    """Observed cells (place, value) with the step and slope to the next one."""
+
+    def ahead(knot: Column, k: Column) -> Column:
+        then = F.get(seen, k + 1)
+        h = (then["i"] - knot["i"]).cast("double")
+        return F.struct(knot["i"].alias("i"), knot["y"].alias("y"), h.alias("h"), ((then["y"] - knot["y"]) / h).alias("s"))
+
+    return F.transform(seen, ahead)
+
+
+def _equations(knots: Column) -> Column:
+    """A row (before, here, after, right) of the tridiagonal system for the slope at every knot: not-a-knot ends, a parabola of three, a line of two."""
+    n = F.size(knots)
+
+    def row(knot: Column, k: Column) -> Column:
+        h, s = (lambda j: F.get(knots, j)["h"]), (lambda j: F.get(knots, j)["s"])
+        one = lambda a, b, c, r: F.struct(*[x.cast("double").alias(y) for x, y in ((a, "before"), (b, "here"), (c, "after"), (r, "right"))])
+        none = F.lit(0.0)
+        inner = one(h(k), 2 * (h(k - 1) + h(k)), h(k - 1), 3 * (h(k) * s(k - 1) + h(k - 1) * s(k)))
+
+        def end(near: Column, far: Column) -> Column:
+            two = h(near) + h(far)
+            right = ((h(near) + 2 * two) * h(far) * s(near) + h(near) * h(near) * s(far)) / two
+            parabola = s(near) + h(near) * (s(near) - s(far)) / two
+            few = F.when(n == 2, s(near)).otherwise(parabola)
+            return F.when(n < 4, one(none, F.lit(1.0), none, few)).otherwise(F.when(k == 0, one(none, h(far), two, right)).otherwise(one(two, h(far), none, right)))
+
+        return F.when(k == 0, end(k, k + 1)).when(k == n - 1, end(k - 1, k - 2)).otherwise(inner)
+
+    return F.transform(knots, row)
+
+
+def _down(rows: Column) -> Column:
+    """The system's rows without what stands before the diagonal, last one first: a fold down the rows."""
+    start = F.struct(F.lit(0.0).alias("after"), F.lit(0.0).alias("right"))
+
+    def step(above: Column, row: Column) -> Column:
+        pivot = row["here"] - row["before"] * above["after"]
+        return F.struct((row["after"] / pivot).alias("after"), ((row["right"] - row["before"] * above["right"]) / pivot).alias("right"))
+
+    return F.reverse(fold_path(rows, start, step))
+
+
+def _up(rows: Column) -> Column:
+    """The solution, last one first: a fold back up."""
+    return fold_path(rows, F.lit(0.0), lambda below, row: row["right"] - row["after"] * below)
+
+
+def _curve(knots: Column, slopes: Column) -> Column:
+    """The spline at every place from the first knot to the last."""
+
+    def piece(k: Column) -> Column:
+        here, d, then = F.get(knots, k), F.get(slopes, k), F.get(slopes, k + 1)
+        c2, c3 = (3 * here["s"] - 2 * d - then) / here["h"], (d + then - 2 * here["s"]) / (here["h"] * here["h"])
+        return F.transform(F.sequence(F.lit(0), here["h"].cast("int") - 1), lambda u: here["y"] + u * (d + u * (c2 + u * c3)))
+
+    inner = F.flatten(F.transform(F.sequence(F.lit(0), F.size(knots) - 2), piece))
+    return F.concat(inner, F.array(F.element_at(knots, -1)["y"]))
+
+
+def _median(values: Column) -> Column:
+    x = F.array_sort(F.filter(values, lambda v: v.isNotNull()))
+    middle = lambda k: F.get(x, k.cast("int"))
+    return (middle((F.size(x) - 1) / 2) + middle(F.size(x) / 2)) / 2
+
+
 def fill_spline(panel: DataFrame, mode: str = "spline", smooth: int = 3) -> DataFrame:
     """Fill each series from a cubic spline through its observations.
 
-    ``spline`` keeps the curve inside and a moving average of it at the ends; ``median`` puts the
-    median of the spline-filled series into every missing cell. Series without values stay empty.
-    Each worker call holds one series.
+    ``spline`` keeps the curve inside and a moving average of it, over 2 ``smooth`` + 1 periods, at the ends;
+    ``smooth`` puts the moving average into every missing cell; ``median`` the median of the spline-filled
+    series. Series without values stay empty. A series is one row of arrays and the spline two folds over it.
     """
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        pdf["value"] = spline_fill(pdf["value"].to_numpy(float), mode, smooth)
-        return pdf
-
-    columns = panel.select("period", "series_id", "t", "value")
-    filled = columns.groupBy("series_id").applyInPandas(one, columns.schema)
-    return filled.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
+    if mode not in ("spline", "smooth", "median"):
+        raise ValueError(f"unknown mode {mode!r}")
+    cells = F.array_sort(F.collect_list(F.struct("t", "period", "value")))
+    observed = F.filter(F.transform("cells", lambda c, i: F.struct(i.alias("i"), c["value"].alias("y"))), lambda c: c["y"].isNotNull())
+    rows = panel.groupBy("series_id").agg(cells.alias("cells")).withColumn("seen", observed)
+    # a column for each stage: an expression inside a lambda would be worked out again for every element
+    several = lambda c: F.when(F.size("seen") > 1, c)
+    for name, stage in (("knots", _steps(F.col("seen"))), ("system", several(_equations(F.col("knots")))), ("solved", several(_down(F.col("system")))), ("back", several(_up(F.col("solved")))), ("slopes", F.reverse("back"))):
+        rows = rows.withColumn(name, stage)
+    rows = rows.withColumn("curve", several(_curve(F.col("knots"), F.col("slopes"))).otherwise(F.transform("seen", lambda k: k["y"])))
+    first = F.element_at("seen", 1)["i"]
+    own = F.transform("cells", lambda c, i: F.coalesce(c["value"], F.when(i >= first, F.get("curve", i - first))))
+    rows = rows.where(F.size("seen") > 0).withColumn("inside", own).withColumn("middle", _median(F.col("inside")))
+    rows = rows.withColumn("filled", F.transform("inside", lambda x: F.coalesce(x, "middle")))
+
+    def average(i: Column) -> Column:
+        near = F.sequence(i - smooth, i + smooth)
+        at = lambda j: F.get("filled", F.greatest(F.lit(0), F.least(j, F.size("filled") - 1)))
+        return F.aggregate(near, F.lit(0.0), lambda done, j: done + at(j)) / (2 * smooth + 1)
+
+    def value(c: Column, i: Column) -> Column:
+        if mode == "median":
+            return F.coalesce(c["value"], F.col("middle"))
+        return F.coalesce(c["value"], average(i)) if mode == "smooth" else F.coalesce(F.get("inside", i), average(i))
+
+    done = F.transform("cells", lambda c, i: F.struct(c["period"].alias("period"), c["t"].alias("t"), value(c, i).alias("value")))
+    kinds = dict(panel.dtypes)
+    filled = rows.select("series_id", F.explode(done).alias("c")).select("c.period", "series_id", F.col("c.t").cast(kinds["t"]).alias("t"), "c.value")
+    # a series without values has no knots
+    nothing = panel.join(panel.groupBy("series_id").agg(F.count("value").alias("n")).where("n = 0"), "series_id", "left_semi")
+    return filled.unionByName(nothing.select("period", "series_id", "t", F.col("value").cast("double").alias("value")))
 
 
 def treat(panel: DataFrame, method: int = 2, k: int = 3, mode: str = "spline") -> DataFrame:

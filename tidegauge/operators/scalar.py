@@ -44,7 +44,7 @@ def kalman(arrays: DataFrame, a: float = A, q: float = Q, r: float = R, z0: floa
     return arrays.select("series_id", end.alias("s")).select("series_id", "s.z", "s.v", "s.loglik")
 
 
-def _path(items: Column, start: Column, step: Callable[[Column, Column], Column]) -> Column:
+def fold_path(items: Column, start: Column, step: Callable[[Column, Column], Column]) -> Column:
     """Every state of the fold but the first, in order.
 
     An array grows by copying, so the fold goes by chunks of about the root of the length: once
@@ -65,7 +65,7 @@ def _path(items: Column, start: Column, step: Callable[[Column, Column], Column]
 def _kept(arrays: DataFrame, a: float, q: float, r: float, z0: float, v0: float) -> DataFrame:
     """Every filtered state, in order; series without periods have none."""
     rows = arrays.where(F.size("ys") > 0)
-    return rows.select("series_id", _path(F.col("ys"), _start(z0, v0), lambda s, y: _step(s, y, a, q, r)).alias("path"))
+    return rows.select("series_id", fold_path(F.col("ys"), _start(z0, v0), lambda s, y: _step(s, y, a, q, r)).alias("path"))
 
 
 def filtered(arrays: DataFrame, a: float = A, q: float = Q, r: float = R, z0: float = Z0, v0: float = V0) -> DataFrame:
@@ -88,7 +88,7 @@ def smoothed(arrays: DataFrame, a: float = A, q: float = Q, r: float = R, z0: fl
     first = F.struct(*[last[n].alias(n) for n in names])
     # the first state stands for itself; a series of one period has no other
     earlier = F.slice("path", 2, F.size("path"))
-    others = F.when(F.size("path") > 1, _path(earlier, first, back)).otherwise(F.slice(F.array(first), 1, 0))
+    others = F.when(F.size("path") > 1, fold_path(earlier, first, back)).otherwise(F.slice(F.array(first), 1, 0))
     path = F.reverse(F.concat(F.array(first), others))
     return rows.select("series_id", F.posexplode(path).alias("t", "s")).select("series_id", "t", "s.z", "s.v")
 

@@ -151,13 +151,13 @@ def fill_median(spark, sf_dir):
 
 @query
 def fill_spline(spark, sf_dir):
-    return out(X.fill_spline(T.nation_panel(spark, sf_dir)), "period", "series_id", "value")
+    return out(X.fill_spline(T.nation_panel(spark, sf_dir)), "period", "series_id", "value", digits=2)
 
 
 @query
 def missing_treated(spark, sf_dir):
     modes = [(1, "smooth"), (2, "median"), (3, "spline"), (4, "spline"), (5, "spline")]
-    return T.union([out(X.treat(T.prio_gap(spark, sf_dir), n, mode=m), "period", "series_id", "value").withColumn("method", F.lit(n)) for n, m in modes])
+    return T.union([out(X.treat(T.prio_gap(spark, sf_dir), n, mode=m), "period", "series_id", "value", digits=2).withColumn("method", F.lit(n).cast("long")) for n, m in modes])
 
 
 @query

@@ -143,6 +143,56 @@ add(
 )
 add("fill_median", NATION, f"select period::varchar as period, series_id, {r('coalesce(value, median(value) over (partition by series_id))')} as value from panel")
 
+
+
+def _spline(source: str) -> str:
+    """CTEs that fill ``source`` (series_id, period, t, value): inside has the curve, filled also the median at the ends, average the moving one."""
+    return f""",
+        k as (
+            select series_id, t, value as y, row_number() over w as i, count(*) over (partition by series_id) as n,
+                   (lead(t) over w - t)::double as h, (lead(value) over w - value) / (lead(t) over w - t) as s
+            from {source} where value is not null window w as (partition by series_id order by t)),
+        g as (
+            select *, lag(h) over w as h1, lag(s) over w as s1, lag(h, 2) over w as h0, lag(s, 2) over w as s0, lead(h) over w as h2, lead(s) over w as s2
+            from k window w as (partition by series_id order by i)),
+        eq as (
+            select series_id, i, n, case when i = 1 then 0 when i = n then h1 + h0 else h end as a,
+                   case when i = 1 then h2 when i = n then h0 else 2 * (h1 + h) end as b, case when i = 1 then h + h2 when i = n then 0 else h1 end as c,
+                   case when i = 1 then ((h + 2 * (h + h2)) * h2 * s + h * h * s2) / (h + h2) when i = n then ((h1 + 2 * (h1 + h0)) * h0 * s1 + h1 * h1 * s0) / (h1 + h0)
+                        else 3 * (h * s1 + h1 * s) end as r from g),
+        down as (
+            select series_id, i, n, c / b as c, r / b as r from eq where i = 1
+            union all
+            select eq.series_id, eq.i, eq.n, eq.c / (eq.b - eq.a * down.c), (eq.r - eq.a * down.r) / (eq.b - eq.a * down.c)
+            from down join eq on eq.series_id = down.series_id and eq.i = down.i + 1),
+        up as (
+            select series_id, i, r as d from down where i = n
+            union all select down.series_id, down.i, down.r - down.c * up.d from up join down on down.series_id = up.series_id and down.i = up.i - 1),
+        curve as (
+            select k.series_id, k.t as t0, lead(k.t) over w as t1, y, up.d, h, (3 * s - 2 * up.d - lead(up.d) over w) / h as c2, (up.d + lead(up.d) over w - 2 * s) / (h * h) as c3
+            from k join up on up.series_id = k.series_id and up.i = k.i window w as (partition by k.series_id order by k.t)),
+        inside as (
+            select p.series_id, p.period, p.t, p.value, coalesce(p.value, y + (p.t - t0) * (d + (p.t - t0) * (c2 + (p.t - t0) * c3))) as x
+            from {source} p left join curve on curve.series_id = p.series_id and p.t > t0 and p.t < t1),
+        filled as (
+            select *, coalesce(x, median(x) over (partition by series_id)) as f, median(x) over (partition by series_id) as m,
+                   min(t) over (partition by series_id) as low, max(t) over (partition by series_id) as high from inside),
+        averaged as (
+            select a.series_id, a.t, avg(b.f) as average from filled a cross join (select unnest(range(-3, 4)) as j)
+            join filled b on b.series_id = a.series_id and b.t = least(greatest(a.t + j, a.low), a.high) where a.value is null group by all),
+        done as (select filled.*, average from filled left join averaged using (series_id, t))"""
+
+
+def _method(n: int, value: str, most: str) -> str:
+    """One method over the gap panel: rows whose share of missing cells passes ``most`` bound the cut."""
+    cut = f", full_rows as (select t from gap group by t having count(*) - count(value) <= {most} * count(*)), cut as (select * from gap where t between (select min(t) from full_rows) and (select max(t) from full_rows))"
+    return f"(with recursive {GAP}{cut}{_spline('cut')} select period::varchar as period, series_id, {r(value, 2)} as value, {n}::bigint as method from done)"
+
+
+ORACLE_SQL["missing_treated"] = " union all ".join(
+    _method(*x) for x in ((1, "coalesce(value, average)", "1"), (2, "coalesce(value, m)", "0.8"), (3, "value", "0.8"), (4, "coalesce(x, average)", "(1 - 1e-9)"), (5, "coalesce(x, average)", "1"))
+)
+add("fill_spline", NATION + _spline("panel"), f"select period::varchar as period, series_id, {r('coalesce(x, average)', 2)} as value from done", True)
 add("standardize", PRIO + _z("zs", "prio_full"), f"select period::varchar as period, series_id, {r('z')} as z from zs")
 add("standardize_clipped", PRIO + _z("zs", "prio_full", "least(greatest(value, case when value is null then null else -2e6 end), case when value is null then null else 2e6 end)"), f"select period::varchar as period, series_id, {r('z')} as z from zs")
 add("unstandardize", PRIO + _z("zs", "prio_full"), f"select period::varchar as period, series_id, {r('z * std + mean', 3)} as value from zs")
