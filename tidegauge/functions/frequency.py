@@ -129,3 +129,50 @@ def periods_column(frequency: str | Column) -> Column:
 
 def step_column(frequency: str | Column) -> Column:
     return case_of(frequency, ROW_STEP, 1)
+
+
+def higher_column(frequency: str | Column) -> Column:
+    return case_of(frequency, {f: higher(f) for f in FREQUENCIES[1:]})
+
+
+def horizon_column(clock: str | Column, periods: Column) -> Column:
+    """Steps of a forecast of so many periods, in the clock's alias."""
+    clock = F.col(clock) if isinstance(clock, str) else clock
+    return F.when((clock == "sa") & (periods > 0), periods * 6).otherwise(periods)
+
+
+def alias_column(clock: str | Column) -> Column:
+    return case_of(clock, CLOCK_ALIAS)
+
+
+def tent_column(n: Column, shape: str = "symmetric") -> Column:
+    """``tent`` as an array, its length a column."""
+    places = F.sequence(F.lit(0), n - 1)
+    if shape == "symmetric":
+        return F.transform(places, lambda k: F.least(k, n - 1 - k) + 1)
+    if shape == "linear":
+        return F.transform(places, lambda k: F.lit(1))
+    if shape == "exponential":
+        decay = F.transform(places, lambda k: F.exp(F.lit(-4.0) * F.abs(k - n / 2) / n))
+        total = F.aggregate(decay, F.lit(0.0), lambda x, y: x + y)
+        return F.transform(decay, lambda x: F.floor(x * n / total).cast("int"))
+    raise ValueError(f"unknown shape {shape!r}")
+
+
+def tent_of_pair(slow: str | Column, clock: str | Column) -> Column:
+    """The weights of a slow series on a clock: those of the pair, else a tent of rank gap + 1; null where it is not slower."""
+    slow, clock = (F.col(x) if isinstance(x, str) else x for x in (slow, clock))
+    gap = rank_column(slow) - rank_column(clock)
+    pairs = F.map_from_arrays(F.array(*[F.lit(f"{s} {c}") for s, c in TENTS]), F.array(*[F.array(*[F.lit(w) for w in x]) for x in TENTS.values()]))
+    return F.when(gap > 0, F.coalesce(F.try_element_at(pairs, F.concat_ws(" ", slow, clock)), tent_column(F.greatest(gap, F.lit(0)) + 1)))
+
+
+def constraint_column(weights: Column) -> Column:
+    """``constraint_matrix`` of an array of weights, as rows of an array."""
+    n = F.size(weights)
+
+    def row(i: Column) -> Column:
+        entry = lambda j: F.when(j == 0, F.get(weights, F.lit(0))).when(j == i + 1, -F.get(weights, j)).otherwise(F.lit(0)).cast("double")
+        return F.transform(F.sequence(F.lit(0), n - 1), entry)
+
+    return F.when(n > 1, F.transform(F.sequence(F.lit(0), n - 2), row)).otherwise(F.array().cast("array<array<double>>"))

@@ -199,6 +199,18 @@ def fit(panel: DataFrame, loadings: DataFrame, transitions: DataFrame, m: int, f
     return loadings, transitions, reduce(DataFrame.unionByName, path)
 
 
+def stationary(transitions: DataFrame) -> DataFrame:
+    """The transitions with each model's stationary covariance as its v0, its start at 0."""
+
+    def solved(batches):
+        for pdf in batches:
+            a, q = (([np.array([np.asarray(r, float) for r in m]) for m in pdf[c]]) for c in ("a", "q"))
+            v0 = [linalg.stationary_covariance(x, y).tolist() for x, y in zip(a, q, strict=True)]
+            yield pd.DataFrame({"model": pdf["model"], "a": [x.tolist() for x in a], "q": [x.tolist() for x in q], "z0": [[0.0] * len(x) for x in a], "v0": v0})
+
+    return transitions.select("model", "a", "q", "z0", "v0").mapInPandas(solved, TRANSITION)
+
+
 def news_weights(panel: DataFrame, loadings: DataFrame, transitions: DataFrame, m: int, target: str, target_t: int) -> DataFrame:
     """model, t, series_id, weight: what the smoothed ``target`` at ``target_t`` (standardised) owes to each observed cell.
 

@@ -8,7 +8,6 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,7 +26,6 @@ from ..sources import scratch, tables
 from ..sources.config import MappingSource, MergedSource, ModelConfig, issues, spec_mapping, write_yaml
 from ..sources.config import load as load_config
 from . import fixtures as T
-from . import linalg
 from .kernel import Layout
 from .oracle import ORACLE_SQL as ORACLE_SQL
 
@@ -311,22 +309,31 @@ def tent_aggregate(spark, sf_dir):
     return out(M.standardise(T.nation_full(spark, sf_dir)).withColumn("aggregate", total), "period", "series_id", "aggregate")
 
 
+def _clocks(spark, sf_dir) -> DataFrame:
+    """Each nation with a clock, all six in turn, and a slower frequency where there is one."""
+    f = F.array(*[F.lit(x) for x in Q.FREQUENCIES])
+    rows = T.nation_spec(spark, sf_dir).select("series_id", "ord", F.get(f, F.col("ord") % 6).alias("clock"))
+    return rows.withColumn("slow", F.get(f, F.col("ord") % 6 + 1 + F.col("ord") % 3))
+
+
 @query
 def clock_table(spark, sf_dir):
-    rows = [(f, Q.rank(f), Q.periods_per_year(f), Q.higher(f), *Q.horizon(f)) for f in Q.FREQUENCIES]
-    return out(spark.createDataFrame(rows, "clock string, freq_rank int, periods int, higher string, horizon int, alias string"))
+    periods = F.col("ord") % 4 + 1
+    columns = [Q.rank_column("clock").alias("freq_rank"), Q.periods_column("clock").alias("periods"), Q.higher_column("clock").alias("higher")]
+    return out(_clocks(spark, sf_dir), "series_id", "clock", *columns, Q.horizon_column("clock", periods).alias("horizon"), Q.alias_column("clock").alias("alias"))
 
 
 @query
 def tent_weights(spark, sf_dir):
-    rows = [(n, k, w) for n in range(1, 13) for k, w in enumerate(Q.tent(n))]
-    return out(spark.createDataFrame(rows, "n int, k int, weight int"))
+    """The tent that ties a nation's slow series to its clock."""
+    return out(_clocks(spark, sf_dir).where("slow is not null"), "series_id", "slow", "clock", F.posexplode(Q.tent_of_pair("slow", "clock")).alias("k", "weight"))
 
 
 @query
 def tent_constraint_matrix(spark, sf_dir):
-    rows = [(s, c, i, j, float(x)) for s, c in Q.TENTS for i, row in enumerate(Q.constraint_matrix(Q.TENTS[s, c])[0]) for j, x in enumerate(row)]
-    return out(spark.createDataFrame(rows, "slow string, clock string, i int, j int, value double"))
+    rows = _clocks(spark, sf_dir).where("slow is not null").withColumn("w", Q.tent_of_pair("slow", "clock"))
+    rows = rows.select("series_id", F.posexplode(Q.constraint_column(F.col("w"))).alias("i", "row"))
+    return out(rows, "series_id", "i", F.posexplode("row").alias("j", "value"))
 
 
 @query
@@ -424,8 +431,11 @@ def forecast_scalar(spark, sf_dir):
 
 @query
 def em_convergence(spark, sf_dir):
-    rows = [("a", 0, 100.01), ("a", 1, 100.0), ("b", 0, 100.00001), ("b", 1, 100.0), ("c", 0, 50.0), ("c", 1, 100.0), ("d", 0, 100.0), ("d", 1, 50.0)]
-    return out(E.convergence(spark.createDataFrame(rows, "run string, iteration int, loglik double")), "run", "iteration", "change", "converged", "decreased")
+    """The mean log-likelihood of ever more periods of each standardised priority, step by step."""
+    z = M.standardise(T.prio_full(spark, sf_dir)).where("z is not null")
+    so_far = Window.partitionBy("series_id").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    runs = z.select(F.col("series_id").alias("run"), F.col("t").alias("iteration"), F.avg(-0.5 * (F.log(F.lit(6.283185307179586)) + F.col("z") * F.col("z"))).over(so_far).alias("loglik"))
+    return out(E.convergence(runs, 5e-3), "run", "iteration", "change", "converged", "decreased")
 
 
 # factor models
@@ -821,9 +831,14 @@ def constrained_pair(spark, sf_dir):
 
 @query
 def stationary_pair(spark, sf_dir):
-    """V with V = A V A' + Q for a chain of two states."""
-    v = linalg.stationary_covariance(np.array([[0.5, 0.1], [0.0, 0.3]]), np.eye(2))
-    return out(spark.createDataFrame([(i, j, float(v[i, j])) for i in range(2) for j in range(2)], "i int, j int, value double"))
+    """V with V = A V A' + Q for a chain of two states in each nation."""
+    k = F.col("ord") / 100
+    row = lambda *x: F.array(*[F.lit(v) if isinstance(v, float) else v for v in x])
+    chains = T.nation_spec(spark, sf_dir).select(
+        F.col("series_id").alias("model"), F.array(row(0.5 + k, 0.1), row(0.0, 0.3 + 2 * k)).alias("a"), F.array(row(1.0, 0.0), row(0.0, 1.0)).alias("q"), row(0.0, 0.0).alias("z0"), F.array(row(1.0, 0.0), row(0.0, 1.0)).alias("v0")
+    )
+    rows = W.stationary(chains).select("model", F.posexplode("v0").alias("i", "row"))
+    return out(rows, "model", "i", F.posexplode("row").alias("j", "value"))
 
 
 # sources and small relational operators
@@ -864,7 +879,10 @@ def load_pipeline(spark, sf_dir):
 
 @query
 def in_memory_panel(spark, sf_dir):
-    return out(tables.in_memory(spark, [[1.0, None], [2.5, float("nan")], [None, -3.0]], ["a", "b"]))
+    """A year of the priorities as rows of numbers on the driver, twelve of them, and back."""
+    year = P.pivot(P.between(T.prio(spark, sf_dir), "1996-01-01", "1996-12-01"), list(T.FIXED_SERIES)).orderBy("period").drop("period")
+    rows = [[None if v is None else v if k % 5 else float("nan") for k, v in enumerate(r, n)] for n, r in enumerate(year.limit(12).collect())]
+    return out(tables.in_memory(spark, rows, list(T.FIXED_SERIES), "1996-01-01"))
 
 
 @query
@@ -969,12 +987,14 @@ def date_range_periods(spark, sf_dir):
 
 @query
 def tent_shapes(spark, sf_dir):
-    rows = [(shape, n, k, w) for shape in ("symmetric", "linear", "exponential") for n in range(1, 13) for k, w in enumerate(Q.tent(n, shape))]
-    return out(spark.createDataFrame(rows, "shape string, n int, k int, weight int"))
+    """Every shape, as long as the nation's place says."""
+    spec, n = T.nation_spec(spark, sf_dir), F.col("ord") % 12 + 1
+    return out(T.union([spec.select("series_id", F.lit(s).alias("shape"), F.posexplode(Q.tent_column(n, s)).alias("k", "weight")) for s in ("symmetric", "linear", "exponential")]))
 
 
 @query
 def aggregation_structure(spark, sf_dir):
-    """Tents of the frequencies that a clock has below it."""
-    rows = [(clock, f, len(w), ",".join(map(str, w))) for clock in ("m", "q") for f, w in Q.aggregation([x for x in ("m", "q", "sa", "a") if Q.rank(x) >= Q.rank(clock)], clock).items()]
-    return out(spark.createDataFrame(rows, "clock string, frequency string, n int, weights string"))
+    """The slower frequencies on each clock, their series and their tents."""
+    rows = _clocks(spark, sf_dir).where("slow is not null").withColumn("weights", Q.tent_of_pair("slow", "clock"))
+    found = rows.groupBy("clock", "slow", "weights").agg(F.count(F.lit(1)).alias("n_series"))
+    return out(found, "clock", F.col("slow").alias("frequency"), "n_series", F.size("weights").alias("n"), F.array_join(F.transform("weights", lambda w: w.cast("string")), ",").alias("weights"))

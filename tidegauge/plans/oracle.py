@@ -291,23 +291,6 @@ add(
     + " + ".join(f"{w}.0 * lag(z, {k}) over (partition by series_id order by t)" for k, w in enumerate((1, 2, 3, 2, 1)))
     + ") / 9.0, 6) + 0.0 as aggregate from zs",
 )
-add(
-    "clock_table",
-    "",
-    """select * from (values ('d', 1::bigint, 365::bigint, null, 1::bigint, 'D'), ('w', 2, 52, 'd', 1, 'W'), ('m', 3, 12, 'w', 1, 'ME'), ('q', 4, 4, 'm', 1, 'QE'), ('sa', 5, 2, 'q', 6, 'ME'), ('a', 6, 1, 'sa', 1, 'YE'))
-        t(clock, freq_rank, periods, higher, horizon, alias)""",
-)
-add(
-    "tent_weights",
-    "",
-    "select n, k - 1 as k, least(k, n + 1 - k) as weight from (select unnest(range(1, 13)) as n) cross join lateral (select unnest(range(1, n + 1)) as k)",
-)
-add(
-    "tent_constraint_matrix",
-    "tents(slow, clock, w) as (values " + ", ".join(f"('{s}', '{c}', {list(w)})" for (s, c), w in TENTS.items()) + ")",
-    """select slow, clock, i, j, case when j = 0 then w[1]::double when j = i + 1 then -w[j + 1]::double else 0.0 end as value
-        from (select *, unnest(range(0, len(w) - 1)) as i from tents) cross join lateral (select unnest(range(0, len(w))) as j)""",
-)
 add("block_membership", NATION, "select series_id, unnest(blocks) as block from spec")
 add(
     "config_validate",
@@ -377,11 +360,6 @@ add(
     PRIO + _z("zs", "prio_full") + ", e as (select series_id, arg_max(z, t) as z, any_value(mean) as mean, any_value(std) as std from zs where z is not null group by 1)",
     f"select series_id, h, {r('z * pow(0.8, h)', 3)} as z_forecast, {r('z * pow(0.8, h) * std + mean', 3)} as forecast from e cross join (select unnest(range(1, 13))::bigint as h)",
 )
-add(
-    "em_convergence",
-    "l(run, iteration, before, loglik) as (values ('a', 1, 100.01::double, 100.0::double), ('b', 1, 100.00001, 100.0), ('c', 1, 50.0, 100.0), ('d', 1, 100.0, 50.0))",
-    f"select run, iteration::bigint as iteration, {r('2 * abs(loglik - before) / (abs(loglik) + abs(before))')} as change, 2 * abs(loglik - before) / (abs(loglik) + abs(before)) < 1e-4 as converged, loglik - before < -1e-3 as decreased from l",
-)
 add(
     "backtest_metrics",
     NATION
@@ -677,13 +655,6 @@ add(
     + ", w as (select t, max(case when series_id[1] = '1' then z end) as a, max(case when series_id[1] = '2' then z end) as b, max(case when series_id[1] = '3' then z end) as y from zs group by t), l as (select sum((a + b) * y) / sum((a + b) * (a + b)) as l from w where a is not null and b is not null and y is not null)",
     f"select x, {r('l')} as loading from l cross join (values ('a'), ('b')) n(x)",
 )
-add(
-    "stationary_pair",
-    """v as (select 0 as k, 1.0::double as a, 0.0::double as b, 1.0::double as d
-           union all select k + 1, 0.25 * a + 0.1 * b + 0.01 * d + 1, 0.15 * b + 0.03 * d, 0.09 * d + 1 from v where k < 200)""",
-    f"select i::bigint as i, j::bigint as j, {r('case when i + j = 0 then a when i + j = 1 then b else d end')} as value from v cross join (values (0, 0), (0, 1), (1, 0), (1, 1)) p(i, j) where k = 200",
-    True,
-)
 
 # sources and small relational operators
 ORACLE_SQL["csv_dates_down"] = ORACLE_SQL["panel_unpivot"]
@@ -697,11 +668,6 @@ add(
     CUT + f", mixed as (select period, series_id, t, value as raw_value, case {_CASES} end as value from panel)",
     f"select {CELL}, t, {r('raw_value')} as raw_value from mixed where t >= (select min(t) from mixed where value is not null)",
 )
-add(
-    "in_memory_panel",
-    "",
-    "select * from (values ('2000-01-01', 'a', 1.0::double), ('2000-01-01', 'b', null), ('2000-02-01', 'a', 2.5), ('2000-02-01', 'b', null), ('2000-03-01', 'a', null), ('2000-03-01', 'b', -3.0)) t(period, series_id, value)",
-)
 add("result_store", FACTOR, f"select 'loading:Block_Global' as kind, series_id as name, {r('loading')} as value, 2::bigint as stored from loads")
 add("views_newest_first", NATION, "select row_number() over (order by view_date desc) - 1 as place, view_date::varchar as view_date, count(value) as n_available from views where month(view_date) in (4, 5, 7) group by view_date")
 add("view_latest", NATION, f"select {CELL} from views where view_date = date '2001-06-10'")
@@ -735,18 +701,6 @@ add(
         for f, u, n in (("d", "to_days", 1), ("w", "to_days", 7), ("m", "to_months", 1), ("q", "to_months", 3), ("sa", "to_months", 6), ("a", "to_months", 12))
     ),
 )
-add(
-    "tent_shapes",
-    """p as (select n, unnest(range(0, n)) as k from (select unnest(range(1, 13)) as n)), e as (select n, k, exp(-4.0 * abs(k - n / 2.0) / n) as x from p)""",
-    """select 'symmetric' as shape, n, k, least(k, n - 1 - k) + 1 as weight from p union all select 'linear', n, k, 1 from p
-        union all select 'exponential', n, k, floor(x * n / sum(x) over (partition by n))::bigint from e""",
-)
-add(
-    "aggregation_structure",
-    "",
-    """select * from (values ('m', 'q', 5::bigint, '1,2,3,2,1'), ('m', 'sa', 7, '1,2,3,4,3,2,1'), ('m', 'a', 9, '1,2,3,4,5,4,3,2,1'), ('q', 'sa', 3, '1,2,1'), ('q', 'a', 5, '1,2,3,2,1'))
-        t(clock, frequency, n, weights)""",
-)
 
 
 def _power(name: str, matrix: str, steps: int = 600) -> str:
@@ -781,3 +735,62 @@ PCA = (
 )
 add("pca_loadings", PCA, f"select series_id, k::bigint as k, {r('w')} as value from loads", True)
 add("pca_factor", PCA, f"select t, k::bigint as k, {r('sum(value * w)')} as value from zs join loads using (series_id) group by t, k", True)
+
+# frequencies, clocks and tents by nation
+CLOCKS = (
+    NATION
+    + """, clocks as (
+            select series_id, ord, (['d', 'w', 'm', 'q', 'sa', 'a'])[ord % 6 + 1] as clock, (['d', 'w', 'm', 'q', 'sa', 'a'])[ord % 6 + ord % 3 + 2] as slow, ord % 6 + 1 as place from spec),
+        pairs(slow, clock, w) as (values """
+    + ", ".join(f"('{s}', '{c}', {list(w)})" for (s, c), w in TENTS.items())
+    + """),
+        tents as (
+            select series_id, c.slow, c.clock, coalesce(w, [least(k, ord % 3 + 3 - k)::int for k in range(1, ord % 3 + 3)]) as w
+            from clocks c left join pairs p on p.slow = c.slow and p.clock = c.clock where c.slow is not null)"""
+)
+add(
+    "clock_table",
+    CLOCKS,
+    """select series_id, clock, place as freq_rank, ([365, 52, 12, 4, 2, 1])[place]::bigint as periods, case when place > 1 then (['d', 'w', 'm', 'q', 'sa'])[place - 1] end as higher,
+              case when clock = 'sa' then 6 else 1 end * (ord % 4 + 1) as horizon, (['D', 'W', 'ME', 'QE', 'ME', 'YE'])[place] as alias from clocks""",
+)
+add("tent_weights", CLOCKS, "select series_id, slow, clock, k - 1 as k, w[k]::bigint as weight from tents cross join lateral (select unnest(range(1, len(w) + 1)) as k)")
+add(
+    "tent_constraint_matrix",
+    CLOCKS,
+    """select series_id, i, j, case when j = 0 then w[1]::double when j = i + 1 then -w[j + 1]::double else 0.0 end as value
+       from tents cross join lateral (select unnest(range(0, len(w) - 1)) as i) cross join lateral (select unnest(range(0, len(w))) as j)""",
+)
+add(
+    "tent_shapes",
+    NATION + ", p as (select series_id, ord % 12 + 1 as n, unnest(range(0, ord % 12 + 1)) as k from spec), e as (select series_id, n, k, exp(-4.0 * abs(k - n / 2.0) / n) as x from p)",
+    """select series_id, 'symmetric' as shape, k, least(k, n - 1 - k) + 1 as weight from p union all select series_id, 'linear', k, 1 from p
+        union all select series_id, 'exponential', k, floor(x * n / sum(x) over (partition by series_id))::bigint from e""",
+)
+add("aggregation_structure", CLOCKS, "select clock, slow as frequency, count(*) as n_series, len(w)::bigint as n, array_to_string(w, ',') as weights from tents group by clock, slow, w")
+add(
+    "em_convergence",
+    PRIO
+    + _z("zs", "prio_full")
+    + """, l as (select series_id as run, t as iteration, avg(-0.5 * (ln(6.283185307179586) + z * z)) over (partition by series_id order by t rows unbounded preceding) as loglik from zs where z is not null),
+        m as (select *, lag(loglik) over (partition by run order by iteration) as before, lag(iteration) over (partition by run order by iteration) as prior from l)""",
+    f"""select run, iteration, {r('2 * abs(loglik - before) / (abs(loglik) + abs(before) + 2.220446049250313e-16)')} as change,
+               2 * abs(loglik - before) / (abs(loglik) + abs(before) + 2.220446049250313e-16) < 5e-3 as converged, loglik - before < -1e-3 as decreased
+        from m where before is not null and prior = iteration - 1""",
+)
+add(
+    "stationary_pair",
+    NATION
+    + """, v as (
+            select series_id, ord / 100.0::double as x, 0 as k, 1.0::double as a, 0.0::double as b, 1.0::double as d from spec
+            union all
+            select series_id, x, k + 1, (0.5 + x) * (0.5 + x) * a + 2 * (0.5 + x) * 0.1 * b + 0.01 * d + 1, (0.3 + 2 * x) * ((0.5 + x) * b + 0.1 * d), (0.3 + 2 * x) * (0.3 + 2 * x) * d + 1
+            from v where k < 400)""",
+    f"select series_id as model, i::bigint as i, j::bigint as j, {r('case when i + j = 0 then a when i + j = 1 then b else d end')} as value from v cross join (values (0, 0), (0, 1), (1, 0), (1, 1)) p(i, j) where k = 400",
+    True,
+)
+add(
+    "in_memory_panel",
+    PRIO + ", y as (select *, dense_rank() over (order by period) - 1 as n, series_id[1]::int - 1 as k from prio_full where period between date '1996-01-01' and date '1996-12-01')",
+    f"select (date '1996-01-01' + to_months(n::int))::date::varchar as period, series_id, case when (n + k) % 5 <> 0 then {r('value')} end as value from y",
+)
