@@ -195,37 +195,48 @@ def fit_summary(fits: DataFrame) -> DataFrame:
     )
 
 
-STATES_SCHEMA = "t int, k int, n_observed int, z_filtered double, v_filtered double, z double, v double, loglik double"
+STATES_SCHEMA = "model string, t int, k int, n_observed int, z_filtered double, v_filtered double, z double, v double, loglik double"
 
 
-def fixed_states(model: Model, panel: DataFrame) -> DataFrame:
-    """Filtered and smoothed states of a panel under the model's parameters; position -1 is the start."""
+def _by_model(panel: DataFrame, by: str | None) -> DataFrame:
+    """The panel with a column ``model``: the one named ``by``, or one model for all rows."""
+    return panel.select((F.lit("0") if by is None else F.col(by).cast("string")).alias("model"), "t", "series_id", "value")
+
+
+def fixed_states(model: Model, panel: DataFrame, by: str | None = None) -> DataFrame:
+    """Filtered and smoothed states of a panel under the model's parameters; position -1 is the start.
+
+    With ``by`` the panel holds several, a worker call each.
+    """
     names = list(model.spec.series)
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         x = to_matrix(pdf, names)
         y, first = model.fitted.standardise(x), int(pdf["t"].min())
         f = kernel.kalman_filter(y, model.fitted.params)
         s = kernel.smooth(f, model.fitted.params.a)
         n_seen = [0, *np.isfinite(y).sum(1).tolist()]
         return pd.DataFrame(
-            [(first + t - 1, k, n_seen[t], f.zu[t, k], f.vu[t, k, k], s.z[t, k], s.v[t, k, k], f.loglik) for t in range(len(s.z)) for k in range(s.z.shape[1])]
+            [(key[0], first + t - 1, k, n_seen[t], f.zu[t, k], f.vu[t, k, k], s.z[t, k], s.v[t, k, k], f.loglik) for t in range(len(s.z)) for k in range(s.z.shape[1])]
         )
 
-    return panel.select(F.lit(0).alias("model"), "t", "series_id", "value").groupBy("model").applyInPandas(one, STATES_SCHEMA)
+    return _by_model(panel, by).groupBy("model").applyInPandas(one, STATES_SCHEMA)
+
 
+def em_update(model: Model, panel: DataFrame, by: str | None = None) -> DataFrame:
+    """The parameters after one EM step from the model's own, by matrix and place, and the log-likelihood before it.
 
-def em_update(model: Model, panel: DataFrame) -> DataFrame:
-    """The parameters after one EM step from the model's own, by matrix and place, and the log-likelihood before it."""
+    With ``by`` the panel holds several that all start from these parameters, a worker call each.
+    """
     names = list(model.spec.series)
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         y = model.fitted.standardise(to_matrix(pdf, names))
         new, loglik = kernel.em_step(y, model.fitted.params, model.spec.layout, model.spec.options)
         parts = [_cells("matrix", k, getattr(new, k)) for k in _MATRICES] + [_cells("loglik", "loglik", np.array([[loglik]]))]
-        return pd.concat(parts, ignore_index=True)[["name", "i", "j", "value"]]
+        return pd.concat(parts, ignore_index=True).assign(model=key[0])[["model", "name", "i", "j", "value"]]
 
-    return panel.select(F.lit(0).alias("model"), "t", "series_id", "value").groupBy("model").applyInPandas(one, "name string, i int, j int, value double")
+    return _by_model(panel, by).groupBy("model").applyInPandas(one, "model string, name string, i int, j int, value double")
 
 
 def forecast(spark: SparkSession, model: Model, panel: DataFrame, horizon: int | None = None) -> DataFrame:

@@ -775,6 +775,23 @@ def wide_weights(spark, sf_dir):
     return out(W.news_weights(*T.nation_models(spark, sf_dir), 1, "5-LOW", 40), "model", "t", "series_id", "weight")
 
 
+# mixed frequencies with idiosyncratic chains, parameters given: a model a nation
+
+
+@query
+def mixed_states(spark, sf_dir):
+    """The factor's lags and the three idiosyncratic terms."""
+    rows = G.fixed_states(T.mixed_model(), T.mixed_panel(spark, sf_dir), "model").where("t >= 0 and k in (0, 2, 5, 6, 7)")
+    return out(rows, "model", "t", "k", "z_filtered", "v_filtered", "z", "v", digits=5)
+
+
+@query
+def mixed_em_step(spark, sf_dir):
+    rows = G.em_update(T.mixed_model(), T.mixed_panel(spark, sf_dir), "model")
+    free = "name = 'loglik' or name in ('a', 'q') and i = j and i in (0, 5, 6, 7) or name = 'c' and j = 0"
+    return out(rows.where(free), "model", "name", "i", "value", digits=5)
+
+
 # result tables of a factor that needs no iteration
 
 

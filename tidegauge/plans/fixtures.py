@@ -152,3 +152,26 @@ def nation_models(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
         square(F.lit(1.0)).alias("v0"),
     )
     return panel, loadings, transitions.join(panel.select("model").distinct(), "model", "left_semi")
+
+
+#: Two monthly series and a quarterly one on a monthly clock, each with an idiosyncratic term of its own; parameters that are given.
+MIXED_SERIES, MIXED_LOADINGS = ("1-URGENT", "2-HIGH", "5-LOW"), (1.0, 0.8, 0.9)
+MIXED = {"a": 0.7, "q": 0.3, "rho": 0.3, "idio": 0.2, "r": 0.05}
+
+
+def mixed_model() -> Model:
+    layout = Layout(("m", "m", "q"), ((1,),) * 3)
+    a, q = np.zeros((layout.size, layout.size)), np.zeros((layout.size, layout.size))
+    for o, n, rho, noise in ((0, layout.depth, MIXED["a"], MIXED["q"]), *((o, n, MIXED["rho"], MIXED["idio"]) for o, n in zip(layout.chain_offsets, layout.chains, strict=False))):
+        a[o, o], q[o, o] = rho, noise
+        a[o + 1 : o + n, o : o + n - 1] = np.eye(n - 1)
+    c = np.stack([load * layout.effective(i)[0] + layout.own(i) for i, load in enumerate(MIXED_LOADINGS)])
+    params = Params(a, c, q, MIXED["r"] * np.eye(3), np.zeros(layout.size), np.eye(layout.size))
+    return Model(ModelSpec(MIXED_SERIES, layout), Fit(layout, params, np.zeros(3), np.ones(3), [0.0], True))
+
+
+def mixed_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A panel a nation; the quarterly series is known at the ends of quarters."""
+    panel, _, _ = nation_models(spark, sf_dir)
+    slow = (F.col("series_id") == MIXED_SERIES[2]) & ((F.col("t") + 1) % 3 != 0)
+    return panel.where(F.col("series_id").isin(*MIXED_SERIES)).select("model", "t", "series_id", F.when(~slow, F.col("z")).alias("value"))

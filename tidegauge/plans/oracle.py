@@ -794,3 +794,115 @@ add(
     PRIO + ", y as (select *, dense_rank() over (order by period) - 1 as n, series_id[1]::int - 1 as k from prio_full where period between date '1996-01-01' and date '1996-12-01')",
     f"select (date '1996-01-01' + to_months(n::int))::date::varchar as period, series_id, case when (n + k) % 5 <> 0 then {r('value')} end as value from y",
 )
+
+
+# mixed frequencies: a vector state held as lists, one observation at a time, so that no matrix is ever inverted
+# states: five lags of the factor; each monthly series' own term and its lag; five lags of the quarterly one's
+_SOURCE = [0, 0, 1, 2, 3, 5, 5, 7, 7, 9, 9, 10, 11, 12]
+_COEF = [0.7, 1, 1, 1, 1, 0.3, 1, 0.3, 1, 0.3, 1, 1, 1, 1]
+_NOISE = {0: 0.3, 5: 0.2, 7: 0.2, 9: 0.2}
+_M = len(_SOURCE)
+_TENT = [w / 9 for w in (1, 2, 3, 2, 1)]
+_LOADS = [
+    [1.0] + [0.0] * 4 + [1.0] + [0.0] * 8,
+    [0.8] + [0.0] * 6 + [1.0] + [0.0] * 6,
+    [0.9 * w for w in _TENT] + [0.0] * 4 + _TENT,
+]
+_FREE = {"0": 0, "5": 5, "6": 7, "7": 9}
+
+
+def _list(x: list, kind: str = "double") -> str:
+    return f"[{', '.join(map(str, x))}]::{kind}[]"
+
+
+def _each(body: str, n: int = _M, k: str = "i") -> str:
+    return f"[{body} for {k} in range({n})]"
+
+
+def _flat(body: str) -> str:
+    """A matrix row by row; ``body`` has i and j."""
+    return f"[{body.replace('{i}', f'(u // {_M})').replace('{j}', f'(u % {_M})')} for u in range({_M * _M})]"
+
+
+def _dot(x: str, y: str) -> str:
+    return f"list_dot_product({x}, {y})"
+
+
+def _row(matrix: str, i: str) -> str:
+    return f"{matrix}[{i} * {_M} + 1:{i} * {_M} + {_M}]"
+
+
+MIXED = (
+    _panel("np", """select date_trunc('month', o_orderdate)::date as period, n_name || '|' || o_orderpriority as series_id, sum(o_totalprice) as value
+        from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by 1, 2""")
+    + _z("zn", "np_full")
+    + f""", obs as (
+            select split_part(series_id, '|', 1) as v, t, case split_part(series_id, '|', 2)[1] when '1' then 1 when '2' then 2 else 3 end as n,
+                   case when split_part(series_id, '|', 2)[1] <> '5' or (t + 1) % 3 = 0 then z end as y
+            from zn where split_part(series_id, '|', 2)[1] in ('1', '2', '5')),
+        plan as (select v, t, k.n, max(y) filter (obs.n = k.n) as y from obs cross join (values (0), (1), (2), (3)) k(n) group by v, t, k.n),
+        steps as (
+            select *, t * 4 + n + 1 as s, {_list(_SOURCE, 'int')} as src, {_list(_COEF)} as coef, {_list([_NOISE.get(i, 0.0) for i in range(_M)])} as noise,
+                   case n when 1 then {_list(_LOADS[0])} when 2 then {_list(_LOADS[1])} when 3 then {_list(_LOADS[2])} else {_list([0.0] * _M)} end as c from plan),
+        fw as (
+            select distinct v, 0::bigint as s, {_list([0.0] * _M)} as z, {_list([float(i == j) for i in range(_M) for j in range(_M)])} as p, 0.0::double as ll,
+                   {_list([0.0] * _M)} as k, null::double as f, null::double as e from obs
+            union all
+            select v, s,
+                   case when n = 0 then {_each("coef[i + 1] * z[src[i + 1] + 1]")} when y is null then z else {_each("z[i + 1] + pc[i + 1] * e / f")} end,
+                   case when n = 0 then {_flat("coef[{i} + 1] * coef[{j} + 1] * m[src[{i} + 1] * " + str(_M) + " + src[{j} + 1] + 1] + case when {i} = {j} then noise[{i} + 1] else 0 end")}
+                        when y is null then m else {_flat("m[u + 1] - pc[{i} + 1] * pc[{j} + 1] / f")} end,
+                   case when n = 0 or y is null then ll else ll - 0.5 * (ln(f) + e * e / f) end,
+                   [x / f for x in pc], f, e
+            from (select *, {_dot("c", "pc")} + 0.05 as f, y - {_dot("c", "z")} as e
+                  from (select steps.*, fw.z, fw.p as m, fw.ll, {_each(_dot(_row("fw.p", "i"), "c"))} as pc
+                        from fw join steps on steps.v = fw.v and steps.s = fw.s + 1))),
+        ends as (select v, max(s) as last_s from fw group by v),
+        bw as (
+            select v, last_s as s, {_list([0.0] * _M)} as r, {_list([0.0] * _M * _M)} as b from ends
+            union all
+            select v, s - 1,
+                   case when n = 0 then {_each("list_sum([case when src[x + 1] = i then coef[x + 1] * r[x + 1] else 0 end for x in range(" + str(_M) + ")])")}
+                        when y is null then r else {_each("c[i + 1] * (e / f - kr) + r[i + 1]")} end,
+                   case when n = 0 then {_flat("list_sum([case when src[x + 1] = {i} then coef[x + 1] * list_sum([case when src[w + 1] = {j} then coef[w + 1] * b[x * " + str(_M) + " + w + 1] else 0 end for w in range(" + str(_M) + ")]) else 0 end for x in range(" + str(_M) + ")])")}
+                        when y is null then b else {_flat("b[u + 1] - c[{i} + 1] * nk[{j} + 1] - nk[{i} + 1] * c[{j} + 1] + c[{i} + 1] * c[{j} + 1] * (knk + 1 / f)")} end
+            from (select *, {_dot("k", "nk")} as knk
+                  from (select steps.*, bw.r, bw.b, fw.k, fw.f, fw.e, {_dot("fw.k", "bw.r")} as kr, {_each(_dot(_row("bw.b", "i"), "fw.k"))} as nk
+                        from bw join steps on steps.v = bw.v and steps.s = bw.s join fw on fw.v = bw.v and fw.s = bw.s where bw.s > 0))),
+        smooth as (
+            select fw.v, case when fw.s = 0 then -1 else (fw.s - 1) // 4 end as t, fw.z, fw.p as m, bw.r, bw.b
+            from fw join bw on bw.v = fw.v and bw.s = fw.s where fw.s = 0 or fw.s % 4 = 1),
+        var as (
+            select v, t, {_each("z[i + 1] + " + _dot(_row("m", "i"), "r"))} as z,
+                   {_flat("m[u + 1] - " + _dot("mb[{i} + 1]", _row("m", "{j}")))} as p
+            from (select *, {_each("[" + _dot(_row("m", "i"), _row("b", "j")) + f" for j in range({_M})]")} as mb from smooth))"""
+)
+add(
+    "mixed_states",
+    MIXED,
+    f"""select v as model, t, i::bigint as k, {r('fw.z[x + 1]', 5)} as z_filtered, {r('fw.p[x * ' + str(_M) + ' + x + 1]', 5)} as v_filtered, {r('var.z[x + 1]', 5)} as z, {r('var.p[x * ' + str(_M) + ' + x + 1]', 5)} as v
+        from var join fw using (v) cross join (values (0, 0), (2, 2), (5, 5), (6, 7), (7, 9)) k(i, x) where t >= 0 and fw.s = 4 * t + 4""",
+    True,
+)
+_SECOND = f"(z[x + 1] * z[y + 1] + p[x * {_M} + y + 1])"
+add(
+    "mixed_em_step",
+    MIXED
+    + f""",
+        own as (
+            select v, i, sum({_SECOND.replace('y', 'x')}) filter (t >= 0) as now, sum({_SECOND.replace('y', 'x')}) filter (t < (select max(t) from var)) as before,
+                   sum({_SECOND.replace('y', '(x + 1)')}) filter (t >= 0) as lagged, count(*) - 1 as n
+            from var cross join (values {', '.join(f"({i}, {x})" for i, x in _FREE.items())}) k(i, x) group by v, i),
+        eff(n, e, own) as (values {', '.join(f"({n + 1}, {_list(_TENT + [0.0] * 9 if n == 2 else [1.0] + [0.0] * 13)}, {_list([0.0] * 5 + _LOADS[n][5:])})" for n in range(3))}),
+        seen as (select *, {_each(_dot(_row("p", "i"), "e"))} as pe from obs join var using (v, t) join eff using (n) where y is not null),
+        loads as (
+            select v, n, sum({_dot("e", "z")} * y - {_dot("e", "z")} * {_dot("own", "z")} - {_dot("pe", "own")}) / sum({_dot("e", "z")} * {_dot("e", "z")} + {_dot("pe", "e")}) as load
+            from seen group by v, n)""",
+    f"""select v as model, name, i::bigint as i, {r('value', 5)} as value from (
+            select v, 'a' as name, i, least(greatest(lagged / before, -0.99), 0.99) as value from own
+            union all select v, 'q', i, (now - 2 * rho * lagged + rho * rho * before) / n from (select *, least(greatest(lagged / before, -0.99), 0.99) as rho from own)
+            union all select v, 'c', n - 1, coalesce(load, given) * case n when 3 then {1 / 9} else 1 end
+            from ends cross join (values (1, 1.0), (2, 0.8), (3, 0.9)) g(n, given) left join loads using (v, n)
+            union all select v, 'loglik', 0, max_by(ll, s) from fw group by v)""",
+    True,
+)
