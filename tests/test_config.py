@@ -111,6 +111,9 @@ def test_warnings_drift_and_lookups():
     assert c.series_index("series_1") == 1 and c.units() == [None, None] and c.series_names()[0] == "a"
     with pytest.raises(KeyError, match="known: a"):
         c.series_index("zz")
+    assert c.series_name(0) == c.series_name("a") == "a" and c.unit("a") == "" and c.unit(1, "none") == "none" and c.ids_named("a") == ["a"]
+    with pytest.raises(IndexError, match="0 to 1"):
+        c.series_at(2)
     assert c.drift_from(c.model()) == []
     other = C.load({"series": {"series_1": {"frequency": "m"}, "c": {}}})
     assert other.drift_from(c.model()) == ["series a is gone", "series c is new", "series series_1: frequency q", "blocks Block_Global, Block_X"]

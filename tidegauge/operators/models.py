@@ -184,6 +184,39 @@ def diagnose(fits: DataFrame, top: int = 5) -> DataFrame:
     return loadings(fits).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
 
 
+def places(spec: ModelSpec) -> list[tuple[str, int, int, str, str, int, int]]:
+    """What each free entry of a model's matrices stands for: matrix, i, j, section, name, factor, lag."""
+    layout, out = spec.layout, []
+    for b, (block, r) in enumerate(zip(spec.block_names, layout.factors, strict=True)):
+        o = layout.offsets[b]
+        for k in range(r):
+            out += [("a", o + k, o + lag * r + j, "factor transition", block, k, lag * r + j) for lag in range(layout.lags_of(b)) for j in range(r)]
+            out += [("q", o + k, o + j, "factor variance", block, k, j) for j in range(r)]
+    for i, name in enumerate(spec.series):
+        slow = len(layout.weights(i)) > 1
+        for b in np.flatnonzero(layout.blocks[i]).tolist():
+            r = layout.factors[b]
+            for lag in range(len(layout.weights(i))):
+                out += [("c", i, layout.offsets[b] + lag * r + k, "slow loading" if slow else "loading", name, layout.offsets[b] // layout.depth + k, lag) for k in range(r)]
+        if layout.chains[i]:
+            o = layout.chain_offsets[i]
+            out += [("a", o, o, "own transition", name, 0, 0), ("q", o, o, "own variance", name, 0, 0)]
+        out.append(("r", i, i, "observation variance", name, 0, 0))
+    return out
+
+
+def result_tables(matrices: DataFrame, spec: ModelSpec) -> DataFrame:
+    """The estimates of each model by what they mean: model, section, name (series or block), factor, lag, value.
+
+    ``matrices`` are rows of model, name, i, j, value: those of ``fit`` of kind ``matrix``, or of ``em_update``.
+    Sections are loading, slow loading (by lag of the tent), factor transition, factor variance, own
+    transition, own variance and observation variance.
+    """
+    at = matrices.sparkSession.createDataFrame(places(spec), "matrix string, i int, j int, section string, name string, factor int, lag int")
+    rows = matrices.select("model", F.col("name").alias("matrix"), "i", "j", "value")
+    return rows.join(at, ["matrix", "i", "j"]).select("model", "section", "name", "factor", "lag", "value")
+
+
 def fit_summary(fits: DataFrame) -> DataFrame:
     """Of each model: iterations, last log-likelihood, whether it converged, and how often guards acted."""
     n = lambda kind: F.col("kind") == kind

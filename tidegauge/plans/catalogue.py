@@ -792,6 +792,13 @@ def mixed_em_step(spark, sf_dir):
     return out(rows.where(free), "model", "name", "i", "value", digits=5)
 
 
+@query
+def result_tables(spark, sf_dir):
+    """What the step has estimated for each nation, by section."""
+    model = T.mixed_model()
+    return out(G.result_tables(G.em_update(model, T.mixed_panel(spark, sf_dir), "model"), model.spec), digits=5)
+
+
 # result tables of a factor that needs no iteration
 
 
@@ -823,6 +830,26 @@ def factor_recovery_rotated(spark, sf_dir):
     return out(E.recovery(E.rotated(f, "t"), "k"), "k", "correlation", "rmse")
 
 
+@query
+def factors_recovery_rotated(spark, sf_dir):
+    """Two factors, the mean of all priorities and that of the first two, from a mixture of both with a share of another series."""
+    z = M.standardise(T.prio_full(spark, sf_dir))
+    mean = lambda c: F.avg(F.when(c, F.col("z")))
+    f = z.groupBy("t").agg(mean(F.lit(True)).alias("f"), mean(F.col("series_id") < "3").alias("g"), mean(F.col("series_id") > "5").alias("h")).where("f is not null and g is not null and h is not null")
+    mixed = [F.struct(F.lit(k).alias("k"), F.col(true).alias("true"), estimate.alias("estimate")) for k, true, estimate in ((0, "f", 0.6 * F.col("g") - 0.8 * F.col("f")), (1, "g", 0.8 * F.col("g") + 0.6 * F.col("f") + 0.1 * F.col("h")))]
+    rows = f.select("t", F.inline(F.array(*mixed)))
+    return out(E.recovery(E.rotated(rows, "t"), "k"), "k", "correlation", "rmse")
+
+
+@query
+def infinite_missing(spark, sf_dir):
+    """Shares of a total that is 0 in some months: infinite ones count as missing, and so do those that are no number."""
+    total = F.when(F.col("t") % 9 == 4, F.lit(0.0)).otherwise(F.sum("value").over(Window.partitionBy("t")))
+    share = F.expr("case when total = 0 and t % 2 = 0 then double('infinity') when total = 0 then double('nan') else value / total end")
+    rows = T.prio_full(spark, sf_dir).where("value is not null").withColumn("total", total).withColumn("value", share)
+    return out(rows.select("period", "series_id", P.finite("value").alias("value")))
+
+
 @query
 def loading_recovery(spark, sf_dir):
     part = M.loadings_ls(T.prio_full(spark, sf_dir).where("t < 40")).withColumnRenamed("loading", "estimate")

@@ -885,8 +885,7 @@ add(
     True,
 )
 _SECOND = f"(z[x + 1] * z[y + 1] + p[x * {_M} + y + 1])"
-add(
-    "mixed_em_step",
+MIXED_STEP = (
     MIXED
     + f""",
         own as (
@@ -897,7 +896,11 @@ add(
         seen as (select *, {_each(_dot(_row("p", "i"), "e"))} as pe from obs join var using (v, t) join eff using (n) where y is not null),
         loads as (
             select v, n, sum({_dot("e", "z")} * y - {_dot("e", "z")} * {_dot("own", "z")} - {_dot("pe", "own")}) / sum({_dot("e", "z")} * {_dot("e", "z")} + {_dot("pe", "e")}) as load
-            from seen group by v, n)""",
+            from seen group by v, n)"""
+)
+add(
+    "mixed_em_step",
+    MIXED_STEP,
     f"""select v as model, name, i::bigint as i, {r('value', 5)} as value from (
             select v, 'a' as name, i, least(greatest(lagged / before, -0.99), 0.99) as value from own
             union all select v, 'q', i, (now - 2 * rho * lagged + rho * rho * before) / n from (select *, least(greatest(lagged / before, -0.99), 0.99) as rho from own)
@@ -906,3 +909,35 @@ add(
             union all select v, 'loglik', 0, max_by(ll, s) from fw group by v)""",
     True,
 )
+_RHO = "least(greatest(lagged / before, -0.99), 0.99)"
+_NAMES = "(values (1, 1.0, 5, '1-URGENT'), (2, 0.8, 6, '2-HIGH'), (3, 0.9, 7, '5-LOW')) g(n, given, i, name)"
+add(
+    "result_tables",
+    MIXED_STEP,
+    f"""select v as model, section, name, 0::bigint as factor, lag::bigint as lag, {r('value', 5)} as value from (
+            select v, case n when 3 then 'slow loading' else 'loading' end as section, name, lag, coalesce(load, given) * w as value
+            from ends cross join {_NAMES} left join loads using (v, n)
+            join (values {', '.join(f"({n}, {lag}, {w})" for n, weights in ((1, [1.0]), (2, [1.0]), (3, _TENT)) for lag, w in enumerate(weights))}) w(n, lag, w) using (n)
+            union all select v, case i when 0 then 'factor' else 'own' end || ' transition', coalesce(name, 'Block_Global'), 0, {_RHO} from own left join {_NAMES} using (i)
+            union all select v, case i when 0 then 'factor' else 'own' end || ' variance', coalesce(name, 'Block_Global'), 0, (now - 2 * {_RHO} * lagged + {_RHO} * {_RHO} * before) / own.n from own left join {_NAMES} using (i)
+            union all select v, 'observation variance', name, 0, 0.05 from ends cross join {_NAMES})""",
+    True,
+)
+add(
+    "factors_recovery_rotated",
+    PRIO
+    + _z("zs", "prio_full")
+    + """, m as (select t, avg(z) as f, avg(z) filter (series_id < '3') as g, avg(z) filter (series_id > '5') as h from zs group by t),
+        x as (select f as t0, g as t1, 0.6 * g - 0.8 * f as e0, 0.8 * g + 0.6 * f + 0.1 * h as e1 from m where f is not null and g is not null and h is not null),
+        c as (select sum(e0 * t0) as a, sum(e0 * t1) as b, sum(e1 * t0) as c, sum(e1 * t1) as d from x),
+        o as (select case when a * d >= b * c then a + d else a - d end as p, case when a * d >= b * c then b - c else b + c end as q, case when a * d >= b * c then 1 else -1 end as s from c),
+        n as (select p / sqrt(p * p + q * q) as p, q / sqrt(p * p + q * q) as q, s from o),
+        y as (select t0, t1, e0 * p - s * e1 * q as x0, e0 * q + s * e1 * p as x1 from x cross join n),
+        l as (select 0 as k, t0 as y, x0 as x from y union all select 1, t1, x1 from y)""",
+    f"""select k::bigint as k, {r('corr(y, x)')} as correlation, {r('sqrt(avg((y - x) * (y - x)))')} as rmse from l group by rollup (k)""",
+)
+add(
+    "infinite_missing",
+    PRIO,
+    f"select period::varchar as period, series_id, case when t % 9 <> 4 then {r('value / sum(value) over (partition by t)')} end as value from prio_full where value is not null",
+)

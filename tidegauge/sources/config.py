@@ -253,6 +253,25 @@ class ModelConfig:
     def units(self) -> list[str | None]:
         return [s.units for s in self.series]
 
+    def series_at(self, index: int) -> SeriesSpec:
+        """The series at a place in the order; one outside it is an error that names the bounds."""
+        if not 0 <= index < len(self.series):
+            raise IndexError(f"series {index} is outside 0 to {len(self.series) - 1}")
+        return self.series[index]
+
+    def series_name(self, series: str | int) -> str:
+        """The name of a series, by id or place; its id where it has no name."""
+        found = self.series_at(series if isinstance(series, int) else self.series_index(series))
+        return found.series_name or found.series_id
+
+    def unit(self, series: str | int, default: str = "") -> str:
+        """The unit of a series, by id or place."""
+        return self.series_at(series if isinstance(series, int) else self.series_index(series)).units or default
+
+    def ids_named(self, name: str) -> list[str]:
+        """The ids of all series of a name."""
+        return [s.series_id for s in self.series if s.series_name == name]
+
     def drift_from(self, spec: ModelSpec) -> list[str]:
         """How the configuration differs from the specification of a fitted result."""
         mine, now = list(spec.series), self.series_ids()
