@@ -105,3 +105,23 @@ def test_guarantee_of_winnowing():
         doc = ["q"] * rnd.randrange(3) + [f"v{x}" for x in item[a : a + 10]] + ["q"] * 4
         (n, hit, items), = decontam.judge([" ".join(doc)], index)
         assert len(hit) == 10 and items == {"i"} and n == len(doc)
+
+
+def test_passes_write_hits_and_never_texts(spark, monkeypatch):
+    rows, items = corpus(4)
+    written = []
+    monkeypatch.setattr(decontam, "durable", lambda df, *a, f=decontam.durable: (written.append(df), f(df, *a))[1])
+    passes = len(list(decontam.item_blocks(bench(spark, items), max_bytes=60)))
+    hit = [r for r in brute(rows, items) if r[5]]
+    kept = decontam.drop_contaminated(docs(spark, rows), bench(spark, items), max_block_bytes=60)
+    assert len(written) == passes + 1 and all("text" not in df.columns for df in written)
+    assert written[-1].count() <= len(hit) and kept.count() == len(rows) - len(hit)
+
+
+def test_blocks_and_awkward_rows(spark):
+    items = [(1, "Same text here"), (2, ""), (3, "word " * 12), (4, "null id"), (None, "naive cafe")]
+    found = decontam.find_contamination(docs(spark, AWKWARD), bench(spark, items), max_block_bytes=10)
+    assert collect(found, *COLUMNS) == brute(AWKWARD, items)
+    assert decontam.find_contamination(docs(spark, []), bench(spark, items), max_block_bytes=10).count() == 0
+    kept = decontam.drop_contaminated(docs(spark, AWKWARD), bench(spark, items), max_block_bytes=10)
+    assert kept.columns == docs(spark, []).columns and kept.count() == sum(not r[5] for r in brute(AWKWARD, items))

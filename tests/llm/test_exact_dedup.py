@@ -89,3 +89,20 @@ def test_whole_rows_stay(spark):
     got = collect(kept, "doc_id", "text")
     assert (6, "Same  text here ") in got and len(got) == len({h for *_, h in brute(AWKWARD)})
     assert collect(kept, "doc_id", "text").count((3, " \n\t")) == 1
+
+
+def test_a_block_reads_its_own_rows(spark, monkeypatch):
+    rows = spark.createDataFrame([(f"k{i}", f"text {i}") for i in range(200)], "sha string, text string")
+    keys = spark.createDataFrame([(f"k{i}",) for i in range(0, 200, 9)], "key string")
+    monkeypatch.setattr(exact_dedup, "MAX_FILTER_BITS", exact_dedup.BITMAP_BITS)
+    monkeypatch.setattr(exact_dedup, "BITS_PER_ROW", exact_dedup.BITMAP_BITS * 4 // 32)
+    written = []
+    monkeypatch.setattr(exact_dedup, "durable", lambda df, *a: (written.append(df), durable(df, *a))[1])
+    exact_dedup.split_known(rows, "sha", keys, "key")
+    texts = [df for df in written if "text" in df.columns]
+    # once whole, then each block from its own folder
+    assert len(texts) == 5 and "_block" in texts[0].columns
+    for df in texts[1:]:
+        assert "PartitionFilters: [isnotnull(_block" in df._jdf.queryExecution().executedPlan().toString()
+    kept = exact_dedup.only_known(rows, "sha", keys, "key")
+    assert {r["sha"] for r in kept.collect()} == {f"k{i}" for i in range(0, 200, 9)} and kept.columns == ["sha", "text"]

@@ -70,6 +70,27 @@ def test_awkward_rows(spark, tmp_path):
     assert out.count() == len(counts["decontamination"]) > 4 and out.where("not round_trip").count() == 0
 
 
+def test_stages_carry_other_columns(spark, tmp_path):
+    """Extra columns, named as the operators name theirs, come through whole; empty tables do too."""
+    prose = "the cat and the dog went to the house by the river with them and "
+    rows = [(k, prose * 3 + f"w{k} v{k * 7}", "en") for k in range(1000, 1020)] + [(3, prose * 3 + "w1000 v7000", "en"), (4, None, None), (5, "ends in the item of ten words which is right here", "en")]
+    extra = ("_row", "_sha", "_text", "_key", "_place", "_block", "_hit", "sha", "hit", "items", "candidate", "place", "node", "fp", "lang_pred", "score")
+    table = docs(spark, rows)
+    for c in extra:
+        table = table.withColumn(c, table["doc_id"].cast("string"))
+    table.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "ends in the item of ten words which is right here")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    now = empty = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    empty = empty.where("doc_id < 0")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        now, empty = stage(spark, now, str(tmp_path)), stage(spark, empty, str(tmp_path))
+        assert now.columns == table.columns == empty.columns
+        assert all(r[c] == str(r["doc_id"]) for r in now.collect() for c in extra) and empty.count() == 0
+    kept = {r["doc_id"] for r in now.collect()}
+    assert kept == {1000 + k for k in range(1, 20)} | {3} or kept == {1000 + k for k in range(20)}
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(kept)
+
+
 def test_near_duplicates_with_blocks_of_the_filter(spark, monkeypatch):
     rows = [(k, f"text {k % 4} " + "same words follow here and there " * 20) for k in range(12)] + AWKWARD
     want = collect(simhash.drop_near_duplicates(docs(spark, rows)), "doc_id", "text")

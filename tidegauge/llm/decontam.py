@@ -8,10 +8,11 @@ extended word by word to both sides, and extended spans of ``WINDOW`` words or m
 Words are compared by their number in the items' vocabulary, never by hash. Items of fewer
 words are one window each; their k-gram is the whole item.
 
-Documents never shuffle: the items' index is broadcast, in blocks of at most
-``MAX_BLOCK_BYTES`` of item text. A larger benchmark takes one pass over the documents a block:
-each pass is written before the next index is built, and its own index is destroyed, so driver and
-workers hold one index at a time.
+Documents never shuffle: the items' index is broadcast, in blocks of ``MAX_BLOCK_BYTES`` of item
+text or one item more. A larger benchmark takes one pass over the documents a block. A pass writes what it
+has hit and nothing else: the digest of the text, its hit words and the items; its index is
+destroyed before the next one is built, so driver and workers hold one at a time. What all passes have hit
+is then put together by digest, and only documents that a Bloom filter of those digests lets through meet it.
 
 Defined cases: a null text has no words; an item without words never matches; a null item id
 is the empty string; items with equal ids count once; repeated documents are judged one by
@@ -24,16 +25,17 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import chunks
-from .common import durable
+from .common import durable, text_or_empty
+from .exact_dedup import split_known
 
 WINDOW = 10
 K = 5
@@ -201,92 +203,112 @@ def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "
     yield some, True
 
 
-def _each_block(rows: DataFrame, blocks: Iterator[tuple[list, bool]], step: Callable[[DataFrame, Broadcast, bool], DataFrame]) -> DataFrame:
-    """``step`` of each block's index in turn; all but the last are written, and their index goes."""
-    context = rows.sparkSession.sparkContext
-    for items, last in blocks:
-        shared = context.broadcast(build_index(items))
-        rows = step(rows, shared, last)
-        if not last:
-            rows = durable(rows)
-            shared.destroy()
-    return rows
-
-
 def _digest(items: set[str]) -> str:
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
 
 
-def _first(shared, last: bool) -> Callable:
-    """Judges a block; carries the text, hit words and items on unless it is the last one."""
+FOUND = "n_words long, n_hit long, n_items long, items_sha256 string, items array<string>, contaminated boolean"
+HITS = "sha string, hit array<long>, items array<string>"
+
+
+def _judged(shared) -> Callable:
+    """doc_id and what one index finds in its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
         for batch in batches:
-            rows: list[list] = [[], [], [], []]
-            before = zip(batch.column(2), batch.column(3), strict=True)
-            for texts in chunks(batch.column(1)):
-                for (n, hit, items), (old_hit, old_items) in zip(judge(texts, index), before, strict=False):
-                    if old_hit.is_valid:
-                        hit = np.union1d(hit, np.frombuffer(old_hit.as_py(), np.int64))
-                        items = items | set(old_items.as_py())
-                    rows[0].append(n)
-                    rows[1].append(hit)
-                    rows[2].append(items)
-            if last:
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0),
-                        pa.array(rows[0], pa.int64()),
-                        pa.array([len(x) for x in rows[1]], pa.int64()),
-                        pa.array([len(x) for x in rows[2]], pa.int64()),
-                        pa.array([_digest(x) for x in rows[2]], pa.string()),
-                        pa.array([sorted(x) for x in rows[2]], pa.list_(pa.string())),
-                        pa.array([len(x) > 0 for x in rows[1]], pa.bool_()),
-                    ],
-                    ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "items", "contaminated"],
-                )
-            else:
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0),
-                        batch.column(1),
-                        pa.array([x.astype(np.int64).tobytes() for x in rows[1]], pa.binary()),
-                        pa.array([sorted(x) for x in rows[2]], pa.list_(pa.string())),
-                    ],
-                    ["doc_id", "text", "hit", "items"],
-                )
+            found = [x for texts in chunks(batch.column(1)) for x in judge(texts, shared.value)]
+            columns = _columns([x[0] for x in found], [len(x[1]) for x in found], [x[2] for x in found])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *(c.split()[0] for c in FOUND.split(", "))])
 
     return run
 
 
+def _columns(words: list[int], hits: list[int], items: list[set[str]]) -> list[pa.Array]:
+    return [
+        pa.array(words, pa.int64()),
+        pa.array(hits, pa.int64()),
+        pa.array([len(x) for x in items], pa.int64()),
+        pa.array([_digest(x) for x in items], pa.string()),
+        pa.array([sorted(x) for x in items], pa.list_(pa.string())),
+        pa.array([n > 0 for n in hits], pa.bool_()),
+    ]
+
+
+def _only_hits(shared) -> Callable:
+    """sha, hit words and items of the texts that one index hits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [x for texts in chunks(batch.column(1)) for x in judge(texts, shared.value)]
+            at = [k for k, (_, hit, _) in enumerate(found) if len(hit)]
+            hits = pa.array([found[k][1].astype(np.int64) for k in at], pa.list_(pa.int64()))
+            items = pa.array([sorted(found[k][2]) for k in at], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), hits, items], ["sha", "hit", "items"])
+
+    return run
+
+
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words = [len(split_words(t)) for texts in chunks(batch.column(2)) for t in texts]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words, pa.int64())], ["doc_id", "sha", "n_words"])
+
+
+def _sha(text_col: str) -> Column:
+    return F.sha2(text_or_empty(text_col), 256)
+
+
+def _hits(docs: DataFrame, text_col: str, blocks: Iterator[tuple[list, bool]]) -> DataFrame:
+    """sha, n_hit and items of every text that any block hits; one row a text, however many documents have it."""
+    context, passes = docs.sparkSession.sparkContext, []
+    for items, _ in blocks:
+        shared = context.broadcast(build_index(items))
+        passes.append(durable(docs.select(_sha(text_col).alias("sha"), F.col(text_col).alias("text")).mapInArrow(_only_hits(shared), HITS).dropDuplicates(["sha"])))
+        shared.destroy()
+    found = reduce(DataFrame.unionByName, passes)
+    words = found.select("sha", F.explode("hit").alias("w")).distinct().groupBy("sha").agg(F.count(F.lit(1)).alias("n_hit"))
+    items = found.select("sha", F.explode("items").alias("i")).groupBy("sha").agg(F.array_sort(F.collect_set("i")).alias("items"))
+    return durable(words.join(items, "sha"))
+
+
+def _blocks(benchmark: DataFrame, max_block_bytes: int) -> tuple[list | None, Iterator[tuple[list, bool]]]:
+    """The items if they are one block, else all blocks, one at a time."""
+    blocks = item_blocks(benchmark, max_bytes=max_block_bytes)
+    items, last = next(blocks)
+    return (items, iter(())) if last else (None, chain([(items, last)], blocks))
+
+
 def find_contamination(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_block_bytes: int = MAX_BLOCK_BYTES
 ) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, items array<string>, contaminated."""
-    rows = docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.col(text_col).alias("text"),
-        F.lit(None).cast("binary").alias("hit"),
-        F.lit(None).cast("array<string>").alias("items"),
-    )
-    key = rows.schema[0].dataType.simpleString()
-    between = f"doc_id {key}, text string, hit binary, items array<string>"
-    result = f"doc_id {key}, n_words long, n_hit long, n_items long, items_sha256 string, items array<string>, contaminated boolean"
-    blocks = item_blocks(benchmark, max_bytes=max_block_bytes)
-    return _each_block(rows, blocks, lambda df, shared, last: df.mapInArrow(_first(shared, last), result if last else between))
+    key = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    items, blocks = _blocks(benchmark, max_block_bytes)
+    if items is not None:
+        shared = docs.sparkSession.sparkContext.broadcast(build_index(items))
+        return rows.mapInArrow(_judged(shared), f"doc_id {key}, {FOUND}")
+    hits = _hits(rows, "text", blocks).withColumnRenamed("sha", "_hit")
+    counted = durable(rows.select("doc_id", _sha("text").alias("sha"), "text").mapInArrow(_word_counts, f"doc_id {key}, sha string, n_words long"))
+    found = counted.join(hits, F.col("sha") == F.col("_hit"), "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
+    n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "items", (n_hit > 0).alias("contaminated"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", max_block_bytes: int = MAX_BLOCK_BYTES) -> DataFrame:
     """The whole rows of ``docs`` without a hit word."""
     at = docs.columns.index(text_col)
+    items, blocks = _blocks(benchmark, max_block_bytes)
+    if items is None:
+        rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), _sha(text_col).alias("_sha"))
+        hits = _hits(docs, text_col, blocks).select(F.col("sha").alias("_hit"))
+        through, maybe = split_known(rows, "_sha", hits, "_hit")
+        return through.select("_row.*").unionByName(maybe.join(hits, F.col("_sha") == F.col("_hit"), "left_anti").select("_row.*"))
+    shared = docs.sparkSession.sparkContext.broadcast(build_index(items))
 
-    def keep(shared) -> Callable:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                clean = [not len(hit) for texts in chunks(batch.column(at)) for _, hit, _ in judge(texts, shared.value)]
-                yield batch.filter(pa.array(clean, pa.bool_()))
-
-        return run
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            clean = [not len(hit) for texts in chunks(batch.column(at)) for _, hit, _ in judge(texts, shared.value)]
+            yield batch.filter(pa.array(clean, pa.bool_()))
 
-    return _each_block(docs, item_blocks(benchmark, max_bytes=max_block_bytes), lambda df, shared, last: df.mapInArrow(keep(shared), docs.schema))
+    return docs.mapInArrow(run, docs.schema)

@@ -190,8 +190,13 @@ def _prepare(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
 
 
 def split_known(rows: DataFrame, sha: str, keys: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
-    """``rows`` whose ``sha`` is certainly not in ``keys``, and all others; no row shuffles."""
+    """``rows`` whose ``sha`` is certainly not in ``keys``, and all others; no row shuffles.
+
+    Beyond one block the rows are written once, a folder a block, and a block's turn reads its own alone.
+    """
     size = filter_size(keys.count())
+    if size.blocks > 1:
+        rows = durable(rows.withColumn("_block", _block(sha, size).cast("int")), ["_block"])
     probed = possibly_repeated(rows, durable(member_filter(keys, column, size)), size, sha)
     return probed.where(~F.col("candidate")).drop("candidate"), probed.where("candidate").drop("candidate")
 

@@ -129,7 +129,8 @@ def _constant(value: list, kind: str) -> Column:
 def judge(urls: DataFrame, rules: list[Rule], default: str = ALLOW) -> DataFrame:
     """``urls`` (with columns host, path) plus rule (a site rule's name or null) and verdict.
 
-    The longest site rule that fits wins; without one a pattern rule blocks; else ``default``.
+    The longest site rule that fits wins; without one a pattern rule blocks; else ``default``. Columns of
+    ``urls`` called rule, verdict, tokens_ or best_ are replaced; rename them before.
     """
     if len(rules) > MAX_RULES:
         raise ValueError(f"{len(rules)} rules; the index in the plan is meant for {MAX_RULES}")
