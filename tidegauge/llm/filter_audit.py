@@ -41,18 +41,23 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
 
 
+def _long(n: Column) -> Column:
+    """A hundred times a count of a very long text is no int."""
+    return n.cast("long")
+
+
 def few_words(text: Column) -> Column:
     return F.size(words(text)) < 50
 
 
 def few_distinct(text: Column) -> Column:
     found = words(text)
-    return 100 * F.size(F.array_distinct(found)) < 65 * F.size(found)
+    return 100 * _long(F.size(F.array_distinct(found))) < 65 * _long(F.size(found))
 
 
 def many_capitals(text: Column) -> Column:
     """Over a twentieth of the code points are A to Z."""
-    return 100 * F.regexp_count(text, F.lit("[A-Z]")) > 5 * F.length(text)
+    return 100 * _long(F.regexp_count(text, F.lit("[A-Z]"))) > 5 * _long(F.length(text))
 
 
 def has_symbols(text: Column) -> Column:
