@@ -22,6 +22,7 @@ from ..operators import panel as P
 from ..operators import scalar as S
 from ..operators import vintage as V
 from ..operators import wide as W
+from ..session import FactorSession
 from ..sources import scratch, tables
 from ..sources.config import MappingSource, MergedSource, ModelConfig, issues, spec_mapping, write_yaml
 from ..sources.config import load as load_config
@@ -977,6 +978,35 @@ def spec_from_flags(spark, sf_dir):
     return out(rows, "series_id", "frequency", "transformation", "blocks", "release_day")
 
 
+@query
+def spec_from_csv(spark, sf_dir):
+    """The spec table with a 0/1 column a block as a CSV file, read by a session."""
+    path, spec = scratch.fresh(spark, "spec"), T.nation_spec(spark, sf_dir)
+    blocks = ["Block_Global", "Block_ASIA", "Block_EUROPE"]
+    flags = [F.array_contains("blocks", b).cast("int").alias(b) for b in blocks]
+    spec.select("series_id", "frequency", "transformation", F.col("release_day").alias("Release"), *flags).write.csv(path, header=True)
+    rows = FactorSession(spark).from_spec(path).config.series_table(spark)
+    return out(rows, "series_id", "frequency", "transformation", F.array_join(F.array_sort("blocks"), ",").alias("blocks"), "release_day")
+
+
+@query
+def target_positions(spark, sf_dir):
+    """Where the calendar of the loaded panel has a period, by any of its names."""
+    session = FactorSession(spark).from_dict({"series": [r.asDict() for r in T.nation_spec(spark, sf_dir).where("ord < 4").collect()]})
+    session.load_data(T.nation(spark, sf_dir))
+    rows = [(name, session.position(name)) for name in ("2000-03-01", "2000-03-15", "2000m7", "1999q2", "2000s2", "1998")]
+    return out(spark.createDataFrame(rows, "name string, t int"))
+
+
+@query
+def config_drift(spark, sf_dir):
+    """What a result fitted on the nations' own frequencies says of a configuration that makes every third one quarterly."""
+    rows = [r.asDict() for r in T.nation_spec(spark, sf_dir).orderBy("ord").collect()]
+    config = ModelConfig.from_mapping({"series": [r | {"frequency": "q" if r["ord"] % 3 == 0 else r["frequency"]} for r in rows]})
+    fitted = ModelConfig.from_mapping({"series": rows}).model()
+    return out(spark.createDataFrame([(x,) for x in config.drift_from(fitted)], "drift string"))
+
+
 @query
 def config_merged(spark, sf_dir):
     """A base with an override: its series win, blocks of both stay, settings of both count."""

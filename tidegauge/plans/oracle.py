@@ -941,3 +941,11 @@ add(
     PRIO,
     f"select period::varchar as period, series_id, case when t % 9 <> 4 then {r('value / sum(value) over (partition by t)')} end as value from prio_full where value is not null",
 )
+ORACLE_SQL["spec_from_csv"] = ORACLE_SQL["spec_from_flags"]
+add(
+    "target_positions",
+    NATION,
+    """select name, datediff('month', (select min(period) from nat join spec using (series_id) where ord < 4 and (frequency = 'm' or month(period) % 3 = 0)), day) as t
+       from (values ('2000-03-01', date '2000-03-01'), ('2000-03-15', date '2000-03-15'), ('2000m7', date '2000-07-01'), ('1999q2', date '1999-06-01'), ('2000s2', date '2000-07-01'), ('1998', date '1998-01-01')) n(name, day)""",
+)
+add("config_drift", NATION, "select 'series ' || series_id || ': frequency ' || frequency as drift from spec where ord % 3 = 0 and frequency <> 'q'")

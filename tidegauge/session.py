@@ -40,6 +40,7 @@ class FactorSession:
         self.fits: DataFrame | None = None
         self.model: G.Model | None = None
         self._views: tables.ViewManager | None = None
+        self._start: Any = None
 
     # configuration
 
@@ -88,7 +89,7 @@ class FactorSession:
         clock = self._configured().settings.clock
         if not transform:
             spec = spec.withColumn("transformation", F.lit("lin"))
-        self.panel, self._views = P.load(rows, spec, start, end, clock), None
+        self.panel, self._views, self._start = P.load(rows, spec, start, end, clock), None, None
         return self
 
     def _data(self) -> DataFrame:
@@ -192,7 +193,9 @@ class FactorSession:
         if named := PERIOD_NAME.match(period.strip().lower()):
             f = {"m": "m", "q": "q", "s": "sa", "": "a"}[named[1] or ""]
             period = str(self.spark.range(1).select(parse_period(F.lit(period), f).alias("p")).first()["p"])
-        start = self._data().agg(F.min("period").alias("p"), F.min("t").alias("t")).first()
+        if self._start is None:
+            self._start = self._data().agg(F.min("period").alias("p"), F.min("t").alias("t")).first()
+        start = self._start
         clock = self._configured().settings.clock
         row = self.spark.range(1).select(F.lit(start["p"]).alias("a"), F.lit(period).cast("date").alias("b"))
         step = {"m": 1, "q": 3, "sa": 6, "a": 12}.get(clock)
@@ -202,6 +205,10 @@ class FactorSession:
             raise ValueError(f"{period} lies before the data")
         return t
 
+    def position(self, period: str | int | date) -> int:
+        """The calendar position of a period, given by a date, its text, a name such as ``2024q1``, or the position."""
+        return self._target(period)
+
     def nowcast(self, series: str, view_dates: str | list[str], period: str) -> DataFrame:
         dates = [view_dates] if isinstance(view_dates, str) else view_dates
         return G.nowcasts(self._trained(), self._data(), dates, series, self._target(period))
