@@ -498,6 +498,20 @@ def _nation_model(spark, sf_dir) -> G.Model:
     return G.Model.from_table(G.fit(T.nation_panel(spark, sf_dir), spec), spec)
 
 
+@query
+def dfm_fit_nations(spark, sf_dir):
+    """A model for each nation in one job, and what must hold of any: no step lowers the likelihood, innovations have variance 1, the first loading is positive."""
+    spec = G.ModelSpec(T.FIXED_SERIES, Layout(("m",) * 5, ((1,),) * 5), max_iter=15, threshold=1e-4)
+    fits = scratch.written(G.fit(T.nation_models(spark, sf_dir)[0].withColumnRenamed("z", "value"), spec))
+    steps = Window.partitionBy("run").orderBy("iteration")
+    fell = F.col("loglik") < F.lag("loglik").over(steps) - 1e-6 * F.abs("loglik")
+    path = G.logliks(fits).withColumn("fell", fell).groupBy("run").agg(F.count_if("fell").alias("falls")).withColumnRenamed("run", "model")
+    unit = fits.where("kind = 'matrix' and name = 'q' and i = 0 and j = 0").select("model", (F.abs(F.col("value") - 1) < 1e-9).alias("unit_innovation"))
+    lead = G.loadings(fits).where(F.abs("value") > 1e-9).groupBy("model").agg((F.min_by("value", "series_id") > 0).alias("lead_positive"))
+    periods = G.factors(fits).groupBy("model").agg(F.count(F.lit(1)).alias("n_periods"))
+    return out(path.join(unit, "model").join(lead, "model").join(periods, "model"))
+
+
 @query
 def dfm_forecast(spark, sf_dir):
     return out(G.forecast(spark, _nation_model(spark, sf_dir), T.nation_panel(spark, sf_dir), 6), digits=2)

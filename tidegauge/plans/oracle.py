@@ -949,3 +949,4 @@ add(
        from (values ('2000-03-01', date '2000-03-01'), ('2000-03-15', date '2000-03-15'), ('2000m7', date '2000-07-01'), ('1999q2', date '1999-06-01'), ('2000s2', date '2000-07-01'), ('1998', date '1998-01-01')) n(name, day)""",
 )
 add("config_drift", NATION, "select 'series ' || series_id || ': frequency ' || frequency as drift from spec where ord % 3 = 0 and frequency <> 'q'")
+add("dfm_fit_nations", MIXED, "select v as model, 0::bigint as falls, true as unit_innovation, true as lead_positive, count(distinct t) as n_periods from obs group by v")
