@@ -95,7 +95,7 @@ def _combined(columns: str, by: np.ndarray) -> Column:
 
 
 def _dots(left: str, right: str, r: int) -> list[Column]:
-    return [F.sum(F.get(left, F.lit(i)) * F.get(right, F.lit(j))).alias(f"{left}{i}_{right}{j}") for i in range(r) for j in range(r)]
+    return [F.sum(F.get(left, F.lit(i)) * F.get(right, F.lit(j))).alias(f"{left}{i}_{right}{j}") for i in range(r) for j in range(i, r)]
 
 
 def components(panel: DataFrame, k: int = 1, more: int = 8, tolerance: float = 1e-7, max_iter: int = 200) -> tuple[DataFrame, np.ndarray]:
@@ -121,10 +121,11 @@ def components(panel: DataFrame, k: int = 1, more: int = 8, tolerance: float = 1
         back = z.join(ahead, "t").groupBy("series_id").agg(F.array(*[F.sum(F.col("z") * F.col(f"s{j}")) * scale for j in range(r)]).alias("y"))
         nothing = F.array_repeat(F.lit(0.0), r)
         both = written(vectors.join(back, "series_id", "left").withColumn("y", F.coalesce("y", nothing)))
-        sums = both.agg(*_dots("x", "x", r), *_dots("x", "y", r), *_dots("y", "y", r)).first()
-        xx, xy, yy = (np.array([[sums[f"{a}{i}_{b}{j}"] for j in range(r)] for i in range(r)], float) for a, b in (("x", "x"), ("x", "y"), ("y", "y")))
+        sums = both.agg(*(_dots("x", "y", r) if step else []), *_dots("y", "y", r)).first()
+        square = lambda a, b: np.array([[sums[f"{a}{min(i, j)}_{b}{max(i, j)}"] for j in range(r)] for i in range(r)], float)
+        yy = square("y", "y")
         if step:
-            values, turn = np.linalg.eigh((xy + xy.T) / 2)
+            values, turn = np.linalg.eigh(square("x", "y"))  # X'CX, symmetric
             values, turn = values[::-1], turn[:, ::-1]
             left = max(float(turn[:, j] @ yy @ turn[:, j] - values[j] ** 2) for j in range(min(k, r)))
             worst = np.sqrt(max(left, 0.0)) / max(values[0], 1e-300)
@@ -132,11 +133,11 @@ def components(panel: DataFrame, k: int = 1, more: int = 8, tolerance: float = 1
             if r == n_series or worst <= tolerance and worst >= 0.5 * best or values[0] <= 0:
                 break
             best = worst
-        sizes, axes = np.linalg.eigh(xx if not step else yy)
+        sizes, axes = np.linalg.eigh(yy)
         kept = sizes > 1e-12 * sizes.max(initial=0.0)
         if not kept.any():
             break
-        vectors = written(both.select("series_id", _combined("y" if step else "x", axes[:, kept] / np.sqrt(sizes[kept])).alias("x")))
+        vectors = written(both.select("series_id", _combined("y", axes[:, kept] / np.sqrt(sizes[kept])).alias("x")))
     found = vectors.select("series_id", F.posexplode(_combined("x", turn[:, : min(k, r)])).alias("k", "value"))
     return _signed(found), values[: min(k, r)]
 
