@@ -149,3 +149,32 @@ def test_wide_search_finds_similar_sets(spark):
     got = {r["doc_id"]: r["component_id"] for r in s.near_duplicates(docs(spark, rows), shingle=5, max_bits=14, wide_bits=51).collect()}
     assert sum(got[2 * k + 1] == 2 * k for k in range(60)) >= 58
     assert all(c // 2 == i // 2 for i, c in got.items())
+
+
+@pytest.mark.parametrize("m,thresholds", [(3, [2, 0, 0]), (2, [2, 1]), (5, [0] * 5)])
+def test_heavy_keys_are_dealt_in_blocks(spark, monkeypatch, m, thresholds):
+    """Bits that hardly vary put most rows under few keys; no cell of blocks then holds a whole key, and no link is lost."""
+    monkeypatch.setattr(s, "BLOCK_ROWS", 40)
+    rnd = random.Random(m)
+    fps = sorted({f & 0xFFFFFF for f in planted(500, m + 20, clusters=4)} | {rnd.getrandbits(24) for _ in range(100)})
+    df = spark.createDataFrame([(f,) for f in fps], "fp long")
+    groups = [g.tolist() for g in np.array_split(np.arange(64), m)]
+    chosen = s.Plan(groups, thresholds, 0.0)
+    rows = df.mapInArrow(s._signatures(chosen), s.SIGNATURE)
+    sizes = {(r["part"], r["key"]): r["count"] for r in rows.groupBy("part", "key").count().collect()}
+    heavy = s.heavy_keys(df, chosen, 40)
+    want = {k: -(-n // 40) for k, n in sizes.items() if n > 40}
+    assert want and {(r["part"], r["key"]): r["blocks"] for r in heavy.collect()} == want
+    largest = s._dealt(rows, heavy).groupBy("part", "key", "i", "j").count().agg({"count": "max"}).first()[0]
+    assert largest <= 160 < max(sizes.values())
+    linked = {f: f for f in fps}
+
+    def find(x):
+        while linked[x] != x:
+            x = linked[x]
+        return x
+
+    for e in s.links(df, 4, chosen=chosen).collect():
+        x, y = sorted((find(e["a"]), find(e["b"])))
+        linked[y] = x
+    assert [find(f) for f in fps] == brute_components(fps, 4, fps)

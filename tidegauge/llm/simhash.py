@@ -9,7 +9,9 @@ fingerprints link at ``max_bits`` or fewer differing bits. To find all links:
    partitions, with the least estimated cost: rows to probe plus candidate pairs, the latter
    from each bit's share of ones. A threshold of -1 leaves a partition out.
 3. Each fingerprint is filed under its key of every partition, and probes all keys within the
-   threshold. Rows meet by (partition, key), sorted, and stream through NumPy.
+   threshold. Rows meet by (partition, key), sorted, and stream through NumPy. A key that more than
+   ``BLOCK_ROWS`` rows meet at (correlated bits make such keys) is dealt in blocks: each two blocks
+   meet in a task of their own, so no task holds a whole heavy key.
 4. Candidates are verified on all 64 bits. A bucket gives the edges of a spanning forest and
    never its pairs, so its output is no larger than its input.
 
@@ -30,7 +32,7 @@ Rows a set grow with the blocks of its band; pairs compared grow with the square
 
 Equal fingerprints are one row before any of this, so copies cost nothing. A bucket holds
 distinct fingerprints only, 8 bytes each (40 with a set's digest); it is compared in blocks of a
-fixed number of cells, so memory grows with its distinct fingerprints and not with its pairs.
+fixed number of cells, so memory is bounded by two blocks of rows and does not grow with its pairs.
 
 Defined cases: a null text has no words; without words the fingerprint is 0, linked like any
 other; fewer words than a shingle make one shingle; a component's id is its least doc_id,
@@ -71,7 +73,7 @@ MAX_ROWS = 1024
 #: The Jaccard similarity from which sets link, as a fraction, and the ratio of set sizes at it.
 SIMILAR = (4, 5)
 BAND = 1.25
-#: Fingerprints of a block of a band, and shingle hashes of a block of candidates to decide.
+#: Fingerprints of a block of a band or of a heavy key, and shingle hashes of a block of candidates to decide.
 BLOCK_ROWS, BLOCK_HASHES = 1 << 17, 1 << 20
 #: Pairs of fingerprints that a task is meant to compare.
 TASK_PAIRS = 1 << 30
@@ -270,12 +272,21 @@ def plan(total: int, both: np.ndarray, max_bits: int = MAX_BITS, pairs: float |
     return best
 
 
-def _signatures(chosen: Plan):
+SIGNATURE = "part int, key long, filed boolean, fp long"
+
+
+def _probes(chosen: Plan) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """The partitions in use: number, bits, and what turns a key into each key that it probes, itself first."""
     parts = []
     for part, (group, t) in enumerate(zip(chosen.groups, chosen.thresholds, strict=True)):
         if t >= 0:
             masks = [sum(1 << b for b in some) for d in range(1, t + 1) for some in combinations(range(len(group)), d)]
             parts.append((part, np.array(group), np.array([0, *masks], np.int64)))
+    return parts
+
+
+def _signatures(chosen: Plan):
+    parts = _probes(chosen)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -293,6 +304,39 @@ def _signatures(chosen: Plan):
     return run
 
 
+def heavy_keys(fps: DataFrame, chosen: Plan, most: int) -> DataFrame:
+    """part, key, blocks: the keys that more than ``most`` rows meet at, filed or probing, and the blocks these are dealt in.
+
+    Rows are counted by the key they are filed under before the counts, and not the rows, probe.
+    """
+    parts = [(part, masks) for part, _, masks in _probes(chosen)]
+
+    def probing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, key, n = (c.to_numpy() for c in batch.columns)
+            for part, masks in parts:
+                step, of = max(1, (1 << 17) // len(masks)), np.flatnonzero(at == part)
+                for a in range(0, len(of), step):
+                    some = of[a : a + step]
+                    arrays = [np.full(len(some) * len(masks), part, np.int32), (key[some, None] ^ masks).ravel(), np.repeat(n[some], len(masks))]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["part", "key", "n"])
+
+    only_filed = Plan(chosen.groups, [min(t, 0) for t in chosen.thresholds], 0.0)
+    filed = fps.select("fp").mapInArrow(_signatures(only_filed), SIGNATURE).groupBy("part", "key").agg(F.count(F.lit(1)).alias("n"))
+    met = filed.mapInArrow(probing, "part int, key long, n long").groupBy("part", "key").agg(F.sum("n").alias("n"))
+    return met.where(F.col("n") > most).select("part", "key", F.ceil(F.col("n") / most).alias("blocks"))
+
+
+def _dealt(rows: DataFrame, heavy: DataFrame) -> DataFrame:
+    """Rows with the two blocks (i, j) of their key that meet, and which of them (side) is the row's own; a key that is not heavy is one block."""
+    own = F.pmod(F.xxhash64("fp"), "blocks")
+    blocks = F.coalesce("blocks", F.lit(1).cast("long")).alias("blocks")
+    each = rows.join(heavy, ["part", "key"], "left").select(*rows.columns, blocks).withColumn("own", own)
+    each = each.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    place = [F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"), (F.col("own") > F.col("k")).alias("side")]
+    return each.select("part", "key", *place, "filed", "fp")
+
+
 def _near(x: np.ndarray, y: np.ndarray, max_bits: int, wide_bits: int) -> np.ndarray:
     """Which rows of two tables of fingerprint words (one row a word) link."""
     if len(x) == 1:
@@ -351,20 +395,29 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[label[moved]]
 
 
+def _across(words: np.ndarray, filed: np.ndarray, side: np.ndarray, max_bits: int, wide_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Spanning edges between two blocks of a bucket: the first's filed rows against all of the second, its others against the second's filed ones."""
+    for first, second in ((~side & filed, side), (side & filed, ~side & ~filed)):
+        rows = np.concatenate([np.flatnonzero(first), np.flatnonzero(second)])
+        yield _search(words[:, rows], np.arange(len(rows)) < first.sum(), max_bits, wide_bits, among=False)
+
+
 def _bucket_edges(
-    part: np.ndarray, key: np.ndarray, filed: np.ndarray, words: np.ndarray, max_bits: int, wide_bits: int
+    part: np.ndarray, key: np.ndarray, filed: np.ndarray, words: np.ndarray, max_bits: int, wide_bits: int, blocks: np.ndarray | None = None
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Edges inside whole buckets, given sorted by (part, key)."""
+    """Edges inside whole buckets, given sorted by (part, key), or of two blocks of one, given with ``blocks`` (i, j, side) and sorted by them too."""
     fp, n = words[0], len(part)
-    cut = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (key[1:] != key[:-1])]))
+    i, j, side = np.zeros((3, n), np.int64) if blocks is None else blocks
+    cut = np.flatnonzero(np.concatenate([[True], np.any([x[1:] != x[:-1] for x in (part, key, i, j)], axis=0)]))
     size = np.diff(np.append(cut, n))
+    two = i[cut] < j[cut]
     a, b = [], []
-    for k in np.flatnonzero(size > SMALL_BUCKET):
+    for k in np.flatnonzero((size > SMALL_BUCKET) | two):
         whole = slice(cut[k], cut[k] + size[k])
-        found = _search(words[:, whole], filed[whole], max_bits, wide_bits)
-        a.append(found[0])
-        b.append(found[1])
-    small = size <= SMALL_BUCKET
+        for found in _across(words[:, whole], filed[whole], side[whole] > 0, max_bits, wide_bits) if two[k] else [_search(words[:, whole], filed[whole], max_bits, wide_bits)]:
+            a.append(found[0])
+            b.append(found[1])
+    small = (size <= SMALL_BUCKET) & ~two
     to_end = np.where(np.repeat(small, size), np.repeat(cut + size, size) - np.arange(n), 0)
     for d in range(1, int(size[small].max(initial=1))):
         x = np.flatnonzero(to_end > d)
@@ -385,20 +438,20 @@ def _edges(max_bits: int, wide_bits: int):
 
         def flush() -> Iterator[pa.RecordBatch]:
             if held:
-                part, key, filed, *words = (np.concatenate(x) for x in zip(*held, strict=True))
+                part, key, i, j, side, filed, *words = (np.concatenate(x) for x in zip(*held, strict=True))
                 held.clear()
                 if len(part):
-                    a, b = _bucket_edges(part, key, filed, np.stack(words).view(np.uint64), max_bits, wide_bits)
+                    a, b = _bucket_edges(part, key, filed, np.stack(words).view(np.uint64), max_bits, wide_bits, np.stack([i, j, side]))
                     yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
         for batch in batches:
             columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            part, key = columns[0], columns[1]
-            if not len(part):
+            place = np.stack(columns[:4])
+            if not place.shape[1]:
                 continue
-            other = np.flatnonzero((part != part[-1]) | (key != key[-1]))
+            other = np.flatnonzero((place != place[:, -1:]).any(0))
             last = int(other[-1]) + 1 if len(other) else 0
-            if last or (held and (held[-1][0][-1] != part[0] or held[-1][1][-1] != key[0])):
+            if last or (held and any(x[-1] != y for x, y in zip(held[-1][:4], place[:, 0], strict=True))):
                 # every bucket but the batch's last one is complete
                 held.append([x[:last] for x in columns])
                 yield from flush()
@@ -412,8 +465,9 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, chosen: Plan | None = None)
     """Spanning links (a, b) of distinct fingerprints (column fp): they join what all links join."""
     if chosen is None:
         chosen = plan(*bit_counts(fps), max_bits)
-    rows = fps.select("fp").mapInArrow(_signatures(chosen), "part int, key long, filed boolean, fp long")
-    met = rows.repartition("part", "key").sortWithinPartitions("part", "key")
+    rows = fps.select("fp").mapInArrow(_signatures(chosen), SIGNATURE)
+    place = ["part", "key", "i", "j"]
+    met = _dealt(rows, durable(heavy_keys(fps, chosen, BLOCK_ROWS))).repartition(*place).sortWithinPartitions(*place)
     return met.mapInArrow(_edges(max_bits, 0), "a long, b long").distinct()
 
 
