@@ -27,8 +27,8 @@ _TILE = "a_block long, b_block long, n array<double>, sx array<double>, sy array
 
 def series_blocks(panel: DataFrame, width: int = WIDTH) -> DataFrame:
     """series_id, block, place (from 0 in the block, by name) and mean: a row for every series."""
-    means = written(panel.groupBy("series_id").agg(F.coalesce(F.avg("value"), F.lit(0.0)).alias("mean")))
-    blocks = max(1, -(-means.count() // width))
+    means = panel.groupBy("series_id").agg(F.coalesce(F.avg("value"), F.lit(0.0)).alias("mean"))
+    blocks = max(1, -(-panel.select("series_id").distinct().count() // width))
     dealt = means.withColumn("block", F.pmod(F.xxhash64("series_id"), F.lit(blocks)))
     return dealt.withColumn("place", F.row_number().over(Window.partitionBy("block").orderBy("series_id")) - 1)
 
@@ -55,7 +55,11 @@ def _tiles(pieces: DataFrame) -> DataFrame:
 
 
 def products(panel: DataFrame, width: int = WIDTH) -> DataFrame:
-    """a, b, n, sx, sy, sxy for all series a <= b: sums over their common periods of x, y and x y, each less its series' mean."""
+    """a, b, n, sx, sy, sxy for all series a <= b: sums over their common periods of x, y and x y, each less its series' mean.
+
+    The panel is written first, so that what it is derived from is read once.
+    """
+    panel = written(panel.select("t", "series_id", "value"))
     names = written(series_blocks(panel, width))
     places = F.transform(F.array_sort(F.collect_list(F.struct("place", "series_id"))), lambda s: s["series_id"])
     blocks = written(names.groupBy("block").agg(F.count(F.lit(1)).alias("size"), places.alias("names")))
@@ -106,6 +110,7 @@ def components(panel: DataFrame, k: int = 1, more: int = 8, tolerance: float = 1
     ``tolerance`` of the largest eigenvalue and the last step has not lowered them. Only sums of products of
     the vectors, (k + more)^2 numbers, reach the driver. Each vector's first entry that is not 0, by name, is positive.
     """
+    panel = written(panel.select("t", "series_id", "value"))
     full = complete_periods(panel)
     means = full.groupBy("series_id").agg(F.avg("value").alias("mean"))
     z = written(full.join(means, "series_id").select("t", "series_id", (F.col("value") - F.col("mean")).alias("z")))

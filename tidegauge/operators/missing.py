@@ -91,7 +91,7 @@ def _curve(knots: Column, slopes: Column) -> Column:
         return F.transform(F.sequence(F.lit(0), here["h"].cast("int") - 1), lambda u: here["y"] + u * (d + u * (c2 + u * c3)))
 
     inner = F.flatten(F.transform(F.sequence(F.lit(0), F.size(knots) - 2), piece))
-    return F.concat(inner, F.array(F.element_at(knots, -1)["y"]))
+    return F.concat(inner, F.array(F.get(knots, F.size(knots) - 1)["y"]))
 
 
 def _median(values: Column) -> Column:
@@ -117,9 +117,9 @@ def fill_spline(panel: DataFrame, mode: str = "spline", smooth: int = 3) -> Data
     for name, stage in (("knots", _steps(F.col("seen"))), ("system", several(_equations(F.col("knots")))), ("solved", several(_down(F.col("system")))), ("back", several(_up(F.col("solved")))), ("slopes", F.reverse("back"))):
         rows = rows.withColumn(name, stage)
     rows = rows.withColumn("curve", several(_curve(F.col("knots"), F.col("slopes"))).otherwise(F.transform("seen", lambda k: k["y"])))
-    first = F.element_at("seen", 1)["i"]
+    first = F.get("seen", F.lit(0))["i"]
     own = F.transform("cells", lambda c, i: F.coalesce(c["value"], F.when(i >= first, F.get("curve", i - first))))
-    rows = rows.where(F.size("seen") > 0).withColumn("inside", own).withColumn("middle", _median(F.col("inside")))
+    rows = rows.withColumn("inside", own).withColumn("middle", _median(F.col("inside")))
     rows = rows.withColumn("filled", F.transform("inside", lambda x: F.coalesce(x, "middle")))
 
     def average(i: Column) -> Column:
@@ -134,10 +134,7 @@ def fill_spline(panel: DataFrame, mode: str = "spline", smooth: int = 3) -> Data
 
     done = F.transform("cells", lambda c, i: F.struct(c["period"].alias("period"), c["t"].alias("t"), value(c, i).alias("value")))
     kinds = dict(panel.dtypes)
-    filled = rows.select("series_id", F.explode(done).alias("c")).select("c.period", "series_id", F.col("c.t").cast(kinds["t"]).alias("t"), "c.value")
-    # a series without values has no knots
-    nothing = panel.join(panel.groupBy("series_id").agg(F.count("value").alias("n")).where("n = 0"), "series_id", "left_semi")
-    return filled.unionByName(nothing.select("period", "series_id", "t", F.col("value").cast("double").alias("value")))
+    return rows.select("series_id", F.explode(done).alias("c")).select("c.period", "series_id", F.col("c.t").cast(kinds["t"]).alias("t"), "c.value")
 
 
 def treat(panel: DataFrame, method: int = 2, k: int = 3, mode: str = "spline") -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
 from .gram import complete_periods, products
 
 LEAST_STD = 1e-8
@@ -49,7 +50,7 @@ def clean_variance(variances: DataFrame, default: float = 1.0, floor: float = 1e
 
 def covariance_listwise(panel: DataFrame) -> DataFrame:
     """Sample covariance over the periods at which every series is observed."""
-    sums = products(complete_periods(panel))
+    sums = products(complete_periods(written(panel.select("t", "series_id", "value"))))
     value = F.try_divide(F.col("sxy") - F.try_divide(F.col("sx") * F.col("sy"), "n"), F.col("n") - 1)
     return sums.select("a", "b", value.alias("covariance"))
 
