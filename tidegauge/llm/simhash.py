@@ -19,16 +19,17 @@ A search for similar shingle sets (``wide_bits``) decides by the sets, not by th
 
 1. A text stands for its set, known by a digest; equal sets are one row. Repeats count once.
 2. Candidates differ in ``max_bits`` of 64 bits and ``wide_bits`` of 256 at most (``WIDE`` further
-   words, drawn from the same hashes). Sets of the similarity have nearly the same size, so a set
-   meets the band of its size and the next, each ``BAND`` times as wide as the one before. At so
-   many bits any partitions would compare each pair more than once, so there are none: all pairs
-   of a band and its next are compared, in blocks of ``BLOCK_ROWS`` dealt to the tasks.
+   words, drawn from the same hashes). They are found as above, by partitions and thresholds for
+   ``max_bits`` of the first 64 bits. Sets of the similarity have nearly the same size, so a set
+   is filed in the band of its size and probes that band and the next, each ``BAND`` times as wide
+   as the one before. A pair that meets in several partitions is taken in the first of them only.
 3. The candidates' components, by spanning forests again, bring together the sets that may link.
    They are hashed again from their texts, which a Bloom filter picks.
 4. Within a component every candidate pair that is not joined yet is decided by the exact Jaccard
    similarity of its sets, in blocks of ``BLOCK_HASHES`` dealt to the tasks.
 
-Rows a set grow with the blocks of its band; pairs compared grow with the square of the sets.
+At so many bits a key has two or three bits, so a pair is compared a few times on 64 bits before it
+is dropped: pairs compared grow with the square of the sets, rows a set with the blocks of its keys.
 
 Equal fingerprints are one row before any of this, so copies cost nothing. A bucket holds
 distinct fingerprints only, 8 bytes each (40 with a set's digest); it is compared in blocks of a
@@ -68,8 +69,8 @@ SIMILAR_WIDE_BITS = 72
 #: Cost of verifying a candidate pair, against shuffling a row as 1.
 PAIR_COST = 0.005
 MAX_THRESHOLD = 3
-#: Rows a fingerprint that a plan may ask for.
-MAX_ROWS = 1024
+#: Rows a fingerprint, and rows a set with the words of its wide fingerprint, that a plan may ask for.
+MAX_ROWS, MAX_WIDE_ROWS = 1024, 48
 #: The Jaccard similarity from which sets link, as a fraction, and the ratio of set sizes at it.
 SIMILAR = (4, 5)
 BAND = 1.25
@@ -265,7 +266,7 @@ def allocate(groups: list[list[int]], p: np.ndarray, n: int, max_bits: int, pair
 
 def plan(total: int, both: np.ndarray, max_bits: int = MAX_BITS, pairs: float | None = None, max_rows: int = MAX_ROWS, bands: int = 1) -> Plan:
     p = np.diag(both) / max(total, 1)
-    options = (allocate(group_bits(both, total, m), p, total, max_bits, pairs, max_rows, bands) for m in range(1, max_bits + 3))
+    options = (allocate(group_bits(both, total, m), p, total, max_bits, pairs, max_rows, bands) for m in range(1, min(max_bits + 2, BITS) + 1))
     best = min(options, key=lambda x: x.cost)
     if not best.thresholds:
         raise ValueError(f"no plan for {max_bits} bits within {max_rows} rows a fingerprint")
@@ -281,7 +282,7 @@ def _probes(chosen: Plan) -> list[tuple[int, np.ndarray, np.ndarray]]:
     for part, (group, t) in enumerate(zip(chosen.groups, chosen.thresholds, strict=True)):
         if t >= 0:
             masks = [sum(1 << b for b in some) for d in range(1, t + 1) for some in combinations(range(len(group)), d)]
-            parts.append((part, np.array(group), np.array([0, *masks], np.int64)))
+            parts.append((part, np.array(group, np.int64), np.array([0, *masks], np.int64)))
     return parts
 
 
@@ -327,14 +328,14 @@ def heavy_keys(fps: DataFrame, chosen: Plan, most: int) -> DataFrame:
     return met.where(F.col("n") > most).select("part", "key", F.ceil(F.col("n") / most).alias("blocks"))
 
 
-def _dealt(rows: DataFrame, heavy: DataFrame) -> DataFrame:
+def _dealt(rows: DataFrame, heavy: DataFrame, by: tuple[str, ...] = ("part", "key"), node: str = "fp") -> DataFrame:
     """Rows with the two blocks (i, j) of their key that meet, and which of them (side) is the row's own; a key that is not heavy is one block."""
-    own = F.pmod(F.xxhash64("fp"), "blocks")
+    own = F.pmod(F.xxhash64(node), "blocks")
     blocks = F.coalesce("blocks", F.lit(1).cast("long")).alias("blocks")
-    each = rows.join(heavy, ["part", "key"], "left").select(*rows.columns, blocks).withColumn("own", own)
+    each = rows.join(heavy, list(by), "left").select(*rows.columns, blocks).withColumn("own", own)
     each = each.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     place = [F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"), (F.col("own") > F.col("k")).alias("side")]
-    return each.select("part", "key", *place, "filed", "fp")
+    return each.select(*by, *place, *[c for c in rows.columns if c not in by])
 
 
 def _near(x: np.ndarray, y: np.ndarray, max_bits: int, wide_bits: int) -> np.ndarray:
@@ -344,7 +345,11 @@ def _near(x: np.ndarray, y: np.ndarray, max_bits: int, wide_bits: int) -> np.nda
     return sum(np.bitwise_count(a ^ b).astype(np.int64) for a, b in zip(x, y, strict=True)) <= wide_bits
 
 
-def _near_pairs(words: np.ndarray, stop: int, among: bool, max_bits: int, wide_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+#: Bits and threshold of partitions in which a pair, if it meets there, is taken.
+Earlier = list[tuple[np.uint64, int]]
+
+
+def _near_pairs(words: np.ndarray, stop: int, among: bool, max_bits: int, wide_bits: int, earlier: Earlier = ()) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Candidates x < y in blocks: the first ``stop`` rows against those after them and, if ``among``, each other."""
     fps, n, i = words[0], words.shape[1], 0
     while i < stop:
@@ -356,18 +361,21 @@ def _near_pairs(words: np.ndarray, stop: int, among: bool, max_bits: int, wide_b
         if len(words) > 1:
             ok = _near(words[:, x], words[:, y], max_bits, wide_bits)
             x, y = x[ok], y[ok]
+        for mask, t in earlier:
+            ok = np.bitwise_count((fps[x] ^ fps[y]) & mask) > t
+            x, y = x[ok], y[ok]
         yield x, y
         i += rows
 
 
 def _search(
-    words: np.ndarray, filed: np.ndarray, max_bits: int, wide_bits: int, ids: np.ndarray | None = None, among: bool = True
+    words: np.ndarray, filed: np.ndarray, max_bits: int, wide_bits: int, ids: np.ndarray | None = None, among: bool = True, earlier: Earlier = ()
 ) -> tuple[np.ndarray, np.ndarray]:
     """Spanning edges of one large bucket: its filed rows against all, compared in blocks."""
     order = np.argsort(~filed, kind="stable")
     words, ids = words[:, order], (words[0] if ids is None else ids)[order]
     a, b, waiting = [ids[:0]], [ids[:0]], 0
-    for x, y in _near_pairs(words, int(filed.sum()), among, max_bits, wide_bits):
+    for x, y in _near_pairs(words, int(filed.sum()), among, max_bits, wide_bits, earlier):
         a.append(ids[x])
         b.append(ids[y])
         waiting += len(x)
@@ -395,11 +403,13 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[label[moved]]
 
 
-def _across(words: np.ndarray, filed: np.ndarray, side: np.ndarray, max_bits: int, wide_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _across(
+    words: np.ndarray, filed: np.ndarray, side: np.ndarray, max_bits: int, wide_bits: int, ids: np.ndarray | None = None, earlier: Earlier = ()
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Spanning edges between two blocks of a bucket: the first's filed rows against all of the second, its others against the second's filed ones."""
     for first, second in ((~side & filed, side), (side & filed, ~side & ~filed)):
         rows = np.concatenate([np.flatnonzero(first), np.flatnonzero(second)])
-        yield _search(words[:, rows], np.arange(len(rows)) < first.sum(), max_bits, wide_bits, among=False)
+        yield _search(words[:, rows], np.arange(len(rows)) < first.sum(), max_bits, wide_bits, None if ids is None else ids[rows], False, earlier)
 
 
 def _bucket_edges(
@@ -498,44 +508,96 @@ def _columns(held: list[pa.RecordBatch]) -> list[np.ndarray | pa.Array]:
     return [c if pa.types.is_binary(c.type) or pa.types.is_large_binary(c.type) else c.to_numpy(zero_copy_only=False) for c in columns]
 
 
-def _deal(blocks: dict[int, int]):
-    """Rows (node, band, words) to the pairs of blocks (low, high, i, j) of their own band, the next and the one before."""
+_WIDE_SIGNATURE = "part int, key long, band long, filed boolean, node long, " + ", ".join(f"{c} long" for c in _WORD_NAMES)
+
+
+def _wide_signatures(chosen: Plan):
+    """Rows (node, band, words) to the keys that they are filed under or probe, in their own band and the next."""
+    parts = _probes(chosen)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, band, *words = (c.to_numpy() for c in batch.columns)
-            for b in np.unique(band).tolist():
-                at = np.flatnonzero(band == b)
-                own = (node[at].view(np.uint64) % np.uint64(blocks[b])).astype(np.int64)
-                for other in (b - 1, b, b + 1):
-                    for k in range(blocks.get(other, 0)):
-                        first = np.minimum(own, k) if other == b else own if other > b else np.full(len(at), k)
-                        second = np.maximum(own, k) if other == b else own if other < b else np.full(len(at), k)
-                        side = own > k if other == b else np.full(len(at), other < b)
-                        place = [np.full(len(at), min(b, other)), np.full(len(at), max(b, other)), first, second, side, node[at]]
-                        arrays = [pa.array(x) for x in [*place, *[w[at] for w in words]]]
-                        yield pa.RecordBatch.from_arrays(arrays, ["low", "high", "i", "j", "side", "node", *_WORD_NAMES])
+            every = [c.to_numpy() for c in batch.columns]
+            for part, group, masks in parts:
+                step = max(1, (1 << 15) // len(masks))
+                for a in range(0, len(every[0]), step):
+                    node, band, *words = (c[a : a + step] for c in every)
+                    keys = _bits_of(words[0])[:, group].astype(np.int64) @ (1 << np.arange(len(group), dtype=np.int64))
+                    probes, own = (keys[:, None] ^ masks).ravel(), np.repeat(band, len(masks))
+                    carried = [np.repeat(c, len(masks)) for c in (node, *words)]
+                    for up in (0, 1):
+                        filed = np.tile((np.arange(len(masks)) == 0) & (up == 0), len(node))
+                        arrays = [np.full(len(probes), part, np.int32), probes, own + up, filed, *carried]
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["part", "key", "band", "filed", "node", *_WORD_NAMES])
 
     return run
 
 
-def candidates(sets: DataFrame, max_bits: int, wide_bits: int) -> DataFrame:
-    """Spanning links (a, b) of the nodes of ``sets`` that the bits take for similar."""
+def _meeting(sets: DataFrame, chosen: Plan) -> DataFrame:
+    """part, key, band, filed, n: how many sets are filed under a key of a band, and how many rows meet there."""
+    parts = {part: (group, masks) for part, group, masks in _probes(chosen)}
+    names = ["part", "key", "band", "filed", "n"]
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            band, fps = (c.to_numpy() for c in batch.columns)
+            for part, (group, _) in parts.items():
+                key = _bits_of(fps)[:, group].astype(np.int64) @ (1 << np.arange(len(group), dtype=np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(len(fps), part, np.int32), key, band)], names[:3])
+
+    def probing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part, key, band, n = (c.to_numpy() for c in batch.columns)
+            for p, (_, masks) in parts.items():
+                step, of = max(1, (1 << 17) // len(masks)), np.flatnonzero(part == p)
+                for a in range(0, len(of), step):
+                    some, each = of[a : a + step], len(masks)
+                    for up in (0, 1):
+                        own = np.repeat(n[some], each)
+                        filed = own * np.tile((np.arange(each) == 0) & (up == 0), len(some))
+                        arrays = [np.full(len(own), p, np.int32), (key[some, None] ^ masks).ravel(), np.repeat(band[some], each) + up, filed, own]
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names)
+
+    filed = sets.select("band", "fp").mapInArrow(keys, "part int, key long, band long").groupBy(names[:3]).agg(F.count(F.lit(1)).alias("n"))
+    met = filed.mapInArrow(probing, "part int, key long, band long, filed long, n long")
+    return met.groupBy(names[:3]).agg(F.sum("filed").alias("filed"), F.sum("n").alias("n")).where("filed > 0")
+
+
+def wide_plan(sets: DataFrame, max_bits: int) -> Plan:
+    """Partitions and thresholds for sets that probe two bands; at a limit of all bits one key without bits, as no pair differs in more."""
+    if max_bits >= BITS:
+        return Plan([[]], [0], 0.0)
     n = {r["band"]: r["count"] for r in sets.groupBy("band").count().collect()}  # bands are few by construction
-    blocks = {b: -(-c // BLOCK_ROWS) for b, c in n.items()}
     pairs = sum(c * c / 2 + c * n.get(b + 1, 0) for b, c in n.items())
+    return plan(*bit_counts(sets), max_bits, pairs, max(MAX_WIDE_ROWS, 2 * (max_bits + 2)), 2)
+
+
+def candidates(sets: DataFrame, max_bits: int, wide_bits: int, chosen: Plan | None = None) -> DataFrame:
+    """Spanning links (a, b) of the nodes of ``sets`` that the bits take for similar."""
+    chosen = wide_plan(sets, max_bits) if chosen is None else chosen
+    by, used = ("part", "key", "band"), [(part, group) for part, group, _ in _probes(chosen)]
+    masks = {part: (np.uint64(sum(1 << b for b in group.tolist())), chosen.thresholds[part]) for part, group in used}
+    met = durable(_meeting(sets, chosen))
+    heavy = met.where(F.col("n") > BLOCK_ROWS).select(*by, F.ceil(F.col("n") / BLOCK_ROWS).alias("blocks"))
+    pairs = met.agg(F.sum(F.col("filed").cast("double") * F.col("n")).alias("pairs")).first()["pairs"] or 0
     tasks = max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(pairs / TASK_PAIRS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for low, high, i, j, side, node, *words in _whole_buckets(batches, 4):
-            among = low[0] == high[0] and i[0] == j[0]
-            a, b = _forest(*_search(np.stack(words).view(np.uint64), ~side, max_bits, wide_bits, node, among))
+        for part, _, _, i, j, side, filed, node, *words in _whole_buckets(batches, 5):
+            if len(node) < 2 or not filed.any():
+                continue
+            words, earlier = np.stack(words).view(np.uint64), [m for p, m in masks.items() if p < part[0]]
+            if i[0] == j[0]:
+                found = [_search(words, filed, max_bits, wide_bits, node, earlier=earlier)]
+            else:
+                found = list(_across(words, filed, side, max_bits, wide_bits, node, earlier))
+            a, b = _forest(*(np.concatenate(x) for x in zip(*found, strict=True)))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    words = ", ".join(f"{c} long" for c in _WORD_NAMES)
-    dealt = sets.select("node", "band", *_WORD_NAMES).mapInArrow(_deal(blocks), f"low long, high long, i long, j long, side boolean, node long, {words}")
-    place = ["low", "high", "i", "j"]
-    return dealt.repartition(tasks, *place).sortWithinPartitions(*place).mapInArrow(run, "a long, b long").distinct()
+    rows = sets.select("node", "band", *_WORD_NAMES).mapInArrow(_wide_signatures(chosen), _WIDE_SIGNATURE)
+    place = [*by, "i", "j"]
+    dealt = _dealt(rows, heavy, by, "node").repartition(tasks, *place).sortWithinPartitions(*place)
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def similar(x: np.ndarray, y: np.ndarray) -> bool:
