@@ -26,7 +26,9 @@ A search for similar shingle sets (``wide_bits``) decides by the sets, not by th
 3. The candidates' components, by spanning forests again, bring together the sets that may link.
    They are hashed again from their texts, which a Bloom filter picks.
 4. Within a component every candidate pair that is not joined yet is decided by the exact Jaccard
-   similarity of its sets, in blocks of ``BLOCK_HASHES`` dealt to the tasks.
+   similarity of its sets. A component of over ``BLOCK_SETS`` sets is dealt in blocks, each two of
+   which are a task: ``BLOCKS`` at most, so that its rows are few, and more only where a block
+   would hold over ``BLOCK_HASHES``.
 
 At so many bits a key has two or three bits, so a pair is compared a few times on 64 bits before it
 is dropped: pairs compared grow with the square of the sets, rows a set with the blocks of its keys.
@@ -76,6 +78,10 @@ SIMILAR = (4, 5)
 BAND = 1.25
 #: Fingerprints of a block of a band or of a heavy key, and shingle hashes of a block of candidates to decide.
 BLOCK_ROWS, BLOCK_HASHES = 1 << 17, 1 << 20
+#: Sets of a block of candidates to decide, as long as their component has fewer than ``BLOCKS`` blocks.
+BLOCK_SETS, BLOCKS = 128, 16
+#: Pairs that are decided before those joined meanwhile are left out.
+_DECIDED = 1 << 10
 #: Pairs of fingerprints that a task is meant to compare.
 TASK_PAIRS = 1 << 30
 SMALL_BUCKET = 64
@@ -618,22 +624,18 @@ def _decide(max_bits: int, wide_bits: int):
         for _, i, j, side, node, hashes, *words in _whole_buckets(batches, 3):
             order = np.argsort(side, kind="stable")
             sets = [np.frombuffer(hashes[k].as_buffer(), np.uint64) for k in order.tolist()]
-            node, label = node[order], list(range(len(order)))
-
-            def find(x: int) -> int:
-                while label[x] != x:
-                    label[x] = label[label[x]]
-                    x = label[x]
-                return x
-
-            a, b = [], []
+            node, label, a, b = node[order], np.arange(len(order)), [], []
             for x, y in _near_pairs(np.stack(words).view(np.uint64)[:, order], int((~side).sum()), i[0] == j[0], max_bits, wide_bits):
-                for p, q in zip(x.tolist(), y.tolist(), strict=True):
-                    r, t = find(p), find(q)
-                    if r != t and similar(sets[p], sets[q]):
-                        label[t] = r
-                        a.append(p)
-                        b.append(q)
+                apart = label[x] != label[y]
+                x, y = x[apart], y[apart]
+                while len(x):
+                    for p, q in zip(x[:_DECIDED].tolist(), y[:_DECIDED].tolist(), strict=True):
+                        if label[p] != label[q] and similar(sets[p], sets[q]):
+                            label[label == label[q]] = label[p]
+                            a.append(p)
+                            b.append(q)
+                    apart = label[x[_DECIDED:]] != label[y[_DECIDED:]]
+                    x, y = x[_DECIDED:][apart], y[_DECIDED:][apart]
             yield pa.RecordBatch.from_arrays([pa.array(node[np.array(z, np.int64)]) for z in (a, b)], ["a", "b"])
 
     return run
@@ -651,11 +653,17 @@ def _sets_of(texts: DataFrame, shingle: int) -> DataFrame:
     return texts.mapInArrow(run, "node long, hashes binary")
 
 
+def component_blocks(met: DataFrame) -> DataFrame:
+    """component, blocks: in how many blocks the sets of each component are dealt."""
+    shared = F.least(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.lit(BLOCKS).cast("long"))
+    return met.groupBy("component").agg(F.greatest(F.ceil(F.sum("size") / BLOCK_HASHES), shared).alias("blocks"))
+
+
 def similar_links(sets: DataFrame, docs: DataFrame, text_col: str, shingle: int, max_bits: int, wide_bits: int) -> DataFrame:
     """Links (a, b) of the nodes of ``sets`` (a written table): they join what all links by exact similarity join."""
     found = connected_components(durable(candidates(sets, max_bits, wide_bits)))
     met = durable(found.join(sets, "node").select("component", "node", "text_key", "size", *_WORD_NAMES))
-    blocks = met.groupBy("component").agg(F.ceil(F.sum("size") / BLOCK_HASHES).alias("blocks"))
+    blocks = component_blocks(met)
     own = F.pmod("node", "blocks")
     dealt = (
         met.join(blocks, "component")
